@@ -8,14 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .exact_dedup import exact_duplicates
+from .packing import pack_documents
+from .token_store import token_store
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_packing": op7_packing,
+    "op8_token_store": op8_token_store,
 }
 
 ORACLES: dict[str, str] = {
