@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .exact_dedup import exact_duplicates
+from .media import media_columns
 from .packing import pack_documents
+from .simhash import near_duplicates
 from .token_store import token_store
 
 
@@ -18,6 +20,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -30,10 +36,16 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_packing": op7_packing,
     "op8_token_store": op8_token_store,
+    "op10_media": op10_media,
 }
 
 ORACLES: dict[str, str] = {
