@@ -98,6 +98,8 @@ def _write(folder: str, most: int):
         size = 0
         try:
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                     image = encode_image((text.as_py() or "").encode("utf-8", "surrogatepass"))
@@ -141,6 +143,8 @@ def _headers(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (store, root), name, file = _files(folder), None, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = []
             for shard, offset in zip(batch.column("shard").to_pylist(), batch.column("offset").to_pylist()):
                 if shard != name:
@@ -162,6 +166,8 @@ def _features(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (store, root), name, file = _files(folder), None, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = []
             for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length"))):
                 if shard != name:

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .exact_dedup import exact_duplicates
 from .media import media_columns
+from .mixing import mix_documents
 from .packing import pack_documents
 from .simhash import near_duplicates
 from .token_store import token_store
+from .url_filter import ORACLE_SQL as URL_ORACLE
+from .url_filter import judge_urls
 
 
 def tokenizer_file(name: str) -> str:
@@ -24,10 +27,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the number that ends a page's url is the doc_id of the document on it
+    outcomes = read(spark, sf_dir, "labels").selectExpr("doc_id AS page_no", "quality AS good")
+    return judge_urls(read(spark, sf_dir, "pages"), outcomes)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -42,13 +55,16 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
     "op8_token_store": op8_token_store,
     "op10_media": op10_media,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_url_filter": URL_ORACLE,
     "op3_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
