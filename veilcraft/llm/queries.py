@@ -12,8 +12,10 @@ from .maxent_lm import language_scores
 from .media import media_columns
 from .mixing import mix_documents
 from .packing import pack_documents
+from .quality import quality_scores
 from .simhash import near_duplicates
 from .token_store import token_store
+from .toxicity import toxicity_scores
 from .url_filter import ORACLE_SQL as URL_ORACLE
 from .url_filter import judge_urls
 
@@ -42,6 +44,10 @@ def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(read(spark, sf_dir, "documents"))
 
@@ -54,6 +60,10 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read(spark, sf_dir, "documents"))
 
@@ -63,9 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_maxent_lm": op4_maxent_lm,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
     "op8_token_store": op8_token_store,
+    "op9_quality": op9_quality,
     "op10_media": op10_media,
 }
 
