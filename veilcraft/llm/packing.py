@@ -61,7 +61,15 @@ def _triple(gap: int, free: np.ndarray) -> tuple[int, ...] | None:
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths with how often each is used; together they use every piece in ``counts`` once."""
+    """Patterns of lengths with how often each is used; together they use every piece in ``counts`` once.
+
+    Complements of up to three lengths use up small pieces early, which now and then costs a few sequences; so plans with complements of
+    three, two and one are made, and the one with the fewest sequences is taken.
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(times for _, times in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     free = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         free[length] = n
@@ -73,7 +81,6 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
         free[lengths] -= need * times
         out.append((tuple(sorted(pattern, reverse=True)), times))
 
-    residual: list[tuple[int, int]] = []
     for length in range(capacity, 0, -1):
         gap = capacity - length
         while free[length]:
@@ -81,7 +88,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
                 take((length,))
                 continue
             free[length] -= 1  # one is placed; its complement comes from the others
-            rest = (gap,) if free[gap] > 0 else _pair(gap, free) or _triple(gap, free)
+            rest = (gap,) if free[gap] > 0 else most > 1 and _pair(gap, free) or most > 2 and _triple(gap, free) or None
             free[length] += 1
             if rest is None:
                 break
