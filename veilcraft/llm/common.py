@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -78,56 +80,72 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
 #: White space as the tokenizers' patterns know it (the Unicode property).
 _WS = "\t-\r \x85\xa0  -     　"
 _UNITS = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-_WS_THEN_SPACE = re.compile(f"[{_WS}][ \n]")
+_ODD_WS = re.compile(r"[\x85\xa0  -     　]")
+#: A comma or full stop after what is no letter or digit (nor white space).
+_JOINED_STOP = re.compile(r"[.,](?<![^\W_][.,])")
+_JOINED_STOP_BARE = re.compile(f"[.,](?<![^\\W_][.,])(?<![{_WS}][.,])")
 
 
 class TokenIds:
     """Ids of whole texts by a tokenizer file, as little-endian unsigned 32-bit bytes.
 
     The tokenizers library encodes each distinct piece of text once while it stays in a bounded memo. Texts are
-    cut only in front of white space that follows other characters, where no token can reach across, so the
-    ids are those of the whole text (tests compare them). ``white_space`` tells whether the tokenizer keeps
-    white space (byte-level) or drops it.
+    cut only where the tokenizer's own pattern always parts them: in front of white space that follows other characters, and
+    between a letter or digit and a comma or full stop. So the ids are those of the whole text (tests compare them).
+    ``white_space`` tells whether the tokenizer keeps white space and case (byte-level) or drops them.
     """
 
-    def __init__(self, path: str, white_space: bool, memo: int = 900_000):
+    def __init__(self, path: str, white_space: bool, memo: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.white_space, self.memo = white_space, memo
-        self.spaced: dict = {}  # piece without the space in front of it -> ids
-        self.plain: dict = {}  # unit as it stands -> ids
-
-    def _encode(self, units: list[str]) -> list[bytes]:
-        from array import array
-
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-    def _learn(self, known: dict, keys: Iterable, text) -> None:
-        new = list(set(keys).difference(known))
-        if len(known) + len(new) > self.memo:
-            known.clear()
-            return self._learn(known, keys, text) if len(new) <= self.memo else known.update(zip(new, self._encode([text(x) for x in new])))
-        known.update(zip(new, self._encode([text(x) for x in new])))
+        self.cut, self.text = (_spaced, _spaced_text) if white_space else (_bare, _bare_text)
+        self.memo = memo
+        self.known: dict = {}  # piece -> ids
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if not self.white_space:
-            words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-            self._learn(self.plain, [w for ws in words for w in ws], lambda w: w.decode("utf-8", "surrogatepass"))
-            return [b"".join(map(self.plain.__getitem__, ws)) for ws in words]
-        cut: list[tuple[bool, list[str]]] = []
-        for t in texts:
-            if _WS_THEN_SPACE.search(t) is None:
-                cut.append((True, t.replace("\n", " \n").split(" ")))
-            else:
-                cut.append((False, _UNITS.findall(t)))
-        self._learn(self.spaced, [p for fast, ps in cut if fast for p in ps[1:]], lambda p: p if p[:1] == "\n" else f" {p}")
-        self._learn(self.plain, [p for fast, ps in cut for p in (ps[:1] if fast else ps)], str)
-        return [
-            self.plain[ps[0]] + b"".join(map(self.spaced.__getitem__, ps[1:])) if fast else b"".join(map(self.plain.__getitem__, ps))
-            for fast, ps in cut
-        ]
+        cut = [self.cut(t) for t in texts]
+        pieces = list(chain.from_iterable(cut))
+        ids = list(map(self.known.get, pieces))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        new = list({pieces[i] for i in missing})
+        if len(self.known) + len(new) > self.memo:
+            self.known.clear()
+        found = dict(zip(new, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(list(map(self.text, new)), add_special_tokens=False))))
+        self.known.update(found)
+        for i in missing:
+            ids[i] = found[pieces[i]]
+        ends = list(accumulate(map(len, cut), initial=0))
+        return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def _spaced(t: str) -> list[str]:
+    """Pieces of a text whose white space counts: see ``_spaced_text`` for what each stands for."""
+    if not (_JOINED_STOP.search(t) or "\t" in t or "\r" in t or "\x0b" in t or "\x0c" in t or not t.isascii() and _ODD_WS.search(t)):
+        pieces = t.replace("\n", " \n").replace(",", " ,").replace(".", " .").split(" ")
+        if "" not in pieces and "\n" not in pieces:
+            pieces[0] = f"\0 {pieces[0]}"
+            return pieces
+    return [u if u[0] in " \n" else f"\0 {u}" for u in _UNITS.findall(t)]
+
+
+def _spaced_text(piece: str) -> str:
+    """A piece stands for itself if it begins with a space, line feed, comma or full stop, or after a mark; else a space goes before it."""
+    return piece if piece[0] in " \n,." else piece[2:] if piece.startswith("\0 ") else f" {piece}"
+
+
+def _bare(t: str) -> list[bytes]:
+    """Pieces of a text whose white space and case don't count."""
+    b = t.encode("utf-8", "surrogatepass").lower()
+    # the capital I with a dot becomes a letter and a mark in lower case
+    if not (_JOINED_STOP_BARE.search(t) or not t.isascii() and "İ" in t):
+        b = b.replace(b",", b" ,").replace(b".", b" .")
+    return b.split()
+
+
+def _bare_text(piece: bytes) -> str:
+    return piece.decode("utf-8", "surrogatepass")
 
 
 _TOKENIZERS: dict = {}
