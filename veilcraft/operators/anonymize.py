@@ -52,7 +52,7 @@ def numbered(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",), review: floa
     number. Other types count the spans of the type that pass review (with ``by_label``, those of the placeholder's label).
     """
     spans = with_provenance(spans)
-    place = [F.col("start"), F.col("stop"), F.col("rule_seq"), F.col("entity_id")]
+    place = [F.col("start"), F.col("stop"), F.col("rule_seq"), F.col("entity_id"), F.desc("confidence")]
     seed = (F.col("entity_type") == "PERSON") & F.col("canonical_entity_id").isNull()
     of_seeds = Window.partitionBy(*keys, seed).orderBy(*place)
     rows = spans.withColumn("_seed_no", F.when(seed, F.row_number().over(of_seeds)))

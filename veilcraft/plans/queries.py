@@ -351,8 +351,8 @@ def accept_review(spark, d):
 
 
 @query(
-    f"WITH {_MADE_SQL} SELECT doc_id, entity_id, row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY start, stop, rule_seq, entity_id) AS ordinal FROM m WHERE entity_type <> 'PERSON' AND confidence >= 0.6 "
-    "UNION ALL SELECT doc_id, entity_id, k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop, rule_seq, entity_id) AS k FROM m WHERE entity_type = 'PERSON') WHERE confidence >= 0.6"
+    f"WITH {_MADE_SQL} SELECT doc_id, entity_id, row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY start, stop, rule_seq, entity_id, confidence DESC) AS ordinal FROM m WHERE entity_type <> 'PERSON' AND confidence >= 0.6 "
+    "UNION ALL SELECT doc_id, entity_id, k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop, rule_seq, entity_id, confidence DESC) AS k FROM m WHERE entity_type = 'PERSON') WHERE confidence >= 0.6"
 )
 def ordinals(spark, d):
     return numbered(settled(canonical(made_spans(spark, d)))).select("doc_id", "entity_id", "ordinal")
@@ -402,7 +402,7 @@ def coverage_summary(spark, d):
 
 
 def _templates(spark, d):
-    pieces = table(spark, d, "lineitem").filter("l_orderkey % 4 = 0")
+    pieces = table(spark, d, "lineitem").filter("l_orderkey % 4 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     tag = F.concat(F.lit("[NIP_"), F.col("l_linenumber").cast("string"), F.lit("]"))
     base = pieces.select(
         F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("segment_id"), F.lit("body:p:1").alias("container_id"),
@@ -414,7 +414,8 @@ def _templates(spark, d):
 
 
 _REINJECT_SQL = """
-    WITH b AS (SELECT l_orderkey AS doc_id, 's' || l_linenumber AS segment_id, l_partkey % 7 AS k, '[NIP_' || l_linenumber || ']' AS tag FROM lineitem WHERE l_orderkey % 4 = 0)
+    WITH b AS (SELECT l_orderkey AS doc_id, 's' || l_linenumber AS segment_id, min(l_partkey) % 7 AS k, '[NIP_' || l_linenumber || ']' AS tag FROM lineitem WHERE l_orderkey % 4 = 0
+        GROUP BY l_orderkey, l_linenumber)
     SELECT doc_id, segment_id, CASE WHEN k = 0 THEN NULL ELSE tag END AS placeholder,
         CASE k WHEN 0 THEN 'missing_segment' WHEN 1 THEN 'placeholder_deleted' WHEN 2 THEN 'placeholder_duplicated' ELSE 'missing_vault_entry' END AS reason
     FROM b WHERE k <= 3 UNION ALL SELECT doc_id, segment_id, NULL, 'placeholder_reordered' FROM b WHERE k = 2"""
@@ -426,7 +427,7 @@ def reinject_conflicts(spark, d):
 
 
 @query(
-    f"""WITH c AS ({_REINJECT_SQL}), g AS (SELECT l_orderkey AS doc_id, count(*) FILTER (l_partkey % 7 > 3) AS m FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY l_orderkey),
+    f"""WITH c AS ({_REINJECT_SQL}), g AS (SELECT l_orderkey AS doc_id, count(*) FILTER (k % 7 > 3) AS m FROM (SELECT l_orderkey, min(l_partkey) AS k FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY l_orderkey, l_linenumber) GROUP BY l_orderkey),
     x AS (SELECT doc_id, count(DISTINCT segment_id) AS r, count(placeholder) AS p FROM c GROUP BY doc_id)
     SELECT doc_id, CASE WHEN r > 0 THEN 'fail_closed' ELSE 'ready' END AS status, m AS matched_segments, coalesce(r, 0) AS rejected_segments, coalesce(p, 0) AS rejected_placeholders FROM g LEFT JOIN x USING (doc_id)"""
 )
