@@ -5,7 +5,7 @@ samples a line (PNG). Images are members of tar shards, named by the SHA-256 of
 content once. Rows carry digest, shard, offset and length. Metadata columns are filled from the image header alone, read as a
 byte range; only features read whole members.
 
-Shards are written to the folder that all executors share, under names of their own for every attempt of a task; rows of
+Shards are written to the folder that all executors share, under a name for every attempt of a task; rows of
 an attempt that failed are never used, and neither are its shards.
 """
 
@@ -33,7 +33,7 @@ SHARD_BYTES = 64 << 20
 HEADER_BYTES = 8 + 25 + 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
-REFERENCES = "doc_id bigint, digest string, shard string, offset bigint, length bigint"
+REFERENCES = "doc_id bigint, digest binary, shard string, offset bigint, length int"
 
 
 def padded(data: bytes) -> bytes:
@@ -91,9 +91,12 @@ def _files(folder: str):
 
 def _write(folder: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         store, root = _files(folder)
         store.create_dir(root, recursive=True)
-        stored: dict[str, tuple] = {}  # of the open shard: digest -> reference
+        attempt, count = TaskContext.get().taskAttemptId(), 0
+        stored: dict[bytes, tuple] = {}  # of the open shard: digest -> reference
         shard = sink = None
         size = 0
         try:
@@ -103,23 +106,23 @@ def _write(folder: str, most: int):
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                     image = encode_image((text.as_py() or "").encode("utf-8", "surrogatepass"))
-                    digest = hashlib.sha256(image).hexdigest()
+                    digest = hashlib.sha256(image).digest()
                     if digest not in stored:
                         if sink is not None and size >= most:
                             sink.write(bytes(1024))
                             sink.close()
                             sink, stored = None, {}
                         if sink is None:
-                            shard, size = f"{uuid.uuid4().hex}.tar", 0
+                            shard, size, count = f"{attempt}-{count}.tar", 0, count + 1
                             sink = store.open_output_stream(f"{root}/{shard}")
-                        info = tarfile.TarInfo(f"{digest}.png")
+                        info = tarfile.TarInfo(f"{digest.hex()}.png")
                         info.size = len(image)
                         head = info.tobuf(tarfile.USTAR_FORMAT)
                         sink.write(head + image + bytes(-len(image) % 512))
                         stored[digest] = (digest, shard, size + len(head), len(image))
                         size += len(head) + len(image) + -len(image) % 512
                     rows.append((doc_id, *stored[digest]))
-                types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+                types = (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int32())
                 # rows leave before their shard is closed, but nobody reads it before the whole table is settled
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "digest", "shard", "offset", "length"])
             if sink is not None:
@@ -169,25 +172,26 @@ def _features(folder: str):
             if not batch.num_rows:
                 continue
             rows = []
-            for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length"))):
+            for digest, shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length"))):
                 if shard != name:
                     name, file = shard, store.open_input_file(f"{root}/{shard}")
                 image = file.read_at(length, offset)
+                if hashlib.sha256(image).digest() != digest:
+                    raise ValueError(f"the bytes at {offset} of {shard} are not those stored there")
                 payload = decode_image(image)
-                rows.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), features(payload)))
-            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                rows.append((hashlib.sha256(payload).digest(), zlib.crc32(payload[-WIDTH:]), features(payload)))
+            types = (pa.binary(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*rows), types))],
-                [*batch.schema.names, "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                [*batch.schema.names, "payload_sha256", "tail_crc32", "feature"],
             )
 
     return run
 
 
 def feature_columns(contents: DataFrame, folder: str) -> DataFrame:
-    schema = StructType(list(contents.schema.fields))
-    for name, kind in (("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")):
-        schema = schema.add(name, kind)
+    """payload_sha256, tail_crc32 and feature for each row, from whole members, whose bytes must have the row's digest."""
+    schema = StructType(list(contents.schema.fields)).add("payload_sha256", "binary").add("tail_crc32", "long").add("feature", "string")
     return contents.mapInArrow(_features(folder), schema)
 
 
@@ -211,6 +215,8 @@ def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int =
     small_batches(spark)
     contents = feature_columns(header_columns(contents, folder), folder)
     named = shares.select("digest", "salt").join(contents, "digest")
+    digest = lambda c: F.lower(F.hex(c))
     return salted.select("doc_id", "digest", "salt").join(named, ["digest", "salt"]).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length"
-    )
+        "doc_id", "n_bytes", "payload_bytes", digest("payload_sha256").alias("payload_sha256"), "tail_crc32", F.col("length").cast("long").alias("media_bytes"),
+        digest("digest").alias("media_sha256"), "feature", "shard", "offset", "length",
+    )
