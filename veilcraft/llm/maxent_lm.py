@@ -220,6 +220,23 @@ def _expected(shared):
     return run
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list:
+    """At most ``most`` rows (word, n), the most frequent first.
+
+    Words are counted by bands of their frequency, of which there are a few hundred, and those above the band that
+    would be too many are fetched; so no task sends more than its part of them.
+    """
+    bands = counts.withColumn("band", F.floor(F.log2("n") * 16)).groupBy("band").agg(F.count("*").alias("words")).collect()
+    least, words = 10**6, 0
+    for r in sorted(bands, key=lambda r: -r["band"]):
+        words += r["words"]
+        if words > most:
+            break
+        least = r["band"]
+    rows = counts.filter(F.floor(F.log2("n") * 16) >= least).collect()
+    return sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))
+
+
 def train(docs: DataFrame, steps: int = STEPS, prior: float = PRIOR, parts: int = 6):
     """(model as broadcast arrays, counts table) from all texts of ``docs``."""
     spark = docs.sparkSession
@@ -228,7 +245,7 @@ def train(docs: DataFrame, steps: int = STEPS, prior: float = PRIOR, parts: int
     counts = settled(word_counts(docs))
     totals = counts.filter(F.col("word") != END).groupBy((F.crc32(F.substring("word", -2, 2)) % TAIL_CLASSES).cast("int").alias("k"))
     totals = {r["k"]: (r["n"], r["v"]) for r in totals.agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    first = counts.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(FREQUENT - 1).collect()
+    first = _most_frequent(counts.filter(F.col("word") != END), FREQUENT - 1)
     ends = counts.filter(F.col("word") == END).first()
     frequent = [END, *(bytes(r["word"]) for r in first)]
     n = np.array([ends["n"] if ends else 0, *(r["n"] for r in first)], dtype=np.int64)
