@@ -6,9 +6,10 @@ import re
 import tempfile
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,66 +87,97 @@ _JOINED_STOP = re.compile(r"[.,](?<![^\W_][.,])")
 _JOINED_STOP_BARE = re.compile(f"[.,](?<![^\\W_][.,])(?<![{_WS}][.,])")
 
 
+#: Parts the units of a text; texts that hold it are encoded as they are.
+_CUT = "\x01"
+
+
 class TokenIds:
     """Ids of whole texts by a tokenizer file, as little-endian unsigned 32-bit bytes.
 
-    The tokenizers library encodes each distinct piece of text once while it stays in a bounded memo. Texts are
-    cut only where the tokenizer's own pattern always parts them: in front of white space that follows other characters, and
-    between a letter or digit and a comma or full stop. So the ids are those of the whole text (tests compare them).
-    ``white_space`` tells whether the tokenizer keeps white space and case (byte-level) or drops them.
+    Texts are cut only where the tokenizer's own pattern always parts them: in front of white space that follows other
+    characters, and between a letter or digit and a comma or full stop. So the ids of the units are those of the whole text
+    (tests compare them). Arrow finds the distinct units of a batch, the tokenizers library encodes each while a bounded memo
+    holds it, and numpy puts the ids of texts together. ``white_space`` tells whether the tokenizer keeps white space and
+    case (byte-level) or drops them.
     """
 
-    def __init__(self, path: str, white_space: bool, memo: int = 1_000_000):
+    def __init__(self, path: str, white_space: bool, memo: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut, self.text = (_spaced, _spaced_text) if white_space else (_bare, _bare_text)
+        self.units = _spaced_units if white_space else _bare_units
         self.memo = memo
-        self.known: dict = {}  # piece -> ids
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # what was young before; units used again come back
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        pieces = list(chain.from_iterable(cut))
-        ids = list(map(self.known.get, pieces))
+    def _encode(self, units: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _ids(self, units: list[str]) -> list[bytes]:
+        ids = list(map(self.young.get, units))
         missing = [i for i, x in enumerate(ids) if x is None]
-        new = list({pieces[i] for i in missing})
-        if len(self.known) + len(new) > self.memo:
-            self.known.clear()
-        found = dict(zip(new, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(list(map(self.text, new)), add_special_tokens=False))))
-        self.known.update(found)
         for i in missing:
-            ids[i] = found[pieces[i]]
-        ends = list(accumulate(map(len, cut), initial=0))
-        return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
-
-
-def _spaced(t: str) -> list[str]:
-    """Pieces of a text whose white space counts: see ``_spaced_text`` for what each stands for."""
-    if not (_JOINED_STOP.search(t) or "\t" in t or "\r" in t or "\x0b" in t or "\x0c" in t or not t.isascii() and _ODD_WS.search(t)):
-        pieces = t.replace("\n", " \n").replace(",", " ,").replace(".", " .").split(" ")
-        if "" not in pieces and "\n" not in pieces:
-            pieces[0] = f"\0 {pieces[0]}"
-            return pieces
-    return [u if u[0] in " \n" else f"\0 {u}" for u in _UNITS.findall(t)]
+            if (own := self.old.get(units[i])) is not None:
+                ids[i] = self.young[units[i]] = own
+        missing = [i for i in missing if ids[i] is None]
+        new = [units[i] for i in missing]
+        for i, unit, own in zip(missing, new, self._encode(new)):
+            ids[i] = self.young[unit] = own
+        if len(self.young) > self.memo // 2:
+            self.old, self.young = self.young, {}
+        return ids
 
-
-def _spaced_text(piece: str) -> str:
-    """A piece stands for itself if it begins with a space, line feed, comma or full stop, or after a mark; else a space goes before it."""
-    return piece if piece[0] in " \n,." else piece[2:] if piece.startswith("\0 ") else f" {piece}"
-
-
-def _bare(t: str) -> list[bytes]:
-    """Pieces of a text whose white space and case don't count."""
-    b = t.encode("utf-8", "surrogatepass").lower()
-    # the capital I with a dot becomes a letter and a mark in lower case
-    if not (_JOINED_STOP_BARE.search(t) or not t.isascii() and "İ" in t):
-        b = b.replace(b",", b" ,").replace(b".", b" .")
-    return b.split()
-
-
-def _bare_text(piece: bytes) -> str:
-    return piece.decode("utf-8", "surrogatepass")
+    def batch(self, texts: list[str]) -> list[bytes]:
+        units = self.units(texts)
+        found = units.flatten().dictionary_encode()
+        ids = self._ids(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # a text has less than 2^31 bytes, and so have its ids in number
+        size = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        at = found.indices.to_numpy()
+        sizes, begins = size[at], (np.cumsum(size, dtype=np.int32) - size)[at]
+        ends = np.zeros(len(sizes) + 1, dtype=np.int32)
+        np.cumsum(sizes, out=ends[1:])
+        begins -= ends[:-1]
+        place = np.repeat(begins, sizes)
+        place += np.arange(ends[-1], dtype=np.int32)
+        out = flat[place]
+        offsets = ends[units.offsets.to_numpy() - units.offsets[0].as_py()].tolist()
+        result = [out[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+        for i, t in enumerate(texts):
+            if _CUT in t:
+                result[i] = self._encode([t])[0]
+        return result
+
+
+def _spaced_units(texts: list[str]) -> pa.ListArray:
+    """Units of texts whose white space counts."""
+    cut = []
+    for t in texts:
+        if _CUT in t:
+            cut.append("")
+        elif (
+            "  " in t or "\n\n" in t or " \n" in t or "\n " in t or "\t" in t or "\r" in t or "\x0b" in t or "\x0c" in t
+            or not t.isascii() and _ODD_WS.search(t) or _JOINED_STOP.search(t)
+        ):
+            cut.append(_CUT.join(_UNITS.findall(t)))
+        else:
+            cut.append(t.replace(" ", "\x01 ").replace("\n", "\x01\n").replace(",", "\x01,").replace(".", "\x01."))
+    return pc.split_pattern(pa.array(cut, pa.large_string()), _CUT)
+
+
+def _bare_units(texts: list[str]) -> pa.ListArray:
+    """Units of texts whose white space and case don't count."""
+    cut = []
+    for t in texts:
+        # the capital I with a dot becomes a letter and a mark in lower case
+        if _CUT in t:
+            t = ""
+        elif not (_JOINED_STOP_BARE.search(t) or not t.isascii() and "İ" in t):
+            t = t.replace(",", " ,").replace(".", " .")
+        cut.append(t)
+    return pc.ascii_split_whitespace(pc.ascii_lower(pa.array(cut, pa.large_string())))
 
 
 _TOKENIZERS: dict = {}
