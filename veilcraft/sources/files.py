@@ -86,9 +86,10 @@ def docx_differences(before: DataFrame, after: DataFrame, key: str = "path") ->
             rows = []
             for k, data in zip(b[key], b.content):
                 try:
-                    rows.append({key: k, **docx_snapshot(bytes(data))})
+                    rows.append({key: k, **docx_snapshot(bytes(data)), "problem": None})
                 except (zipfile.BadZipFile, ElementTree.ParseError) as e:
-                    rows.append({key: k, "problem": str(e)})
+                    nothing = {"names": [], "tracked": [], "relationships": [], "paragraphs": 0, "tables": 0, "headers": 0, "footers": 0, "sections": False}
+                    rows.append({key: k, **nothing, "problem": str(e)})
             yield pd.DataFrame(rows, columns=names)
 
     shots = [df.select(key, "content").mapInPandas(run, f"{key} string, {_SNAPSHOT}").select(key, F.struct("*").alias(n)) for df, n in ((before, "a"), (after, "b"))]
