@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WHITE_SPACE, hash_bits, settled, small_batches
@@ -129,14 +129,12 @@ def exact_duplicates(docs: DataFrame, chunk: int = CHUNK, primes: tuple[int, int
     groups = F.ceil(F.col("n") / PER_TASK).cast("int")
     deal = F.pmod(F.xxhash64("doc_id"), groups).cast("int")
     firsts = F.when(F.col("doc_id") == F.col("first_id"), F.sequence(F.lit(0), groups - 1)).otherwise(F.array(deal))
-    # a first row goes to every share of its group; only equal pairs of a chunk need to be counted
+    # a first row goes to every share of its group; a chunk's window holds the bytes of at most PER_TASK + 1 rows or so
     pieces = _chunked(texts.withColumn("share", F.explode(firsts)), chunk, "doc_id", *keys, "first_id", "share")
-    first = pieces.filter("doc_id = first_id").select(*keys, "share", "offset", F.col("bytes").alias("first_bytes"))
-    first = first.dropDuplicates([*keys, "share", "offset"])
+    beside = Window.partitionBy(*keys, "share", "offset").orderBy(F.col("doc_id") != F.col("first_id"))
     differ = (
-        pieces.filter("doc_id <> first_id")
-        .join(first, [*keys, "share", "offset"], "left")
-        .filter(~F.col("bytes").eqNullSafe(F.col("first_bytes")))
+        pieces.withColumn("first_bytes", F.first("bytes").over(beside))
+        .filter((F.col("doc_id") != F.col("first_id")) & (F.col("bytes") != F.col("first_bytes")))
         .select("doc_id", *keys)
         .distinct()
         .withColumn("other", F.lit(True))
