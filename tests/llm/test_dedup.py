@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -113,6 +114,33 @@ def test_links_lose_no_component(spark, monkeypatch, tile):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def split(prints, pairs):
+    at = {p: i for i, p in enumerate(prints)}
+    return roots(len(prints), [(at[a], at[b]) for a, b in pairs])
+
+
+def test_links_when_a_label_falls(spark):
+    # one chain a5-a7-v-a3, whose middle is a visitor of another tile
+    bits = lambda *ks: sum(1 << k for k in ks)
+    v, homes = bits(0, 16), [bits(0, 3, 16, 18), bits(1, 4, 16, 17), bits(0, 1, 16, 17)]
+    for order in permutations(homes):
+        found = list(simhash._links(np.array(order, dtype=np.uint64), [np.array([v], dtype=np.uint64)], 2))
+        assert set(split([*order, v], found)) == {0} and len(found) == 3
+    found = links(spark.createDataFrame([(p,) for p in [*homes, v]], "print bigint").coalesce(1)).collect()
+    assert set(split([*homes, v], found)) == {0}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_links_of_many_blocks_are_a_forest(seed):
+    rnd = random.Random(seed)
+    prints = rnd.sample(range(1 << 9), 110)
+    home, blocks = prints[:50], [prints[i : i + 6] for i in range(50, 110, 6)]
+    found = list(simhash._links(np.array(home, dtype=np.uint64), [np.array(b, dtype=np.uint64) for b in blocks], 1))
+    # visitors are compared with homes, not with one another
+    near = [(i, j) for i in range(110) for j in range(min(i, 50)) if (prints[i] ^ prints[j]).bit_count() <= 1]
+    assert split(prints, found) == roots(110, near) and len(found) == 110 - len(set(roots(110, near)))
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(100, 160)]
     star = [(5, i) for i in range(1000, 1200)]

@@ -93,15 +93,21 @@ def _links(home: np.ndarray, visitors: list[np.ndarray], radius: int) -> Iterato
     labels = np.arange(len(home))
     apart = lambda x: np.bitwise_count(x[:, None] ^ home[None, :])
     labels, _ = _settle(apart(home) <= radius, labels, labels)
+    for i in np.flatnonzero(labels != np.arange(len(home))):
+        yield int(home[i]), int(home[labels[i]])
     for block in visitors:
         near = apart(block) <= radius
         rows = near.any(axis=1)
         if rows.any():
-            own, labels = _settle(near[rows], np.full(int(rows.sum()), len(home)), labels)
+            # homes of one label are one column, so all of them follow when it falls
+            old, of = np.unique(labels, return_inverse=True)
+            order = np.argsort(of, kind="stable")
+            near = np.logical_or.reduceat(near[rows][:, order], np.searchsorted(of[order], np.arange(len(old))), axis=1)
+            own, new = _settle(near, np.full(int(rows.sum()), len(home)), old)
             yield from zip(block[rows].tolist(), home[own].tolist())
-    # labels only fall; a home whose label fell later is linked to the last one, and so is every earlier label
-    for i in np.flatnonzero(labels != np.arange(len(home))):
-        yield int(home[i]), int(home[labels[i]])
+            fell = new != old
+            yield from zip(home[old[fell]].tolist(), home[new[fell]].tolist())
+            labels = new[of]
 
 
 def _compare(radius: int):
