@@ -11,6 +11,7 @@ from veilcraft.operators.reinject import conflicts_and_decisions, plan_status
 from veilcraft.operators.scan import scan
 from veilcraft.operators.seals import SealError, must_open, opened, sealed
 from veilcraft.plans.policies import POLICIES, expand_groups
+from veilcraft.plans.queries import QUERIES
 
 TEXTS = [
     (1, "NIP: 856 734 62 15; KRS 0000 1234 56"),
@@ -204,6 +205,33 @@ def test_reinjection(spark):
     assert conflicts == {("b", "[KRS_1]", "missing_vault_entry"), ("c", "[PESEL_1]", "missing_vault_entry")}
 
 
+def test_fuzzy_reinjection_of_all_orders(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    pieces = [(o, n, o * 3 + n) for o in range(1, 25) for n in range(1, 8) if (o + n) % 5]
+    spark.createDataFrame(pieces, "l_orderkey bigint, l_linenumber int, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = []
+    for o, n, part in pieces:
+        tag, k, s = f"[NIP_{n}]", part % 7, f"s{n}"
+        text = f"value {tag} ends"
+        edited = {0: {}, 1: {s: "nothing left"}, 2: {s: f"{text} {tag}"}, 3: {s: text}, 4: {f"m{s}": f"Value  {tag} ends."}, 5: {f"m{s}": f"{tag} is all that was kept of it"}}
+        edited = edited.get(k, {f"m{s}": f"{text}!", f"n{s}": f"{text}?"})
+        flat = lambda x: " ".join(x.split()).lower()
+        ratios = sorted((SequenceMatcher(None, flat(text), flat(x)).ratio() for x in edited.values()), reverse=True)
+        if s in edited:
+            now = edited[s].count(tag)
+            want += [(o, s, tag, "placeholder_deleted")] if now == 0 else [(o, s, tag, "placeholder_duplicated"), (o, s, None, "placeholder_reordered")] if now == 2 else []
+            want += [(o, s, tag, "missing_vault_entry" if k == 3 else "exact_segment_match")] if now == 1 else []
+        elif not ratios:
+            want.append((o, s, None, "missing_segment"))
+        elif ratios[0] >= 0.8 and not (len(ratios) > 1 and ratios[1] >= 0.8 and ratios[0] - ratios[1] <= 0.08):
+            want.append((o, s, tag, "fuzzy_anchored_segment_match"))
+        else:
+            want += [(o, s, None, "low_confidence_match" if ratios[0] < 0.8 else "ambiguous_segment_match"), (o, s, None, "segment_split" if len(ratios) > 1 else "segment_merge")]
+    got = [tuple(r) for r in QUERIES["reinject_fuzzy"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and {o % 4 for o, *_ in got} == {0, 1, 2, 3} and len({r[3] for r in want}) == 10
+
+
 def test_seals(spark):
     rows = sealed(spark.createDataFrame([(1, None), (2, "x")], "k int, v string"), "key", ["k", "v"])
     assert must_open(rows, "key", ["k", "v"]).count() == 2

@@ -436,6 +436,26 @@ def reinject_status(spark, d):
     return plan_status(templates, *map(settled, conflicts_and_decisions(templates, edited, vault, fuzzy=False)))
 
 
+@query()
+def reinject_fuzzy(spark, d):
+    """Conflicts and decisions over all orders, with segments that come back under other ids: one like the old text, one unlike it, or two alike."""
+    pieces = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    tag, k = F.concat(F.lit("[NIP_"), F.col("l_linenumber").cast("string"), F.lit("]")), F.col("l_partkey") % 7
+    base = pieces.select(
+        F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("segment_id"), F.lit("body:p:1").alias("container_id"),
+        F.lit("one").alias("section_id"), F.lit(0).alias("page_index"), F.concat(F.lit("value "), tag, F.lit(" ends")).alias("text"), F.array(tag).alias("refs"), k.alias("k"), tag.alias("tag"),
+    )
+    new = lambda mark, text: F.struct(F.concat(F.lit(mark), "segment_id").alias("segment_id"), F.concat(*text).alias("text"))
+    texts = F.when(F.col("k") == 1, F.array(new("", [F.lit("nothing left")]))).when(F.col("k") == 2, F.array(new("", ["text", F.lit(" "), "tag"])))
+    texts = texts.when(F.col("k") == 4, F.array(new("m", [F.lit("Value  "), "tag", F.lit(" ends.")]))).when(F.col("k") == 5, F.array(new("m", ["tag", F.lit(" is all that was kept of it")])))
+    texts = texts.when(F.col("k") == 6, F.array(new("m", ["text", F.lit("!")]), new("n", ["text", F.lit("?")]))).otherwise(F.array(new("", ["text"])))
+    back = base.filter("k <> 0").withColumn("back", F.explode(texts)).select("doc_id", "back.segment_id", "back.text", "section_id", "page_index", "container_id", "k")
+    back = back.withColumn("container_id", F.when(F.col("k") > 3, F.lit("body:p:9")).otherwise(F.col("container_id")))
+    vault = base.filter("k <> 3").select("doc_id", "segment_id", F.col("tag").alias("placeholder"), F.lit(6).alias("start"), F.lit(13).alias("stop"), F.sha2("tag", 256).alias("original_value_hash"))
+    conflicts, decisions = conflicts_and_decisions(settled(base), settled(back), vault)
+    return conflicts.withColumnRenamed("reason", "outcome").unionByName(decisions.select("doc_id", "segment_id", "placeholder", F.col("decision_reason").alias("outcome")))
+
+
 @query(
     f"WITH t AS ({_NO_OVERLAP_SQL.replace('<EDIT>', _PLACEHOLDER_SQL)}) SELECT doc_id, p AS placeholder, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\[[A-Z_]+_\\d+\\]')) AS p FROM t) GROUP BY ALL"
 )
