@@ -9,7 +9,8 @@ import pytest
 from veilcraft.llm.labels import training_labels
 from veilcraft.llm.maxent_lm import CLASSES, HEAD, SHAPES, Lexicon, both, class_scores, features, language_scores, tokens, word_scores
 from veilcraft.llm.quality import Gaussian, probability, quality_scores, statistics
-from veilcraft.llm.toxicity import toxicity_scores
+from veilcraft.llm.toxicity import NAMES, nearest, toxicity_scores
+from veilcraft.llm.toxicity import features as toxic_features
 
 from .conftest import ROWS
 
@@ -85,6 +86,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(held) > 80 and sum(r.predicted == want[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def test_near_you_reads_the_whole_text():
+    near = lambda text: toxic_features(text, {"oaf": 3.0}, {})[NAMES.index("near_you")]
+    late = "tu " * 1200 + "w " * 10 + "oaf " + "w " * 10 + "oaf tu"
+    assert near(late) == 0.5 and near("oaf tu " + "w " * 10 + "oaf") == 0.5 and near("oaf") == near("tu") == 0.0
+    rnd = random.Random(3)
+    for _ in range(50):
+        at, you = sorted(rnd.sample(range(300), rnd.randrange(1, 40))), sorted(rnd.sample(range(300), rnd.randrange(1, 40)))
+        assert nearest(np.array(at), np.array(you)).tolist() == [min(abs(i - j) for j in you) for i in at]
+
+
 @pytest.mark.parametrize("scores", [toxicity_scores, quality_scores])
 @pytest.mark.parametrize("labels", [[], [(i, 1, 1) for i in range(1, 11)]])
 def test_one_class_or_none(spark, docs, empty, scores, labels):
