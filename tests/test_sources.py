@@ -9,7 +9,8 @@ from veilcraft.functions.rules import Rule
 from veilcraft.operators.fuse import fuse
 from veilcraft.operators.scan import scan
 from veilcraft.sources import catalogue
-from veilcraft.sources.files import docx_differences, docx_segments, labelled_corpus, text_segments
+from veilcraft.sources import reviews
+from veilcraft.sources.files import artifact_path, docx_differences, docx_segments, json_leaves, labelled_corpus, listed, text_segments, xml_leaves
 from veilcraft.sources.models import model_spans
 from veilcraft.streaming.redact import redact_stream, windowed_findings
 
@@ -69,6 +70,11 @@ def test_catalogue(spark, tmp_path):
     more, rule_id = catalogue.add_rule(rules, badge, new_type=True)
     assert rule_id == 42 and catalogue.load_rules(more)[0].entity_type == "BADGE"
     assert len(catalogue.load_rules(catalogue.disable_rule(more, 4))) == 41
+    with pytest.raises(ValueError):
+        catalogue.disable_rule(more, 99)
+    for bad in (r"(x", r"a(?<entity>b)+", r"x(?<lead>y)"):
+        with pytest.raises(ValueError):
+            catalogue.add_rule(more, badge._replace(pattern=bad), new_type=True)
     catalogue.export_rules(more, str(tmp_path / "rules"))
     again, n = catalogue.import_rules(rules, str(tmp_path / "rules"))
     assert n == 1 and again.count() == 42
@@ -85,6 +91,37 @@ def test_model_candidates(spark):
     spans = model_spans(docs, load, "gliner")
     assert {(r.entity_type, r.raw_text, r.confidence) for r in spans.collect()} == {("PERSON", "Zenek", 0.8), ("ORG", "ACME", 0.65)}
     assert fuse(scan(docs, {"NIP"}).unionByName(spans)).count() == 2
+    pages = model_spans(docs, lambda: lambda texts: [[("org", 14, 18, 0.1), ("org", 5, 6, 0.9)] for _ in texts], "spacy", fixed=0.75)
+    assert [(r.raw_text, r.confidence) for r in pages.collect()] == [("ACME", 0.75)]
+
+
+def test_reviews(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.yaml").write_text('prompt_id: "review"\nversion: "1"\ntemplate: |\n  {"w": {{ text_window | tojson }}, "n": {{n}}}\nother: 1\n')
+    template = reviews.prompt_templates(spark, str(tmp_path)).first()
+    assert template.prompt_id == "review"
+    row = spark.range(1).select(reviews.rendered(template.template, text_window=F.lit('a"b\n'), n=F.lit(3)).alias("p")).first()
+    assert json.loads(row.p) == {"w": 'a"b\n', "n": 3}
+    with pytest.raises(KeyError):
+        reviews.rendered("{{ other }}", text_window=F.lit(""))
+    docs = spark.createDataFrame([(1, "x" * 5000)], "doc_id int, text string")
+    spans = spark.createDataFrame([(1, "E", "ORG", "x", 0, 1, 0.5)], "doc_id int, entity_id string, entity_type string, raw_text string, start int, stop int, confidence double")
+    ask = lambda answer: lambda prompt: F.when(F.length(prompt) < 4200, F.lit(answer))
+    run = lambda answer: reviews.suggestions(docs, spans, ask(answer), "{{ text_window }}{{ entities | tojson }}", ["ORG"]).collect()
+    assert [(r.entity_id, r.action) for r in run('ok {"suggestions": [{"entity_id": "E", "action": "keep", "reason": "{}"}]} .')] == [("E", "keep")]
+    for bad in ("nothing", "{broken}", '{"suggestions": [{"entity_id": "E", "action": "burn"}]}'):
+        with pytest.raises(Exception, match="(?i)no JSON|malformed|suggestion"):
+            run(bad)
+    segments = docs.withColumn("segment_id", F.lit("s"))
+    found = reviews.verifications(segments, lambda p: F.lit('{"suspected_leaks": ["x"], "verified_segment_ids": ["s"]}'), "{{ segments | tojson }}", ["ORG"]).first()
+    assert found.suspected_leaks == ["x"] and found.verified_segment_ids == ["s"] and found.warnings is None
+
+
+def test_small_parts(spark):
+    row = spark.createDataFrame([('{"a": [1, {"b": null}], "c": "x"}', '<a k="1"> <b>x</b><c/></a>', "a,,b", "no")], "j string, x string, l string, n string")
+    got = row.select(json_leaves("j").alias("j"), xml_leaves(F.col("x")).alias("x"), listed(F.col("l")).alias("l"), json_leaves("n").alias("n")).first()
+    assert (got.j, got.x, got.l, got.n) == (3, 2, ["a", "b"], None)
+    assert artifact_path("s3://b/", "vault", "V1") == "s3://b/vaults/V1.json" and artifact_path("/r", "anonymized", "A", ".docx") == "/r/anonymized/A.docx"
 
 
 def test_stream(spark, tmp_path):
@@ -95,4 +132,4 @@ def test_stream(spark, tmp_path):
     redact_stream(stream.select("doc_id", "text"), str(tmp_path / "out"), str(tmp_path / "state"), types={"EMAIL"}).awaitTermination()
     assert {r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"mail [EMAIL_1]", "none"}
     got = windowed_findings(df, "ts", types={"EMAIL"}).first()
-    assert (got.texts, got.with_candidates) == (2, 1)
+    assert (got.texts, got.with_spans, got.spans) == (2, 1, 1)

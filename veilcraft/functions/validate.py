@@ -212,10 +212,14 @@ def address(c: Column) -> Column:
     return (street & number) | city | (postal & number)
 
 
+def _one_of(words: tuple[str, ...]) -> str:
+    return r"\A(?:" + "|".join(words) + r")\z"
+
+
 def surname_like(word: Column) -> Column:
     """A frequent surname, or one with a surname's ending; of a compound, all parts."""
     ends = "(?:" + "|".join(SUFFIXES) + r")\z"
-    one = lambda w: w.isin(*SURNAMES) | F.lower(w).rlike(ends)
+    one = lambda w: w.rlike(_one_of(SURNAMES)) | F.lower(w).rlike(ends)
     bare = F.regexp_replace(word, r"\.+\z", "")
     return one(bare) | (bare.contains("-") & F.forall(F.split(bare, "-"), one))
 
@@ -228,12 +232,12 @@ def person_full_name(c: Column, names: tuple[str, ...] | None = None) -> Column:
     words = F.filter(F.split(F.regexp_replace(candidate, "-", " "), r"(?U)\s+"), lambda w: w != "")
     initial, word = rf"\A[{UPPER}]\.\z", rf"\A[{UPPER}][{LOWER}]+\z"
     plain = F.filter(words, lambda w: ~w.rlike(initial))
-    known = F.exists(plain, lambda w: w.isin(*given) | surname_like(w))
+    known = F.exists(plain, lambda w: w.rlike(_one_of(given)) | surname_like(w))
     return (
         (candidate != "")
         & (F.length(candidate) <= 96)
         & (F.size(words) > 0)
-        & ~F.exists(words, lambda w: w.isin(*BLOCKED))
+        & ~F.exists(words, lambda w: w.rlike(_one_of(BLOCKED)))
         & F.forall(words, lambda w: w.rlike(word) | w.rlike(initial))
         & (F.size(plain) <= 4)
         & known

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import settled
+
 
 def entity_audit(spans: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """entity_type, entity_count and mean, median, least and greatest confidence, rounded to four digits."""
@@ -48,22 +50,34 @@ def _contains(text: Column, surface: Column, edge: str) -> Column:
     return (words != "") & F.regexp_like(text, pattern)
 
 
-def leaks(segments: DataFrame, surfaces: DataFrame, keys: tuple[str, ...] = ("doc_id",), segment: str = "segment_id", text: str = "text") -> DataFrame:
+def leaks(segments: DataFrame, surfaces: DataFrame, keys: tuple[str, ...] = ("doc_id",), segment: str = "segment_id", text: str = "text", order: str | None = None) -> DataFrame:
     """keys, segment, raw_text, exact, normalised: surfaces (keys, raw_text, optionally segment) that segments of their document still hold.
 
-    A surface with a segment is looked for there only. Only pairs that share their letters are tested by patterns.
+    A surface with a segment is looked for there only. With ``order``, surfaces without one are looked for in the document's segments joined by line
+    feeds as well; what only the joined text holds has a null segment. Only pairs that share their letters are tested by patterns.
     """
     known = surfaces.columns
     # the columns are renamed, so both sides may have a segment
     wanted = surfaces.select(*keys, "raw_text", (F.col(segment) if segment in known else F.lit(None)).cast("string").alias("_of")).filter("raw_text is not null").distinct()
-    rows = segments.select(*keys, F.col(segment).cast("string").alias(segment), F.coalesce(text, F.lit("")).alias("_text")).join(wanted, list(keys))
-    rows = rows.filter(F.col("_of").isNull() | (F.col("_of") == F.col(segment)))
+    each = segments.select(*keys, F.col(segment).cast("string").alias(segment), F.coalesce(text, F.lit("")).alias("_text")).join(wanted, list(keys))
+    found = _held(each.filter(F.col("_of").isNull() | (F.col("_of") == F.col(segment))), keys, segment)
+    if order is None:
+        return found
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t")))), lambda p: p["t"])
+    joined = segments.groupBy(*keys).agg(F.array_join(parts, "\n").alias("_text"), F.lit(None).cast("string").alias(segment))
+    whole = _held(joined.join(wanted.filter("_of is null"), list(keys)), keys, segment)
+    alone = found.groupBy(*keys, "raw_text").agg(F.max("exact").alias("_e"), F.max("normalised").alias("_n"))
+    new = (F.col("exact") & ~F.coalesce("_e", F.lit(False))) | (F.col("normalised") & ~F.coalesce("_n", F.lit(False)))
+    return found.unionByName(whole.join(alone, [*keys, "raw_text"], "left").filter(new).select(found.columns))
+
+
+def _held(rows: DataFrame, keys: tuple[str, ...], segment: str) -> DataFrame:
+    """Pairs of ``_text`` and raw_text of which the one holds the other."""
     letters = lambda c: F.regexp_replace(F.lower(c), r"(?U)[^\p{L}\p{N}_]", "")
     rows = rows.filter(letters(F.col("_text")).contains(letters(F.col("raw_text"))))
     exact = _contains(F.col("_text"), F.col("raw_text"), r"[\w@._-]")
     loose = _contains(normalized(F.col("_text")), normalized(F.col("raw_text")), r"\w")
-    rows = rows.select(*keys, segment, "raw_text", exact.alias("exact"), loose.alias("normalised"))
-    return rows.filter("exact or normalised").distinct()
+    return rows.select(*keys, segment, "raw_text", exact.alias("exact"), loose.alias("normalised")).filter("exact or normalised").distinct()
 
 
 def leak_summary(found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -135,6 +149,12 @@ def overlapping_pairs(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",)) ->
     return a.join(b, list(keys)).filter("left_id < right_id and _a < _d and _c < _b").select(*keys, "left_id", "right_id")
 
 
+def placeholder_segments(segments: DataFrame, key: str = "doc_id", segment: str = "segment_id", text: str = "text") -> DataFrame:
+    """key, placeholder and segments: which segments of a document hold each placeholder, in order."""
+    rows = segments.select(key, segment, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0)))).alias("placeholder"))
+    return rows.groupBy(key, "placeholder").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
+
+
 def placeholder_index(texts: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys, placeholder and n: placeholders in texts and how often they stand there."""
     rows = texts.select(*keys, F.explode(F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))).alias("placeholder"))
@@ -148,9 +168,48 @@ PLACEHOLDER = r"\[[A-Z_]+_\d+\]"
 def verified_chain(records: DataFrame) -> DataFrame:
     """audit_id, self_ok and linked: whether a record's chain hash is that of its content, and whether it names the hash of the record before.
 
-    Content is audit_id, operation, mode, input_hash, output_hash, created_at and previous_audit_hash, joined by line feeds.
+    Content is audit_id, operation, mode, input_hash, output_hash, created_at and previous_audit_hash, joined by line feeds. Records are
+    dealt out by ranges of time; each range's first record follows the last one of the range before, and only those meet in one task.
     """
     fields = ("audit_id", "operation", "mode", "input_hash", "output_hash", "created_at", "previous_audit_hash")
     own = F.sha2(F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in fields]), 256)
-    before = F.lag("audit_chain_hash").over(Window.orderBy("created_at", "audit_id"))
-    return records.select("audit_id", (own == F.col("audit_chain_hash")).alias("self_ok"), F.col("previous_audit_hash").eqNullSafe(before).alias("linked"))
+    rows = records.select("audit_id", "created_at", "previous_audit_hash", "audit_chain_hash", (own == F.col("audit_chain_hash")).alias("self_ok"))
+    ranges = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = settled(rows.repartitionByRange(ranges, "created_at", "audit_id").withColumn("_range", F.spark_partition_id()))
+    order = F.struct("created_at", "audit_id")
+    ends = rows.groupBy("_range").agg(F.max_by("audit_chain_hash", order).alias("_last"))
+    # one row for each range
+    ends = ends.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_earlier"))
+    inside = Window.partitionBy("_range").orderBy("created_at", "audit_id")
+    rows = rows.withColumns({"_before": F.lag("audit_chain_hash").over(inside), "_n": F.row_number().over(inside)}).join(F.broadcast(ends), "_range")
+    before = F.when(F.col("_n") == 1, F.col("_earlier")).otherwise(F.col("_before"))
+    return rows.select("audit_id", "self_ok", F.col("previous_audit_hash").eqNullSafe(before).alias("linked"))
+
+
+def round_trips(reports: DataFrame, text: str = "report", schema: str | None = None) -> DataFrame:
+    """``reports`` with ``valid``: whether a report's JSON text can be read by ``schema`` and written again without loss."""
+    read = F.from_json(F.col(text), schema, {"mode": "PERMISSIVE"})
+    again = F.from_json(F.to_json(read), schema)
+    whole = F.forall(F.map_keys(F.from_json(F.col(text), "map<string,string>")), lambda k: F.array_contains(F.map_keys(F.from_json(F.to_json(read, {"ignoreNullFields": "false"}), "map<string,string>")), k))
+    return reports.withColumn("valid", F.coalesce(read.isNotNull() & (read == again) & whole, F.lit(False)))
+
+
+def corpus_benchmark(samples: DataFrame, expected: DataFrame, target: float = 0.99, **options) -> tuple[DataFrame, DataFrame]:
+    """(metrics, leaks) of the rules over labelled samples (id, text) with ``expected`` entities (id, seq, entity_type, text).
+
+    Metrics are those of ``corpus_metrics`` with ``passed`` in the row of all types: recall of ``target`` or more, and no leak. Leaks (id, entity_type,
+    raw_text) are expected surfaces that the rewritten sample still holds.
+    """
+    from .anonymize import anonymize, detect
+
+    spans = settled(detect(samples, keys=("id",), **options))
+    hidden = anonymize(samples, keys=("id",), **options).select("id", "text", F.lit("whole").alias("segment_id"))
+    wanted = expected.select("id", "entity_type", F.col("text").alias("raw_text"))
+    found = settled(leaks(hidden, wanted, ("id",)).select("id", "raw_text").join(wanted.distinct(), ["id", "raw_text"]).select("id", "entity_type", "raw_text"))
+    count = lambda df: df.groupBy("entity_type").agg(F.count("*").alias("n"))
+    matched = corpus_matches(expected, spans).groupBy("entity_type").agg(F.sum("matched").alias("n"))
+    metrics = corpus_metrics(count(expected), count(spans), matched)
+    clean = found.agg((F.count("*") == 0).alias("_clean"))
+    # one row
+    metrics = metrics.join(F.broadcast(clean), F.lit(True)).withColumn("passed", F.when(F.col("entity_type").isNull(), F.col("_clean") & (F.col("recall") >= target)))
+    return metrics.drop("_clean"), found

@@ -1,18 +1,20 @@
-"""Replacement plans and rewritten texts."""
+"""Replacement plans and rewritten texts: from scan to splice a row stays where it is, with its spans beside its text."""
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import Rule
-from ..plans.lineage import settled
+from ..functions.rules import Rule, ordered
 from ..plans.policies import POLICIES, Policy
-from .fuse import accepted, fuse, resolve_overlaps, reviewable
-from .mentions import expand_mentions, with_provenance
-from .scan import scan
+from .fuse import accepted, fused, resolved, reviewable
+from .mentions import mentions
+from .scan import dealt, with_spans
+from .spans import SPAN, beside, by, in_rows, let, none
 
 #: Types that share a label in placeholders.
 ADDRESS_LIKE = ("ADDRESS", "CITY", "STREET", "POSTAL_CODE", "HOUSE_NUMBER", "APARTMENT_NUMBER", "COUNTRY", "PLACE_OF_BIRTH")
@@ -32,9 +34,9 @@ def strategy(mode: str = "irreversible", style: str | None = None, policy: Polic
     return policy.style if policy.style in ("mask", "format_preserving") else "category_placeholder"
 
 
-def rendered(style: str) -> Column:
-    """What replaces a span, from its entity_type, raw_text and ordinal."""
-    kind, raw = F.col("entity_type"), F.col("raw_text")
+def rendered(style: str, s: Column, ordinal: Column) -> Column:
+    """What replaces the span ``s``."""
+    kind, raw = s["entity_type"], s["raw_text"]
     stars = F.repeat(F.lit("*"), F.length(raw))
     if style == "mask":
         return F.when(kind.isin("EMAIL", "PHONE"), stars).otherwise(F.regexp_replace(raw, "[A-Za-z0-9]", "*"))
@@ -42,44 +44,56 @@ def rendered(style: str) -> Column:
         return F.lit("****")
     if style == "format_preserving":
         return F.when(kind.isin("EMAIL", "PHONE"), stars).otherwise(F.regexp_replace(raw, r"[\p{L}\p{N}]", "*"))
-    return F.concat(F.lit("["), label(kind), F.lit("_"), F.col("ordinal").cast("string"), F.lit("]"))
+    return F.concat(F.lit("["), label(kind), F.lit("_"), ordinal.cast("string"), F.lit("]"))
 
 
-def numbered(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",), review: float = 0.6, by_label: bool = False) -> DataFrame:
-    """Resolved spans that are to be replaced, with ``ordinal``.
+def numbered(spans: Column, review: float = 0.6, by_label: bool = False) -> Column:
+    """The spans that are to be replaced, in order of place, each with its ordinal: an array of structs (span, ordinal).
 
     Persons are numbered in order of their places, mentions as the person that they name; one whose person is gone shares the next
     number. Other types count the spans of the type that pass review (with ``by_label``, those of the placeholder's label).
     """
-    spans = with_provenance(spans)
-    place = [F.col("start"), F.col("stop"), F.col("rule_seq"), F.col("entity_id"), F.desc("confidence")]
-    seed = (F.col("entity_type") == "PERSON") & F.col("canonical_entity_id").isNull()
-    of_seeds = Window.partitionBy(*keys, seed).orderBy(*place)
-    rows = spans.withColumn("_seed_no", F.when(seed, F.row_number().over(of_seeds)))
-    whole = Window.partitionBy(*keys)
-    rows = rows.withColumn("_seeds", F.max("_seed_no").over(whole))
-    numbers = F.map_from_entries(F.collect_list(F.when(seed, F.struct("entity_id", "_seed_no"))).over(whole))
-    rows = rows.withColumn("_of", F.when(F.col("canonical_entity_id").isNotNull(), F.coalesce(F.try_element_at(numbers, F.col("canonical_entity_id")), F.coalesce("_seeds", F.lit(0)) + 1)))
-    kept = rows.filter(reviewable(review))
-    group = label(F.col("entity_type")) if by_label else F.col("entity_type")
-    running = F.row_number().over(Window.partitionBy(*keys, group, F.col("entity_type") == "PERSON").orderBy(*place))
-    return kept.withColumn("ordinal", F.coalesce("_of", "_seed_no", running).cast("long")).drop("_seed_no", "_seeds", "_of")
-
-
-def plan_replacements(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",), mode: str = "irreversible", style: str | None = None, policy: Policy = POLICIES["external_irreversible"]) -> DataFrame:
-    """Replacements of fused spans: overlaps resolved, weak spans left out, the rest rendered.
-
-    ``warning`` tells of spans below the accept threshold, which are replaced nevertheless; ``source_text`` is kept in reversible mode.
+    person = lambda s: s["entity_type"] == "PERSON"
+    seed = lambda s: person(s) & s["canonical_entity_id"].isNull()
+    group = lambda s: label(s["entity_type"]) if by_label else s["entity_type"]
+    order = by(spans, lambda s: s["start"], lambda s: s["stop"], lambda s: s["rule_seq"], lambda s: s["entity_id"], lambda s: -s["confidence"])
+
+    def with_numbers(x: Column) -> Column:
+        own, seeds = x["own"], x["seeds"]
+        kept = F.filter(own, lambda s: reviewable(review, s) & ~person(s))
+        groups = F.array_distinct(F.transform(kept, group))
+        numbered_ = lambda s, n: F.struct(s.alias("span"), n.cast("bigint").alias("ordinal"))
+        others = F.flatten(F.transform(groups, lambda g: F.transform(F.filter(kept, lambda s: group(s) == g), lambda s, i: numbered_(s, i + 1))))
+        at = lambda s: F.coalesce(F.array_position(seeds, F.coalesce(s["canonical_entity_id"], s["entity_id"])), F.lit(0))
+        people = F.transform(F.filter(own, lambda s: reviewable(review, s) & person(s)), lambda s: numbered_(s, let(at(s), lambda n: F.when(n == 0, F.size(seeds) + 1).otherwise(n))))
+        # mentions of other types than PERSON count with the person that they name
+        follows = F.transform(others, lambda o: let(at(o["span"]), lambda n: F.when(o["span"]["canonical_entity_id"].isNull(), o).otherwise(numbered_(o["span"], F.when(n == 0, F.size(seeds) + 1).otherwise(n)))))
+        return F.concat(people, follows)
+
+    return let(let(order, lambda o: F.struct(o.alias("own"), F.transform(F.filter(o, seed), lambda s: s["entity_id"]).alias("seeds"))), with_numbers)
+
+
+#: A replacement: where it goes, what stands there then, and the span that it hides.
+EDIT = f"struct<start:bigint,stop:bigint,replacement_text:string,entity_type:string,ordinal:bigint,warning:string,span:{SPAN}>"
+
+
+def planned(spans: Column, mode: str = "irreversible", style: str | None = None, policy: Policy = POLICIES["external_irreversible"]) -> Column:
+    """Replacements for fused spans as an array of EDIT in order of place: overlaps resolved, weak spans left out, the rest rendered.
+
+    ``warning`` tells of spans below the accept threshold, which are replaced nevertheless.
     """
-    resolved = resolve_overlaps(spans, keys).filter("beaten_by is null").drop("beaten_by")
-    rows = numbered(settled(resolved), keys, policy.review)
-    unsure = F.concat(F.lit("Entity "), F.col("entity_id"), F.lit(" below accept threshold included conservatively."))
-    return (
-        rows.withColumn("replacement_text", rendered(strategy(mode, style, policy)))
-        .withColumn("replacement_kind", F.lit(strategy(mode, style, policy)))
-        .withColumn("source_text", F.col("raw_text") if mode == "reversible" else F.lit(None).cast("string"))
-        .withColumn("warning", F.when(~accepted(policy.accept), unsure))
-    )
+    how = strategy(mode, style, policy)
+    stay = F.transform(F.filter(resolved(spans), lambda r: r["beaten_by"].isNull()), lambda r: r["span"])
+
+    def edit(x: Column) -> Column:
+        s = x["span"]
+        unsure = F.concat(F.lit("Entity "), s["entity_id"], F.lit(" below accept threshold included conservatively."))
+        return F.struct(
+            s["start"].alias("start"), s["stop"].alias("stop"), rendered(how, s, x["ordinal"]).alias("replacement_text"), s["entity_type"].alias("entity_type"), x["ordinal"].alias("ordinal"),
+            F.when(~accepted(policy.accept, s), unsure).alias("warning"), s.alias("span"),
+        ).cast(EDIT)
+
+    return F.array_sort(F.transform(numbered(stay, policy.review), edit))
 
 
 def spliced(text: Column, edits: Column) -> Column:
@@ -94,32 +108,61 @@ def spliced(text: Column, edits: Column) -> Column:
     return F.when(F.size(edits) > 0, F.aggregate(edits, begun, put, done)).otherwise(text)
 
 
-def rewrite(docs: DataFrame, replacements: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """keys, text with all replacements put in, and findings: how many spans of each type were replaced (in order of type)."""
-    edit = F.struct("start", "stop", "replacement_text", "entity_type")
-    edits = replacements.groupBy(*keys).agg(F.sort_array(F.collect_list(edit)).alias("_edits"))
-    rows = docs.select(*keys, text).join(edits, list(keys), "left").withColumn("_edits", F.coalesce("_edits", F.array().cast("array<struct<start:bigint,stop:bigint,replacement_text:string,entity_type:string>>")))
-    kinds = F.array_sort(F.array_distinct(F.transform("_edits", lambda e: e["entity_type"])))
-    count = lambda t: F.size(F.filter("_edits", lambda e: e["entity_type"] == t)).cast("long")
-    return rows.select(*keys, spliced(F.col(text), F.col("_edits")).alias(text), F.map_from_arrays(kinds, F.transform(kinds, count)).alias("findings"))
+def findings(edits: Column) -> Column:
+    """How many spans of each type are replaced, in order of type."""
+    kinds = F.array_sort(F.array_distinct(F.transform(edits, lambda e: e["entity_type"])))
+    count = lambda t: F.size(F.filter(edits, lambda e: e["entity_type"] == t)).cast("long")
+    return F.map_from_arrays(kinds, F.transform(kinds, count))
+
+
+def with_detections(
+    docs: DataFrame, types: Iterable[str] | None = None, rules: list[Rule] | None = None, others: Iterable[DataFrame] = (), keys: tuple[str, ...] = ("doc_id",), text: str = "text"
+) -> DataFrame:
+    """``docs`` with ``_spans``: fused spans of rules and ``others`` (candidates of further detectors), and mentions of the persons found."""
+    rows = with_spans(docs, rules if rules is not None else ordered(types), text)
+    for i, spans in enumerate(others):
+        more = beside(spans, keys).select(*[F.col(k).alias(f"_of{k}") for k in keys], F.col("_spans").alias(f"_more{i}"))
+        same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys])
+        rows = rows.join(more, same, "left").drop(*[f"_of{k}" for k in keys])
+        rows = rows.withColumn("_spans", F.concat("_spans", F.coalesce(f"_more{i}", none()))).drop(f"_more{i}")
+    rows = rows.withColumn("_spans", fused(F.col("_spans")))
+    return rows.withColumn("_mentions", mentions(F.col(text), F.col("_spans"))).withColumn("_spans", F.concat("_spans", "_mentions")).drop("_mentions")
 
 
 def detect(docs: DataFrame, types: Iterable[str] | None = None, rules: list[Rule] | None = None, others: Iterable[DataFrame] = (), keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Fused spans of rules and ``others`` (candidates of further detectors), with mentions of the persons found."""
-    candidates = scan(docs, types, rules, text, keys)
-    for spans in others:
-        candidates = candidates.unionByName(spans, allowMissingColumns=True)
-    # several branches read each of these, and spans are few next to texts
-    return settled(expand_mentions(docs, settled(fuse(settled(candidates), keys)), keys, text))
+    """A row for each span of ``with_detections``: keys and all columns of a span."""
+    rows = _keyed(docs, keys, text)
+    return in_rows(with_detections(rows, types, rules, others, keys, "_text"), keys, F.col("_spans"))
+
+
+def _keyed(docs: DataFrame, keys: tuple[str, ...], text: str) -> DataFrame:
+    return dealt(docs.select(*keys, F.col(text).alias("_text")))
+
+
+def replacements(docs: DataFrame, mode: str = "irreversible", style: str | None = None, policy: Policy = POLICIES["external_irreversible"], keys: tuple[str, ...] = ("doc_id",), text: str = "text", **found) -> DataFrame:
+    """A row for each replacement: keys, start, stop, entity_type, entity_id, replacement_text, replacement_kind, ordinal, warning, and in
+    reversible mode source_text (else null)."""
+    rows = with_detections(_keyed(docs, keys, text), keys=keys, text="_text", **found)
+    rows = rows.select(*keys, F.explode_outer(planned(F.col("_spans"), mode, style, policy)).alias("_e")).filter("_e is not null")
+    source = F.col("_e.span.raw_text") if mode == "reversible" else F.lit(None).cast("string")
+    return rows.select(
+        *keys, "_e.start", "_e.stop", "_e.entity_type", "_e.span.entity_id", "_e.replacement_text", F.lit(strategy(mode, style, policy)).alias("replacement_kind"), "_e.ordinal",
+        "_e.warning", source.alias("source_text"),
+    )
 
 
 def anonymize(
     docs: DataFrame, mode: str = "irreversible", style: str | None = None, types: Iterable[str] | None = None, rules: list[Rule] | None = None,
     others: Iterable[DataFrame] = (), policy: Policy = POLICIES["external_irreversible"], keys: tuple[str, ...] = ("doc_id",), text: str = "text",
 ) -> DataFrame:
-    """``docs`` (keys unique, text) with their texts rewritten, and findings. Null texts stay null."""
-    spans = detect(docs, types, rules, others, keys, text)
-    return rewrite(docs, plan_replacements(spans, keys, mode, style, policy), keys, text)
+    """keys, text with all replacements put in, and findings (a map of counts by type) for every row of ``docs``.
+
+    A row is rewritten by itself: keys may be null, repeat, or be named like columns of spans (``others`` are looked up by keys, null ones
+    too, and a key that repeats has them in each of its rows). Null texts stay null, with no findings. An empty table gives no rows.
+    """
+    rows = with_detections(_keyed(docs, keys, text), types, rules, others, keys, "_text")
+    rows = rows.withColumn("_edits", planned(F.col("_spans"), mode, style, policy))
+    return rows.select(*keys, spliced(F.col("_text"), F.col("_edits")).alias(text), findings(F.col("_edits")).alias("findings"))
 
 
 def anonymize_segments(segments: DataFrame, key: str, order: str, text: str = "text", **options) -> DataFrame:

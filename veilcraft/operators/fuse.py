@@ -1,18 +1,17 @@
-"""Fusion of candidate spans and resolution of overlaps.
+"""Fusion of candidate spans and resolution of overlaps, as folds over a document's array of spans.
 
-Both work on islands: runs of spans of a document that overlap one another, directly or through others. Islands are found
-by a running maximum of span ends. Islands of one span stay in the plan as they are; only larger ones, whose outcome
-depends on the order of their spans, go through a small grouped function.
+Both work on islands: runs of spans that overlap one another, directly or through others. Islands of one span stay as they are; in larger ones
+spans meet in a fixed order, as the outcome depends on it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from .spans import FIELDS, SPANS, beside, by, changed, in_rows, let
 
 # Types whose spans compete across types, names of types that mean another, and detectors from the most trusted on.
 SEMANTIC = ("PERSON", "ORG", "ADDRESS")
@@ -42,144 +41,215 @@ def type_rank(c: Column) -> Column:
     return _lookup(c, TYPE_RANK, F.lit(0))
 
 
-def canonical(spans: DataFrame) -> DataFrame:
-    """Spans with canonical types and what fusion keeps about its sources; columns that are there already stay."""
-    given = set(spans.columns)
-    default = {
-        "support_count": F.lit(1), "supporting_detectors": F.array("source_detector"), "original_entity_type": F.col("entity_type"),
-        "semantic_conflict": F.lit(False), "conflicting_entity_types": F.array().cast("array<string>"),
-    }
-    spans = spans.withColumns({k: v for k, v in default.items() if k not in given})
-    return spans.withColumn("entity_type", _lookup(F.col("entity_type"), CANONICAL, F.col("entity_type")))
+def begin(s: Column) -> Column:
+    return F.coalesce(s["start"], F.lit(0).cast("bigint"))
+
+
+def end(s: Column) -> Column:
+    return F.coalesce(s["stop"], F.lit(0).cast("bigint"))
+
+
+def length(s: Column) -> Column:
+    return end(s) - begin(s)
+
+
+def meet(a: Column, b: Column) -> Column:
+    """Whether two spans overlap; one without a place meets nothing."""
+    return F.coalesce((a["start"] < b["stop"]) & (b["start"] < a["stop"]), F.lit(False))
+
+
+def in_order(spans: Column) -> Column:
+    return by(spans, begin, lambda s: -end(s), lambda s: -s["confidence"], lambda s: detector_priority(s["source_detector"]), lambda s: s["rule_seq"])
+
+
+def canonical(spans: Column) -> Column:
+    """Spans with canonical types and what fusion keeps about its sources; what is known already stays."""
+    return F.transform(
+        spans,
+        lambda s: changed(
+            s, entity_type=_lookup(s["entity_type"], CANONICAL, s["entity_type"]), original_entity_type=F.coalesce(s["original_entity_type"], s["entity_type"]),
+            support_count=F.coalesce(s["support_count"], F.lit(1)), supporting_detectors=F.coalesce(s["supporting_detectors"], F.array(s["source_detector"])),
+            semantic_conflict=F.coalesce(s["semantic_conflict"], F.lit(False)),
+            conflicting_entity_types=F.coalesce(s["conflicting_entity_types"], F.array().cast("array<string>")),
+        ),
+    )
+
+
+def islands(spans: Column) -> Column:
+    """``spans``, which are in order, as an array of islands."""
+    nothing = F.struct(F.array().cast(f"array<{SPANS}>").alias("done"), F.array().cast(SPANS).alias("open"), F.lit(-1).cast("bigint").alias("reach"))
+    closed = lambda acc: F.when(F.size(acc["open"]) == 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
+
+    def step(acc: Column, s: Column) -> Column:
+        inside = (F.size(acc["open"]) > 0) & F.coalesce(s["start"] < acc["reach"], F.lit(False))
+        on = F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.array(s)).alias("open"), F.greatest(acc["reach"], end(s)).alias("reach"))
+        new = F.struct(closed(acc).alias("done"), F.array(s).alias("open"), end(s).alias("reach"))
+        return F.when(inside, on).otherwise(new)
 
+    return F.aggregate(spans, nothing, step, closed)
 
-def islands(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """``spans`` with ``island``: the number of the run of overlapping spans within the keys."""
-    order = [F.coalesce("start", F.lit(0)), F.desc(F.coalesce("stop", F.lit(0))), F.desc("confidence"), detector_priority(F.col("source_detector")), "rule_seq"]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(F.col("start") < reach, 0).otherwise(1)
-    return spans.withColumn("_opens", opens).withColumn("island", F.sum("_opens").over(w)).drop("_opens")
 
+def _each_island(spans: Column, fold: Callable[[Column], Column]) -> Column:
+    return F.flatten(F.transform(islands(spans), lambda i: F.when(F.size(i) > 1, fold(i)).otherwise(i)))
 
-def semantic_winners(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """One span of each island of semantic candidates: the best of the best type, with its support and what it beat.
+
+def _best_of(island: Column) -> Column:
+    """One span of an island of semantic candidates: the best of the best type, with its support and what it beat.
 
     Types compare by whether a rule found them, candidates, confidence, detector and length; spans of the type by the same but number.
     """
-    rows = islands(spans.filter(F.col("entity_type").isin(*SEMANTIC)), keys)
-    group = [*keys, "island"]
-    regex, rank, length = F.col("source_detector") == "regex", detector_priority(F.col("source_detector")), F.coalesce("stop", F.lit(0)) - F.coalesce("start", F.lit(0))
-    order = [F.coalesce("start", F.lit(0)), F.desc(F.coalesce("stop", F.lit(0))), F.desc("confidence"), rank, "rule_seq"]
-    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    of_type = Window.partitionBy(*group, "entity_type")
-    rows = rows.withColumn(
-        "_type", F.struct(F.max(regex).over(of_type), F.count("*").over(of_type), F.max("confidence").over(of_type), -F.min(rank).over(of_type), F.max(length).over(of_type), -F.min("_place").over(of_type))
-    ).withColumn("_span", F.struct(regex, F.col("confidence"), -rank, length, -F.col("_place")))
-    whole = Window.partitionBy(*group)
-    rows = (
-        rows.withColumn("_types", F.collect_set("entity_type").over(whole))
-        .withColumn("_supporting", F.sort_array(F.collect_set("source_detector").over(of_type)))
-        .withColumn("_support", F.count("*").over(of_type).cast("int"))
-        .withColumn("_best", F.row_number().over(whole.orderBy(F.desc("_type"), F.desc("_span"))))
-        .filter("_best = 1")
-    )
-    beaten = F.sort_array(F.array_except("_types", F.array("entity_type")))
-    return rows.withColumns(
-        {"support_count": F.col("_support"), "supporting_detectors": F.col("_supporting"), "conflicting_entity_types": beaten, "semantic_conflict": F.size(beaten) > 0}
-    ).select(*spans.columns)
-
-
-def better(current: pd.Series, challenger: pd.Series) -> bool:
+    rule = lambda s: s["source_detector"] == "regex"
+    rank = lambda s: detector_priority(s["source_detector"])
+    numbered = F.transform(island, lambda s, i: F.struct(rule(s).alias("rule"), s["confidence"].alias("c"), (-rank(s)).alias("d"), length(s).alias("n"), (-i).alias("i"), s.alias("s")))
+
+    def winner(rows: Column) -> Column:
+        types = F.array_distinct(F.transform(rows, lambda r: r["s"]["entity_type"]))
+
+        def of_type(kind: Column) -> Column:
+            return let(
+                F.filter(rows, lambda r: r["s"]["entity_type"] == kind),
+                lambda own: F.struct(
+                    F.exists(own, lambda r: r["rule"]).alias("rule"), F.size(own).alias("size"), F.array_max(F.transform(own, lambda r: r["c"])).alias("c"),
+                    F.array_max(F.transform(own, lambda r: r["d"])).alias("d"), F.array_max(F.transform(own, lambda r: r["n"])).alias("n"),
+                    F.array_max(F.transform(own, lambda r: r["i"])).alias("i"), own.alias("own"),
+                ),
+            )
+
+        def best(kind: Column) -> Column:
+            one = F.array_max(kind["own"])["s"]
+            beaten = F.array_sort(F.array_except(types, F.array(one["entity_type"])))
+            detectors = F.array_sort(F.array_distinct(F.transform(kind["own"], lambda r: r["s"]["source_detector"])))
+            return changed(one, support_count=kind["size"], supporting_detectors=detectors, conflicting_entity_types=beaten, semantic_conflict=F.size(beaten) > 0)
+
+        return let(F.array_max(F.transform(types, of_type)), best)
+
+    return F.array(let(numbered, winner))
+
+
+def better(current: Column, challenger: Column) -> Column:
     """Whether the challenger replaces the current span of its type."""
-    rank = lambda s: DETECTORS.index(s.source_detector) if s.source_detector in DETECTORS else len(DETECTORS)
-    length = lambda s: (s.stop or 0) - (s.start or 0)
-    by_rule = [s.source_detector == "regex" for s in (current, challenger)]
-    if by_rule[0] != by_rule[1]:
-        return by_rule[1]
-    if challenger.confidence > current.confidence + 0.05 or challenger.confidence == current.confidence and length(challenger) > length(current):
-        return True
-    return abs(challenger.confidence - current.confidence) < 0.01 and rank(challenger) < rank(current)
-
-
-def _apart(a, b) -> bool:
-    return a.stop <= b.start or b.stop <= a.start
-
-
-def _fold_type(rows: pd.DataFrame) -> pd.DataFrame:
-    """Spans of one type in one island, in order: each meets the first chosen span that it overlaps."""
-    rank = {d: i for i, d in enumerate(DETECTORS)}
-    rows = rows.assign(_d=rows.source_detector.map(rank).fillna(len(DETECTORS))).sort_values(["start", "stop", "confidence", "_d", "rule_seq"], ascending=[True, False, False, True, True]).drop(columns="_d")
-    chosen: list = []
-    for span in rows.itertuples(index=False):
-        rival = next((i for i, s in enumerate(chosen) if not _apart(s, span)), None)
-        if rival is None:
-            chosen.append(span)
-            continue
-        detectors = sorted({*chosen[rival].supporting_detectors, *span.supporting_detectors, chosen[rival].source_detector, span.source_detector})
-        if better(chosen[rival], span):
-            chosen.pop(rival)
-            chosen.append(span._replace(supporting_detectors=detectors, support_count=len(detectors)))
-        else:
-            chosen[rival] = chosen[rival]._replace(supporting_detectors=detectors, support_count=len(detectors))
-    return pd.DataFrame(chosen, columns=rows.columns)
-
-
-def _islands_apart(spans: DataFrame, keys: list[str], fold: Callable, schema: StructType, single: dict[str, Column] | None = None) -> DataFrame:
-    """Single-span islands as they are, and the others through ``fold``."""
-    rows = islands(spans, keys)
-    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "island")))
-    alone = rows.filter("_n = 1").withColumns(single or {}).select(*schema.names)
-    several = rows.filter("_n > 1").groupBy(*keys, "island").applyInPandas(lambda pdf: fold(pdf.drop(columns=["island", "_n"]))[schema.names], schema)
-    return alone.unionByName(several)
-
-
-def fuse(candidates: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    by_rule = lambda s: s["source_detector"] == "regex"
+    a, b = current["confidence"], challenger["confidence"]
+    surer = (b > a + 0.05) | ((a == b) & (length(challenger) > length(current)))
+    trusted = (F.abs(b - a) < 0.01) & (detector_priority(challenger["source_detector"]) < detector_priority(current["source_detector"]))
+    return F.when(by_rule(current) != by_rule(challenger), by_rule(challenger)).otherwise(surer | trusted)
+
+
+def _fold(island: Column, rivals: Callable[[Column, Column], Column], settle: Callable[[Column, Column, Column], Column], nothing: Column, chosen: Callable[[Column], Column], more: Callable[[Column, Column], Column]) -> Column:
+    """Spans of an island in order: each meets the first chosen span that rivals it, and joins the chosen where there is none."""
+
+    def step(acc: Column, s: Column) -> Column:
+        at = F.coalesce(F.array_position(F.transform(chosen(acc), lambda c: rivals(c, s)), F.lit(True)), F.lit(0))
+        return let(at, lambda k: F.when(k == 0, more(acc, s)).otherwise(settle(acc, k, s)))
+
+    return F.aggregate(island, nothing, step)
+
+
+def _fold_type(island: Column) -> Column:
+    """What is left of overlapping spans of one type; a winner knows the detectors of what it met."""
+
+    def settle(chosen: Column, k: Column, s: Column) -> Column:
+        old = F.get(chosen, (k - 1).cast("int"))
+        names = F.array_sort(F.array_distinct(F.concat(old["supporting_detectors"], s["supporting_detectors"], F.array(old["source_detector"], s["source_detector"]))))
+        known = lambda x, n: changed(x, supporting_detectors=n, support_count=F.size(n))
+        others = F.filter(chosen, lambda c, i: i != k - 1)
+        return let(
+            names,
+            lambda n: F.when(better(old, s), F.concat(others, F.array(known(s, n)))).otherwise(F.transform(chosen, lambda c, i: F.when(i == k - 1, known(c, n)).otherwise(c))),
+        )
+
+    return _fold(island, meet, settle, F.array().cast(SPANS), lambda acc: acc, lambda acc, s: F.concat(acc, F.array(s)))
+
+
+def fused(candidates: Column) -> Column:
     """Candidates of all detectors merged: one span of each island of semantic ones, and of others the better of overlapping equals."""
-    spans = canonical(candidates)
-    plain = spans.filter(~F.col("entity_type").isin(*SEMANTIC))
-    kept = _islands_apart(plain, [*keys, "entity_type"], _fold_type, spans.schema)
-    return semantic_winners(spans, list(keys)).unionByName(kept)
-
-
-def _fold_overlaps(rows: pd.DataFrame) -> pd.DataFrame:
-    """Spans of one island in order: each meets the first chosen span that it overlaps, and the one of more weight stays."""
-    rows = rows.sort_values(["start", "stop", "confidence", "_place"], ascending=[True, False, False, True])
-    chosen: list = []
-    lost: list = []
-    weight = lambda s: (bool(s.context_required), TYPE_RANK.get(s.entity_type, 0), s.confidence, len(s.raw_text))
-    for span in rows.itertuples(index=False):
-        rival = next((s for s in chosen if not _apart(s, span)), None)
-        if rival is None:
-            chosen.append(span)
-            continue
-        winner, loser = (span, rival) if weight(span) > weight(rival) else (rival, span)
-        if winner is span:
-            chosen.remove(rival)
-            chosen.append(span)
-        lost.append(loser._replace(beaten_by=winner.entity_id))
-    return pd.DataFrame([*chosen, *lost], columns=rows.columns)
-
-
-def resolve_overlaps(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``spans`` with ``beaten_by``: null for spans that stay, else the entity_id of the span that took the place.
+
+    def merged(spans: Column) -> Column:
+        semantic = F.filter(spans, lambda s: s["entity_type"].isin(*SEMANTIC))
+        plain = F.filter(spans, lambda s: ~s["entity_type"].isin(*SEMANTIC))
+        kinds = F.array_distinct(F.transform(plain, lambda s: s["entity_type"]))
+        of = lambda kind: _each_island(F.filter(plain, lambda s: s["entity_type"] == kind), _fold_type)
+        return F.concat(_each_island(semantic, _best_of), F.flatten(F.transform(kinds, of)))
+
+    return F.when(F.size(candidates) > 1, let(in_order(canonical(candidates)), merged)).otherwise(canonical(candidates))
+
+
+#: A resolved span: the span, and the entity_id of the span that took its place.
+RESOLVED = f"array<struct<span:{SPANS[6:-1]},beaten_by:string>>"
+
+
+def _weight(s: Column) -> Column:
+    return F.struct(F.coalesce(s["context_required"], F.lit(False)), type_rank(s["entity_type"]), s["confidence"], F.length(s["raw_text"]))
+
+
+def _fold_overlaps(island: Column) -> Column:
+    """All spans of an island: of two that overlap in one section and page the one of more weight stays, and ties go to the earlier one."""
+    nothing = F.struct(F.array().cast(SPANS).alias("chosen"), F.array().cast(RESOLVED).alias("lost"))
+    here = lambda a, b: meet(a, b) & a["section_id"].eqNullSafe(b["section_id"]) & a["page_index"].eqNullSafe(b["page_index"])
+    loses = lambda x, to: F.array(F.struct(x.alias("span"), to["entity_id"].alias("beaten_by"))).cast(RESOLVED)
+
+    def settle(acc: Column, k: Column, s: Column) -> Column:
+        old = F.get(acc["chosen"], (k - 1).cast("int"))
+        others = F.filter(acc["chosen"], lambda c, i: i != k - 1)
+        swapped = F.struct(F.concat(others, F.array(s)).alias("chosen"), F.concat(acc["lost"], loses(old, s)).alias("lost"))
+        stays = F.struct(acc["chosen"].alias("chosen"), F.concat(acc["lost"], loses(s, old)).alias("lost"))
+        return F.when(_weight(s) > _weight(old), swapped).otherwise(stays)
+
+    more = lambda acc, s: F.struct(F.concat(acc["chosen"], F.array(s)).alias("chosen"), acc["lost"].alias("lost"))
+    folded = _fold(island, here, settle, nothing, lambda acc: acc["chosen"], more)
+    return let(folded, lambda x: F.concat(_unbeaten(x["chosen"]), x["lost"]))
+
+
+def _unbeaten(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s.alias("span"), F.lit(None).cast("string").alias("beaten_by"))).cast(RESOLVED)
+
+
+def resolved(spans: Column) -> Column:
+    """``spans`` with ``beaten_by``, null for those that stay: an array of structs (span, beaten_by).
 
     A context makes a span weigh more, then its type, confidence and length; ties go to the earlier one. A span meets only the
     first of the chosen spans that it overlaps.
     """
-    order = Window.partitionBy(*keys).orderBy("start", "stop", "rule_seq", "entity_id")
-    rows = spans.withColumn("_place", F.row_number().over(order)).withColumn("beaten_by", F.lit(None).cast("string"))
-    return _islands_apart(rows, list(keys), _fold_overlaps, rows.schema).drop("_place")
+    first = by(spans, lambda s: s["start"], lambda s: s["stop"], lambda s: s["rule_seq"], lambda s: s["entity_id"])
+    order = by(first, begin, lambda s: -end(s), lambda s: -s["confidence"])
+    folded = F.flatten(F.transform(islands(order), lambda i: F.when(F.size(i) > 1, _fold_overlaps(i)).otherwise(_unbeaten(i))))
+    return F.when(F.size(spans) > 1, folded).otherwise(_unbeaten(spans))
+
+
+# --- rows ----------------------------------------------------------------------------------------
+
+
+def fuse(candidates: DataFrame, keys: Iterable[str] = ("doc_id",)) -> DataFrame:
+    """Rows of ``fused`` for candidates in rows: keys and all columns of a span."""
+    return in_rows(beside(candidates, keys).withColumn("_spans", fused(F.col("_spans"))), keys, F.col("_spans"))
+
+
+def resolve_overlaps(spans: DataFrame, keys: Iterable[str] = ("doc_id",)) -> DataFrame:
+    """Rows of ``resolved`` for spans in rows: keys, all columns of a span, and beaten_by."""
+    rows = beside(spans, keys).withColumn("_resolved", resolved(F.col("_spans")))
+    rows = rows.select(*keys, F.explode_outer("_resolved").alias("_r")).filter("_r is not null")
+    return rows.select(*keys, *[F.col(f"_r.span.{c}").alias(c) for c in FIELDS], "_r.beaten_by")
+
+
+def island_numbers(spans: DataFrame, keys: Iterable[str] = ("doc_id",)) -> DataFrame:
+    """keys, entity_id and island: the number of the run of overlapping spans within the keys."""
+    rows = beside(spans, keys).withColumn("_islands", islands(in_order(F.col("_spans"))))
+    return rows.select(*keys, F.posexplode("_islands").alias("_i", "_run")).select(*keys, (F.col("_i") + 1).cast("long").alias("island"), F.explode("_run.entity_id").alias("entity_id"))
+
+
+# --- thresholds ----------------------------------------------------------------------------------
 
 
-def accepted(accept: float) -> Column:
+def accepted(accept: float, s: Column | None = None) -> Column:
     """Whether a span is sure enough; semantic ones of other detectors than rules need more, less so if detectors agree."""
-    strict = F.col("entity_type").isin(*SEMANTIC) & (F.col("source_detector") != "regex")
-    needed = F.greatest(F.lit(accept), F.lit(0.85)) - F.when(F.col("support_count") >= 2, F.lit(0.05)).otherwise(F.lit(0.0))
-    return F.when(strict, ~F.col("semantic_conflict") & (F.col("confidence") >= needed)).otherwise(F.col("confidence") >= accept)
+    f = (lambda c: s[c]) if s is not None else F.col
+    strict = f("entity_type").isin(*SEMANTIC) & (f("source_detector") != "regex")
+    needed = F.greatest(F.lit(accept), F.lit(0.85)) - F.when(f("support_count") >= 2, F.lit(0.05)).otherwise(F.lit(0.0))
+    return F.when(strict, ~f("semantic_conflict") & (f("confidence") >= needed)).otherwise(f("confidence") >= accept)
 
 
-def reviewable(review: float) -> Column:
+def reviewable(review: float, s: Column | None = None) -> Column:
     """Whether a span is sure enough to be replaced at all."""
-    sure = F.col("confidence") >= review
-    return F.when(F.col("entity_type").isin(*SEMANTIC), sure | F.col("semantic_conflict")).otherwise(sure)
+    f = (lambda c: s[c]) if s is not None else F.col
+    sure = f("confidence") >= review
+    return F.when(f("entity_type").isin(*SEMANTIC), sure | f("semantic_conflict")).otherwise(sure)

@@ -1,118 +1,155 @@
-"""Rule scan: documents to candidate spans."""
+"""Rule scan: texts to candidate spans, in one projection and without a shuffle."""
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import NORMALIZERS
-from ..functions.rules import FLAGS, Rule, ordered
+from ..functions.rules import FLAGS, Rule, marked, ordered
 from ..functions.validate import VALIDATORS
+from .spans import PLAIN, in_rows, let, none, span
 
-#: Characters around a span that suppressions look at.
+#: Marks put around matches and between their parts; a text's own are replaced by another control character before it is searched.
+_EDGE, _PART, _OWN = "\x01", "\x02", "\x03"
+#: Characters before a phone number that are looked at.
 _BEFORE = 16
+_GAP = " \t\r\n-"
 
 
-def _length(pieces: Column) -> Column:
-    return F.aggregate(pieces, F.lit(0), lambda n, x: n + F.length(x))
+def entity_id(entity_type: Column, normalized: Column, start: Column, stop: Column) -> Column:
+    return F.concat(F.lit("ENT_"), F.substring(F.sha1(F.concat_ws("|", entity_type, normalized, start.cast("string"), stop.cast("string"))), 1, 12))
 
 
-def rule_spans(text: Column, rule: Rule, seq: int) -> Column:
-    """Array of structs for one rule's matches in ``text``: rule_seq, start, stop (half-open, in code points), raw and what stands around.
+def _walked(found: Column) -> Column:
+    """The matches of one rule in a text: ``found`` has the rule's place (seq) and the text parted at its matches.
 
-    A match begins where the pieces between matches and the matches before it end.
+    Every second piece is a match, and that has three parts. One walk carries the place, the characters behind it and the finds. What stands beside
+    a match, without white space and hyphens, is kept as well: suppressions look at it.
     """
-    pattern = F.lit(FLAGS + rule.pattern)
-    found = F.struct(
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"),
-        F.regexp_extract_all(text, pattern, F.lit(1 if rule.grouped else 0)).alias("raw"),
-        F.split(text, FLAGS + rule.pattern, -1).alias("between"),
-    )
-
-    def one(f: Column, i: Column) -> Column:
-        raw = F.get(f["raw"], i)
-        end = _length(F.slice(f["between"], F.lit(1), i + 1)) + _length(F.slice(f["match"], F.lit(1), i + 1)) - rule.tail
-        start = end - F.length(raw)
-        near = rule.entity_type in ("CARD", "PHONE")
-        left = F.substr(text, F.greatest(start - _BEFORE, F.lit(0)) + 1, F.least(start, F.lit(_BEFORE))) if rule.entity_type == "PHONE" else F.lit("")
-        if rule.entity_type == "CARD":
-            left = F.right(F.rtrim(F.substr(text, F.lit(1), start), F.lit(" \t\r\n-")), F.lit(1))
-        right = F.left(F.ltrim(F.substr(text, end + 1), F.lit(" \t\r\n-")), F.lit(1)) if near else F.lit("")
-        return F.struct(F.lit(seq).alias("rule_seq"), start.alias("start"), end.alias("stop"), raw.alias("raw"), left.alias("left"), right.alias("right"))
-
-    each = lambda f: F.transform(F.sequence(F.lit(0), F.size(f["match"]) - 1), lambda i: one(f, i))
-    none = F.array().cast("array<struct<rule_seq:int,start:int,stop:int,raw:string,left:string,right:string>>")
-    # the regular expressions run once for each text: the struct is bound before its matches are walked through
-    return F.when(text.rlike(FLAGS + rule.pattern), F.flatten(F.transform(F.array(found), each))).otherwise(none)
-
-
-def _by_rule(rules: list[Rule], value) -> Column:
-    """A CASE over rule_seq that gives ``value(rule)``; rules with equal values share a branch."""
-    groups: dict = {}
-    for seq, rule in enumerate(rules):
-        key, column = value(rule)
-        groups.setdefault(key, (column, []))[1].append(seq)
+    none_yet = F.array().cast("array<struct<seq:int,start:bigint,stop:bigint,raw:string,near:string,left:string,right:string>>")
+    nothing = F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("at"), F.lit("").alias("near"), F.lit("").alias("left"), none_yet.alias("found"))
+    pieces = found["pieces"]
+    near = lambda acc, piece: F.right(F.concat(acc["near"], piece), F.lit(_BEFORE))
+    left = lambda acc, piece: let(F.rtrim(piece, F.lit(_GAP)), lambda p: F.when(p == "", acc["left"]).otherwise(F.right(p, F.lit(1))))
+
+    def step(acc: Column, piece: Column) -> Column:
+        def moved(text: Column, finds: Column) -> Column:
+            return F.struct(
+                (acc["i"] + 1).alias("i"), (acc["at"] + F.length(text)).alias("at"), near(acc, text).alias("near"), left(acc, text).alias("left"), finds.alias("found")
+            )
+
+        def match(parts: Column) -> Column:
+            lead, raw = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+            start = acc["at"] + F.length(lead)
+            after = F.replace(F.concat(F.get(pieces, acc["i"] + 1), F.coalesce(F.get(pieces, acc["i"] + 2), F.lit(""))), F.lit(_PART), F.lit(""))
+            one = F.struct(
+                found["seq"].alias("seq"), start.alias("start"), (start + F.length(raw)).alias("stop"), raw.alias("raw"), near(acc, lead).alias("near"), left(acc, lead).alias("left"),
+                F.left(F.ltrim(after, F.lit(_GAP)), F.lit(1)).alias("right"),
+            )
+            return moved(F.array_join(parts, ""), F.concat(acc["found"], F.array(one)))
+
+        return F.when(acc["i"] % 2 == 0, moved(piece, acc["found"])).otherwise(let(F.split(piece, _PART, -1), match))
+
+    return F.aggregate(pieces, nothing, step, lambda acc: acc["found"])
+
+
+def _by_rule(seq: Column, rules: list[Rule], field: str, value) -> Column:
+    """``value`` of the field of the rule at ``seq``; rules with equal fields share a branch."""
     out = None
-    for column, seqs in groups.values():
-        test = F.col("rule_seq").isin(*seqs)
-        out = F.when(test, column) if out is None else out.when(test, column)
+    for key in dict.fromkeys(getattr(r, field) for r in rules):
+        test = seq.isin(*[i for i, r in enumerate(rules) if getattr(r, field) == key])
+        out = F.when(test, value(key)) if out is None else out.when(test, value(key))
     return out
 
 
-def entity_id(entity_type: Column, normalized: Column, start: Column, stop: Column) -> Column:
-    return F.concat(F.lit("ENT_"), F.substring(F.sha1(F.concat_ws("|", entity_type, normalized, start.cast("string"), stop.cast("string"))), 1, 12))
+def _spans(matches: Column, rules: list[Rule]) -> Column:
+    """Valid spans that nothing suppresses, in order of place, type and rule, each place once for a type."""
+    listed = lambda field: F.split(F.lit("|".join(str(getattr(r, field)) for r in rules)), r"\|")
+    of = lambda field, seq, kind: F.get(listed(field), seq).cast(kind)
+
+    def named(m: Column) -> Column:
+        normal = _by_rule(m["seq"], rules, "normalizer", lambda n: NORMALIZERS[n](m["raw"]))
+        return F.struct(of("entity_type", m["seq"], "string").alias("kind"), normal.alias("normal"), m.alias("m"))
+
+    def kept(x: Column) -> Column:
+        m, kind = x["m"], x["kind"]
+        suppressed = (
+            F.when(kind == "CARD", m["left"].rlike(r"(?U)\A\d") | m["right"].rlike(r"(?U)\A\d"))
+            .when(kind == "PHONE", F.lower(m["near"]).contains("regon"))
+            .when(kind == "DOCUMENT_NUMBER", F.lower(m["raw"]).rlike("paszport|passport|prawo jazdy"))
+            .otherwise(False)
+        )
+        return (x["normal"] != "") & _by_rule(m["seq"], rules, "validator", lambda v: VALIDATORS[v](m["raw"])) & ~suppressed
+
+    def made(x: Column) -> Column:
+        m = x["m"]
+        return span(
+            start=m["start"], stop=m["stop"], entity_type=x["kind"], rule_seq=m["seq"], entity_id=entity_id(x["kind"], x["normal"], m["start"], m["stop"]), raw_text=m["raw"],
+            normalized_text=x["normal"], confidence=of("confidence", m["seq"], "double"), source_detector=F.lit("regex"), context_required=of("context", m["seq"], "boolean"),
+        )
+
+    def once(spans: Column) -> Column:
+        same = lambda a, b: (a["start"] == b["start"]) & (a["stop"] == b["stop"]) & (a["entity_type"] == b["entity_type"])
+        return F.filter(spans, lambda s, i: (i == 0) | ~F.coalesce(same(s, F.get(spans, i - 1)), F.lit(False)))
+
+    return let(F.array_sort(F.transform(F.filter(F.transform(matches, named), kept), made)), once)
+
+
+def with_spans(docs: DataFrame, rules: list[Rule], text: str = "text", out: str = "_spans") -> DataFrame:
+    """``docs`` with the array ``out`` of candidate spans in order of place, type and rule; null texts have none.
+
+    Of spans of one type at one place the first rule's stays. A few facts about a text (its lower case, how many digits it has) tell which rules
+    need to search it; a search puts marks around matches and their parts, at which the text is then parted.
+    """
+    if not rules:
+        return docs.withColumn(out, none())
+    t = F.col(text)
+    plain = F.when(t.contains(_EDGE) | t.contains(_PART), F.translate(t, _EDGE + _PART, _OWN * 2)).otherwise(t)
+    # letters that Java takes for i, k or s in other case, and digits that aren't ASCII: such texts are searched by all rules
+    odd = t.rlike(r"[ſıİ\u212a]|[\p{Nd}&&[^0-9]]")
+    facts = {"_plain": plain, "_low": F.lower(t), "_digits": F.length(F.regexp_replace(t, "[^0-9]+", "")), "_odd": odd}
+    marks = f"{_EDGE}${{lead}}{_PART}${{entity}}{_PART}${{rest}}{_EDGE}"
+
+    def parted(rule: Rule, seq: int) -> Column:
+        tests = [F.col("_digits") >= rule.digits] * (rule.digits > 0)
+        if rule.needs:
+            tests.append(functools.reduce(operator.or_, [F.col("_low").contains(n) for n in rule.needs]))
+        pieces = F.split(F.regexp_replace("_plain", FLAGS + marked(rule.pattern), marks), _EDGE, -1)
+        if tests:
+            pieces = F.when(F.col("_odd") | functools.reduce(operator.and_, tests), pieces)
+        return F.struct(F.lit(seq).alias("seq"), pieces.alias("pieces"))
+
+    searched = F.filter(F.array(*[parted(r, i) for i, r in enumerate(rules)]), lambda x: F.size(x["pieces"]) > 1)
+    found = F.when(t.isNotNull(), _spans(F.flatten(F.transform(searched, _walked)), rules)).otherwise(none())
+    # where marks stood in the text itself, spans are cut out of it again
+    own = F.when(F.col("_plain") != t, _restored(out, t)).otherwise(F.col(out))
+    return docs.withColumns(facts).withColumn(out, found).withColumn(out, own).drop(*facts)
+
+
+def _restored(out: str, text: Column) -> Column:
+    return F.transform(out, lambda s: s.withField("raw_text", F.substr(text, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))))
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """``docs`` spread over all cores where they come from fewer files than there are cores; of many files they stay where they are read."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(2 * cores) if 0 < len(docs.inputFiles()) < cores else docs
 
 
 def scan(docs: DataFrame, types: Iterable[str] | None = None, rules: list[Rule] | None = None, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Candidate spans of every document: keys, entity_id, entity_type, raw_text, normalized_text, confidence, source_detector,
-    start, stop, context_required, rule_seq.
+    """Candidate spans of every row: keys, entity_id, entity_type, raw_text, normalized_text, confidence, source_detector, start, stop,
+    context_required, rule_seq.
 
-    ``types`` prunes rules before the plan is built. Documents without text have no spans. Of equal spans of one type the first
-    rule's stays.
+    ``types`` prunes rules before the plan is built. Rows without text have no spans; rows that repeat have their spans each. A column of a span that
+    is named like a key is called ``span_`` and its name.
     """
     rules = rules if rules is not None else ordered(types)
     if not rules:
         raise ValueError("no rule is left")
-    spans = F.flatten(F.array(*[rule_spans(F.col(text), r, i) for i, r in enumerate(rules)]))
-    rows = docs.filter(F.col(text).isNotNull()).select(*keys, F.inline(spans))
-    raw = F.col("raw")
-    rows = rows.select(
-        *keys,
-        "rule_seq",
-        _by_rule(rules, lambda r: (r.entity_type, F.lit(r.entity_type))).alias("entity_type"),
-        raw.alias("raw_text"),
-        _by_rule(rules, lambda r: (r.normalizer, NORMALIZERS[r.normalizer](raw))).alias("normalized_text"),
-        _by_rule(rules, lambda r: (r.confidence, F.lit(r.confidence))).alias("confidence"),
-        _by_rule(rules, lambda r: (r.context, F.lit(r.context))).alias("context_required"),
-        F.col("start").cast("long").alias("start"),
-        F.col("stop").cast("long").alias("stop"),
-        _by_rule(rules, lambda r: (r.validator, VALIDATORS[r.validator](raw))).alias("_valid"),
-        "left",
-        "right",
-    )
-    kind = F.col("entity_type")
-    digit = r"(?U)\A\d"
-    suppressed = (
-        F.when(kind == "CARD", F.col("left").rlike(digit) | F.col("right").rlike(digit))
-        .when(kind == "PHONE", F.lower("left").contains("regon"))
-        .when(kind == "DOCUMENT_NUMBER", F.lower("raw_text").rlike("paszport|passport|prawo jazdy"))
-        .otherwise(False)
-    )
-    rows = rows.filter((F.col("normalized_text") != "") & F.col("_valid") & ~suppressed).drop("_valid", "left", "right")
-    first = Window.partitionBy(*keys, "entity_type", "start", "stop").orderBy("rule_seq")
-    rows = rows.withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_first")
-    return rows.select(
-        *keys,
-        entity_id(kind, F.col("normalized_text"), F.col("start"), F.col("stop")).alias("entity_id"),
-        "entity_type",
-        "raw_text",
-        "normalized_text",
-        "confidence",
-        F.lit("regex").alias("source_detector"),
-        "start",
-        "stop",
-        "context_required",
-        "rule_seq",
-    )
+    rows = with_spans(dealt(docs.select(*keys, F.col(text).alias("_text"))), rules, "_text")
+    return in_rows(rows, keys, F.col("_spans"), PLAIN)

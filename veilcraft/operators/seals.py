@@ -1,13 +1,13 @@
-"""Sealed records: canonical JSON, HMAC-SHA-256 signatures, and vaults that open only if they are signed and in time."""
+"""Sealed records: HMAC-SHA-256 signatures over canonical JSON, and stores of vaults and audits that open only what is signed and in time.
+
+A store is a Parquet table with a folder for each record, so that deleting a record deletes its bytes.
+"""
 
 from __future__ import annotations
 
-import hashlib
-import hmac
-import json
+from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,38 +15,69 @@ class SealError(ValueError):
     """A record that isn't signed, was changed, or is out of date."""
 
 
-def canonical_json(record: dict) -> str:
-    return json.dumps(record, sort_keys=True, separators=(",", ":"))
+def canonical_json(columns: Iterable[str]) -> Column:
+    """The columns as one JSON object with sorted names and without blanks; nulls are part of it."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
 def signature(payload: Column, key: str) -> Column:
-    """HMAC-SHA-256 of a JSON text (with sorted keys) under ``key``, in hexadecimal digits."""
+    """HMAC-SHA-256 of a text under ``key``, in hexadecimal digits; null for null."""
     if not key:
         raise ValueError("a key is needed")
+    import hashlib
 
-    @F.pandas_udf("string")
-    def sign(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else hmac.new(key.encode(), canonical_json(json.loads(t)).encode(), hashlib.sha256).hexdigest())
-
-    return sign(payload)
+    data = key.encode()
+    data = (hashlib.sha256(data).digest() if len(data) > 64 else data).ljust(64, b"\0")
+    pad = lambda with_: F.lit(bytes(b ^ with_ for b in data))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), F.encode(payload, "UTF-8")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
 
 
-def sealed(records: DataFrame, key: str, columns: list[str], name: str = "seal") -> DataFrame:
-    """``records`` with the signature of ``columns``; nulls are part of what is signed."""
-    return records.withColumn(name, signature(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), key))
+def sealed(records: DataFrame, key: str, columns: Iterable[str], name: str = "seal") -> DataFrame:
+    """``records`` with the signature of ``columns``."""
+    return records.withColumn(name, signature(canonical_json(columns), key))
 
 
-def opened(records: DataFrame, key: str, columns: list[str], name: str = "seal", expires: str | None = None) -> DataFrame:
+def opened(records: DataFrame, key: str, columns: Iterable[str], name: str = "seal", expires: str | None = None) -> DataFrame:
     """``records`` with ``problem``: null, ``unsigned``, ``tampered`` or ``expired`` (by the column ``expires``, an ISO time)."""
-    own = signature(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), key)
     late = F.try_to_timestamp(F.col(expires)) < F.current_timestamp() if expires else F.lit(False)
-    problem = F.when(F.coalesce(name, F.lit("")) == "", "unsigned").when(F.col(name) != own, "tampered").when(late, "expired")
+    problem = F.when(F.coalesce(name, F.lit("")) == "", "unsigned").when(F.col(name) != signature(canonical_json(columns), key), "tampered").when(late, "expired")
     return records.withColumn("problem", problem)
 
 
-def must_open(records: DataFrame, key: str, columns: list[str], name: str = "seal", expires: str | None = None) -> DataFrame:
+def must_open(records: DataFrame, key: str, columns: Iterable[str], name: str = "seal", expires: str | None = None) -> DataFrame:
     """``records`` if all of them open; else SealError with the first problem."""
     rows = opened(records, key, columns, name, expires)
     if bad := rows.filter("problem is not null").first():
         raise SealError(f"a record is {bad['problem']}")
     return rows.drop("problem")
+
+
+def save(records: DataFrame, path: str, key: str, record_id: str) -> None:
+    """Seal all columns of ``records`` and write them, a folder for each ``record_id``; a record that is there already is replaced."""
+    rows = sealed(records, key, records.columns).withColumn("_of", F.col(record_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_of").parquet(path)
+
+
+def load(spark: SparkSession, path: str, key: str, record_id: str, wanted: object = None, expires: str | None = None) -> DataFrame:
+    """Records of a store (those of one id, or all of them in order of ids), which must all open."""
+    rows = spark.read.parquet(path)
+    if wanted is not None:
+        rows = rows.filter(F.col("_of") == F.lit(wanted).cast(rows.schema["_of"].dataType))
+    rows = rows.drop("_of")
+    return must_open(rows, key, [c for c in rows.columns if c != "seal"], expires=expires).drop("seal").orderBy(record_id)
+
+
+def delete(path: str, wanted: object) -> None:
+    """Delete a record's folder; one that isn't there is no error."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    folder = f"{root.rstrip('/')}/_of={wanted}"
+    if store.get_file_info(folder).type != fs.FileType.NotFound:
+        store.delete_dir(folder)
+
+
+def latest_hash(audits: DataFrame) -> str | None:
+    """The chain hash of the audit record made last, null without records."""
+    return audits.agg(F.max_by("audit_chain_hash", F.struct("created_at", "audit_id"))).first()[0]

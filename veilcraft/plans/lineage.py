@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the folder of ``spark.checkpoint.dir`` (one of our own where that is unset)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    """``df`` computed once into the folder of ``spark.checkpoint.dir``, or where that is unset into the warehouse, which executors share as well."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/checkpoints")
     return df.checkpoint()

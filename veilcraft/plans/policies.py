@@ -34,6 +34,7 @@ def expand_groups(groups: Iterable[str], types: Iterable[str] = ()) -> tuple[str
     return tuple(dict.fromkeys([*(t for g in groups for t in GROUPS[g]), *types]))
 
 
+# The named policies.
 POLICIES = {
     p.name: p
     for p in (

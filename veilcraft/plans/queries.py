@@ -8,16 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import NORMALIZERS
-from ..functions.rules import CATALOGUE, ordered
+from ..functions.rules import CATALOGUE, Rule, ordered
 from ..functions.validate import VALIDATORS
 from ..operators import analytics
-from ..operators.anonymize import anonymize, anonymize_segments, detect, numbered, plan_replacements, rewrite
-from ..operators.fuse import accepted, canonical, fuse, islands, resolve_overlaps, reviewable, semantic_winners, type_rank
-from ..operators.mentions import first_name_forms, surname_forms
+from ..operators.anonymize import anonymize, anonymize_segments, detect, numbered, replacements
+from ..operators.fuse import SEMANTIC, accepted, canonical, fuse, island_numbers, resolve_overlaps, reviewable, type_rank
 from ..operators.reinject import conflicts_and_decisions, plan_status
 from ..operators.scan import scan
 from ..operators.seals import opened, sealed
+from ..operators.spans import beside
+from ..sources import reviews
+from ..sources.catalogue import default_rules, disable_rules, import_rules, load_rules
+from ..sources.files import leaf_differences
+from . import made, rule_cases
 from .lineage import settled
+from .policies import POLICIES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,7 +90,7 @@ _PLAIN_SQL = f"{_EMAIL_SQL} UNION ALL {_IP_SQL} UNION ALL {_CARD_SQL}"
 
 
 def _plain_spans(spark: SparkSession, d: str) -> DataFrame:
-    return settled(scan(table(spark, d, "documents"), _PLAIN))
+    return scan(table(spark, d, "documents"), _PLAIN)
 
 
 @query()
@@ -146,12 +151,8 @@ _STARS = "repeat('*', length(raw_text))"
 
 
 def _redaction(style: str | None, mode: str = "irreversible", policy: str = "external_irreversible") -> Callable:
-    from .policies import POLICIES
-
     def run(spark, d):
-        docs = table(spark, d, "documents")
-        spans = settled(canonical(_plain_spans(spark, d)))
-        return rewrite(docs, plan_replacements(spans, mode=mode, style=style, policy=POLICIES[policy])).select("doc_id", "text")
+        return anonymize(table(spark, d, "documents"), mode, style, _PLAIN, policy=POLICIES[policy]).select("doc_id", "text")
 
     return run
 
@@ -176,6 +177,28 @@ def anonymize_conversations(spark, d):
     return out.select("conv_id", "turn", "text", F.to_json("findings").alias("findings"))
 
 
+@query(f"""
+    WITH d AS (SELECT * FROM documents UNION ALL SELECT * REPLACE (CASE WHEN doc_id % 10 = 0 THEN NULL ELSE doc_id END AS doc_id) FROM documents), r AS ({_NO_OVERLAP_SQL.replace('<EDIT>', _PLACEHOLDER_SQL)})
+    SELECT d.doc_id, r.text FROM d JOIN documents o ON d.text IS NOT DISTINCT FROM o.text AND (d.doc_id = o.doc_id OR d.doc_id IS NULL AND o.doc_id % 10 = 0) JOIN r ON r.doc_id = o.doc_id
+    QUALIFY row_number() OVER (PARTITION BY d.doc_id, md5(coalesce(d.text, '')), o.doc_id) <= CASE WHEN d.doc_id IS NULL THEN 1 WHEN d.doc_id % 10 = 0 THEN 1 ELSE 2 END""")
+def redact_repeated(spark, d):
+    """All documents twice, the second time with null for every tenth doc_id."""
+    docs = table(spark, d, "documents")
+    again = docs.withColumn("doc_id", F.when(F.col("doc_id") % 10 == 0, None).otherwise(F.col("doc_id")))
+    return anonymize(docs.unionByName(again), types=_PLAIN).select("doc_id", "text")
+
+
+@query(f"SELECT doc_id, entity_type, count(*) AS n FROM ({_PLAIN_SQL}) GROUP BY ALL")
+def document_findings(spark, d):
+    return anonymize(table(spark, d, "documents"), types=_PLAIN).select("doc_id", F.explode("findings").alias("entity_type", "n"))
+
+
+@query(f"SELECT doc_id, entity_id, start, stop, '[' || entity_type || '_' || row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY start) || ']' AS replacement_text, raw_text AS source_text FROM ({_PLAIN_SQL})")
+def replacement_plan(spark, d):
+    """Placeholders with the values that they stand for."""
+    return replacements(table(spark, d, "documents"), "reversible", types=_PLAIN).select("doc_id", "entity_id", "start", "stop", "replacement_text", "source_text")
+
+
 _LEAK_SQL = f"""
     WITH s AS (SELECT DISTINCT doc_id, raw_text FROM ({_EMAIL_SQL})),
     t AS (SELECT doc_id, raw_text, replace(text, raw_text, '[EMAIL_1]') AS hidden, text FROM s JOIN documents USING (doc_id))
@@ -187,17 +210,27 @@ def leak_scan(spark, d):
     """E-mail addresses in original texts (all found) and in rewritten ones (none)."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     spans = settled(scan(docs, {"EMAIL"}))
-    hidden = rewrite(docs, plan_replacements(canonical(spans))).select("doc_id", "text", F.lit("rewritten").alias("segment_id"))
+    hidden = anonymize(docs, types={"EMAIL"}).select("doc_id", "text", F.lit("rewritten").alias("segment_id"))
     texts = docs.withColumn("segment_id", F.lit("original")).unionByName(hidden)
     return analytics.leaks(texts, spans.select("doc_id", "raw_text"))
 
 
-@query(
-    f"WITH s AS ({_PLAIN_SQL}) SELECT a.doc_id, a.entity_id AS left_id, b.entity_id AS right_id FROM s a JOIN s b USING (doc_id) "
-    "WHERE a.entity_id < b.entity_id AND a.start < b.stop AND b.start < a.stop"
-)
+@query("""
+    SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE 's0' END AS segment_id, c_name AS raw_text FROM customer WHERE c_custkey % 3 <> 1""")
+def leaks_across_segments(spark, d):
+    """Names like Customer#000000001 in one segment, hidden, or broken into two segments at the mark, where only the joined text holds them."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.regexp_replace("c_name", "#", " ").alias("name"), "c_name")
+    k = F.col("doc_id") % 3
+    texts = F.when(k == 0, F.array(F.concat(F.lit("it is "), "name", F.lit(" here")), F.lit("x"))).when(k == 1, F.array(F.lit("[OSOBA_1]"), F.lit("x")))
+    texts = texts.otherwise(F.array(F.concat(F.lit("it is "), F.split_part("name", F.lit(" "), F.lit(1))), F.concat(F.split_part("name", F.lit(" "), F.lit(2)), F.lit(" here"))))
+    segments = rows.select("doc_id", F.posexplode(texts).alias("i", "text")).select("doc_id", "i", F.concat(F.lit("s"), F.col("i").cast("string")).alias("segment_id"), "text")
+    found = analytics.leaks(segments, rows.select("doc_id", F.col("name").alias("raw_text")), order="i").filter("exact")
+    return found.select("doc_id", "segment_id", F.regexp_replace("raw_text", " ", "#").alias("raw_text"))
+
+
+@query(f"WITH {made.MADE_SQL} SELECT doc_id, a.entity_id AS left_id, b.entity_id AS right_id FROM m a JOIN m b USING (doc_id) WHERE a.entity_id < b.entity_id AND a.start < b.stop AND b.start < a.stop")
 def overlap_pairs(spark, d):
-    return analytics.overlapping_pairs(_plain_spans(spark, d))
+    return analytics.overlapping_pairs(made.made_spans(table(spark, d, "lineitem")))
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256, sha1(coalesce(text, '')) AS sha1 FROM documents")
@@ -235,21 +268,38 @@ _KEYED: dict[str, tuple[str, str]] = {
             regexp_replace(substr(regexp_replace(upper(v), '[^A-Z0-9]', '', 'g'), 5) || '2521' || substr(regexp_replace(upper(v), '[^A-Z0-9]', '', 'g'), 3, 2), '[^0-9]', '', 'g')::HUGEINT % 97 = 1""",
     ),
     "phone": ("CASE o_orderkey % 3 WHEN 0 THEN CONCAT('+48 ', CAST(o_orderkey + 600000000 AS VARCHAR(20))) WHEN 1 THEN CONCAT('0048-', CAST(o_orderkey * 9973 AS VARCHAR(20))) ELSE CAST(o_orderkey * 99991 AS VARCHAR(20)) END", "length(d) = 9 OR length(d) = 11 AND d LIKE '48%' OR length(d) = 13 AND d LIKE '0048%'"),
-    "phone_fragment": ("CONCAT(CASE o_orderkey % 3 WHEN 0 THEN '48 ' WHEN 1 THEN '0048 ' ELSE '' END, CAST(o_orderkey * 1013 AS VARCHAR(20)))", "CASE WHEN d LIKE '0048%' THEN length(d) BETWEEN 10 AND 13 WHEN d LIKE '48%' THEN length(d) BETWEEN 8 AND 11 ELSE length(d) BETWEEN 6 AND 9 END"),
+    "phone_fragment": ("CONCAT(CASE o_orderkey % 4 WHEN 0 THEN '48 ' WHEN 1 THEN '0048 ' WHEN 2 THEN '12' ELSE '' END, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 1000 AS VARCHAR(20)) ELSE CAST(o_orderkey * 1013 + 100000 AS VARCHAR(20)) END)", "CASE WHEN d LIKE '0048%' THEN length(d) BETWEEN 10 AND 13 WHEN d LIKE '48%' THEN length(d) BETWEEN 8 AND 11 ELSE length(d) BETWEEN 6 AND 9 END"),
     "krs": ("CONCAT('KRS ', CAST(o_orderkey * 99991 AS VARCHAR(20)))", "length(d) = 10"),
-    "labeled_bank_account": ("repeat(CAST(o_orderkey % 1000 AS VARCHAR(20)), 9)", "length(d) = 26 AND d <> repeat(d[1], 26)"),
+    "labeled_bank_account": ("CASE o_orderkey % 4 WHEN 0 THEN repeat('7', 26) WHEN 1 THEN CONCAT('10 9010 1400 0007 1219 ', lpad(CAST(o_orderkey * 31 AS VARCHAR(20)), 8, '0')) WHEN 2 THEN CONCAT('1090-', lpad(CAST(o_orderkey AS VARCHAR(20)), 22, '0')) ELSE repeat('12', 14) END", "length(d) = 26 AND d <> repeat(d[1], 26)"),
     "labeled_bank_account_fragment": ("repeat(CAST(o_orderkey % 1000 AS VARCHAR(20)), 8)", "length(d) BETWEEN 20 AND 26 AND d <> repeat(d[1], length(d)::INT)"),
     "ip_address": ("CONCAT(CAST(o_orderkey % 300 AS VARCHAR(20)), '.', CAST(o_custkey % 280 AS VARCHAR(20)), '.0.', CAST(o_orderkey % 7 AS VARCHAR(20)))", "list_bool_and([x::INT <= 255 for x in string_split(v, '.')])"),
-    "vehicle_registration": ("CONCAT(CASE o_orderkey % 3 WHEN 0 THEN 'WX ' WHEN 1 THEN 'kr' ELSE 'ABCD' END, CAST(o_orderkey AS VARCHAR(20)))", "regexp_full_match(upper(replace(v, ' ', '')), '[A-Z]{1,3}[A-Z0-9]{4,6}')"),
+    "vehicle_registration": ("CONCAT(CASE o_orderkey % 4 WHEN 0 THEN 'WX ' WHEN 1 THEN 'kr' WHEN 2 THEN 'ABCDEFG' ELSE 'żółw' END, CASE WHEN o_orderkey % 5 = 0 THEN 'abcd' ELSE CAST(o_orderkey AS VARCHAR(20)) END)", "regexp_full_match(regexp_replace(upper(v), '[^A-Z0-9]', '', 'g'), '[A-Z]{1,3}[A-Z0-9]{4,6}') AND regexp_matches(v, '[0-9]')"),
     "device_identifier": ("CONCAT(CASE o_orderkey % 3 WHEN 0 THEN 'host-' WHEN 1 THEN '-' ELSE '' END, CAST(o_orderkey AS VARCHAR(20)))", "length(v) BETWEEN 3 AND 64 AND regexp_full_match(v, '[A-Za-z0-9][A-Za-z0-9._-]*') AND regexp_matches(v, '[A-Za-z]')"),
     "postal_code": ("CONCAT(lpad(CAST(o_orderkey % 150 AS VARCHAR(20)), 2, '0'), '-', CAST(o_custkey AS VARCHAR(20)))", "regexp_full_match(v, '[0-9]{2}-[0-9]{3}')"),
     "date_of_birth": ("CONCAT(lpad(CAST(o_orderkey % 33 AS VARCHAR(20)), 2, '0'), '.', lpad(CAST(o_custkey % 14 AS VARCHAR(20)), 2, '0'), '.', CAST(1900 + o_orderkey % 120 AS VARCHAR(20)))", "try_cast((v[7:10] || '-' || v[4:5] || '-' || v[1:2]) AS DATE) IS NOT NULL"),
-    "document_number": ("CONCAT('ab-', CAST(o_orderkey AS VARCHAR(20)))", "length(v) - 1 BETWEEN 6 AND 24"),
+    "document_number": ("CASE o_orderkey % 3 WHEN 0 THEN CONCAT('ab-', CAST(o_orderkey AS VARCHAR(20))) WHEN 1 THEN CONCAT('abcdef', CAST(o_orderkey % 100 AS VARCHAR(20))) ELSE 'abcdefgh' END", "length(replace(v, '-', '')) BETWEEN 6 AND 24 AND o_orderkey % 3 < 2"),
     "case_number": ("CONCAT('sygn. akt I C ', CAST(o_orderkey AS VARCHAR(20)), CASE WHEN o_orderkey % 2 = 0 THEN '/24' ELSE '-24' END)", "v LIKE '%/24'"),
     "contract_number": ("CONCAT(CASE o_orderkey % 3 WHEN 0 THEN 'umowa nr ' WHEN 1 THEN 'contract no. ' ELSE 'cnt-' END, CAST(o_orderkey AS VARCHAR(20)))", "v NOT LIKE 'contract%' AND length(d) >= 3"),
     "swift_bic": ("CONCAT(CASE WHEN o_orderkey % 2 = 0 THEN 'SWIFT: ' ELSE '' END, 'BPKOPLP', CAST(o_orderkey % 10 AS VARCHAR(20)), CASE WHEN o_orderkey % 3 = 0 THEN 'XXX' WHEN o_orderkey % 3 = 1 THEN 'XX' ELSE '' END)", "v NOT LIKE '%9XX' AND v NOT SIMILAR TO '.*[0-9]XX'"),
-    "generic_reference": ("CONCAT('fv/', CAST(o_orderkey AS VARCHAR(20)))", "length(v) - 1 BETWEEN 4 AND 32"),
+    "generic_reference": ("CASE o_orderkey % 4 WHEN 0 THEN CONCAT('fv/', CAST(o_orderkey AS VARCHAR(20))) WHEN 1 THEN 'fv/abc' WHEN 2 THEN CONCAT('a-', CAST(o_orderkey % 10 AS VARCHAR(20))) ELSE repeat('x1', 17) END", "o_orderkey % 4 = 0 AND length(v) - 1 BETWEEN 4 AND 32"),
     "vat_id": ("CONCAT('VAT: ', CASE o_orderkey % 3 WHEN 0 THEN 'PL' WHEN 1 THEN 'DE' ELSE '' END, CAST(o_orderkey * 7919 + 5210000000 AS VARCHAR(20)))", f"CASE WHEN v LIKE 'VAT: PL%' THEN length(d) = 10 AND ({_weighted_sql((6, 5, 7, 2, 3, 4, 5, 6, 7))}) % 11 = d[10]::INT ELSE true END"),
+    "always_true": ("CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR(20)) END", "true"),
+    "bank_account": (
+        "CASE o_orderkey % 3 WHEN 0 THEN CONCAT('PL', lpad(CAST(o_orderkey % 98 AS VARCHAR(20)), 2, '0'), ' 1090 1014 0000 0712 ', lpad(CAST(o_orderkey % 100 AS VARCHAR(20)), 8, '0')) WHEN 1 THEN CONCAT(lpad(CAST(o_orderkey % 98 AS VARCHAR(20)), 2, '0'), '109010140000071200000019') ELSE CONCAT(CAST(o_orderkey % 10 AS VARCHAR(20)), '1 1090 1014 0000 0712 1981') END",
+        "o_orderkey % 3 < 2 AND length(d) = 26 AND (substr(d, 3) || '2521' || substr(d, 1, 2))::HUGEINT % 97 = 1",
+    ),
+    "tax_id": (
+        "CASE o_orderkey % 5 WHEN 0 THEN CONCAT('TIN: PL', CAST(o_orderkey * 7919 + 5210000000 AS VARCHAR(20))) WHEN 1 THEN CONCAT('Tax ID DE', CAST(o_orderkey + 100000 AS VARCHAR(20))) WHEN 2 THEN CONCAT('TIN ', CAST(o_orderkey + 1000000000 AS VARCHAR(20))) WHEN 3 THEN 'TIN abcdefgh' ELSE CONCAT('TAX ', CAST(o_orderkey + 100000 AS VARCHAR(20))) END",
+        f"CASE o_orderkey % 5 WHEN 0 THEN ({_weighted_sql((6, 5, 7, 2, 3, 4, 5, 6, 7))}) % 11 = d[10]::INT WHEN 1 THEN true WHEN 2 THEN true ELSE false END",
+    ),
+    "address": (
+        "CASE o_orderkey % 5 WHEN 0 THEN CONCAT('ul. Długa ', CAST(o_orderkey AS VARCHAR(20))) WHEN 1 THEN 'ulica bez numeru' WHEN 2 THEN CONCAT('00-', lpad(CAST(o_orderkey % 1000 AS VARCHAR(20)), 3, '0'), ' Łódź') WHEN 3 THEN CONCAT('Długa ', CAST(o_orderkey AS VARCHAR(20))) ELSE CONCAT('00-', CAST(o_orderkey % 1000 + 1000 AS VARCHAR(20)), ' Łódź') END",
+        "o_orderkey % 5 IN (0, 2)",
+    ),
+    "person_full_name": (
+        "CASE o_orderkey % 8 WHEN 0 THEN 'Jan Kowalski' WHEN 1 THEN 'pan Xyz Nowak' WHEN 2 THEN 'Xyz Abc' WHEN 3 THEN 'J. Malinowska-Lis' WHEN 4 THEN 'Umowa Jan' WHEN 5 THEN 'Jan kowalski' WHEN 6 THEN 'Adam Ewa Jan Piotr Paweł' ELSE CONCAT('Jan ', CAST(o_orderkey AS VARCHAR(20))) END",
+        "o_orderkey % 8 IN (0, 1, 3)",
+    ),
     "email": ("CONCAT(CASE o_orderkey % 3 WHEN 0 THEN 'a.b' WHEN 1 THEN 'a b' ELSE '' END, '@mail', CAST(o_orderkey AS VARCHAR(20)), CASE WHEN o_custkey % 2 = 0 THEN '.com' ELSE '.c' END)", "regexp_full_match(v, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}')"),
 }
 
@@ -285,93 +335,166 @@ for _name, _sql in _NORMAL_SQL.items():
     query(f"SELECT o_orderkey, {_sql} AS normal FROM (SELECT o_orderkey, {_NORMAL_TEXT} AS t FROM orders)", f"norm_{_name}")(_normal_query(_name))
 
 
-# --- spans made from keys: fusion, overlaps, ordinals --------------------------------------------
+# --- each rule over made texts -------------------------------------------------------------------
+
+
+def _numbers(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders")
+    for columns in rule_cases.levels():
+        rows = rows.selectExpr(*[c.replace("VARCHAR(20)", "STRING") for c in columns])
+    return rows
+
+
+def _case_query(rule: Rule, cases: list) -> Callable:
+    made_of = rule_cases.columns(cases)
+
+    def run(spark, d):
+        texts = _numbers(spark, d).select("o_orderkey", F.concat(*[F.expr(made_of[c].replace("VARCHAR(20)", "STRING")) for c in ("before", "span", "after")]).alias("text"))
+        return scan(texts, rules=[rule], keys=("o_orderkey",)).select("o_orderkey", "entity_type", "raw_text", "normalized_text", "start", "stop")
+
+    return run
+
+
+def _case_sql(rule: Rule, cases: list) -> str:
+    c = rule_cases.columns(cases)
+    return f"""
+        SELECT o_orderkey, '{rule.entity_type}' AS entity_type, t AS raw_text, {_NORMAL_SQL[rule.normalizer]} AS normalized_text, length(b)::BIGINT AS start, (length(b) + length(t))::BIGINT AS stop
+        FROM (SELECT *, {c['before']} AS b, {c['span']} AS t, {c['found']} AS found FROM {rule_cases.numbers_sql()}) WHERE found"""
+
+
+# the catalogue's rules as they are listed, then the others
+for (_name, _cases), _rule in zip(rule_cases.CASES.items(), [*CATALOGUE, *ordered()[len(CATALOGUE) :]], strict=True):
+    query(_case_sql(_rule, _cases), f"rule_{_name}")(_case_query(_rule, _cases))
+
+
+@query(f"""
+    WITH t AS (SELECT *, nip_check <> 10 AS ok FROM {rule_cases.numbers_sql()})
+    SELECT o_orderkey, 'NIP: ' || nip_parts AS raw_text, 0::BIGINT AS start, CASE WHEN ok THEN 0.992 ELSE 0.99 END::DOUBLE AS confidence FROM t
+    UNION ALL SELECT o_orderkey, nip_parts, 5, 0.99 FROM t WHERE ok""")
+def first_rule_wins(spark, d):
+    """Two rules find one labelled number: where both take it as valid the first one's span stays."""
+    texts = _numbers(spark, d).select("o_orderkey", F.concat(F.lit("NIP: "), "nip_parts").alias("text"))
+    return scan(texts, {"NIP"}, keys=("o_orderkey",)).select("o_orderkey", "raw_text", "start", "confidence")
+
 
+@query(f"""
+    SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'PHONE' WHEN 1 THEN 'CARD' WHEN 2 THEN 'PASSPORT_NUMBER' ELSE 'ID_CARD_NUMBER' END AS entity_type, 1::BIGINT AS n FROM orders
+    UNION ALL SELECT o_orderkey, 'DOCUMENT_NUMBER', 1 FROM orders WHERE o_orderkey % 4 = 3""")
+def suppressions(spark, d):
+    """Pairs of numbers of which one is suppressed: after REGON, beside more digits, or of another document."""
+    pieces = ["CONCAT('tel 600', d6, '; REGON 700', d6)", "CONCAT('karta ', card, '; 5- ', card)", "CONCAT('paszport AB', d6)", "CONCAT('dowód ABC', d6)"]
+    text = rule_cases.by_case(pieces).replace("VARCHAR(20)", "STRING")
+    spans = scan(_numbers(spark, d).select("o_orderkey", F.expr(text).alias("text")), {"PHONE", "CARD", "DOCUMENT_NUMBER", "PASSPORT_NUMBER", "ID_CARD_NUMBER"}, keys=("o_orderkey",))
+    own = {0: "PHONE", 1: "CARD", 2: "DOCUMENT_NUMBER", 3: "DOCUMENT_NUMBER"}
+    case = F.get(F.array(*[F.lit(own[i]) for i in range(4)]), (F.col("o_orderkey") % 4).cast("int"))
+    keep = (F.col("entity_type") == case) | F.col("entity_type").isin("PASSPORT_NUMBER", "ID_CARD_NUMBER")
+    return spans.filter(keep).groupBy("o_orderkey", "entity_type").agg(F.count("*").alias("n"))
 
-def made_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Spans of several detectors and types that overlap now and then, made from lineitem."""
-    return table(spark, d, "lineitem").selectExpr(
-        "l_orderkey AS doc_id", "concat('E', l_orderkey, '_', l_linenumber) AS entity_id",
-        "CASE l_partkey % 5 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORGANIZATION' WHEN 2 THEN 'ADDRESS' WHEN 3 THEN 'PHONE' ELSE 'NIP' END AS entity_type",
-        "concat('raw ', l_partkey % 100) AS raw_text", "concat('raw ', l_partkey % 100) AS normalized_text", "round(0.5 + l_discount * 5, 2) AS confidence",
-        "CASE l_suppkey % 4 WHEN 0 THEN 'regex' WHEN 1 THEN 'gliner' WHEN 2 THEN 'spacy' ELSE 'other' END AS source_detector",
-        "CAST(l_partkey % 60 AS BIGINT) AS start", "CAST(l_partkey % 60 + 3 + l_suppkey % 9 AS BIGINT) AS stop", "l_tax > 0.04 AS context_required", "l_linenumber AS rule_seq",
+
+@query("""
+    SELECT c_custkey, n_name AS raw_text, (length(c_name) + 4)::BIGINT AS start, 0.8::DOUBLE AS confidence FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 3 <> 1""")
+def rule_catalogue(spark, d):
+    """A rule for each nation is imported from an export, every third is disabled, and the others are scanned for in made texts."""
+    import uuid
+
+    nations = table(spark, d, "nation")
+    rules = nations.select(
+        (F.col("n_nationkey") + 100).cast("int").alias("rule_id"), F.lit("NATION").alias("entity_type"), F.concat(F.lit(r"\bof (?<entity>"), "n_name", F.lit(r")(?= it)")).alias("pattern"),
+        F.lit("identity").alias("normalizer"), F.lit("always_true").alias("validator"), F.lit(0.8).alias("confidence"), F.lit(False).alias("context"), F.lit(50).alias("priority"),
+        F.col("n_name").alias("description"), F.array().cast("array<string>").alias("needs"), F.lit(0).alias("digits"), F.lit(True).alias("enabled"), F.lit(False).alias("managed"),
     )
+    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/rules-{uuid.uuid4().hex}"
+    rules.write.json(folder)
+    catalogue, _ = import_rules(default_rules(spark), folder)
+    own = catalogue.filter("entity_type = 'NATION'")
+    # a table of one row for each nation
+    off = [r["rule_id"] for r in own.join(nations, own.description == nations.n_name).filter("n_nationkey % 3 = 1").select("rule_id").collect()]
+    texts = table(spark, d, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat("c_name", F.lit(" of "), "n_name", F.lit(" it is")).alias("text"))
+    return scan(texts, rules=load_rules(disable_rules(catalogue, off), {"NATION"}), keys=("c_custkey",)).select("c_custkey", "raw_text", "start", "confidence")
+
+
+# --- spans made from keys: fusion, overlaps, ordinals --------------------------------------------
 
 
-_MADE_SQL = """
-    m AS (SELECT l_orderkey AS doc_id, 'E' || l_orderkey || '_' || l_linenumber AS entity_id,
-        CASE l_partkey % 5 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORG' WHEN 2 THEN 'ADDRESS' WHEN 3 THEN 'PHONE' ELSE 'NIP' END AS entity_type,
-        'raw ' || (l_partkey % 100) AS raw_text, round(0.5 + l_discount * 5, 2) AS confidence,
-        CASE l_suppkey % 4 WHEN 0 THEN 'regex' WHEN 1 THEN 'gliner' WHEN 2 THEN 'spacy' ELSE 'other' END AS source_detector,
-        CASE l_suppkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS p,
-        l_partkey % 60 AS start, l_partkey % 60 + 3 + l_suppkey % 9 AS stop, l_tax > 0.04 AS context_required, l_linenumber AS rule_seq FROM lineitem)"""
 _ISLAND_SQL = (
-    f"WITH {_MADE_SQL}, o AS (SELECT *, CASE WHEN start < max(stop) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens, "
+    f"WITH {made.MADE_SQL}, o AS (SELECT *, CASE WHEN start < max(stop) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens, "
     "row_number() OVER w AS place FROM m <FILTER> WINDOW w AS (PARTITION BY doc_id ORDER BY start, stop DESC, confidence DESC, p, rule_seq)), "
     "i AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY place) AS island FROM o)"
 )
 
 
+def _made(spark: SparkSession, d: str) -> DataFrame:
+    return made.made_spans(table(spark, d, "lineitem"))
+
+
 @query(_ISLAND_SQL.replace("<FILTER>", "") + " SELECT doc_id, entity_id, island::BIGINT AS island FROM i")
 def island_clusters(spark, d):
-    return islands(made_spans(spark, d), ["doc_id"]).select("doc_id", "entity_id", "island")
+    return island_numbers(_made(spark, d))
 
 
-@query(
+_SEMANTIC_SQL = (
     _ISLAND_SQL.replace("<FILTER>", "WHERE entity_type IN ('PERSON', 'ORG', 'ADDRESS')")
     + """, t AS (SELECT doc_id, island, entity_type, bool_or(source_detector = 'regex') AS a, count(*) AS b, max(confidence) AS c, -min(p) AS e, max(stop - start) AS f, -min(place) AS g
             FROM i GROUP BY ALL),
         b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY doc_id, island ORDER BY a DESC, b DESC, c DESC, e DESC, f DESC, g DESC) = 1)
-        SELECT i.doc_id, entity_id, i.entity_type, b.b::INT AS support_count, (SELECT count(*) > 1 FROM t WHERE t.doc_id = i.doc_id AND t.island = i.island) AS semantic_conflict
+        SELECT i.doc_id, entity_id, i.entity_type, b.b::INT AS support_count, (SELECT count(*) > 1 FROM t WHERE t.doc_id = i.doc_id AND t.island = i.island) AS semantic_conflict, confidence, source_detector
         FROM i JOIN b USING (doc_id, island, entity_type)
         QUALIFY row_number() OVER (PARTITION BY i.doc_id, island ORDER BY source_detector = 'regex' DESC, confidence DESC, p, stop - start DESC, place) = 1"""
 )
+
+
+@query(f"SELECT doc_id, entity_id, entity_type, support_count, semantic_conflict FROM ({_SEMANTIC_SQL})")
 def semantic_fusion(spark, d):
-    return semantic_winners(canonical(made_spans(spark, d)), ["doc_id"]).select("doc_id", "entity_id", "entity_type", "support_count", "semantic_conflict")
+    return fuse(_made(spark, d)).filter(F.col("entity_type").isin(*SEMANTIC)).select("doc_id", "entity_id", "entity_type", "support_count", "semantic_conflict")
 
 
-@query()
+@query(made.FUSED_SQL)
 def fused_spans(spark, d):
-    return fuse(made_spans(spark, d)).select("doc_id", "entity_id", "entity_type", "confidence", "support_count", F.array_join("supporting_detectors", ",").alias("detectors"))
+    rows = fuse(_made(spark, d)).filter(~F.col("entity_type").isin(*SEMANTIC))
+    return rows.select("doc_id", "entity_id", "entity_type", "confidence", "support_count", F.array_join("supporting_detectors", ",").alias("detectors"))
 
 
-@query()
+@query(made.RESOLVED_SQL)
 def resolved_overlaps(spark, d):
-    return resolve_overlaps(canonical(made_spans(spark, d))).select("doc_id", "entity_id", "beaten_by")
+    rows = beside(_made(spark, d), ["doc_id"]).select("doc_id", F.explode(canonical(F.col("_spans"))).alias("s")).select("doc_id", "s.*")
+    return resolve_overlaps(rows).select("doc_id", "entity_id", "beaten_by")
 
 
 @query(
-    f"WITH {_MADE_SQL} SELECT doc_id, entity_id, CASE WHEN entity_type IN ('PERSON', 'ORG', 'ADDRESS') AND source_detector <> 'regex' THEN confidence >= 0.85 ELSE confidence >= 0.85 END AS accepted, "
-    "confidence >= 0.6 AS reviewed FROM m"
+    f"SELECT doc_id, entity_id, CASE WHEN source_detector <> 'regex' THEN NOT semantic_conflict AND confidence >= CASE WHEN support_count >= 2 THEN 0.80 ELSE 0.85 END ELSE confidence >= 0.8 END AS accepted, "
+    f"semantic_conflict OR confidence >= 0.6 AS reviewed FROM ({_SEMANTIC_SQL})"
 )
 def accept_review(spark, d):
-    rows = canonical(made_spans(spark, d))
-    return rows.select("doc_id", "entity_id", accepted(0.85).alias("accepted"), reviewable(0.6).alias("reviewed"))
+    rows = fuse(_made(spark, d)).filter(F.col("entity_type").isin(*SEMANTIC))
+    return rows.select("doc_id", "entity_id", accepted(0.8).alias("accepted"), reviewable(0.6).alias("reviewed"))
 
 
-@query(
-    f"WITH {_MADE_SQL} SELECT doc_id, entity_id, row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY start, stop, rule_seq, entity_id, confidence DESC) AS ordinal FROM m WHERE entity_type <> 'PERSON' AND confidence >= 0.6 "
-    "UNION ALL SELECT doc_id, entity_id, k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop, rule_seq, entity_id, confidence DESC) AS k FROM m WHERE entity_type = 'PERSON') WHERE confidence >= 0.6"
-)
+@query(made.ORDINALS_SQL)
 def ordinals(spark, d):
-    return numbered(settled(canonical(made_spans(spark, d)))).select("doc_id", "entity_id", "ordinal")
+    rows = beside(made.named_spans(table(spark, d, "lineitem")), ["doc_id"])
+    return rows.select("doc_id", F.explode(numbered(canonical(F.col("_spans")))).alias("n")).select("doc_id", "n.span.entity_id", "n.ordinal")
 
 
-@query(f"WITH {_MADE_SQL} SELECT entity_type, max(CASE entity_type WHEN 'ADDRESS' THEN 3 WHEN 'PHONE' THEN 1 ELSE 2 END)::INT AS type_rank, count(*) AS n FROM m GROUP BY entity_type")
+@query(f"WITH {made.MADE_SQL} SELECT entity_type, max(CASE entity_type WHEN 'ADDRESS' THEN 3 WHEN 'PHONE' THEN 1 ELSE 2 END)::INT AS type_rank, count(*) AS n FROM m GROUP BY entity_type")
 def type_ranks(spark, d):
-    rows = canonical(made_spans(spark, d))
+    rows = made.named_spans(table(spark, d, "lineitem"))
     return rows.groupBy("entity_type").agg(F.max(type_rank(F.col("entity_type"))).alias("type_rank"), F.count("*").alias("n"))
 
 
-@query()
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    return made.named_texts(table(spark, d, "customer"))
+
+
+@query(made.MENTIONS_SQL)
 def person_mentions(spark, d):
-    """Names in made texts: a full name, then its forms."""
-    names = ["Piotr Malec", "Anna Nowak", "Patryk Kowalski", "Jan Zieliński", "Ewa Wójcik"]
-    forms = [" ".join([*first_name_forms(n.split()[0]).values(), *surname_forms(n.split()[1]).values()]) for n in names]
-    pick = lambda xs: F.get(F.array(*map(F.lit, xs)), (F.col("c_custkey") % len(xs)).cast("int"))
-    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(pick(names), F.lit(" podpisał umowę. Potem: "), pick(forms)).alias("text"))
-    return detect(docs, {"PERSON"}).select("doc_id", "raw_text", "start", "stop", "source_detector", "mention_rule")
+    """Names in made texts: seeds, then their forms."""
+    rows = detect(_named(spark, d), {"PERSON"}).filter("source_detector = 'mention_memory'")
+    return rows.select("doc_id", "raw_text", "start", "stop", "mention_rule", "mention_cluster_id", "confidence", "canonical_entity_id", "entity_id")
+
+
+@query(made.REDACTED_SQL)
+def redact_persons(spark, d):
+    return anonymize(_named(spark, d), types={"PERSON"}).select("doc_id", "text")
 
 
 # --- labelled corpus, coverage, catalogue --------------------------------------------------------
@@ -390,72 +513,36 @@ def corpus_metrics(spark, d):
     return analytics.corpus_metrics(count(labels, "e"), count(labels, "p"), count(labels.filter("e = p"), "e"))
 
 
-@query(
-    rf"""WITH s AS (SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '{_EMAIL}')) AS n FROM conversations)
-    SELECT conv_id, count(DISTINCT turn) AS segments, count(DISTINCT CASE WHEN n > 0 THEN turn END) AS segments_with_detections,
-        count(DISTINCT CASE WHEN n > 0 THEN turn END) AS segments_with_replacements, 0::BIGINT AS seed_entities, 0::BIGINT AS expanded_mentions FROM s GROUP BY conv_id"""
-)
+@query(made.COVERAGE_SQL)
 def coverage_summary(spark, d):
-    segments = table(spark, d, "conversations")
-    spans = settled(scan(segments, {"EMAIL"}, keys=("conv_id", "turn")))
-    return analytics.coverage(segments, spans, spans, "conv_id", "turn")
+    segments = _named(spark, d)
+    spans = settled(detect(segments, {"PERSON"}, keys=("c_nationkey", "doc_id")))
+    return analytics.coverage(segments, spans, spans, "c_nationkey", "doc_id")
 
 
-def _templates(spark, d):
-    pieces = table(spark, d, "lineitem").filter("l_orderkey % 4 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
-    tag = F.concat(F.lit("[NIP_"), F.col("l_linenumber").cast("string"), F.lit("]"))
-    base = pieces.select(
-        F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("segment_id"), F.lit("body:p:1").alias("container_id"),
-        F.lit("one").alias("section_id"), F.lit(0).alias("page_index"), F.concat(F.lit("value "), tag, F.lit(" ends")).alias("text"), F.array(tag).alias("refs"), F.col("l_partkey").alias("k"), tag.alias("tag"),
-    )
-    edited = base.filter("k % 7 <> 0").withColumn("text", F.when(F.col("k") % 7 == 1, F.lit("nothing left")).when(F.col("k") % 7 == 2, F.concat("text", F.lit(" "), "tag")).otherwise(F.col("text")))
-    vault = base.filter("k % 7 <> 3").select("doc_id", "segment_id", F.col("tag").alias("placeholder"), F.lit(6).alias("start"), F.lit(13).alias("stop"), F.sha2("tag", 256).alias("original_value_hash"))
-    return settled(base), settled(edited.drop("refs")), vault
-
-
-_REINJECT_SQL = """
-    WITH b AS (SELECT l_orderkey AS doc_id, 's' || l_linenumber AS segment_id, min(l_partkey) % 7 AS k, '[NIP_' || l_linenumber || ']' AS tag FROM lineitem WHERE l_orderkey % 4 = 0
-        GROUP BY l_orderkey, l_linenumber)
-    SELECT doc_id, segment_id, CASE WHEN k = 0 THEN NULL ELSE tag END AS placeholder,
-        CASE k WHEN 0 THEN 'missing_segment' WHEN 1 THEN 'placeholder_deleted' WHEN 2 THEN 'placeholder_duplicated' ELSE 'missing_vault_entry' END AS reason
-    FROM b WHERE k <= 3 UNION ALL SELECT doc_id, segment_id, NULL, 'placeholder_reordered' FROM b WHERE k = 2"""
+def _reinjected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    templates, edited, vault = made.edited_orders(spark, table(spark, d, "orders"))
+    return templates, *conflicts_and_decisions(settled(templates), settled(edited), vault)
 
 
-@query(_REINJECT_SQL)
+@query(made.CONFLICTS_SQL)
 def reinject_conflicts(spark, d):
-    return conflicts_and_decisions(*_templates(spark, d), fuzzy=False)[0]
-
-
-@query(
-    f"""WITH c AS ({_REINJECT_SQL}), g AS (SELECT l_orderkey AS doc_id, count(*) FILTER (k % 7 > 3) AS m FROM (SELECT l_orderkey, min(l_partkey) AS k FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY l_orderkey, l_linenumber) GROUP BY l_orderkey),
-    x AS (SELECT doc_id, count(DISTINCT segment_id) AS r, count(placeholder) AS p FROM c GROUP BY doc_id)
-    SELECT doc_id, CASE WHEN r > 0 THEN 'fail_closed' ELSE 'ready' END AS status, m AS matched_segments, coalesce(r, 0) AS rejected_segments, coalesce(p, 0) AS rejected_placeholders FROM g LEFT JOIN x USING (doc_id)"""
-)
-def reinject_status(spark, d):
-    templates, edited, vault = _templates(spark, d)
-    return plan_status(templates, *map(settled, conflicts_and_decisions(templates, edited, vault, fuzzy=False)))
+    return _reinjected(spark, d)[1]
 
 
-@query()
+@query(made.REINJECT_SQL)
 def reinject_fuzzy(spark, d):
-    """Conflicts and decisions over all orders, with segments that come back under other ids: one like the old text, one unlike it, or two alike."""
-    pieces = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
-    tag, k = F.concat(F.lit("[NIP_"), F.col("l_linenumber").cast("string"), F.lit("]")), F.col("l_partkey") % 7
-    base = pieces.select(
-        F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("segment_id"), F.lit("body:p:1").alias("container_id"),
-        F.lit("one").alias("section_id"), F.lit(0).alias("page_index"), F.concat(F.lit("value "), tag, F.lit(" ends")).alias("text"), F.array(tag).alias("refs"), k.alias("k"), tag.alias("tag"),
-    )
-    new = lambda mark, text: F.struct(F.concat(F.lit(mark), "segment_id").alias("segment_id"), F.concat(*text).alias("text"))
-    texts = F.when(F.col("k") == 1, F.array(new("", [F.lit("nothing left")]))).when(F.col("k") == 2, F.array(new("", ["text", F.lit(" "), "tag"])))
-    texts = texts.when(F.col("k") == 4, F.array(new("m", [F.lit("Value  "), "tag", F.lit(" ends.")]))).when(F.col("k") == 5, F.array(new("m", ["tag", F.lit(" is all that was kept of it")])))
-    texts = texts.when(F.col("k") == 6, F.array(new("m", ["text", F.lit("!")]), new("n", ["text", F.lit("?")]))).otherwise(F.array(new("", ["text"])))
-    back = base.filter("k <> 0").withColumn("back", F.explode(texts)).select("doc_id", "back.segment_id", "back.text", "section_id", "page_index", "container_id", "k")
-    back = back.withColumn("container_id", F.when(F.col("k") > 3, F.lit("body:p:9")).otherwise(F.col("container_id")))
-    vault = base.filter("k <> 3").select("doc_id", "segment_id", F.col("tag").alias("placeholder"), F.lit(6).alias("start"), F.lit(13).alias("stop"), F.sha2("tag", 256).alias("original_value_hash"))
-    conflicts, decisions = conflicts_and_decisions(settled(base), settled(back), vault)
+    """What becomes of every placeholder of edited segments: every kind of conflict, missing segments, and exact and fuzzy matches."""
+    _, conflicts, decisions = _reinjected(spark, d)
     return conflicts.withColumnRenamed("reason", "outcome").unionByName(decisions.select("doc_id", "segment_id", "placeholder", F.col("decision_reason").alias("outcome")))
 
 
+@query(made.STATUS_SQL)
+def reinject_status(spark, d):
+    templates, conflicts, decisions = _reinjected(spark, d)
+    return plan_status(templates, settled(conflicts), settled(decisions))
+
+
 @query(
     f"WITH t AS ({_NO_OVERLAP_SQL.replace('<EDIT>', _PLACEHOLDER_SQL)}) SELECT doc_id, p AS placeholder, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\[[A-Z_]+_\\d+\\]')) AS p FROM t) GROUP BY ALL"
 )
@@ -487,6 +574,77 @@ def vault_check(spark, d):
     return opened(rows, "a key", ["c_custkey", "c_name", "expires_at"], expires="expires_at").select("c_custkey", "problem")
 
 
-@query("SELECT 41::BIGINT AS rules, 55::BIGINT AS all_rules")
-def rule_catalogue(spark, d):
-    return spark.createDataFrame([(len(CATALOGUE), len(ordered()))], "rules bigint, all_rules bigint")
+@query("SELECT o_orderkey, o_orderkey % 5 NOT IN (0, 1) AS valid FROM orders")
+def report_round_trip(spark, d):
+    """Reports as JSON texts, some cut short and some with a field that the schema doesn't know."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.to_json(F.struct("o_custkey", "o_orderstatus", "o_totalprice")).alias("report"))
+    k = F.col("o_orderkey") % 5
+    cut = F.when(k == 0, F.left("report", F.lit(12))).when(k == 1, F.regexp_replace("report", r"\}$", ',"more":1}')).otherwise(F.col("report"))
+    schema = "o_custkey bigint, o_orderstatus string, o_totalprice double"
+    return analytics.round_trips(rows.withColumn("report", cut), schema=schema).select("o_orderkey", "valid")
+
+
+@query("""
+    SELECT c_custkey, 'E' || c_custkey AS entity_id, CASE c_custkey % 5 WHEN 0 THEN 'keep' WHEN 1 THEN 'drop' WHEN 2 THEN 'extend_left' WHEN 3 THEN 'extend_right' ELSE 'relabel' END AS action,
+        CASE WHEN c_custkey % 5 = 4 THEN 'ORG' END AS replacement_entity_type FROM customer WHERE c_custkey % 7 <> 0""")
+def review_suggestions(spark, d):
+    """A reviewer that reads the entity's id in the prompt and answers with chatter around a JSON object; texts without spans aren't shown to it."""
+    docs = table(spark, d, "customer").select("c_custkey", F.concat(F.lit('say "'), "c_name", F.lit('"')).alias("text"))
+    spans = docs.filter("c_custkey % 7 <> 0").select(
+        "c_custkey", F.concat(F.lit("E"), F.col("c_custkey").cast("string")).alias("entity_id"), F.lit("PERSON").alias("entity_type"), F.lit("x").alias("raw_text"), F.lit(0).alias("start"), F.lit(1).alias("stop"),
+        F.lit(0.7).alias("confidence"),
+    )
+
+    def ask(prompt: Column) -> Column:
+        seen = F.from_json(prompt, "text string, types array<string>, entities array<struct<entity_id:string>>")
+        entity = seen["entities"][0]["entity_id"]
+        action = F.get(F.array(*map(F.lit, reviews.ACTIONS)), F.substr(entity, F.lit(2)).cast("int") % 5)
+        kind = F.when(action == "relabel", F.concat(F.lit(', "replacement_entity_type": "'), seen["types"][1], F.lit('"'))).otherwise("")
+        return F.concat(F.lit('Sure! {"suggestions": [{"entity_id": "'), entity, F.lit('", "reason": "r", "action": "'), action, F.lit('"'), kind, F.lit("}]} Bye."))
+
+    template = '{"text": {{ text_window | tojson }}, "types": {{ allowed_entity_types | tojson }}, "entities": {{ entities | tojson }}}'
+    return reviews.suggestions(docs, spans, ask, template, ["PERSON", "ORG"], keys=("c_custkey",)).select("c_custkey", "entity_id", "action", "replacement_entity_type")
+
+
+@query("SELECT o_orderkey, 3::BIGINT AS before, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 3 END::BIGINT AS after FROM orders")
+def xml_leaf_counts(spark, d):
+    xml = F.concat(F.lit('<o k="'), F.col("o_orderkey").cast("string"), F.lit('"> <s>'), "o_orderstatus", F.lit("</s><p>"), "o_orderpriority", F.lit("</p></o>"))
+    rows = table(spark, d, "orders").select("o_orderkey", xml.alias("text"))
+    after = rows.withColumn("text", F.when(F.col("o_orderkey") % 3 == 0, F.regexp_replace("text", "<p>.*</p>", "<p> </p>")).otherwise(F.col("text")))
+    return leaf_differences(rows, after, "xml", "o_orderkey").select("o_orderkey", "before", "after")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'JSON scalar segment count changed.' END AS warning FROM orders")
+def json_leaf_counts(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.to_json(F.struct("o_custkey", F.array("o_orderstatus", "o_orderpriority").alias("both"), F.struct("o_totalprice").alias("in"))).alias("text"))
+    after = rows.withColumn("text", F.when(F.col("o_orderkey") % 4 == 0, F.regexp_replace("text", r"\[.*\]", "[]")).otherwise(F.col("text")))
+    return leaf_differences(rows, after, "json", "o_orderkey").select("o_orderkey", "warning")
+
+
+_BENCHMARK = "WITH e AS (SELECT 'EMAIL' AS t, c_custkey % 4 AS k FROM customer UNION ALL SELECT 'IP_ADDRESS', c_custkey % 4 FROM customer)"
+
+
+@query(f"""{_BENCHMARK}, r AS (SELECT t AS entity_type, count(*)::BIGINT AS expected, count(*) FILTER (t = 'EMAIL' OR k <> 3)::BIGINT AS predicted, count(*) FILTER (t = 'EMAIL' OR k <> 3)::BIGINT AS matched
+        FROM e GROUP BY ROLLUP (t))
+    SELECT *, round(matched / expected, 4) AS recall, round(matched / predicted, 4) AS precision, CASE WHEN entity_type IS NULL THEN false END AS passed FROM r""")
+def corpus_benchmark(spark, d):
+    """Labelled texts with an e-mail and an IP address each; every fourth address is none, so recall misses the target."""
+    key = F.col("c_custkey")
+    address = F.concat(F.lit("10.0."), (key % 256).cast("string"), F.when(key % 4 == 3, F.lit(".999")).otherwise(F.lit(".7")))
+    mail = F.concat(F.lit("a"), key.cast("string"), F.lit("@mail.pl"))
+    rows = table(spark, d, "customer").select(key.alias("id"), mail.alias("m"), address.alias("a"))
+    samples = rows.select("id", F.concat(F.lit("pisz "), "m", F.lit(" z "), "a", F.lit(" ")).alias("text"))
+    pairs = F.array(F.struct(F.lit("EMAIL").alias("t"), F.col("m").alias("v")), F.struct(F.lit("IP_ADDRESS").alias("t"), F.col("a").alias("v")))
+    expected = rows.select("id", F.posexplode(pairs).alias("seq", "e")).select("id", "seq", F.col("e.t").alias("entity_type"), F.col("e.v").alias("text"))
+    return analytics.corpus_benchmark(samples, expected, types=("EMAIL", "IP_ADDRESS"))[0]
+
+
+@query(
+    f"WITH t AS ({_NO_OVERLAP_SQL.replace('<EDIT>', _PLACEHOLDER_SQL)}), p AS (SELECT DISTINCT lang, doc_id, unnest(regexp_extract_all(text, '\\[[A-Z_]+_\\d+\\]')) AS placeholder FROM t JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)) "
+    "SELECT lang, placeholder, array_to_string(list(doc_id ORDER BY doc_id), ',') AS segments FROM p GROUP BY ALL"
+)
+def placeholder_segments(spark, d):
+    """Which documents of each language hold a placeholder."""
+    langs = table(spark, d, "documents").select("doc_id", "lang")
+    found = analytics.placeholder_segments(_redaction(None)(spark, d).join(langs, "doc_id"), "lang", "doc_id")
+    return found.select("lang", "placeholder", F.array_join(F.transform("segments", lambda s: s.cast("string")), ",").alias("segments"))

@@ -2,51 +2,85 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import NORMALIZERS
-from ..functions.rules import CATALOGUE, Rule
+from ..functions.rules import CATALOGUE, FLAGS, Rule, marked
 from ..functions.validate import VALIDATORS
 
 SCHEMA = (
     "rule_id int, entity_type string, pattern string, normalizer string, validator string, confidence double, context boolean, priority int, "
-    "description string, tail int, enabled boolean, managed boolean"
+    "description string, needs array<string>, digits int, enabled boolean, managed boolean"
 )
 
 
+def _row(rule_id: int, rule: Rule, managed: bool) -> tuple:
+    return (rule_id, *rule._replace(needs=list(rule.needs)), True, managed)
+
+
+def _rule(row) -> Rule:
+    return Rule(*[tuple(row[f] or ()) if f == "needs" else row[f] for f in Rule._fields])
+
+
 def default_rules(spark: SparkSession) -> DataFrame:
     """The fixed rules with ids that stay."""
-    return spark.createDataFrame([(i, *r, True, True) for i, r in enumerate(CATALOGUE, 1)], SCHEMA)
+    return spark.createDataFrame([_row(i, r, True) for i, r in enumerate(CATALOGUE, 1)], SCHEMA)
 
 
 def entity_types(rules: DataFrame) -> DataFrame:
     return rules.select("entity_type").distinct()
 
 
-def _checked(rule: Rule, types: set[str]) -> Rule:
-    rule = rule._replace(entity_type=rule.entity_type.strip().upper())
-    if rule.entity_type not in types:
-        raise ValueError(f"unknown entity type {rule.entity_type}")
-    if rule.normalizer not in NORMALIZERS or rule.validator not in VALIDATORS:
-        raise ValueError("unknown normalizer or validator")
-    if not 0 <= rule.confidence <= 1:
-        raise ValueError("confidence lies outside 0 and 1")
-    return rule
+def _checked(spark: SparkSession, rules: Iterable[Rule], types: set[str] | None) -> list[Rule]:
+    """Rules with their types in upper case; ValueError for an unknown type, normaliser or validator, a confidence outside 0 and 1, a
+    pattern that is no regular expression, and one whose span has no certain place."""
+    out = []
+    for rule in rules:
+        rule = rule._replace(entity_type=rule.entity_type.strip().upper(), digits=rule.digits or 0)
+        if types is not None and rule.entity_type not in types:
+            raise ValueError(f"unknown entity type {rule.entity_type}")
+        if rule.normalizer not in NORMALIZERS or rule.validator not in VALIDATORS:
+            raise ValueError("unknown normalizer or validator")
+        if not 0 <= rule.confidence <= 1:
+            raise ValueError("confidence lies outside 0 and 1")
+        out.append(rule)
+    try:
+        spark.range(1).select(*[F.concat(F.lit(""), F.col("id").cast("string")).rlike(FLAGS + marked(r.pattern)).alias(f"c{i}") for i, r in enumerate(out)]).collect()
+    except (PySparkException, Py4JJavaError) as e:
+        raise ValueError("a pattern is no regular expression") from e
+    return out
+
+
+def _added(rules: DataFrame, new: list[Rule]) -> tuple[DataFrame, int]:
+    first = (rules.agg(F.max("rule_id")).first()[0] or 0) + 1
+    rows = [_row(first + i, r, False) for i, r in enumerate(new)]
+    return rules.unionByName(rules.sparkSession.createDataFrame(rows, SCHEMA)), first
 
 
 def add_rule(rules: DataFrame, rule: Rule, new_type: bool = False) -> tuple[DataFrame, int]:
     """``rules`` and one more, and its id; its type must be known unless ``new_type``."""
-    known = {r["entity_type"] for r in entity_types(rules).collect()} | ({rule.entity_type.strip().upper()} if new_type else set())
-    rule = _checked(rule, known)
-    if rules.filter((F.col("entity_type") == rule.entity_type) & (F.col("pattern") == rule.pattern)).count():
+    known = None if new_type else {r["entity_type"] for r in entity_types(rules).collect()}
+    [rule] = _checked(rules.sparkSession, [rule], known)
+    if not rules.filter((F.col("entity_type") == rule.entity_type) & (F.col("pattern") == rule.pattern)).isEmpty():
         raise ValueError("the rule is there already")
-    rule_id = (rules.agg(F.max("rule_id")).first()[0] or 0) + 1
-    return rules.unionByName(rules.sparkSession.createDataFrame([(rule_id, *rule, True, False)], SCHEMA)), rule_id
+    return _added(rules, [rule])
+
+
+def disable_rules(rules: DataFrame, rule_ids: Iterable[int]) -> DataFrame:
+    """``rules`` with those of the given ids disabled; ValueError for an id that isn't there."""
+    rule_ids = set(rule_ids)
+    if missing := rule_ids - {r["rule_id"] for r in rules.select("rule_id").collect()}:
+        raise ValueError(f"no rule has the id {min(missing)}")
+    return rules.withColumn("enabled", F.col("enabled") & ~F.col("rule_id").isin(*rule_ids)) if rule_ids else rules
 
 
 def disable_rule(rules: DataFrame, rule_id: int) -> DataFrame:
-    return rules.withColumn("enabled", F.col("enabled") & (F.col("rule_id") != rule_id))
+    return disable_rules(rules, [rule_id])
 
 
 def load_rules(rules: DataFrame, types: set[str] | None = None) -> list[Rule]:
@@ -54,7 +88,7 @@ def load_rules(rules: DataFrame, types: set[str] | None = None) -> list[Rule]:
     rows = rules.filter("enabled")
     if types is not None:
         rows = rows.filter(F.col("entity_type").isin(*types))
-    return [Rule(*[r[f] for f in Rule._fields]) for r in rows.orderBy("priority", "rule_id").collect()]
+    return [_rule(r) for r in rows.orderBy("priority", "rule_id").collect()]
 
 
 def export_rules(rules: DataFrame, path: str) -> None:
@@ -62,12 +96,14 @@ def export_rules(rules: DataFrame, path: str) -> None:
 
 
 def import_rules(rules: DataFrame, path: str, replace: bool = False) -> tuple[DataFrame, int]:
-    """``rules`` with those of an export that it lacks (with ``replace``, its own unmanaged ones go first), and how many came."""
+    """``rules`` with those of an export that it lacks (with ``replace``, its own unmanaged ones go first), and how many came.
+
+    All rules are checked before any is added. Of rules of one type and pattern the one with the smallest id comes.
+    """
     base = rules.filter("managed") if replace else rules
-    own = base.select("entity_type", "pattern")
-    new = rules.sparkSession.read.schema(SCHEMA).json(path).join(own, ["entity_type", "pattern"], "left_anti").collect()
-    count = 0
-    for r in sorted(new, key=lambda r: r["rule_id"]):
-        base, _ = add_rule(base, Rule(*[r[f] for f in Rule._fields]), new_type=True)
-        count += 1
-    return base, count
+    given = rules.sparkSession.read.schema(SCHEMA).json(path)
+    lacking = given.join(base.select("entity_type", "pattern"), ["entity_type", "pattern"], "left_anti")
+    # a catalogue has some hundreds of rules
+    rows = {(r["entity_type"], r["pattern"]): r for r in sorted(lacking.collect(), key=lambda r: -r["rule_id"])}
+    new = _checked(rules.sparkSession, [_rule(r) for r in sorted(rows.values(), key=lambda r: r["rule_id"])], None)
+    return (_added(base, new)[0] if new else base), len(new)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: XML name spaces, parts whose loss counts, relationships that must stay, and by how many paragraphs a body may differ.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -118,3 +120,54 @@ def labelled_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     rows = spark.read.json(path, multiLine=True).select(F.explode("samples").alias("s")).select("s.*")
     entities = rows.select("id", F.posexplode("entities").alias("seq", "e"))
     return rows.select("id", "text"), entities.select("id", "seq", F.col("e.type").alias("entity_type"), F.col("e.text").alias("text"))
+
+
+#: Folders of artifacts by kind, and the files' endings where they are always the same.
+ARTIFACTS = {
+    "original": ("originals", ""), "anonymized": ("anonymized", ""), "reinjected": ("reinjected", ""), "restored": ("restored", ""), "report": ("reports", ".json"),
+    "injector_export": ("reports", ".injector.json"), "reinjection_report": ("reinjection_reports", ".json"), "restore_report": ("restore_reports", ".json"),
+    "vault": ("vaults", ".json"), "temp": ("temp", ""),
+}
+
+
+def artifact_path(root: str, kind: str, artifact_id: str, ending: str = "") -> str:
+    """Where an artifact lies under ``root``."""
+    folder, own = ARTIFACTS[kind]
+    return f"{root.rstrip('/')}/{folder}/{artifact_id}{own or ending}"
+
+
+def _leaves(value) -> int:
+    if isinstance(value, dict):
+        return sum(map(_leaves, value.values()))
+    return sum(map(_leaves, value)) if isinstance(value, list) else 1
+
+
+@F.pandas_udf(LongType())
+def json_leaves(texts: pd.Series) -> pd.Series:
+    """How many scalars a JSON text holds; null for one that can't be read."""
+
+    def one(t):
+        try:
+            return _leaves(json.loads(t))
+        except (TypeError, ValueError):
+            return None
+
+    return texts.map(one).astype("Int64")
+
+
+def xml_leaves(text: Column) -> Column:
+    """How many texts that aren't blank and attributes an XML text holds."""
+    return (F.size(F.xpath(text, F.lit("//text()[normalize-space()]"))) + F.size(F.xpath(text, F.lit("//@*")))).cast("bigint")
+
+
+def leaf_differences(before: DataFrame, after: DataFrame, kind: str, key: str = "path", text: str = "text") -> DataFrame:
+    """key, leaves of either side, and warning: null, or that their numbers differ; ``kind`` is json or xml. A null side can't be read."""
+    count = json_leaves if kind == "json" else xml_leaves
+    a, b = before.select(key, count(F.col(text)).alias("before")), after.select(key, count(F.col(text)).alias("after"))
+    message = "JSON scalar segment count changed." if kind == "json" else "XML text and attribute segment count changed."
+    return a.join(b, key, "left").withColumn("warning", F.when(~F.col("before").eqNullSafe(F.col("after")), message))
+
+
+def listed(names: Column) -> Column:
+    """The entries of a list parted by commas, without empty ones."""
+    return F.filter(F.split(F.coalesce(names, F.lit("")), ","), lambda n: n != "")

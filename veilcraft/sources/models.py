@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 #: What labels of named-entity models mean, the confidence of predictions without one, and the least one.
 LABELS = {"person": "PERSON", "organization": "ORG", "city": "CITY", "address": "ADDRESS"}
 MISSING_SCORE, THRESHOLD = 0.65, 0.45
+#: Words of page headers that aren't entities.
+GENERIC = ("page", "strona")
 _FOUND = "entity_type string, raw_text string, normalized_text string, confidence double, start bigint, stop bigint"
 
 
@@ -22,8 +24,11 @@ class Predictor(Protocol):
     def __call__(self, texts: list[str]) -> list[Iterable[tuple[str, int, int, float | None]]]: ...
 
 
-def model_spans(docs: DataFrame, load: Callable[[], Predictor], detector: str, labels: dict[str, str] = LABELS, threshold: float = THRESHOLD, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Candidate spans of a model, with the columns that fusion reads; errors of the model end the job."""
+def model_spans(docs: DataFrame, load: Callable[[], Predictor], detector: str, labels: dict[str, str] = LABELS, threshold: float = THRESHOLD, fixed: float | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """Candidate spans of a model, with the columns that fusion reads; errors of the model end the job.
+
+    With ``fixed`` every span has that confidence, and spans without a letter or digit or that are one of GENERIC are left out.
+    """
     schema = StructType([*[docs.schema[k] for k in keys], *StructType.fromDDL(_FOUND).fields])
 
     def run(batches):
@@ -32,8 +37,9 @@ def model_spans(docs: DataFrame, load: Callable[[], Predictor], detector: str, l
             rows = []
             for own, t, found in zip(b[list(keys)].itertuples(index=False), b[text], predict(b[text].tolist())):
                 for label, start, stop, score in found:
-                    score = MISSING_SCORE if score is None else float(score)
-                    if score >= threshold:
+                    score = fixed if fixed is not None else MISSING_SCORE if score is None else float(score)
+                    generic = fixed is not None and (t[start:stop].strip().casefold() in GENERIC or not any(map(str.isalnum, t[start:stop])))
+                    if score >= threshold and not generic:
                         rows.append((*own, labels.get(label.lower(), label.upper()), t[start:stop], t[start:stop].strip(), score, start, stop))
             yield pd.DataFrame(rows, columns=schema.names)
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.rules import ordered
 from ..operators.anonymize import anonymize
+from ..operators.scan import with_spans
 
 
 def redact_stream(texts: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("doc_id",), **options) -> StreamingQuery:
@@ -22,13 +24,8 @@ def redact_stream(texts: DataFrame, path: str, checkpoint: str, keys: tuple[str,
 
 
 def windowed_findings(texts: DataFrame, time: str, width: str = "10 minutes", late: str = "10 minutes", types: Iterable[str] | None = None, text: str = "text") -> DataFrame:
-    """Documents of each window of event time that hold spans of ``types``; a stream or a table."""
-    from ..functions.rules import FLAGS, ordered
-
-    hit = F.lit(False)
-    for rule in ordered(types):
-        hit = hit | F.coalesce(F.col(text).rlike(FLAGS + rule.pattern), F.lit(False))
-    rows = texts.withWatermark(time, late) if texts.isStreaming else texts
-    return rows.groupBy(F.window(time, width)).agg(F.count("*").alias("texts"), F.count_if(hit).alias("with_candidates"))
-
-
+    """Texts of each window of event time, those with valid spans of ``types``, and how many spans they have; a stream or a table."""
+    rows = with_spans(texts, ordered(types), text)
+    rows = rows.withWatermark(time, late) if texts.isStreaming else rows
+    n = F.size("_spans")
+    return rows.groupBy(F.window(time, width)).agg(F.count("*").alias("texts"), F.count_if(n > 0).alias("with_spans"), F.sum(n).alias("spans"))
