@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from veilcraft.llm.labels import training_labels
-from veilcraft.llm.maxent_lm import CLASSES, HEAD, SHAPES, Lexicon, both, class_scores, features, language_scores, tokens, word_scores
+from veilcraft.llm.maxent_lm import END, SLOTS, Lexicon, Sizes, _most_frequent, both, class_scores, language_scores, score_documents, sizes_for, softmax_log, tokens, train, word_scores
 from veilcraft.llm.quality import Gaussian, probability, quality_scores, statistics
 from veilcraft.llm.toxicity import NAMES, nearest, toxicity_scores
 from veilcraft.llm.toxicity import features as toxic_features
@@ -30,22 +30,73 @@ def test_language_model_base_score(docs):
     assert all(r.score < 0 for r in got)
 
 
+Z = Sizes(last=16, skip=4, skip_word=2, both=32, head=64, tail_classes=4)
+
+
 def test_language_model_is_a_distribution():
     rnd = np.random.default_rng(1)
-    w = {k: rnd.normal(size=v) for k, v in SHAPES.items()}
-    assert np.allclose(np.exp(class_scores(w, 3)).sum(axis=1), 1)
-    assert np.allclose(np.exp(word_scores(w, 3)).reshape(8, 32, 32).sum(axis=2), 1)
-    assert CLASSES == 48 and HEAD == 1024 and int(both(np.array(511), np.array(63))) < SHAPES["class_both"][0]
+    w = {k: rnd.normal(size=v) for k, v in Z.shapes().items()}
+    assert np.allclose(np.exp(class_scores(w, 3, Z)).sum(axis=1), 1)
+    assert np.allclose(np.exp(word_scores(w, 3, Z)).reshape(2, 2, 32).sum(axis=2), 1)
+    assert Z.classes == 6 and int(both(np.array(15), np.array(3), Z)) < 32
 
 
 def test_features_stay_within_documents():
-    lexicon = Lexicon([b" ", b"a", b"b"])
+    lexicon = Lexicon([b" ", b"a", b"b"], Z)
     words = [b"a", b"b", b" ", b"b", b" ", b" "]
-    outcome, last, skip = features(lexicon.codes(words), np.array([0, 3, 5]))
+    outcome, last, skip = lexicon.features(lexicon.codes(words), np.array([0, 3, 5]))
     assert outcome.tolist() == [1, 2, 0, 2, 0, 0]
     assert last[0] == last[3] == last[5] and skip[0] == skip[1] == skip[3] == skip[4] == skip[5] and last[1] != last[2]
 
 
+def test_sizes_grow_with_the_corpus():
+    weights = [sum(math.prod(v) for v in sizes_for(n).shapes().values()) for n in (10**3, 10**6, 10**9, 10**12)]
+    assert all(3 * a < b < 40 * a for a, b in zip(weights, weights[1:]))
+    assert all(z.keys * z.last < 2**62 and sum(z.bits()) + 18 < 63 for z in map(sizes_for, (0, 10**9, 10**14)))
+
+
+@pytest.mark.parametrize("most", [5, 40, 1000])
+def test_most_frequent_words_of_one_band(spark, most):
+    rows = [(b"w%d" % i, 7) for i in range(300)] + [(b"x", 9000)]
+    got = _most_frequent(spark.createDataFrame([(bytearray(w), n) for w, n in rows], "word binary, n bigint"), most)
+    assert len(got) <= most and bytes(got[0]["word"]) == b"x" and len(got) >= min(0.6 * most, 301)
+
+
+def test_language_model_score_against_brute_force(spark):
+    rnd = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(rnd.choice(vocabulary[: rnd.choice([5, 40, 150])]) for _ in range(rnd.randint(0, 30)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    model, counts = train(docs.filter("doc_id < 40"), steps=3, sizes=Z, frequent_words=80)
+    m = model.value
+    w, frequent = m["weights"], m["frequent"]
+    own = Counter(t for i, text in rows if i < 40 for t in tokens(text))
+    head = frequent[: Z.head]
+    crc = lambda x, n: zlib.crc32(x) % n
+    group = lambda t: crc(t[-2:], Z.tail_classes)
+    tail = [sum(c + 1 for t, c in own.items() if t not in head and group(t) == k) + 1 for k in range(Z.tail_classes)]
+
+    def log10(text):
+        out, words = 0.0, tokens(text)
+        for i, t in enumerate(words):
+            last = crc(words[i - 1] + b"\n" if i else b"\n", Z.last)
+            skip = crc(words[i - 2] + b"\n!" if i > 1 else b"\n!", Z.skip)
+            x = w["class_bias"] + w["class_last"][last] + w["class_skip"][skip] + w["class_both"][int(both(last, skip, Z))]
+            if t in head:
+                p = head.index(t)
+                y = w["word_bias"] + w["word_last"][last] + w["word_skip"][skip % Z.skip_word]
+                k = p // SLOTS
+                out += softmax_log(x)[k] / math.log(10) + softmax_log(y[k * SLOTS : (k + 1) * SLOTS])[p % SLOTS] / math.log(10)
+            else:
+                k = group(t)
+                out += softmax_log(x)[Z.head_classes + k] / math.log(10) + math.log10((own[t] + 1) / tail[k])
+        return out
+
+    assert frequent[0] == END and m["train_tokens"] == own.total() and m["vocabulary"] == len(own)
+    for r in score_documents(docs, model, counts).collect():
+        assert abs(r.score - log10(dict(rows)[r.doc_id])) < 1e-3 * max(1, r.n_tokens)
+
+
 def test_context_helps(spark):
     rnd = random.Random(5)
     rows = [(i, " ".join(f"{a} {a}x {a}y" for a in (rnd.choice("pqrstuvw") for _ in range(40)))) for i in range(200)]

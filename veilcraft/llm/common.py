@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from array import array
 from collections.abc import Iterator
 
@@ -23,11 +22,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset one in the warehouse."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="checkpoints-")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path

@@ -5,9 +5,9 @@ both together. Frequent words (the head) have classes of ``SLOTS`` words by rank
 the hash of their last two bytes. p(word) = p(class | features) * p(word | class, features) in the head; in a tail
 class p(word) = (c + 1) / (N + V + 1) with the word's count and the class's tokens and distinct words in training.
 
-All training tokens are counted, by Spark, into tables of (features, outcome), whose number of keys is bounded by the hash
-sizes. Training repeats preconditioned gradient steps (observed less expected counts): each step spreads the current weights,
-partitions of the table return their expected counts, and the driver updates a model of fixed size. Scoring
+All training tokens are counted, by Spark, into tables of (features, outcome). The numbers of hash values, of frequent words and of
+classes grow with the number of training tokens (``sizes_for``), and so does what is counted and learnt. Training repeats preconditioned gradient steps (observed less expected counts): each step spreads the current weights,
+partitions of the table return their expected counts, and the driver updates the model. Scoring
 gathers single weights for batches of tokens in numpy. Counts of words outside the broadcast head of the vocabulary
 come by a join on the word.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +26,55 @@ from pyspark.sql import functions as F
 
 from .common import settled, small_batches
 
-#: Fixed sizes of the model.
-SLOTS, HEAD_CLASSES, TAIL_CLASSES = 32, 32, 16
-HEAD, CLASSES = SLOTS * HEAD_CLASSES, HEAD_CLASSES + TAIL_CLASSES
-LAST, SKIP, SKIP_WORD, BOTH = 512, 64, 8, 8192
+#: Words in a class of frequent words.
+SLOTS = 32
 #: So many of the most frequent words are broadcast with their counts.
 FREQUENT = 131_072
 STEPS, PRIOR = 8, 4.0
 #: The end of a document; no word holds a space.
 END = b" "
-START = (zlib.crc32(b"\n") % LAST, zlib.crc32(b"\n!") % SKIP)
-#: Bits of a packed word: outcome (head word, or HEAD + tail class), hashes as last and skip word, place among the frequent.
-OUTCOME_BITS, LAST_BITS, SKIP_BITS = 11, 9, 6
+
+
+class Sizes(NamedTuple):
+    """Numbers of hash values of features, of frequent words that are predicted one by one (the head), and of classes of all others."""
+
+    last: int
+    skip: int
+    skip_word: int
+    both: int
+    head: int
+    tail_classes: int
+
+    @property
+    def head_classes(self) -> int:
+        return self.head // SLOTS
+
+    @property
+    def classes(self) -> int:
+        return self.head_classes + self.tail_classes
+
+    @property
+    def keys(self) -> int:
+        """Outcomes that are counted under one hash of the last word."""
+        return self.skip * self.classes + self.skip_word * self.head
+
+    def bits(self) -> tuple[int, int, int]:
+        """Bits of a packed word: outcome (head word, or head + tail class), and hashes as last and as skip word."""
+        return (self.head + self.tail_classes - 1).bit_length(), (self.last - 1).bit_length(), (self.skip - 1).bit_length()
+
+    def shapes(self) -> dict[str, tuple[int, ...]]:
+        return {
+            "class_bias": (self.classes,), "class_last": (self.last, self.classes), "class_skip": (self.skip, self.classes), "class_both": (self.both, self.classes),
+            "word_bias": (self.head,), "word_last": (self.last, self.head), "word_skip": (self.skip_word, self.head),
+        }
+
+
+def sizes_for(train_tokens: int) -> Sizes:
+    """Sizes that grow with the corpus: powers of two by roots of its tokens, so the model of a corpus a million times as large has some thirty
+    times the weights."""
+    octaves = max(train_tokens, 2).bit_length()
+    two = lambda x: 1 << max(0, round(x))
+    return Sizes(two(octaves / 6 + 5), two(octaves / 8 + 3), 8, two(octaves / 4 + 7), two(octaves / 6 + 6), two(octaves / 12 + 2))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -48,22 +86,25 @@ def tokens(text: str | None) -> list[bytes]:
 class Lexicon(dict):
     """Packed numbers of words; words outside the frequent ones are added as they come, up to a bound."""
 
-    def __init__(self, frequent: list[bytes], most: int = 400_000):
-        self.frequent, self.most = frequent, most
+    def __init__(self, frequent: list[bytes], sizes: Sizes, most: int = 400_000):
+        self.frequent, self.most, self.sizes = frequent, most, sizes
+        self.outcome_bits, self.last_bits, self.skip_bits = sizes.bits()
         self._fill()
 
     def _fill(self) -> None:
         self.clear()
         for i, w in enumerate(self.frequent):
-            self[w] = self._pack(w, i if i < HEAD else HEAD + zlib.crc32(w[-2:]) % TAIL_CLASSES, i + 1)
+            self[w] = self._pack(w, i if i < self.sizes.head else self._tail(w), i + 1)
 
-    @staticmethod
-    def _pack(w: bytes, outcome: int, place: int) -> int:
-        last, skip = zlib.crc32(w + b"\n") % LAST, zlib.crc32(w + b"\n!") % SKIP
-        return outcome | last << OUTCOME_BITS | skip << (OUTCOME_BITS + LAST_BITS) | place << (OUTCOME_BITS + LAST_BITS + SKIP_BITS)
+    def _tail(self, w: bytes) -> int:
+        return self.sizes.head + zlib.crc32(w[-2:]) % self.sizes.tail_classes
+
+    def _pack(self, w: bytes, outcome: int, place: int) -> int:
+        last, skip = zlib.crc32(w + b"\n") % self.sizes.last, zlib.crc32(w + b"\n!") % self.sizes.skip
+        return outcome | (last | (skip | place << self.skip_bits) << self.last_bits) << self.outcome_bits
 
     def __missing__(self, w: bytes) -> int:
-        v = self[w] = self._pack(w, HEAD + zlib.crc32(w[-2:]) % TAIL_CLASSES, 0)
+        v = self[w] = self._pack(w, self._tail(w), 0)
         return v
 
     def codes(self, words: list[bytes]) -> np.ndarray:
@@ -71,28 +112,32 @@ class Lexicon(dict):
             self._fill()
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Of each word among the frequent ones, from one on; zero for others."""
+        return codes >> (self.outcome_bits + self.last_bits + self.skip_bits)
 
-def features(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """outcome, last and skip of each token; ``starts`` are the places of documents' first tokens."""
-    outcome = codes & (1 << OUTCOME_BITS) - 1
-    own_last = codes >> OUTCOME_BITS & (1 << LAST_BITS) - 1
-    own_skip = codes >> (OUTCOME_BITS + LAST_BITS) & (1 << SKIP_BITS) - 1
-    last, skip = np.empty_like(own_last), np.empty_like(own_skip)
-    last[1:], skip[2:] = own_last[:-1], own_skip[:-2]
-    last[starts] = START[0]
-    skip[starts] = START[1]
-    after = starts[starts + 1 < len(codes)] + 1
-    skip[after] = START[1]
-    return outcome, last, skip
+    def features(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """outcome, last and skip of each token; ``starts`` are the places of documents' first tokens."""
+        z = self.sizes
+        first = zlib.crc32(b"\n") % z.last, zlib.crc32(b"\n!") % z.skip
+        outcome = codes & (1 << self.outcome_bits) - 1
+        own_last = codes >> self.outcome_bits & (1 << self.last_bits) - 1
+        own_skip = codes >> (self.outcome_bits + self.last_bits) & (1 << self.skip_bits) - 1
+        last, skip = np.empty_like(own_last), np.empty_like(own_skip)
+        last[1:], skip[2:] = own_last[:-1], own_skip[:-2]
+        last[starts] = first[0]
+        skip[starts] = first[1]
+        skip[starts[starts + 1 < len(codes)] + 1] = first[1]
+        return outcome, last, skip
 
 
-def class_of(outcome: np.ndarray) -> np.ndarray:
-    return np.where(outcome < HEAD, outcome // SLOTS, outcome - HEAD + HEAD_CLASSES)
+def class_of(outcome: np.ndarray, z: Sizes) -> np.ndarray:
+    return np.where(outcome < z.head, outcome // SLOTS, outcome - z.head + z.head_classes)
 
 
-def both(last, skip):
+def both(last, skip, z: Sizes):
     """Hash of the last two words together."""
-    return ((last * SKIP + skip) * 40503 >> 3) % BOTH
+    return ((last * z.skip + skip) * 40503 >> 3) % z.both
 
 
 # --- counts --------------------------------------------------------------------------------------
@@ -119,20 +164,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _count_features(shared):
-    """Rows of (last, key, n): key holds skip and class, or beyond those skip % SKIP_WORD and head word."""
+def _count_features(shared, z: Sizes):
+    """Rows of (key, n): key holds last, and skip and class, or beyond those a coarser skip and head word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(shared.value)
+        lexicon = Lexicon(shared.value, z)
         words: list[bytes] = []
         starts: list[int] = []
 
         def out() -> pa.RecordBatch:
-            outcome, last, skip = features(lexicon.codes(words), np.array(starts))
-            by_class = last * KEYS + skip * CLASSES + class_of(outcome)
-            head = outcome < HEAD
-            by_word = last[head] * KEYS + SKIP * CLASSES + skip[head] % SKIP_WORD * HEAD + outcome[head]
-            keys, n = np.unique(np.concatenate([by_class, by_word]).astype(np.int32), return_counts=True)
+            outcome, last, skip = lexicon.features(lexicon.codes(words), np.array(starts))
+            by_class = last * z.keys + skip * z.classes + class_of(outcome, z)
+            head = outcome < z.head
+            by_word = last[head] * z.keys + z.skip * z.classes + skip[head] % z.skip_word * z.head + outcome[head]
+            keys, n = np.unique(np.concatenate([by_class, by_word]), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
         for batch in batches:
@@ -148,68 +193,63 @@ def _count_features(shared):
     return run
 
 
-#: Keys for each last word.
-KEYS = SKIP * CLASSES + SKIP_WORD * HEAD
+def _rows_of_last(keys: int):
+    """All counts under one hash of the last word as one array: at most ``keys`` of them."""
 
+    def run(rows):
+        import pandas as pd
 
-def _rows_of_last(rows):
-    """All counts under one hash of the last word as one array: at most KEYS of them."""
-    out = np.zeros(KEYS, dtype=np.float32)
-    out[rows["key"].to_numpy() % KEYS] = rows["n"].to_numpy()
-    import pandas as pd
+        out = np.zeros(keys, dtype=np.float32)
+        out[rows["key"].to_numpy() % keys] = rows["n"].to_numpy()
+        return pd.DataFrame({"last": [int(rows["key"].iloc[0]) // keys], "counts": [out.tobytes()]})
 
-    return pd.DataFrame({"last": [int(rows["key"].iloc[0]) // KEYS], "counts": [out.tobytes()]})
+    return run
 
 
-def feature_counts(docs: DataFrame, shared) -> DataFrame:
-    rows = docs.select("text").mapInArrow(_count_features(shared), "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    return rows.groupBy(F.floor(F.col("key") / KEYS)).applyInPandas(_rows_of_last, "last int, counts binary")
+def feature_counts(docs: DataFrame, shared, z: Sizes) -> DataFrame:
+    rows = docs.select("text").mapInArrow(_count_features(shared, z), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.groupBy(F.floor(F.col("key") / z.keys)).applyInPandas(_rows_of_last(z.keys), "last int, counts binary")
 
 
 # --- the model -----------------------------------------------------------------------------------
 
-SHAPES = {
-    "class_bias": (CLASSES,), "class_last": (LAST, CLASSES), "class_skip": (SKIP, CLASSES), "class_both": (BOTH, CLASSES),
-    "word_bias": (HEAD,), "word_last": (LAST, HEAD), "word_skip": (SKIP_WORD, HEAD),
-}
-
 
 def softmax_log(x: np.ndarray) -> np.ndarray:
     x = x - x.max(axis=-1, keepdims=True)
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
-def class_scores(w: dict, last: int) -> np.ndarray:
+def class_scores(w: dict, last: int, z: Sizes) -> np.ndarray:
     """Logarithms of class probabilities after ``last`` for every skip."""
-    skip = np.arange(SKIP)
-    return softmax_log(w["class_bias"] + w["class_last"][last] + w["class_skip"] + w["class_both"][both(last, skip)])
+    skip = np.arange(z.skip)
+    return softmax_log(w["class_bias"] + w["class_last"][last] + w["class_skip"] + w["class_both"][both(last, skip, z)])
 
 
-def word_scores(w: dict, last: int) -> np.ndarray:
+def word_scores(w: dict, last: int, z: Sizes) -> np.ndarray:
     """Logarithms of head words' probabilities within their classes after ``last`` for every skip."""
     x = w["word_bias"] + w["word_last"][last] + w["word_skip"]
-    return softmax_log(x.reshape(SKIP_WORD, HEAD_CLASSES, SLOTS)).reshape(SKIP_WORD, HEAD)
+    return softmax_log(x.reshape(z.skip_word, z.head_classes, SLOTS)).reshape(z.skip_word, z.head)
 
 
-def _expected(shared):
+def _expected(shared, z: Sizes):
     """Observed and expected counts of each feature and outcome over a partition, as one row for each array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        sums = {f"{s}_{k}": np.zeros(v, dtype=np.float64) for k, v in SHAPES.items() if "bias" not in k for s in ("seen", "made")}
-        skip = np.arange(SKIP)
+        sums = {f"{s}_{k}": np.zeros(v, dtype=np.float64) for k, v in z.shapes().items() if "bias" not in k for s in ("seen", "made")}
+        skip = np.arange(z.skip)
         for batch in batches:
             for last, counts in zip(batch.column("last").to_pylist(), batch.column("counts")):
                 counts = np.frombuffer(counts.as_py(), dtype=np.float32).astype(np.float64)
-                seen = counts[: SKIP * CLASSES].reshape(SKIP, CLASSES)
-                made = np.exp(class_scores(w, last)) * seen.sum(axis=1, keepdims=True)
+                seen = counts[: z.skip * z.classes].reshape(z.skip, z.classes)
+                made = np.exp(class_scores(w, last, z)) * seen.sum(axis=1, keepdims=True)
                 for name, x in (("seen", seen), ("made", made)):
                     sums[f"{name}_class_last"][last] += x.sum(axis=0)
                     sums[f"{name}_class_skip"] += x
-                    np.add.at(sums[f"{name}_class_both"], both(last, skip), x)
-                seen = counts[SKIP * CLASSES :].reshape(SKIP_WORD, HEAD)
-                of_class = seen.reshape(SKIP_WORD, HEAD_CLASSES, SLOTS).sum(axis=2)
-                made = np.exp(word_scores(w, last)) * np.repeat(of_class, SLOTS, axis=1)
+                    np.add.at(sums[f"{name}_class_both"], both(last, skip, z), x)
+                seen = counts[z.skip * z.classes :].reshape(z.skip_word, z.head)
+                of_class = seen.reshape(z.skip_word, z.head_classes, SLOTS).sum(axis=2)
+                made = np.exp(word_scores(w, last, z)) * np.repeat(of_class, SLOTS, axis=1)
                 for name, x in (("seen", seen), ("made", made)):
                     sums[f"{name}_word_last"][last] += x.sum(axis=0)
                     sums[f"{name}_word_skip"] += x
@@ -223,57 +263,59 @@ def _expected(shared):
 def _most_frequent(counts: DataFrame, most: int) -> list:
     """At most ``most`` rows (word, n), the most frequent first.
 
-    Words are counted by bands of their frequency, of which there are a few hundred, and those above the band that
-    would be too many are fetched; so no task sends more than its part of them.
+    Words are counted by bands of their frequency, of which there are a few hundred. Bands are fetched from the most frequent on; of the one that
+    would be too many, the words with the smallest hashes come. So no task sends more than its part of them.
     """
-    bands = counts.withColumn("band", F.floor(F.log2("n") * 16)).groupBy("band").agg(F.count("*").alias("words")).collect()
-    least, words = 10**6, 0
+    band = F.floor(F.log2("n") * 16)
+    bands = counts.groupBy(band.alias("band")).agg(F.count("*").alias("words")).collect()
+    wanted, room = F.lit(False), most
     for r in sorted(bands, key=lambda r: -r["band"]):
-        words += r["words"]
-        if words > most:
+        if r["words"] > room:
+            # a part of all hashes that holds about as many words as there is room for
+            wanted = wanted | ((band == r["band"]) & (F.shiftrightunsigned(F.xxhash64("word"), 1) / float(2**63) < 0.98 * room / r["words"]))
             break
-        least = r["band"]
-    rows = counts.filter(F.floor(F.log2("n") * 16) >= least).collect()
-    return sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))
+        wanted, room = wanted | (band == r["band"]), room - r["words"]
+    return sorted(counts.filter(wanted).collect(), key=lambda r: (-r["n"], bytes(r["word"])))[:most]
 
 
-def train(docs: DataFrame, steps: int = STEPS, prior: float = PRIOR, parts: int = 6):
-    """(model as broadcast arrays, counts table) from all texts of ``docs``."""
+def train(docs: DataFrame, steps: int = STEPS, prior: float = PRIOR, sizes: Sizes | None = None, frequent_words: int = FREQUENT):
+    """(model as broadcast arrays, counts table) from all texts of ``docs``; ``sizes`` are by default those for its number of tokens."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     small_batches(spark)
     counts = settled(word_counts(docs))
-    totals = counts.filter(F.col("word") != END).groupBy((F.crc32(F.substring("word", -2, 2)) % TAIL_CLASSES).cast("int").alias("k"))
+    whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    z = sizes or sizes_for(whole["n"] or 0)
+    totals = counts.filter(F.col("word") != END).groupBy((F.crc32(F.substring("word", -2, 2)) % z.tail_classes).cast("int").alias("k"))
     totals = {r["k"]: (r["n"], r["v"]) for r in totals.agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    first = _most_frequent(counts.filter(F.col("word") != END), FREQUENT - 1)
+    first = _most_frequent(counts.filter(F.col("word") != END), frequent_words - 1)
     ends = counts.filter(F.col("word") == END).first()
     frequent = [END, *(bytes(r["word"]) for r in first)]
     n = np.array([ends["n"] if ends else 0, *(r["n"] for r in first)], dtype=np.int64)
-    tail = np.zeros((TAIL_CLASSES, 2))
+    tail = np.zeros((z.tail_classes, 2))
     for k, v in totals.items():
         tail[k] = v
-    for w, c in zip(frequent[1:HEAD], n[1:HEAD].tolist()):
-        tail[zlib.crc32(w[-2:]) % TAIL_CLASSES] -= (c, 1)
-    facts = {
-        "frequent": frequent, "counts": n, "train_tokens": int(sum(v[0] for v in totals.values()) + n[0]), "vocabulary": sum(v[1] for v in totals.values()) + int(n[0] > 0),
-        "tail": tail.sum(axis=1) + 1,
-    }
+    for w, c in zip(frequent[1 : z.head], n[1 : z.head].tolist()):
+        tail[zlib.crc32(w[-2:]) % z.tail_classes] -= (c, 1)
+    facts = {"frequent": frequent, "counts": n, "train_tokens": int(whole["n"] or 0), "vocabulary": int(whole["v"]), "tail": tail.sum(axis=1) + 1, "sizes": z}
     words = sc.broadcast(frequent)
-    table = settled(feature_counts(docs, words).repartition(parts, "last"))
-    w = {k: np.zeros(v) for k, v in SHAPES.items()}
-    head = np.full(HEAD, -np.inf)
-    head[: len(frequent[:HEAD])] = np.log(n[:HEAD] + 0.5)
-    of_class = np.append(np.array([n[i : i + SLOTS].sum() for i in range(0, HEAD, SLOTS)]), tail[:, 0])
+    # as many parts as cores, but each with some rows
+    parts = max(1, min(sc.defaultParallelism, z.last // 16))
+    table = settled(feature_counts(docs, words, z).repartition(parts, "last"))
+    shapes = z.shapes()
+    w = {k: np.zeros(v) for k, v in shapes.items()}
+    head = np.full(z.head, -np.inf)
+    head[: len(frequent[: z.head])] = np.log(n[: z.head] + 0.5)
+    of_class = np.append(np.array([n[i : i + SLOTS].sum() for i in range(0, z.head, SLOTS)]), tail[:, 0])
     w["class_bias"], w["word_bias"] = np.log(of_class + 0.5), np.where(np.isfinite(head), head, -60.0)
     active = {"class": 3, "word": 2}
     for _ in range(steps):
         current = sc.broadcast(w)
-        sums = {k: np.zeros(v) for k, v in SHAPES.items()}
-        got = {f"{s}_{k}": np.zeros(v) for k, v in SHAPES.items() for s in ("seen", "made")}
-        # ``parts`` rows for each of ten arrays of fixed size
-        for r in table.mapInArrow(_expected(current), "name string, sums binary").collect():
+        got = {f"{s}_{k}": np.zeros(v) for k, v in shapes.items() for s in ("seen", "made")}
+        # ``parts`` rows for each of ten arrays, which hold little but zeros for other parts' last words
+        for r in table.mapInArrow(_expected(current, z), "name string, sums binary").collect():
             got[r["name"]] += np.frombuffer(zlib.decompress(r["sums"]), dtype=np.float32).reshape(got[r["name"]].shape)
-        for k in sums:
+        for k in shapes:
             if "bias" not in k:
                 seen, made = got[f"seen_{k}"], got[f"made_{k}"]
                 w[k] = w[k] + (seen - made) / (np.maximum(seen, made) + prior) / active[k.split("_")[0]]
@@ -288,24 +330,25 @@ def _score(shared):
         from pyspark import TaskContext
 
         m = shared.value
-        w, lexicon = m["weights"], Lexicon(m["frequent"])
+        w, z = m["weights"], m["sizes"]
+        lexicon = Lexicon(m["frequent"], z)
         logs = np.log10(np.append(0, m["counts"]) + 1.0)
         known = np.append(0, m["counts"]) > 0
         tail = np.log10(m["tail"])
-        by_class = np.stack([class_scores(w, a) for a in range(LAST)]).astype(np.float32)
-        by_word = np.stack([word_scores(w, a) for a in range(LAST)]).astype(np.float32)
+        by_class = np.stack([class_scores(w, a, z) for a in range(z.last)]).astype(np.float32)
+        by_word = np.stack([word_scores(w, a, z) for a in range(z.last)]).astype(np.float32)
         row = TaskContext.get().partitionId() << 36
 
         def out(words: list[bytes], starts: list[int], ids: list, row: int) -> pa.RecordBatch:
             codes, at = lexicon.codes(words), np.array(starts)
-            outcome, last, skip = features(codes, at)
-            place = codes >> (OUTCOME_BITS + LAST_BITS + SKIP_BITS)
-            k = class_of(outcome)
+            outcome, last, skip = lexicon.features(codes, at)
+            place = lexicon.places(codes)
+            k = class_of(outcome, z)
             score = by_class[last, skip, k].astype(np.float64)
-            head = outcome < HEAD
-            score[head] += by_word[last[head], skip[head] % SKIP_WORD, outcome[head]]
+            head = outcome < z.head
+            score[head] += by_word[last[head], skip[head] % z.skip_word, outcome[head]]
             score /= np.log(10)
-            score[~head] += logs[place[~head]] - tail[k[~head] - HEAD_CLASSES]
+            score[~head] += logs[place[~head]] - tail[k[~head] - z.head_classes]
             rare = np.flatnonzero(place == 0)
             doc = np.searchsorted(at, rare, side="right") - 1
             others = Counter(zip(doc.tolist(), [words[i] for i in rare.tolist()]))
