@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from veilcraft.llm.common import TokenIds
-from veilcraft.llm.packing import _intervals, pack_documents, plan
+from veilcraft.llm.packing import Complements, _intervals, pack_documents, plan
 from veilcraft.llm.queries import tokenizer_file
 from veilcraft.llm.token_store import EliasFano, token_store
 
@@ -64,6 +64,35 @@ def test_token_store_empty(empty, tmp_path):
     assert token_store(empty, tokenizer_file("byte_bpe_50k.json"), path=str(tmp_path / "s")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_index_of_complements_against_all_combinations(seed):
+    rnd = random.Random(seed)
+    free = np.array([0, *(rnd.choice([0, 0, 1, 2, 3]) for _ in range(24))])
+    index = Complements(free)
+
+    def exists(gap, n, least=1):
+        if n == 0:
+            return gap == 0
+        for a in range(least, gap + 1):
+            if free[a] > 0:
+                free[a] -= 1
+                found = exists(gap - a, n - 1, a)
+                free[a] += 1
+                if found:
+                    return True
+        return False
+
+    while free.any():
+        for gap in range(1, 25):
+            for n, find in ((1, index.single), (2, index.pair), (3, index.triple)):
+                got = find(gap)
+                assert (got is not None) == exists(gap, n)
+                if got:
+                    assert sum(got) == gap and len(got) == n and all(free[x] >= got.count(x) for x in got)
+        used = rnd.choice(np.flatnonzero(free).tolist())
+        free[used] -= 1
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_plan_uses_every_piece_once(seed):
     rnd = random.Random(seed)

@@ -1,9 +1,8 @@
 """Best-fit packing of tokenised documents into sequences by exact-complement hashing.
 
 Only the histogram of piece lengths (as many numbers as a sequence has tokens, whatever the corpus) is planned on
-the driver. Longest lengths first, the gap that a piece leaves is looked up among single lengths, then among sums of two, then
-of three lengths that are still available; a combination that fills it exactly is taken as often as its counts allow.
-What has no exact complement is packed best-fit. The plan is a list of patterns with counts; a piece finds its sequence by
+the driver. Longest lengths first, the gap that a piece leaves is looked up in an index of the sums of one, two and three lengths that are
+still available; a combination that fills it exactly is taken as often as its counts allow. What has no exact complement is packed best-fit. The plan is a list of patterns with counts; a piece finds its sequence by
 its rank among the pieces of its length, which is counted in a distributed way.
 """
 
@@ -40,39 +39,59 @@ def _pieces(path: str, white_space: bool, end_id: int, most: int):
     return run
 
 
-def _pair(gap: int, free: np.ndarray) -> tuple[int, ...] | None:
-    """Two available lengths that add up to ``gap``; the largest first."""
-    a = np.arange(gap - 1, (gap - 1) // 2, -1)
-    a = a[a > 0]
-    b = gap - a
-    hit = np.flatnonzero((free[a] > 0) & (free[b] > (a == b)))
-    return (int(a[hit[0]]), int(b[hit[0]])) if len(hit) else None
+class Complements:
+    """Index of the sums of one, two and three available lengths.
 
+    For each sum it holds the largest member of a pair, or of a triple, that has it. Counts only fall, so an entry stays right until one of its members is
+    used up; then the next one is looked for, and a sum that has none left never has one again.
+    """
 
-def _triple(gap: int, free: np.ndarray) -> tuple[int, ...] | None:
-    for a in range(gap - 2, (gap + 2) // 3 - 1, -1):
-        if free[a] > 0:
-            free[a] -= 1
-            rest = _pair(gap - a, free)
-            free[a] += 1
-            if rest and rest[0] <= a:
+    def __init__(self, free: np.ndarray):
+        self.free = free
+        self.pairs, self.triples = np.zeros((2, len(free)), dtype=np.int64)
+        own = np.flatnonzero(free > 0)
+        for a in own.tolist():
+            b = own[(own < a) | (own == a) & (free[a] > 1)]
+            self.pairs[(a + b)[a + b < len(free)]] = a
+        two = np.flatnonzero(self.pairs)
+        for a in own.tolist():
+            self.triples[(a + two)[a + two < len(free)]] = a
+
+    def single(self, gap: int) -> tuple[int, ...] | None:
+        return (gap,) if self.free[gap] > 0 else None
+
+    def pair(self, gap: int, beside: int = 0) -> tuple[int, ...] | None:
+        """A pair with the sum ``gap`` that leaves one piece of the length ``beside`` over."""
+        a, free = int(self.pairs[gap]), self.free
+        if not a:
+            return None
+        fits = lambda x: (free[x] > (x == beside)) & (free[gap - x] > 1 * (2 * x == gap) + (gap - x == beside))
+        if not fits(a):
+            larger = np.arange(gap - 1, (gap - 1) // 2, -1)
+            hit = larger[fits(larger)]
+            a = int(hit[0]) if len(hit) else 0
+            if not beside:
+                self.pairs[gap] = a
+        return (a, gap - a) if a else None
+
+    def triple(self, gap: int) -> tuple[int, ...] | None:
+        a = int(self.triples[gap])
+        while a:
+            if self.free[a] > 0 and (rest := self.pair(gap - a, beside=a)):
+                self.triples[gap] = a
                 return (a, *rest)
-    return None
+            smaller = np.flatnonzero(self.free[:a] > 0)
+            a = int(smaller[-1]) if len(smaller) else 0
+        self.triples[gap] = 0
+        return None
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths with how often each is used; together they use every piece in ``counts`` once.
-
-    Complements of up to three lengths use up small pieces early, which now and then costs a few sequences; so plans with complements of
-    three, two and one are made, and the one with the fewest sequences is taken.
-    """
-    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(times for _, times in p))
-
-
-def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths with how often each is used; together they use every piece in ``counts`` once."""
     free = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         free[length] = n
+    index = Complements(free)
     out: list[tuple[tuple[int, ...], int]] = []
 
     def take(pattern: tuple[int, ...]) -> None:
@@ -88,29 +107,24 @@ def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[
                 take((length,))
                 continue
             free[length] -= 1  # one is placed; its complement comes from the others
-            rest = (gap,) if free[gap] > 0 else most > 1 and _pair(gap, free) or most > 2 and _triple(gap, free) or None
+            rest = index.single(gap) or index.pair(gap) or index.triple(gap)
             free[length] += 1
             if rest is None:
                 break
             take((length, *rest))
-        if free[length]:
+        while free[length]:
             # best fit: the largest available lengths into the gap, one after another
             pattern, left = [length], gap
-            while free[length]:
-                pattern, left = [length], gap
-                free[length] -= 1
-                used = [length]
-                while left and len(fits := np.flatnonzero(free[1 : left + 1] > 0)):
-                    best = int(fits[-1]) + 1
-                    exact = None if len(pattern) < 2 else _pair(left, free)
-                    for b in exact or (best,):
-                        free[b] -= 1
-                        used.append(b)
-                        pattern.append(b)
-                        left -= b
-                for b in used:
-                    free[b] += 1
-                take(tuple(pattern))
+            free[length] -= 1
+            while left and len(fits := np.flatnonzero(free[1 : left + 1] > 0)):
+                exact = index.pair(left) if len(pattern) > 1 else None
+                for b in exact or (int(fits[-1]) + 1,):
+                    free[b] -= 1
+                    pattern.append(b)
+                    left -= b
+            for b in pattern:
+                free[b] += 1
+            take(tuple(pattern))
     return out
 
 
