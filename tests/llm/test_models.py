@@ -8,8 +8,8 @@ import pytest
 
 from veilcraft.llm.labels import training_labels
 from veilcraft.llm.maxent_lm import END, SLOTS, Lexicon, Sizes, _most_frequent, both, class_scores, language_scores, score_documents, sizes_for, softmax_log, tokens, train, word_scores
-from veilcraft.llm.quality import Gaussian, probability, quality_scores, statistics
-from veilcraft.llm.toxicity import NAMES, nearest, toxicity_scores
+from veilcraft.llm.quality import Gaussian, N, fit, probability, quality_scores, statistics
+from veilcraft.llm.toxicity import DISGUISE, NAMES, STEMS, YOU, Words, nearest, toxicity_scores
 from veilcraft.llm.toxicity import features as toxic_features
 
 from .conftest import ROWS
@@ -138,7 +138,7 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_near_you_reads_the_whole_text():
-    near = lambda text: toxic_features(text, {"oaf": 3.0}, {})[NAMES.index("near_you")]
+    near = lambda text: toxic_features(text, Words({"oaf": 3.0}))[NAMES.index("near_you")]
     late = "tu " * 1200 + "w " * 10 + "oaf " + "w " * 10 + "oaf tu"
     assert near(late) == 0.5 and near("oaf tu " + "w " * 10 + "oaf") == 0.5 and near("oaf") == near("tu") == 0.0
     rnd = random.Random(3)
@@ -147,6 +147,54 @@ def test_near_you_reads_the_whole_text():
         assert nearest(np.array(at), np.array(you)).tolist() == [min(abs(i - j) for j in you) for i in at]
 
 
+@pytest.mark.parametrize("size", [0, 1, 30, 3000])
+def test_toxic_features_against_brute_force(monkeypatch, size):
+    from veilcraft.llm import common, toxicity
+
+    monkeypatch.setattr(toxicity, "runs", lambda text: common.runs(text, 50))
+    rnd = random.Random(size)
+    lexicon = {"oaf": 3.0, "wretch": 4.0, "^mumpel": 2.0}
+    text = " ".join(rnd.choice(["oaf", "Oaf!", "0af", "W.retch", "wr3tch", "mumpeln", "mumpel", "you", "TU,", "plain", "LOUD", "a1b", "x-y", "--", "...", "é"]) for _ in range(size)).replace(" e", "\n")
+    words = text.split()
+    bare = [w.strip(".,;:!?\"'()[]{}%&$*#|-_").lower() for w in words]
+    hits, odds = [], []
+    kinds = Counter()
+    for i, (w, b) in enumerate(zip(words, bare)):
+        stem = max((lexicon.get("^" + b[:k], 0) for k in STEMS), default=0) if len(b) > STEMS[0] else 0
+        hidden = "".join(c for c in w.lower().translate(DISGUISE) if c.isalnum())
+        found = lexicon.get(b) or stem or (lexicon.get(hidden, 0) if b and not b.isalpha() and hidden != b else 0)
+        if found:
+            kinds["word" if b in lexicon else "stem" if stem else "disguised"] += 1
+            hits.append(i)
+            odds.append(found)
+    n, you = max(len(words), 1), [i for i, b in enumerate(bare) if b in YOU]
+    got = dict(zip(NAMES, toxic_features(text, Words(lexicon, most=5))))
+    want = {
+        "word_density": kinds["word"] / n, "stem_density": kinds["stem"] / n, "disguised_density": kinds["disguised"] / n, "hits": math.log1p(len(hits)),
+        "closest": 1 / min((b - a for a, b in zip(hits, hits[1:])), default=math.inf), "near_you": sum(min(abs(i - j) for j in you) <= 5 for i in hits) / len(hits) if hits and you else 0.0,
+        "you": len(you) / n, "capitals": sum(c.isupper() for c in text) / max(sum(c.isalpha() for c in text), 1), "shouted": sum(w.isupper() for w in words) / n, "exclaimed": text.count("!") / n,
+        "odds": sum(odds) / len(odds) if odds else 0.0, "evidence": sum(odds) / n, "words": math.log1p(len(words)),
+    }
+    assert all(abs(got[k] - v) < 1e-9 for k, v in want.items()), {k: (got[k], v) for k, v in want.items() if abs(got[k] - v) > 1e-9}
+
+
+def test_quality_fit_against_numpy(spark):
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(300, N)) @ rnd.normal(size=(N, N))
+    y = rnd.random(300) < 0.4
+    rows = spark.createDataFrame([(float(b), a.tolist()) for a, b in zip(x, y)], "label double, x array<double>").repartition(5)
+    own = [np.cov(x[y == k].T, bias=True) for k in (False, True)]
+    pooled = sum((y == k).sum() * c for k, c in zip((False, True), own)) / 300
+    pooled = 0.9 * pooled + 0.1 * np.diag(np.diag(pooled))
+    for k, g in enumerate(fit(rows)):
+        n = int((y == bool(k)).sum())
+        part = 0.2 + N / (n + N)
+        c = (1 - part) * own[k] + part * pooled + 1e-4 * np.eye(N)
+        d = x - x[y == bool(k)].mean(axis=0)
+        want = math.log(n / 300) - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d) - 0.5 * np.linalg.slogdet(c)[1]
+        assert np.allclose(g.log_density(x), want)
+
+
 @pytest.mark.parametrize("scores", [toxicity_scores, quality_scores])
 @pytest.mark.parametrize("labels", [[], [(i, 1, 1) for i in range(1, 11)]])
 def test_one_class_or_none(spark, docs, empty, scores, labels):

@@ -75,6 +75,18 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     )
 
 
+def runs(text: str, most: int = 1_000_000) -> Iterator[str]:
+    """``text`` in runs of about ``most`` characters that are cut at spaces or line feeds, so its words need not be held at once."""
+    at = 0
+    while len(text) - at > most:
+        cut = min((x for x in (text.find(" ", at + most), text.find("\n", at + most)) if x >= 0), default=-1)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
+
+
 # --- token ids -----------------------------------------------------------------------------------
 
 #: White space as the tokenizers' patterns know it (the Unicode property).

@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, small_batches
+from .common import runs, settled, small_batches
 from .labels import bounded, held_out, training_labels
 
 #: Labelled rows that lexicon, trees and calibration are fitted on, at most, by a hash of doc_id.
@@ -29,8 +29,11 @@ SAMPLE = 20_000
 #: Entries of the lexicon, at most; and what a term needs: toxic documents, part of them, log odds of documents and of occurrences.
 TERMS, LEAST_DOCUMENTS, LEAST_PART, LEAST_ODDS, LEAST_RATE = 600, 3, 0.008, 1.0, 2.5
 STEMS = (4, 5, 6, 7)
-#: Of six folds of the sample, those for the lexicon, the trees and the calibration.
-FOLDS = ((0, 1, 2), (3, 4), (5,))
+#: So many of six folds of the sample are for the lexicon, the others for trees and calibration.
+LEXICON_FOLDS = 3
+TRAIN_PARTS = 4
+#: Part of the trees' probability in a score.
+KEPT = 0.02
 THRESHOLD = 0.7
 #: Second-person words in the four languages of the corpus.
 YOU = frozenset("you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta vous votre vos tú ti usted ustedes vosotros vuestro".split())
@@ -92,50 +95,72 @@ def nearest(spots: np.ndarray, you: np.ndarray) -> np.ndarray:
     return np.minimum(np.abs(spots - you[np.maximum(k - 1, 0)]), np.abs(you[np.minimum(k, len(you) - 1)] - spots))
 
 
-def features(text: str | None, lexicon: dict[str, float], stems: dict[str, float]) -> list[float]:
+#: What is known of a word: its kind (a word of the lexicon, a beginning, one in disguise), log odds, whether it is a second-person word or all
+#: in capitals, its capitals and letters, and its marks between letters.
+WORD, STEM, DISGUISED = 1, 2, 3
+
+
+class Words(dict):
+    """Numbers of words as they come; ``facts`` has a row for each. Begins anew beyond a bound."""
+
+    def __init__(self, lexicon: dict[str, float], most: int = 300_000):
+        self.lexicon = {k: v for k, v in lexicon.items() if k[0] != "^"}
+        self.stems = {k[1:]: v for k, v in lexicon.items() if k[0] == "^"}
+        self.most, self.rows = most, []
+
+    def __missing__(self, raw: str) -> int:
+        w = raw.strip(_EDGES).lower()
+        kind, odds = 0, self.lexicon.get(w, 0.0)
+        if odds:
+            kind = WORD
+        elif len(w) > STEMS[0] and (odds := max((self.stems.get(w[:k], 0.0) for k in STEMS), default=0.0)):
+            kind = STEM
+        elif w and not w.isalpha():
+            bare = re.sub(r"[\W_]", "", raw.lower().translate(DISGUISE))
+            if bare != w and bare in self.lexicon:
+                kind, odds = DISGUISED, self.lexicon[bare]
+        self.rows.append((kind, odds, w in YOU, raw.isupper(), sum(map(str.isupper, raw)), sum(map(str.isalpha, raw)), len(_INNER.findall(raw))))
+        self[raw] = len(self.rows) - 1
+        return self[raw]
+
+    def facts(self, text: str) -> np.ndarray:
+        """A row of facts for each word of the text, in order."""
+        parts = []
+        for run in runs(text):
+            if len(self.rows) > self.most:
+                self.clear()
+                self.rows = []
+            words = run.split()
+            codes = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+            used, at = np.unique(codes, return_inverse=True)
+            parts.append(np.array([self.rows[i] for i in used.tolist()], dtype=np.float64).reshape(-1, 7)[at])
+        return np.concatenate(parts)
+
+
+def features(text: str | None, words: Words) -> list[float]:
     """The features of a whole text, in the order of NAMES; those of a text without words are all zero."""
-    raw = (text or "").split()
-    if not raw:
-        return [0.0] * len(NAMES)
     text = text or ""
-    n = len(raw)
-    at: list[int] = []
-    you: list[int] = []
-    words = begun = disguised = 0
-    odds = 0.0
-    for i, w in enumerate(raw):
-        w = w.strip(_EDGES).lower()
-        if w in YOU:
-            you.append(i)
-        if w in lexicon:
-            words, odds = words + 1, odds + lexicon[w]
-            at.append(i)
-        elif len(w) > STEMS[0] and (hit := max((stems.get(w[:k], 0.0) for k in STEMS), default=0.0)):
-            begun, odds = begun + 1, odds + hit
-            at.append(i)
-        elif not w.isalpha() and w:
-            bare = re.sub(r"[\W_]", "", raw[i].lower().translate(DISGUISE))
-            if bare != w and bare in lexicon:
-                disguised, odds = disguised + 1, odds + lexicon[bare]
-                at.append(i)
-    capitals = sum(map(str.isupper, text))
-    letters = max(sum(map(str.isalpha, text)), 1)
-    spots = np.array(at)
+    facts = words.facts(text)
+    n = len(facts)
+    if not n:
+        return [0.0] * len(NAMES)
+    kind, odds, you, shouted, upper, letters, inner = facts.T
+    spots, at_you = np.flatnonzero(kind), np.flatnonzero(you)
     gaps = np.diff(spots)
-    near = float((nearest(spots, np.array(you)) <= 5).mean()) if at and you else 0.0
+    near = float((nearest(spots, at_you) <= 5).mean()) if len(spots) and len(at_you) else 0.0
+    total = float(odds.sum())
     return [
-        words / n, begun / n, disguised / n, float(np.log1p(len(at))), float(1 / gaps.min()) if len(gaps) else 0.0, near, len(you) / n, capitals / letters,
-        sum(w.isupper() for w in raw) / n, text.count("!") / n, sum(text.count(c) for c in ".,;:?%&*#|") / n, len(_INNER.findall(text)) / n,
-        odds / len(at) if at else 0.0, odds / n, float(np.log1p(n)),
+        float((kind == WORD).sum() / n), float((kind == STEM).sum() / n), float((kind == DISGUISED).sum() / n), float(np.log1p(len(spots))), float(1 / gaps.min()) if len(gaps) else 0.0, near,
+        float(you.sum() / n), float(upper.sum() / max(letters.sum(), 1)), float(shouted.sum() / n), text.count("!") / n, sum(map(text.count, ".,;:?%&*#|")) / n, float(inner.sum() / n),
+        total / len(spots) if len(spots) else 0.0, total / n, float(np.log1p(n)),
     ]
 
 
 def _features(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = {k: v for k, v in shared.items() if k[0] != "^"}
-        stems = {k[1:]: v for k, v in shared.items() if k[0] == "^"}
+        words = Words(shared)
         for batch in batches:
-            rows = [features(t.as_py(), lexicon, stems) for t in batch.column("text")]
+            rows = [features(t.as_py(), words) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "text_key", "x"])
 
     return run
@@ -145,11 +170,42 @@ def _positive(column: str = "probability") -> Column:
     return vector_to_array(column)[1]
 
 
+def _trees(train: DataFrame):
+    return GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, minInstancesPerNode=2, seed=1).fit(train)
+
+
+def calibrated_trees(train: DataFrame):
+    """Scores of rows with ``features``, from ``train`` (features, label, fold) with both classes.
+
+    Each of three parts of the rows is predicted by trees that are fitted on the others, and isotonic regression is fitted on what that gives, with equal
+    predictions summed first; all rows fit the trees that score. A small part of the trees' own probability is kept, so that scores rise with it
+    where the calibration is flat.
+    """
+    train = train.withColumn("part", F.col("fold") % 3)
+    size = {(r["label"], r["part"]): r["n"] for r in train.groupBy("label", "part").agg(F.count("*").alias("n")).collect()}
+    # a part without both classes on either side predicts itself
+    apart = all(size.get((y, k), 0) and sum(size.get((y, q), 0) for q in range(3) if q != k) for y in (0.0, 1.0) for k in range(3))
+    trees = _trees(train)
+    if apart:
+        raw = [_trees(train.filter(F.col("part") != k)).transform(train.filter(F.col("part") == k)) for k in range(3)]
+        raw = raw[0].unionByName(raw[1]).unionByName(raw[2])
+    else:
+        raw = trees.transform(train)
+    points = raw.groupBy(F.round(_positive(), 4).alias("raw")).agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+    steps = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(settled(points))
+
+    def score(rows: DataFrame) -> DataFrame:
+        rows = steps.transform(trees.transform(rows).withColumn("raw", _positive()))
+        return rows.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - KEPT) * F.col("calibrated") + KEPT * F.col("raw"))))
+
+    return score
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted and text_key of each row of ``docs`` (doc_id, text), learnt from ``labels`` (doc_id, toxic).
 
-    At most ``sample`` labelled rows that aren't held out are learnt from: of six folds three give the lexicon, two
-    the trees and one the calibration; a fold without both classes is replaced by all of them.
+    At most ``sample`` labelled rows that aren't held out are learnt from: of six folds three give the lexicon, the others
+    trees and calibration; folds without both classes are replaced by all of them.
     A null or empty text has features of no words and a score like any other. Repeated rows are scored
     each; null labels and doc_ids aren't learnt from. Where the labels hold one class only, every score is that class's smoothed
     rate; 0.5 without labels. An empty table gives no rows. Other columns are ignored.
@@ -159,18 +215,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     # at most ``sample`` rows
     labelled = F.broadcast(settled(bounded(training_labels(labels, "toxic"), sample)))
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(6)).cast("int")
-    lexicon = learn_lexicon(docs.join(labelled, "doc_id").filter(fold.isin(*FOLDS[0])).select("text", "label"))
+    lexicon = learn_lexicon(docs.join(labelled, "doc_id").filter(fold < LEXICON_FOLDS).select("text", "label"))
     rows = settled(docs.mapInArrow(_features(lexicon), "doc_id bigint, text_key bigint, x array<double>")).withColumn("features", array_to_vector("x"))
-    train = settled(rows.join(labelled, "doc_id").select("features", "label", fold.alias("fold")))
-    size = {(r["label"], r["fold"]): r["n"] for r in train.groupBy("label", "fold").agg(F.count("*").alias("n")).collect()}
-    of = lambda label, folds=range(6): sum(size.get((label, f), 0) for f in folds)
-    part = lambda folds: train.filter(F.col("fold").isin(*folds)) if of(0.0, folds) and of(1.0, folds) else train
+    # at most ``sample`` rows of some numbers, which trees read very often
+    train = settled(rows.join(labelled, "doc_id").select("features", "label", fold.alias("fold")).repartition(TRAIN_PARTS))
+    size = {(r["label"], r["own"]): r["n"] for r in train.groupBy("label", (F.col("fold") >= LEXICON_FOLDS).alias("own")).agg(F.count("*").alias("n")).collect()}
+    of = lambda label: size.get((label, True), 0) + size.get((label, False), 0)
     if of(0.0) and of(1.0):
-        trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, minInstancesPerNode=2, seed=1).fit(part(FOLDS[1]))
-        rows = trees.transform(rows).withColumn("raw", _positive())
-        folds = trees.transform(part(FOLDS[2])).select("label", _positive().alias("raw"))
-        steps = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(folds)
-        rows = steps.transform(rows).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated"))))
+        own = size.get((0.0, True), 0) and size.get((1.0, True), 0)
+        rows = calibrated_trees(train.filter(F.col("fold") >= LEXICON_FOLDS) if own else train)(rows)
     else:
         rows = rows.withColumn("score", F.lit((of(1.0) + 0.5) / (of(0.0) + of(1.0) + 1.0)))
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_key")
