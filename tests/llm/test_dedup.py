@@ -75,12 +75,23 @@ def test_fingerprint_by_hand():
 
     h = [xxhash.xxh64_intdigest(s, 42) for s in (b"a b c", b"b c d", b"a b c")]
     bits = sum(1 << k for k in range(64) if sum(x >> k & 1 for x in (h[0], h[1])) * 2 > 2)
-    assert fingerprint("A  b\tC d") == bits
-    assert fingerprint("One") == xxhash.xxh64_intdigest(b"one", 42) and fingerprint(" \n") == 0
+    assert fingerprint("A  b\tC d") == ([bits], 2)
+    assert fingerprint("One", width=2) == ([xxhash.xxh64_intdigest(b"one", s) for s in (42, 43)], 1) and fingerprint(" \n") == ([0], 0)
+
+
+@pytest.mark.parametrize("words", [1, 3, 5])
+def test_long_texts_are_hashed_in_runs(monkeypatch, words):
+    from veilcraft.llm import common
+
+    rnd = random.Random(words)
+    texts = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 3) for _ in range(n)) for n in (0, 1, 4, 5, 6, 200, 999)]
+    whole = [fingerprint(t, words, 2) for t in texts]
+    monkeypatch.setattr(simhash, "runs", lambda text: common.runs(text, 7))
+    assert [fingerprint(t, words, 2) for t in texts] == whole
 
 
 def test_near_against_brute_force(docs):
-    prints = [fingerprint(r[1] or "") for r in ROWS]
+    prints = [fingerprint(r[1] or "")[0][0] for r in ROWS]
     root = roots(len(ROWS), [(i, j) for i in range(len(ROWS)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2])
     ids = lambda k: [ROWS[i][0] for i in range(len(ROWS)) if root[i] == root[k] and ROWS[i][0] is not None]
     want = sorted((str(r[0]), f"{p:016x}", str(min(ids(k), default=None))) for k, (r, p) in enumerate(zip(ROWS, prints)))
@@ -103,7 +114,7 @@ def test_links_lose_no_component(spark, monkeypatch, tile):
             x ^= 1 << rnd.randrange(64)
         prints.add(x)
     signed = [int(np.uint64(x).view(np.int64)) for x in prints]
-    found = links(spark.createDataFrame([(x,) for x in signed], "print bigint"))
+    found = links(spark.createDataFrame([(x, [x], 1) for x in signed], "node bigint, print array<bigint>, shingles bigint"))
     got = {r.node: r.component for r in components(found).collect()}
     all_ = list(prints)
     root = roots(len(all_), [(i, j) for i in range(len(all_)) for j in range(i) if (all_[i] ^ all_[j]).bit_count() <= 2])
@@ -119,14 +130,46 @@ def split(prints, pairs):
     return roots(len(prints), [(at[a], at[b]) for a, b in pairs])
 
 
+def forest(home, blocks, radius):
+    array = lambda x: np.array(x, dtype=np.uint64)
+    block = simhash.Block(array(home)[:, None], array(home).view(np.int64), radius)
+    for b in blocks:
+        block.visit(array(b)[:, None], array(b).view(np.int64))
+    return block.found
+
+
+@pytest.mark.parametrize("tile", [4, 1024])
+def test_wide_fingerprints_against_brute_force(spark, tile):
+    rnd = random.Random(tile)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(25):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.randint(60, 250))]
+        for _ in range(rnd.randint(1, 6)):
+            own = list(base)
+            for _ in range(rnd.choice([0, 1, 2, 3, 12])):
+                own[rnd.randrange(len(own))] = rnd.choice(vocabulary)
+            rows.append((len(rows), " ".join(own)))
+    found = [fingerprint(t, 5, 2) for _, t in rows]
+    bits = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(found[a][0], found[b][0]))
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if bits(i, j) <= 25]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 25, 2, 0.8, tile).collect()
+    assert [r.component_id for r in sorted(got)] == roots(len(rows), near)
+    like = [(i, j) for i in range(len(rows)) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    of = {r.doc_id: r.component_id for r in got}
+    assert len(like) > 15 and sum(of[i] == of[j] for i, j in like) >= 0.95 * len(like)
+    assert all(shingles[i] & shingles[j] for i, j in of.items())
+
+
 def test_links_when_a_label_falls(spark):
     # one chain a5-a7-v-a3, whose middle is a visitor of another tile
     bits = lambda *ks: sum(1 << k for k in ks)
     v, homes = bits(0, 16), [bits(0, 3, 16, 18), bits(1, 4, 16, 17), bits(0, 1, 16, 17)]
     for order in permutations(homes):
-        found = list(simhash._links(np.array(order, dtype=np.uint64), [np.array([v], dtype=np.uint64)], 2))
+        found = forest(order, [[v]], 2)
         assert set(split([*order, v], found)) == {0} and len(found) == 3
-    found = links(spark.createDataFrame([(p,) for p in [*homes, v]], "print bigint").coalesce(1)).collect()
+    found = links(spark.createDataFrame([(p, [p], 1) for p in [*homes, v]], "node bigint, print array<bigint>, shingles bigint").coalesce(1)).collect()
     assert set(split([*homes, v], found)) == {0}
 
 
@@ -135,7 +178,7 @@ def test_links_of_many_blocks_are_a_forest(seed):
     rnd = random.Random(seed)
     prints = rnd.sample(range(1 << 9), 110)
     home, blocks = prints[:50], [prints[i : i + 6] for i in range(50, 110, 6)]
-    found = list(simhash._links(np.array(home, dtype=np.uint64), [np.array(b, dtype=np.uint64) for b in blocks], 1))
+    found = forest(home, blocks, 1)
     # visitors are compared with homes, not with one another
     near = [(i, j) for i in range(110) for j in range(min(i, 50)) if (prints[i] ^ prints[j]).bit_count() <= 1]
     assert split(prints, found) == roots(110, near) and len(found) == 110 - len(set(roots(110, near)))

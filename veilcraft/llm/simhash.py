@@ -1,10 +1,11 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-A document's 64-bit fingerprint takes each bit from the majority of its word shingles' XXH64 hashes. Distinct
-fingerprints are laid out in tiles by the population counts of their four 16-bit words. Two
-fingerprints differ in at least as many bits as their tiles' population counts do in sum, so only pairs of tiles whose
-counts differ by no more than the radius are compared, every pair in them, by exclusive-or and bit counts.
-A tile is compared in blocks of at most ``TILE`` fingerprints, however many it holds.
+A document's fingerprint takes each bit from the majority of its word shingles' hashes: XXH64 with one seed for every 64 bits. Distinct
+fingerprints are laid out in tiles. Of one 64-bit word, a tile has the population counts of its four 16-bit parts: fingerprints differ in at
+least as many bits as their tiles' counts do in sum. Wider fingerprints, which bear larger radii, have bands of their whole population count, and classes of
+documents' numbers of distinct shingles where a least similarity is asked for, as that bounds their ratio. Only pairs of tiles whose counts
+differ by no more than the radius are compared, every pair in them, by exclusive-or and bit counts. A tile is compared in blocks of a bounded number
+of fingerprints, however many it holds.
 
 Each comparison keeps a spanning forest of the links it finds rather than all pairs; components of the forests'
 union are those of all links.
@@ -14,64 +15,77 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import product
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_bits, settled, small_batches
+from .common import hash_bits, runs, settled, small_batches
 from .components import components
 
-#: Fingerprints in one block of a tile.
+#: Fingerprints in one block of a tile, and of visitors that are compared with it at once.
 TILE = 1024
-WORDS = 4
+PARTS = 4
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """Majority of each bit over the hashes of the text's word shingles; zero without words."""
+def fingerprint(text: str, words: int = 3, width: int = 1) -> tuple[list[int], int]:
+    """(``width`` words of 64 bits, number of distinct shingles): the majority of each bit over the hashes of the text's word shingles; zeros without words.
+
+    A long text is hashed in runs; a run begins with the last words of the one before.
+    """
     import xxhash
 
-    w = text.encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0
-    n = max(1, len(w) - words + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(b" ".join(w[i : i + words]), 42) for i in range(n)), dtype="<u8", count=n)
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, 1 << 16):  # the bits of one run of hashes at a time
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
-
-
-def _fingerprints(words: int):
+    ones, n, seen, carried = np.zeros(64 * width, dtype=np.int64), 0, [], []
+    for run in runs(text):
+        w = carried + run.encode("utf-8", "surrogatepass").lower().split()
+        carried = w[max(len(w) - words + 1, 0) :]
+        shingles = [b" ".join(w[i : i + words]) for i in range(len(w) - words + 1)]
+        hashes = np.array([[digest(x, 42 + k) for x in shingles] for k in range(width)], dtype="<u8").reshape(width, -1)
+        n += len(shingles)
+        seen.append(np.unique(hashes[0]))
+        for i in range(0, len(shingles), 1 << 16):  # the bits of one part of the hashes at a time
+            part = np.ascontiguousarray(hashes[:, i : i + (1 << 16)].T)
+            ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    if not n and carried:
+        return [digest(b" ".join(carried), 42 + k) for k in range(width)], 1
+    bits = np.packbits(2 * ones > n, bitorder="little").view("<u8")
+    return bits.tolist(), len(np.unique(np.concatenate(seen)))
+
+
+def _fingerprints(words: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py() or "", words) for t in batch.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(prints.view(np.int64))], ["doc_id", "text_key", "print"])
+            found = [fingerprint(t.as_py() or "", words, width) for t in batch.column("text")]
+            prints = np.array([p for p, _ in found], dtype=np.uint64).reshape(-1, width).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(prints.tolist(), pa.list_(pa.int64())), pa.array([n for _, n in found], pa.int64())],
+                ["doc_id", "text_key", "print", "shingles"],
+            )
 
     return run
 
 
-def simhashes(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, text_key (a hash of the text) and print: the fingerprint of each row's whole text as a signed 64-bit number."""
+def simhashes(docs: DataFrame, words: int = 3, width: int = 1) -> DataFrame:
+    """doc_id, text_key (a hash of the text), print (the fingerprint of each row's whole text as ``width`` signed 64-bit numbers) and shingles."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(_fingerprints(words), "doc_id bigint, text_key bigint, print bigint")
-
+    return rows.mapInArrow(_fingerprints(words, width), "doc_id bigint, text_key bigint, print array<bigint>, shingles bigint")
 
-def _tile(column: str = "print"):
-    """The population counts of the fingerprint's words as one number, 17 values each."""
-    out = F.lit(0)
-    for k in range(WORDS):
-        out = out * 17 + F.bit_count(F.shiftright(column, 16 * k).bitwiseAND(F.lit(0xFFFF)))
-    return out.cast("int")
 
-
-def neighbours(radius: int) -> list[tuple[int, ...]]:
-    """Differences of population counts between tiles that may hold a link, one of each opposite pair."""
-    near = [d for d in product(range(-radius, radius + 1), repeat=WORDS) if sum(map(abs, d)) <= radius]
-    return [d for d in near if d > (0,) * WORDS]
+def layout(radius: int, width: int = 1, similarity: float | None = None) -> tuple[list[tuple[Column, int]], list[tuple[int, ...]]]:
+    """(for each coordinate of a tile its column and number of values; differences of coordinates between tiles that may hold a link, one of each
+    opposite pair)."""
+    if width == 1:
+        counts = [F.bit_count(F.shiftright(F.col("print")[0], 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(PARTS)]
+        axes, near = [(c, 17) for c in counts], [d for d in product(range(-radius, radius + 1), repeat=PARTS) if sum(map(abs, d)) <= radius]
+    else:
+        whole = sum((F.bit_count(F.col("print")[k]) for k in range(1, width)), F.bit_count(F.col("print")[0]))
+        size = F.floor(F.log(F.greatest("shingles", F.lit(1))) / -log(similarity) + 1e-9) if similarity else F.lit(0)
+        axes, near = [(size, 256), (F.floor(whole / (radius + 1)), 64 * width // (radius + 1) + 1)], list(product((-1, 0, 1), repeat=2))
+    return axes, [d for d in near if d > (0,) * len(axes)]
 
 
 def _settle(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,108 +99,132 @@ def _settle(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
         left, right = l2, r2
 
 
-def _links(home: np.ndarray, visitors: list[np.ndarray], radius: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links within ``home`` and between it and each block of visitors.
+class Block:
+    """A block at home and its links: a spanning forest within it and between it and each run of visitors.
 
-    Labels are places in ``home``; a visitor takes the label of what it links to.
+    Prints are rows of 64-bit words; links name the nodes of prints. Labels are places in the block; a visitor takes the label of what it links to.
     """
-    labels = np.arange(len(home))
-    apart = lambda x: np.bitwise_count(x[:, None] ^ home[None, :])
-    labels, _ = _settle(apart(home) <= radius, labels, labels)
-    for i in np.flatnonzero(labels != np.arange(len(home))):
-        yield int(home[i]), int(home[labels[i]])
-    for block in visitors:
-        near = apart(block) <= radius
+
+    def __init__(self, prints: np.ndarray, nodes: np.ndarray, radius: int):
+        self.prints, self.nodes, self.radius = prints, nodes, radius
+        start = np.arange(len(prints))
+        self.labels, _ = _settle(self.near(prints), start, start)
+        moved = np.flatnonzero(self.labels != start)
+        self.found = list(zip(nodes[moved].tolist(), nodes[self.labels[moved]].tolist()))
+
+    def near(self, others: np.ndarray) -> np.ndarray:
+        bits = np.zeros((len(others), len(self.prints)), dtype=np.uint16)
+        for k in range(self.prints.shape[1]):
+            bits += np.bitwise_count(others[:, k, None] ^ self.prints[None, :, k])
+        return bits <= self.radius
+
+    def visit(self, prints: np.ndarray, nodes: np.ndarray) -> None:
+        near = self.near(prints)
         rows = near.any(axis=1)
-        if rows.any():
-            # homes of one label are one column, so all of them follow when it falls
-            old, of = np.unique(labels, return_inverse=True)
-            order = np.argsort(of, kind="stable")
-            near = np.logical_or.reduceat(near[rows][:, order], np.searchsorted(of[order], np.arange(len(old))), axis=1)
-            own, new = _settle(near, np.full(int(rows.sum()), len(home)), old)
-            yield from zip(block[rows].tolist(), home[own].tolist())
-            fell = new != old
-            yield from zip(home[old[fell]].tolist(), home[new[fell]].tolist())
-            labels = new[of]
-
-
-def _compare(radius: int):
+        if not rows.any():
+            return
+        # homes of one label are one column, so all of them follow when it falls
+        old, of = np.unique(self.labels, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        near = np.logical_or.reduceat(near[rows][:, order], np.searchsorted(of[order], np.arange(len(old))), axis=1)
+        own, new = _settle(near, np.full(int(rows.sum()), len(self.nodes)), old)
+        self.found += zip(nodes[rows].tolist(), self.nodes[own].tolist())
+        fell = new != old
+        self.found += zip(self.nodes[old[fell]].tolist(), self.nodes[new[fell]].tolist())
+        self.labels = new[of]
+
+
+def _compare(radius: int, width: int, tile: int):
+    """Links of every block; its rows come one after another, those at home first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, home, visitors = None, [], []
-
-        def flush() -> pa.RecordBatch | None:
-            if len(home) + len(visitors) < 2 or not home:
-                return None
-            v = np.array(visitors, dtype=np.uint64)
-            found = list(_links(np.array(home, dtype=np.uint64), [v[i : i + TILE] for i in range(0, len(v), TILE)], radius))
-            if not found:
-                return None
-            pairs = np.array(found, dtype=np.uint64).view(np.int64).reshape(-1, 2)
+        key, home, block = None, [], None
+
+        def links(found: list) -> pa.RecordBatch:
+            pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+        def at_home() -> Block | None:
+            return Block(np.concatenate([p for p, _ in home]), np.concatenate([n for _, n in home]), radius) if home else None
+
         for batch in batches:
-            prints = batch.column("print").to_numpy().view(np.uint64).tolist()
-            for k, b, v, p in zip(batch.column("tile").to_pylist(), batch.column("block").to_pylist(), batch.column("visits").to_pylist(), prints):
-                if (k, b) != key:
-                    if out := flush():
-                        yield out
-                    key, home, visitors = (k, b), [], []
-                (visitors if v else home).append(p)
-        if out := flush():
-            yield out
+            if not batch.num_rows:
+                continue
+            tiles, blocks = batch.column("tile").to_numpy(), batch.column("block").to_numpy()
+            visits, nodes = batch.column("visits").to_numpy(zero_copy_only=False), batch.column("node").to_numpy()
+            prints = batch.column("print").flatten().to_numpy().reshape(-1, width).view(np.uint64)
+            new = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(blocks) != 0) | (np.diff(visits) != 0)) + 1
+            for a, b in zip([0, *new], [*new, len(tiles)]):
+                if (tiles[a], blocks[a]) != key:
+                    if key is not None and (block := block or at_home()) and block.found:
+                        yield links(block.found)
+                    key, home, block = (tiles[a], blocks[a]), [], None
+                if not visits[a]:
+                    home.append((prints[a:b], nodes[a:b]))
+                    continue
+                block = block or at_home()
+                for i in range(a, b if block else a, tile):
+                    block.visit(prints[i : min(i + tile, b)], nodes[i : min(i + tile, b)])
+        if key is not None and (block := block or at_home()) and block.found:
+            yield links(block.found)
 
     return run
 
 
-def links(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """a, b: links between distinct fingerprints (column ``print``) at ``radius`` or fewer differing bits.
+def links(prints: DataFrame, radius: int = 2, width: int = 1, similarity: float | None = None, tile: int | None = None) -> DataFrame:
+    """a, b: links between the nodes of distinct fingerprints (node, print, shingles) at ``radius`` or fewer differing bits.
 
-    They are a spanning forest of every comparison of blocks: no component is lost, and their number stays in proportion to the
-    blocks compared.
+    With ``similarity``, pairs whose numbers of distinct shingles alone rule it out need not be linked. Links are a spanning forest of every
+    comparison of blocks: no component is lost, and their number stays in proportion to the blocks compared.
     """
-    spark = prints.sparkSession
-    tiles = prints.select("print", _tile().alias("tile"))
-    # one row for each tile, and there are at most 17^4 tiles
-    sizes = tiles.groupBy("tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    shifts = F.array(*[F.array(*map(F.lit, d)) for d in neighbours(radius)])
-    count = [F.floor(F.col("tile") / 17 ** (WORDS - 1 - k)) % 17 for k in range(WORDS)]
-    inside, to = F.lit(True), F.col("tile")
-    for k in range(WORDS):
-        inside = inside & (count[k] + F.col("d")[k]).between(0, 16)
-        to = to + F.col("d")[k] * 17 ** (WORDS - 1 - k)
-    near = sizes.select("tile", F.explode(shifts).alias("d")).filter(inside).select("tile", to.alias("to"))
-    near = near.join(F.broadcast(sizes.select(F.col("tile").alias("to"), F.col("blocks").alias("to_blocks"))), "to")
-    # at most 17^4 rows of at most as many numbers as there are neighbours
-    visits = near.groupBy("tile").agg(F.collect_list(F.struct("to", "to_blocks")).alias("near"))
-    tiles = tiles.join(F.broadcast(sizes), "tile").join(F.broadcast(visits), "tile", "left")
-    tiles = tiles.withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
-    at_home = tiles.select("tile", "block", F.lit(False).alias("visits"), "print")
-    own = tiles.filter("block > 0").select("tile", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"), F.lit(True).alias("visits"), "print")
-    others = tiles.filter("near is not null").select("print", F.explode("near").alias("n"))
-    others = others.select(F.col("n.to").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("n.to_blocks") - 1)).alias("block"), F.lit(True).alias("visits"), "print")
-    dealt = at_home.unionByName(own).unionByName(others).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "tile", "block")
-    return dealt.sortWithinPartitions("tile", "block", "visits").mapInArrow(_compare(radius), "a bigint, b bigint")
-
-
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id and text_key of each row of ``docs`` (doc_id, text).
+    tile = tile or TILE
+    axes, near = layout(radius, width, similarity)
+    number, scales = F.lit(0), []
+    for column, size in axes:
+        number = number * size + F.least(column, F.lit(size - 1))
+        scales = [x * size for x in scales] + [1]
+    tiles = prints.select("node", "print", number.cast("int").alias("tile"))
+    # one row for each tile, and their number is bounded by the layout
+    sizes = F.broadcast(settled(tiles.groupBy("tile").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))))
+    tiles = tiles.join(sizes, "tile").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    columns = ["tile", "block", "visits", "node", "print"]
+    at_home = tiles.withColumn("visits", F.lit(False)).select(columns)
+    own = tiles.filter("block > 0").withColumn("visits", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).select(columns)
+    # neighbours by their coordinates; tiles without fingerprints fall away in the join
+    steps = F.array(*[F.array(*map(F.lit, d)) for d in near])
+    there, inside = F.col("tile"), F.lit(True)
+    for k, (scale, (_, size)) in enumerate(zip(scales, axes)):
+        there = there + F.col("d")[k] * scale
+        inside = inside & (F.floor(F.col("tile") / scale) % size + F.col("d")[k]).between(0, size - 1)
+    others = tiles.select("node", "print", "tile", F.explode(steps).alias("d")).filter(inside).select("node", "print", there.cast("int").alias("tile"))
+    others = others.join(sizes, "tile").withColumn("visits", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(columns)
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = at_home.unionByName(own).unionByName(others).repartition(parts, "tile", "block")
+    return dealt.sortWithinPartitions("tile", "block", "visits").mapInArrow(_compare(radius, width, tile), "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, width: int = 1, similarity: float | None = None, tile: int | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits for each 64 bits), component_id, text_key and keep_key of each row of ``docs`` (doc_id, text).
 
     Documents are linked when their fingerprints differ in ``radius`` bits or fewer; component_id is the smallest doc_id
-    that links reach. A null, empty or blank text has the fingerprint zero and is linked like any other. Rows with a null
-    doc_id take part and have the component they reach, null if it has no doc_id. An empty table gives no rows. Other columns are ignored.
+    that links reach, and keep_key the text_key of one row that has it. A null, empty or blank text has the fingerprint zero and is linked like any
+    other. Rows with a null doc_id take part and have the component they reach, null if it has no doc_id. An empty table gives no rows. Other
+    columns are ignored. Fingerprints of more than 64 bits are told apart by a 64-bit hash.
     """
-    prints = settled(simhashes(docs, words))
+    prints = simhashes(docs, words, width)
+    prints = settled(prints.withColumn("node", F.col("print")[0] if width == 1 else F.xxhash64("print")))
     bits = hash_bits(prints.count())
     # a fingerprint that very many documents share is counted down in shares first
-    salted = prints.withColumn("salt", F.shiftright(F.xxhash64("doc_id"), 64 - bits))
-    by_salt = salted.groupBy("print", "salt").agg(F.min("doc_id").alias("first"))
-    distinct = settled(by_salt.groupBy("print").agg(F.min("first").alias("first")))
+    salted = prints.withColumn("salt", F.shiftright(F.xxhash64("doc_id", "text_key"), 64 - bits))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    by_salt = salted.groupBy("node", "salt").agg(F.min(first).alias("first"), F.first("print").alias("print"), F.max("shingles").alias("shingles"))
+    distinct = settled(by_salt.groupBy("node").agg(F.min("first").alias("first"), F.first("print").alias("print"), F.max("shingles").alias("shingles")))
     small_batches(docs.sparkSession, 10_000)
-    reached = components(links(distinct, radius)).withColumnRenamed("node", "print")
+    reached = components(links(distinct, radius, width, similarity, tile))
     # a component's smallest doc_id; fingerprints without links are components of their own
-    labelled = distinct.join(reached, "print", "left").select("print", "first", F.coalesce("component", "print").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = labelled.join(least, "component").select("print", "component_id")
-    shares = by_salt.select("print", "salt").join(named, "print")
-    joined = salted.join(shares, ["print", "salt"])
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "text_key")
+    labelled = distinct.join(reached, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("first").alias("least"))
+    named = labelled.join(least, "component").select("node", "least")
+    joined = salted.join(by_salt.select("node", "salt").join(named, "node"), ["node", "salt"])
+    digits = F.lower(F.concat_ws("", F.transform("print", lambda p: F.lpad(F.hex(p), 16, "0"))))
+    return joined.select("doc_id", digits.alias("fingerprint"), F.col("least.doc_id").alias("component_id"), "text_key", F.col("least.text_key").alias("keep_key"))
