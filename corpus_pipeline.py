@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilcraft.llm.common import WHITE_SPACE, read, shared_dir
+from veilcraft.llm.common import WHITE_SPACE, read, settled, shared_dir
 from veilcraft.llm.exact_dedup import exact_duplicates
 from veilcraft.llm.mixing import mixed
 from veilcraft.llm.packing import pack_documents
@@ -20,7 +20,11 @@ from veilcraft.llm.simhash import near_duplicates
 from veilcraft.llm.toxicity import toxicity_scores
 
 
-def _without(docs: DataFrame, rejected: DataFrame, key) -> DataFrame:
+#: Near copies: five-word shingles of similarity 0.8 or more, told by 128 bits of which so many may differ.
+NEAR = {"words": 5, "width": 2, "radius": 25, "similarity": 0.8, "tile": 4096}
+
+
+def _without(docs: DataFrame, rejected: DataFrame, key: Column) -> DataFrame:
     """``docs`` without the rows whose doc_id and key (a column of the text) are in ``rejected`` (doc_id, key)."""
     columns = docs.columns
     gone = rejected.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
@@ -28,39 +32,56 @@ def _without(docs: DataFrame, rejected: DataFrame, key) -> DataFrame:
     return docs.withColumn("_key", key).join(gone, same, "left_anti").select(*columns)
 
 
-def _once(docs: DataFrame) -> DataFrame:
-    """One of the rows that repeat with one doc_id and text."""
+def _once(docs: DataFrame, key: Column, longest: bool = False) -> DataFrame:
+    """One of the rows that repeat with one doc_id and key: the longest text where that is asked for, then the first by its hash.
+
+    Repeats are counted on keys alone. Texts move only where there are any, and only theirs.
+    """
     columns = docs.columns
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return docs.withColumn("_time", F.row_number().over(same)).filter("_time = 1").select(*columns)
+    keyed = docs.withColumn("_key", key)
+    repeats = settled(keyed.groupBy(F.col("doc_id").alias("_of"), F.col("_key").alias("_of_key")).count().filter("count > 1").drop("count"))
+    if repeats.isEmpty():
+        return docs
+    same = F.col("doc_id").eqNullSafe(F.col("_of")) & F.col("_key").eqNullSafe(F.col("_of_key"))
+    order = F.struct((-F.length("text") if longest else F.lit(0)).alias("n"), F.xxhash64("text").alias("h"))
+    # minima are formed before rows are dealt out, so very many repeats don't meet in one task
+    rest = keyed.join(repeats, same).groupBy("doc_id", "_key").agg(F.min_by(F.struct(*columns), order).alias("_row"))
+    return keyed.join(repeats, same, "left_anti").select(*columns).unionByName(rest.select("_row.*"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic."""
+    """Documents that aren't predicted toxic. Repeated rows fare alike; null and empty texts are scored like any other; an empty table stays empty."""
     scores = toxicity_scores(docs, read(spark, sf_dir, "labels"))
     return _without(docs, scores.filter("predicted = 1").withColumnRenamed("text_key", "key"), F.xxhash64("text"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row that stays of each group of equal texts."""
+    """The row that stays of each group of equal texts: the longest, then that with the smallest doc_id (null last), then the first by the text's hash.
+
+    Null and empty texts are one group. An empty table stays empty.
+    """
     copies = exact_duplicates(docs).filter("not kept").withColumnRenamed("text_sha256", "key")
-    normalised = F.translate(F.coalesce("text", F.lit("")), WHITE_SPACE, "")
-    return _once(_without(docs, copies, F.sha2(F.encode(normalised, "UTF-8"), 256)))
+    normalised = F.sha2(F.encode(F.translate(F.coalesce("text", F.lit("")), WHITE_SPACE, ""), "UTF-8"), 256)
+    return _once(_without(docs, copies, normalised), normalised, longest=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
-    groups = near_duplicates(docs).filter("not (doc_id <=> component_id)").withColumnRenamed("text_key", "key")
-    return _once(_without(docs, groups, F.xxhash64("text")))
+    """The row with the smallest doc_id (null last), then the first by the text's hash, of each group of near duplicates (NEAR).
+
+    Null, empty and blank texts are one group. An empty table stays empty.
+    """
+    groups = near_duplicates(docs, **NEAR)
+    gone = groups.filter(~(F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_key").eqNullSafe(F.col("keep_key"))))
+    return _once(_without(docs, gone.withColumnRenamed("text_key", "key"), F.xxhash64("text")), F.xxhash64("text"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, to the nearest whole number; those without words stay once. An empty table stays empty."""
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of 2048 tokens."""
+    """Pieces of documents and their places in sequences of 2048 tokens. Repeated rows are packed each; null texts pack as their end id."""
     return pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
