@@ -24,35 +24,42 @@ from veilcraft.llm.toxicity import toxicity_scores
 NEAR = {"words": 5, "width": 2, "radius": 25, "similarity": 0.8, "tile": 4096}
 
 
-def _without(docs: DataFrame, rejected: DataFrame, key: Column) -> DataFrame:
-    """``docs`` without the rows whose doc_id and key (a column of the text) are in ``rejected`` (doc_id, key)."""
-    columns = docs.columns
-    gone = rejected.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & F.col("_key").eqNullSafe(F.col("_gone_key"))
-    return docs.withColumn("_key", key).join(gone, same, "left_anti").select(*columns)
+#: Keys up to so many rows are broadcast; more are joined by a shuffle.
+FEW = 200_000
+
 
+def _small(keys: DataFrame) -> DataFrame:
+    """``keys`` computed once, to be broadcast if they are few."""
+    keys = settled(keys)
+    return F.broadcast(keys) if keys.count() <= FEW else keys
 
-def _once(docs: DataFrame, key: Column, longest: bool = False) -> DataFrame:
-    """One of the rows that repeat with one doc_id and key: the longest text where that is asked for, then the first by its hash.
 
-    Repeats are counted on keys alone. Texts move only where there are any, and only theirs.
+def _kept(docs: DataFrame, rejected: DataFrame, key: Column, longest: bool | None = None) -> DataFrame:
+    """``docs`` without the rows whose doc_id and key (a number made of the text) are in ``rejected`` (doc_id, key).
+
+    Unless ``longest`` is None, one row stays of those that repeat with one doc_id and key: the longest text if it is true, then the first by
+    its hash. Repeated doc_ids are counted first, so texts are looked at once more only where there are any.
     """
     columns = docs.columns
-    keyed = docs.withColumn("_key", key)
-    repeats = settled(keyed.groupBy(F.col("doc_id").alias("_of"), F.col("_key").alias("_of_key")).count().filter("count > 1").drop("count"))
-    if repeats.isEmpty():
-        return docs
-    same = F.col("doc_id").eqNullSafe(F.col("_of")) & F.col("_key").eqNullSafe(F.col("_of_key"))
+    gone = _small(rejected.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & F.col("_key").eqNullSafe(F.col("_gone_key"))
+    without = lambda rows: rows.withColumn("_key", key).join(gone, same, "left_anti")
+    if longest is None:
+        return without(docs).select(*columns)
+    ids = _small(docs.groupBy(F.col("doc_id").alias("_of")).count().filter("count > 1").select("_of"))
+    if ids.isEmpty():
+        return without(docs).select(*columns)
+    twice = F.col("doc_id").eqNullSafe(F.col("_of"))
     order = F.struct((-F.length("text") if longest else F.lit(0)).alias("n"), F.xxhash64("text").alias("h"))
     # minima are formed before rows are dealt out, so very many repeats don't meet in one task
-    rest = keyed.join(repeats, same).groupBy("doc_id", "_key").agg(F.min_by(F.struct(*columns), order).alias("_row"))
-    return keyed.join(repeats, same, "left_anti").select(*columns).unionByName(rest.select("_row.*"))
+    first = without(docs.join(ids, twice).drop("_of")).groupBy("doc_id", "_key").agg(F.min_by(F.struct(*columns), order).alias("_row"))
+    return without(docs.join(ids, twice, "left_anti")).select(*columns).unionByName(first.select("_row.*"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic. Repeated rows fare alike; null and empty texts are scored like any other; an empty table stays empty."""
     scores = toxicity_scores(docs, read(spark, sf_dir, "labels"))
-    return _without(docs, scores.filter("predicted = 1").withColumnRenamed("text_key", "key"), F.xxhash64("text"))
+    return _kept(docs, scores.filter("predicted = 1").withColumnRenamed("text_key", "key"), F.xxhash64("text"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +67,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are one group. An empty table stays empty.
     """
-    copies = exact_duplicates(docs).filter("not kept").withColumnRenamed("text_sha256", "key")
+    copies = exact_duplicates(docs).filter("not kept").withColumn("key", F.xxhash64("text_sha256"))
     normalised = F.sha2(F.encode(F.translate(F.coalesce("text", F.lit("")), WHITE_SPACE, ""), "UTF-8"), 256)
-    return _once(_without(docs, copies, normalised), normalised, longest=True)
+    return _kept(docs, copies, F.xxhash64(normalised), longest=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +79,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = near_duplicates(docs, **NEAR)
     gone = groups.filter(~(F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_key").eqNullSafe(F.col("keep_key"))))
-    return _once(_without(docs, gone.withColumnRenamed("text_key", "key"), F.xxhash64("text")), F.xxhash64("text"))
+    return _kept(docs, gone.withColumnRenamed("text_key", "key"), F.xxhash64("text"), longest=False)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
