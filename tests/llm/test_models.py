@@ -59,7 +59,7 @@ def test_sizes_grow_with_the_corpus():
 def test_most_frequent_words_of_one_band(spark, most):
     rows = [(b"w%d" % i, 7) for i in range(300)] + [(b"x", 9000)]
     got = _most_frequent(spark.createDataFrame([(bytearray(w), n) for w, n in rows], "word binary, n bigint"), most)
-    assert len(got) <= most and bytes(got[0]["word"]) == b"x" and len(got) >= min(0.6 * most, 301)
+    assert len(got) <= most and got[0] == (b"x", 9000) and len(got) >= min(0.6 * most, 301)
 
 
 def test_language_model_score_against_brute_force(spark):

@@ -29,7 +29,7 @@ from .common import settled, small_batches
 #: Words in a class of frequent words.
 SLOTS = 32
 #: So many of the most frequent words are broadcast with their counts.
-FREQUENT = 131_072
+FREQUENT = 65_536
 STEPS, PRIOR = 8, 4.0
 #: The end of a document; no word holds a space.
 END = b" "
@@ -260,22 +260,28 @@ def _expected(shared, z: Sizes):
     return run
 
 
-def _most_frequent(counts: DataFrame, most: int) -> list:
-    """At most ``most`` rows (word, n), the most frequent first.
+def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most ``most`` of (word, n), the most frequent first.
 
     Words are counted by bands of their frequency, of which there are a few hundred. Bands are fetched from the most frequent on; of the one that
     would be too many, the words with the smallest hashes come. So no task sends more than its part of them.
     """
     band = F.floor(F.log2("n") * 16)
     bands = counts.groupBy(band.alias("band")).agg(F.count("*").alias("words")).collect()
-    wanted, room = F.lit(False), most
+    least, room, edge = 10**6, most, None
     for r in sorted(bands, key=lambda r: -r["band"]):
         if r["words"] > room:
-            # a part of all hashes that holds about as many words as there is room for
-            wanted = wanted | ((band == r["band"]) & (F.shiftrightunsigned(F.xxhash64("word"), 1) / float(2**63) < 0.98 * room / r["words"]))
+            edge = r
             break
-        wanted, room = wanted | (band == r["band"]), room - r["words"]
-    return sorted(counts.filter(wanted).collect(), key=lambda r: (-r["n"], bytes(r["word"])))[:most]
+        least, room = r["band"], room - r["words"]
+    banded = counts.withColumn("band", band)
+    wanted = F.col("band") >= least
+    if edge is not None:
+        # a part of all hashes that holds about as many words as there is room for
+        part = F.shiftrightunsigned(F.xxhash64("word"), 1) / float(2**63)
+        wanted = wanted | ((F.col("band") == edge["band"]) & (part < 0.98 * room / edge["words"]))
+    found = banded.filter(wanted).select("word", "n").toArrow()
+    return sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist()), key=lambda r: (-r[1], r[0]))[:most]
 
 
 def train(docs: DataFrame, steps: int = STEPS, prior: float = PRIOR, sizes: Sizes | None = None, frequent_words: int = FREQUENT):
@@ -290,8 +296,8 @@ def train(docs: DataFrame, steps: int = STEPS, prior: float = PRIOR, sizes: Size
     totals = {r["k"]: (r["n"], r["v"]) for r in totals.agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     first = _most_frequent(counts.filter(F.col("word") != END), frequent_words - 1)
     ends = counts.filter(F.col("word") == END).first()
-    frequent = [END, *(bytes(r["word"]) for r in first)]
-    n = np.array([ends["n"] if ends else 0, *(r["n"] for r in first)], dtype=np.int64)
+    frequent = [END, *(w for w, _ in first)]
+    n = np.array([ends["n"] if ends else 0, *(c for _, c in first)], dtype=np.int64)
     tail = np.zeros((z.tail_classes, 2))
     for k, v in totals.items():
         tail[k] = v
