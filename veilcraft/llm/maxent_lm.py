@@ -231,28 +231,28 @@ def word_scores(w: dict, last: int, z: Sizes) -> np.ndarray:
     return softmax_log(x.reshape(z.skip_word, z.head_classes, SLOTS)).reshape(z.skip_word, z.head)
 
 
-def _expected(shared, z: Sizes):
-    """Observed and expected counts of each feature and outcome over a partition, as one row for each array."""
+def _gathered(z: Sizes, shared=None):
+    """Counts of each feature and outcome over a partition, as one row for each array: observed ones, or those that the weights ``shared`` expect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        sums = {f"{s}_{k}": np.zeros(v, dtype=np.float64) for k, v in z.shapes().items() if "bias" not in k for s in ("seen", "made")}
+        w = shared.value if shared else None
+        sums = {k: np.zeros(v, dtype=np.float64) for k, v in z.shapes().items() if "bias" not in k}
         skip = np.arange(z.skip)
         for batch in batches:
             for last, counts in zip(batch.column("last").to_pylist(), batch.column("counts")):
                 counts = np.frombuffer(counts.as_py(), dtype=np.float32).astype(np.float64)
-                seen = counts[: z.skip * z.classes].reshape(z.skip, z.classes)
-                made = np.exp(class_scores(w, last, z)) * seen.sum(axis=1, keepdims=True)
-                for name, x in (("seen", seen), ("made", made)):
-                    sums[f"{name}_class_last"][last] += x.sum(axis=0)
-                    sums[f"{name}_class_skip"] += x
-                    np.add.at(sums[f"{name}_class_both"], both(last, skip, z), x)
-                seen = counts[z.skip * z.classes :].reshape(z.skip_word, z.head)
-                of_class = seen.reshape(z.skip_word, z.head_classes, SLOTS).sum(axis=2)
-                made = np.exp(word_scores(w, last, z)) * np.repeat(of_class, SLOTS, axis=1)
-                for name, x in (("seen", seen), ("made", made)):
-                    sums[f"{name}_word_last"][last] += x.sum(axis=0)
-                    sums[f"{name}_word_skip"] += x
+                x = counts[: z.skip * z.classes].reshape(z.skip, z.classes)
+                if w:
+                    x = np.exp(class_scores(w, last, z)) * x.sum(axis=1, keepdims=True)
+                sums["class_last"][last] += x.sum(axis=0)
+                sums["class_skip"] += x
+                np.add.at(sums["class_both"], both(last, skip, z), x)
+                x = counts[z.skip * z.classes :].reshape(z.skip_word, z.head)
+                if w:
+                    of_class = x.reshape(z.skip_word, z.head_classes, SLOTS).sum(axis=2)
+                    x = np.exp(word_scores(w, last, z)) * np.repeat(of_class, SLOTS, axis=1)
+                sums["word_last"][last] += x.sum(axis=0)
+                sums["word_skip"] += x
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums)), pa.array([zlib.compress(x.astype(np.float32).tobytes(), 1) for x in sums.values()], pa.binary())], ["name", "sums"]
         )
@@ -260,6 +260,15 @@ def _expected(shared, z: Sizes):
     return run
 
 
+def _summed(table: DataFrame, z: Sizes, shared=None) -> dict[str, np.ndarray]:
+    """Sums of ``_gathered`` over all partitions: one row for each of them and each of five arrays reaches the driver, little but zeros for
+    other partitions' last words."""
+    got = {k: np.zeros(v, dtype=np.float32) for k, v in z.shapes().items() if "bias" not in k}
+    for r in table.mapInArrow(_gathered(z, shared), "name string, sums binary").collect():
+        got[r["name"]] += np.frombuffer(zlib.decompress(r["sums"]), dtype=np.float32).reshape(got[r["name"]].shape)
+    return got
+
+
 def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     """At most ``most`` of (word, n), the most frequent first.
 
@@ -314,19 +323,18 @@ def train(docs: DataFrame, steps: int = STEPS, prior: float = PRIOR, sizes: Size
     head[: len(frequent[: z.head])] = np.log(n[: z.head] + 0.5)
     of_class = np.append(np.array([n[i : i + SLOTS].sum() for i in range(0, z.head, SLOTS)]), tail[:, 0])
     w["class_bias"], w["word_bias"] = np.log(of_class + 0.5), np.where(np.isfinite(head), head, -60.0)
+    w = {k: v.astype(np.float32) for k, v in w.items()}
     active = {"class": 3, "word": 2}
+    # observed counts are the same at every step
+    seen = _summed(table, z)
     for _ in range(steps):
         current = sc.broadcast(w)
-        got = {f"{s}_{k}": np.zeros(v) for k, v in shapes.items() for s in ("seen", "made")}
-        # ``parts`` rows for each of ten arrays, which hold little but zeros for other parts' last words
-        for r in table.mapInArrow(_expected(current, z), "name string, sums binary").collect():
-            got[r["name"]] += np.frombuffer(zlib.decompress(r["sums"]), dtype=np.float32).reshape(got[r["name"]].shape)
-        for k in shapes:
-            if "bias" not in k:
-                seen, made = got[f"seen_{k}"], got[f"made_{k}"]
-                w[k] = w[k] + (seen - made) / (np.maximum(seen, made) + prior) / active[k.split("_")[0]]
-        current.unpersist()
-    return sc.broadcast(facts | {"weights": {k: v.astype(np.float32) for k, v in w.items()}}), counts
+        made = _summed(table, z, current)
+        for k in made:
+            w[k] += (seen[k] - made[k]) / (np.maximum(seen[k], made[k]) + prior) / active[k.split("_")[0]]
+        # the driver would keep the weights of every step
+        current.destroy()
+    return sc.broadcast(facts | {"weights": w}), counts
 
 
 def _score(shared):
