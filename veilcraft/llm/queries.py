@@ -13,6 +13,7 @@ from .media import media_columns
 from .mixing import mix_documents
 from .packing import pack_documents
 from .quality import quality_scores
+from .resampling import resample
 from .simhash import near_duplicates
 from .token_store import token_store
 from .toxicity import toxicity_scores
@@ -68,6 +69,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read(spark, sf_dir, "documents"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_quality": op9_quality,
     "op10_media": op10_media,
+    "op12_resampling": op12_resampling,
 }
 
 ORACLES: dict[str, str] = {
@@ -93,4 +99,37 @@ ORACLES: dict[str, str] = {
             FROM n)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
     """,
+    # DuckDB has no CRC-32, so its 256 steps are made here and followed over the bytes of each distinct feature
+    "op12_resampling": r"""
+        WITH RECURSIVE bits AS (
+            SELECT range AS i, range AS c, 0 AS k FROM range(256)
+            UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+        steps AS (SELECT list(c ORDER BY i) AS step FROM bits WHERE k = 8),
+        texts AS (
+            SELECT true AS source, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
+        w AS (
+            SELECT source, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+        f AS (
+            SELECT source, id, len(words) AS n_words, list_concat(words,
+                list_transform(range(1, greatest(len(words), 1)), lambda i: words[i] || ' ' || words[i + 1])) AS features FROM w),
+        e AS (SELECT source, id, unnest(features) AS feature FROM f),
+        b AS (
+            SELECT feature, xor(list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(feature)),
+                    lambda i: ('0x' || substr(hex(encode(feature)), (2 * i + 1)::BIGINT, 2))::BIGINT)),
+                lambda c, x: xor(c // 256, step[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+            FROM (SELECT DISTINCT feature FROM e), steps),
+        n AS (SELECT bucket, sum(source::INT)::DOUBLE AS s, sum(1 - source::INT)::DOUBLE AS t FROM e JOIN b USING (feature) GROUP BY bucket),
+        g AS (
+            SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM n),
+        m AS (SELECT id, floor(avg(gain))::BIGINT AS weight FROM e JOIN b USING (feature) JOIN g USING (bucket) WHERE source GROUP BY id),
+        d AS (
+            SELECT id AS doc_id, n_words, len(features) AS n_features, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM f LEFT JOIN m USING (id) WHERE source),
+        r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM d WHERE n_words >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM r
+        UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM d WHERE n_words < 20
+    """,
 }
