@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .conversation_trie import prefix_trie
 from .exact_dedup import exact_duplicates
+from .language_id import predict_languages
 from .maxent_lm import language_scores
 from .media import media_columns
 from .mixing import mix_documents
@@ -69,10 +71,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(read(spark, sf_dir, "documents"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
@@ -84,7 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_quality": op9_quality,
     "op10_media": op10_media,
+    "op11_language_id": op11_language_id,
     "op12_resampling": op12_resampling,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -132,4 +144,38 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM r
         UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM d WHERE n_words < 20
     """,
+    "op13_conversation_trie": r"""
+        WITH RECURSIVE bits AS (
+            SELECT range AS i, range AS c, 0 AS k FROM range(256)
+            UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+        steps AS (SELECT list(c ORDER BY i) AS step FROM bits WHERE k = 8),
+        c AS (
+            SELECT conv_id, conv_id - conv_id % 20 AS first, xor(list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(conv_id::VARCHAR)), lambda i: ascii(substr(conv_id::VARCHAR, (i + 1)::BIGINT, 1))::BIGINT)),
+                lambda c, x: xor(c // 256, step[(xor(c, x) & 255) + 1])), 4294967295) % 4 AS taken
+            FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), steps),
+        t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations),
+        r AS (
+            SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = c.first AND pos < taken
+            UNION ALL SELECT conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos >= taken),
+        x AS (
+            SELECT conv_id, row_number() OVER w AS depth, list({'role': role, 'text': text}) OVER w AS path, len(regexp_extract_all(text, '[^ 	-]+')) AS words
+            FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)
+            UNION ALL SELECT conv_id, 0, [], 0 FROM c),
+        n AS (SELECT path, depth, min(conv_id) AS id, count(*) AS n_convs, max(words) AS words FROM x GROUP BY path, depth),
+        m AS (SELECT conv_id, depth, id FROM x JOIN n USING (path, depth)),
+        u AS (SELECT n.id, n.depth, m.id AS parent FROM n LEFT JOIN m ON m.conv_id = n.id AND m.depth = n.depth - 1),
+        k AS (SELECT parent AS id, depth - 1 AS depth, count(*) AS n_children FROM u WHERE parent IS NOT NULL GROUP BY ALL),
+        s AS (
+            SELECT m.id, m.depth, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens
+            FROM n LEFT JOIN k USING (id, depth) JOIN m ON m.conv_id = n.id AND m.depth <= n.depth GROUP BY ALL),
+        e AS (
+            SELECT id, depth, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+            FROM m JOIN (SELECT conv_id, max(depth) AS depth FROM x GROUP BY conv_id) USING (conv_id, depth) GROUP BY ALL)
+        SELECT n.id AS conv_id, depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+            coalesce(ends_sha256, sha256('')) AS ends_sha256
+        FROM n JOIN u USING (id, depth) JOIN s USING (id, depth) LEFT JOIN k USING (id, depth) LEFT JOIN e USING (id, depth)
+    """,
 }
