@@ -1,3 +1,5 @@
+import hashlib
+import itertools
 import random
 import re
 
@@ -7,12 +9,14 @@ from pyspark.sql import functions as F
 from veilcraft.functions import rules
 from veilcraft.functions.rules import Rule, marked
 from veilcraft.operators import analytics
+from veilcraft.operators import anonymize as anonymize_module
 from veilcraft.operators.anonymize import anonymize, anonymize_segments, strategy
 from veilcraft.operators.fuse import DETECTORS, SEMANTIC, TYPE_RANK, fuse, resolve_overlaps
 from veilcraft.operators.mentions import Person, Taken, find_mentions
 from veilcraft.operators.reinject import conflicts_and_decisions, plan_status
-from veilcraft.operators.scan import scan
+from veilcraft.operators.scan import dealt, scan
 from veilcraft.operators.seals import SealError, delete, latest_hash, load, must_open, opened, save, sealed, signature
+from veilcraft.operators.spans import before, between, blocks, most, plus
 from veilcraft.plans import rule_cases
 from veilcraft.plans.policies import POLICIES, expand_groups
 
@@ -134,7 +138,67 @@ def test_tests_before_a_search_lose_nothing(spark):
 def test_segments(spark):
     rows = [(1, 0, "Klient: Jan Kowalski"), (1, 1, "tel. 600700800 §§"), (2, 5, "nic"), (2, 6, None)]
     out = anonymize_segments(spark.createDataFrame(rows, "c bigint, t bigint, text string"), "c", "t").collect()
-    assert sorted((r.c, r.t, r.text) for r in out) == [(1, 0, "Klient: [OSOBA_1]"), (1, 1, "tel. [PHONE_1] §§"), (2, 5, "nic"), (2, 6, "")]
+    assert sorted((r.c, r.t, r.text or "") for r in out) == [(1, 0, "Klient: [OSOBA_1]"), (1, 1, "tel. [PHONE_1] §§"), (2, 5, "nic"), (2, 6, "")]
+
+
+def test_segments_of_any_text_and_key(spark):
+    edge = anonymize_module._BOUNDARY
+    rows = [
+        (None, 1, "null key e@f.pl"), (None, 1, None), (None, None, "e@f.pl i g@h.pl"), ("a", 1, "x\0y jan@b.pl"), ("a", 2, "second c@d.pl"), ("a", 2, "second c@d.pl"),
+        ("a", None, "first of all"), ("b", 3, f"{edge}q@w.pl{edge}{edge}"), ("b", 4, ""), ("b", 5, edge), ("b", 6, "\x01\x02 r@t.pl 😀"), ("c", 1, None),
+    ]
+    done = anonymize_segments(spark.createDataFrame(rows, "key string, start int, text string").repartition(3), "key", "start", types=("EMAIL",)).collect()
+    one, two = "[EMAIL_1]", "[EMAIL_2]"
+    want = [
+        (None, 1, f"null key {one}", 1), (None, 1, None, 0), (None, None, f"{one} i {two}", 2), ("a", 1, f"x\0y {one}", 3), ("a", 2, f"second {two}", 3), ("a", 2, "second [EMAIL_3]", 3),
+        ("a", None, "first of all", 3), ("b", 3, f"{edge}{one}{edge}{edge}", 2), ("b", 4, "", 2), ("b", 5, edge, 2), ("b", 6, f"\x01\x02 {two} 😀", 2), ("c", 1, None, 0),
+    ]
+    assert sorted(((r.key, r.start, r.text, r.findings.get("EMAIL", 0)) for r in done), key=repr) == sorted(want, key=repr)
+    assert anonymize_segments(spark.createDataFrame([], "key string, start int, text string"), "key", "start").collect() == []
+
+
+def test_very_many_spans_in_one_text(spark):
+    import time
+
+    took = []
+    for n in (2_000, 10_000, 40_000):
+        text = " ".join(f"pisz na user{i}@mail.pl, słowo" for i in range(n))
+        began = time.time()
+        (row,) = anonymize(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), types=("EMAIL",)).collect()
+        took.append(time.time() - began)
+        assert row.text == " ".join(f"pisz na [EMAIL_{i + 1}], słowo" for i in range(n)) and row.findings == {"EMAIL": n}
+    assert took[2] < 20 + 2 * took[0]
+
+
+def test_sums_and_maxima_of_what_comes_before(spark):
+    rnd = random.Random(5)
+    rows = [([rnd.randrange(100) for _ in range(n)],) for n in (0, 1, 2, 127, 128, 129, 1000, 40_000)]
+    df = spark.createDataFrame(rows, "v array<bigint>").select("v", before(F.col("v"), plus).alias("s"), before(F.col("v"), most).alias("m"))
+    for r in df.collect():
+        assert r.s == [0, *itertools.accumulate(r.v)][: len(r.v)] and r.m == [0, *itertools.accumulate(r.v, max)][: len(r.v)]
+
+
+def test_blocks_and_what_lies_between(spark):
+    rnd = random.Random(6)
+    texts = ["", "a", "ż" * 4096, "😀a" * 2048 + "b", "".join(rnd.choice("aż😀 ") for _ in range(1_048_576 * 2 + 5000))]
+    places = [(i, *sorted((rnd.randrange(len(t) + 1), rnd.randrange(len(t) + 1)))) for i, t in enumerate(texts) for _ in range(20)] + [(i, 0, len(t)) for i, t in enumerate(texts)]
+    parts = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", blocks(F.col("t")).alias("b"))
+    rows = spark.createDataFrame(places, "i int, a bigint, z bigint").join(parts, "i").select("i", "a", "z", F.sha2(between(F.col("b"), F.col("a"), F.col("z")), 256).alias("h")).collect()
+    assert len(rows) == len(places) and all(r.h == hashlib.sha256(texts[r.i][r.a : r.z].encode()).hexdigest() for r in rows)
+
+
+def test_only_tables_below_a_split_for_each_core_are_dealt(spark, tmp_path):
+    rows = spark.range(200_000).select("id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 2).alias("text")).coalesce(1)
+    rows.write.option("parquet.block.size", 1_000_000).parquet(str(tmp_path / "t"))
+    read = lambda: spark.read.parquet(str(tmp_path / "t"))
+    shuffled = lambda df: "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+    assert shuffled(dealt(read()))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        assert not shuffled(dealt(read()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_strategies():

@@ -14,7 +14,7 @@ from ..plans.policies import POLICIES, Policy
 from .fuse import accepted, fused, resolved, reviewable
 from .mentions import mentions
 from .scan import dealt, with_spans
-from .spans import SPAN, beside, by, in_rows, let, none
+from .spans import SPAN, before, beside, between, blocks, by, in_rows, let, most, none, plus, reused
 
 #: Types that share a label in placeholders.
 ADDRESS_LIKE = ("ADDRESS", "CITY", "STREET", "POSTAL_CODE", "HOUSE_NUMBER", "APARTMENT_NUMBER", "COUNTRY", "PLACE_OF_BIRTH")
@@ -96,16 +96,26 @@ def planned(spans: Column, mode: str = "irreversible", style: str | None = None,
     return F.array_sort(F.transform(numbered(stay, policy.review), edit))
 
 
-def spliced(text: Column, edits: Column) -> Column:
-    """``text`` with ``edits`` (array of structs start, stop, replacement_text in order, apart from one another) put in."""
-    begun = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+def pieces(text: Column, edits: Column) -> Column:
+    """``text`` with ``edits`` put in, as an array of strings: what stands before an edit, its replacement, and so on to the end.
+
+    Edits are structs (start, stop, replacement_text) in order of place; what an earlier one covers isn't put out again. The text is walked once,
+    in blocks, so neither the number of edits nor the text's length makes an edit cost more.
+    """
+    stops = F.transform(edits, lambda e: e["stop"])
+    behind = F.coalesce(F.array_max(stops), F.lit(0)).cast("bigint")
 
-    def put(acc: Column, e: Column) -> Column:
-        between = F.substr(text, (acc["at"] + 1).cast("int"), F.greatest(e["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(F.concat(acc["out"], between, e["replacement_text"]).alias("out"), F.greatest(e["stop"], acc["at"]).alias("at"))
+    def put(x: Column) -> Column:
+        begins, parts = x["begins"], x["parts"]
+        each = F.transform(edits, lambda e, i: F.array(between(parts, F.get(begins, i), e["start"]), e["replacement_text"]))
+        return F.concat(F.flatten(each), F.array(between(parts, behind, F.length(text).cast("bigint"))))
 
-    done = lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int")))
-    return F.when(F.size(edits) > 0, F.aggregate(edits, begun, put, done)).otherwise(text)
+    return let(F.struct(before(stops, most).alias("begins"), blocks(text).alias("parts")), put)
+
+
+def spliced(text: Column, edits: Column) -> Column:
+    """``text`` with ``edits`` put in, as one string."""
+    return F.when(F.size(edits) > 0, F.array_join(pieces(text, edits), "")).otherwise(text)
 
 
 def findings(edits: Column) -> Column:
@@ -125,8 +135,8 @@ def with_detections(
         same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys])
         rows = rows.join(more, same, "left").drop(*[f"_of{k}" for k in keys])
         rows = rows.withColumn("_spans", F.concat("_spans", F.coalesce(f"_more{i}", none()))).drop(f"_more{i}")
-    rows = rows.withColumn("_spans", fused(F.col("_spans")))
-    return rows.withColumn("_mentions", mentions(F.col(text), F.col("_spans"))).withColumn("_spans", F.concat("_spans", "_mentions")).drop("_mentions")
+    rows = rows.withColumn("_spans", reused(("fused",), lambda: fused(F.col("_spans"))))
+    return rows.withColumn("_mentions", reused(("mentions", text), lambda: mentions(F.col(text), F.col("_spans")))).withColumn("_spans", F.concat("_spans", "_mentions")).drop("_mentions")
 
 
 def detect(docs: DataFrame, types: Iterable[str] | None = None, rules: list[Rule] | None = None, others: Iterable[DataFrame] = (), keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -143,7 +153,7 @@ def replacements(docs: DataFrame, mode: str = "irreversible", style: str | None
     """A row for each replacement: keys, start, stop, entity_type, entity_id, replacement_text, replacement_kind, ordinal, warning, and in
     reversible mode source_text (else null)."""
     rows = with_detections(_keyed(docs, keys, text), keys=keys, text="_text", **found)
-    rows = rows.select(*keys, F.explode_outer(planned(F.col("_spans"), mode, style, policy)).alias("_e")).filter("_e is not null")
+    rows = rows.select(*keys, F.explode_outer(_plan(mode, style, policy)).alias("_e")).filter("_e is not null")
     source = F.col("_e.span.raw_text") if mode == "reversible" else F.lit(None).cast("string")
     return rows.select(
         *keys, "_e.start", "_e.stop", "_e.entity_type", "_e.span.entity_id", "_e.replacement_text", F.lit(strategy(mode, style, policy)).alias("replacement_kind"), "_e.ordinal",
@@ -161,23 +171,55 @@ def anonymize(
     too, and a key that repeats has them in each of its rows). Null texts stay null, with no findings. An empty table gives no rows.
     """
     rows = with_detections(_keyed(docs, keys, text), types, rules, others, keys, "_text")
-    rows = rows.withColumn("_edits", planned(F.col("_spans"), mode, style, policy))
-    return rows.select(*keys, spliced(F.col("_text"), F.col("_edits")).alias(text), findings(F.col("_edits")).alias("findings"))
+    rows = rows.withColumn("_edits", _plan(mode, style, policy))
+    done = reused(("spliced",), lambda: spliced(F.col("_text"), F.col("_edits")))
+    return rows.select(*keys, done.alias(text), _counts().alias("findings"))
+
+
+def _plan(mode: str = "irreversible", style: str | None = None, policy: Policy = POLICIES["external_irreversible"]) -> Column:
+    return reused(("edits", mode, style, policy), lambda: planned(F.col("_spans"), mode, style, policy))
+
+
+def _counts() -> Column:
+    return reused(("findings",), lambda: findings(F.col("_edits")))
+
+
+#: Stands between the segments of a document while it is searched; it ends in a letter, so no number reaches across. Texts may hold it as well.
+_BOUNDARY = "\nsegment§end\n"
 
 
 def anonymize_segments(segments: DataFrame, key: str, order: str, text: str = "text", **options) -> DataFrame:
-    """Segments of one document (``key``) rewritten together, so that a person keeps one number throughout.
+    """Segments of one document (``key``) rewritten together, so that a person keeps one number throughout: key, order, text and findings
+    (of the document) for every row of ``segments``.
 
-    Segments are joined by a boundary line that no segment holds, and cut apart again. Columns: key, order, text, findings (of the document).
+    Segments are joined in order of ``order`` (null first), then text, and the rewritten document is cut where their ends have moved to. What a text
+    holds doesn't matter for that, not even the boundary itself. A span that reaches over an end is replaced in the segment where it
+    begins. A null text stays null. Segments without a key belong to no document, and each is rewritten by itself. A document is held by one
+    task. An empty table gives no rows.
     """
-    rows = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t")))).alias("_parts"))
-    # a run of marks longer than any in the texts; it ends in a letter, so no number reaches across
-    runs = lambda t: F.array_max(F.transform(F.regexp_extract_all(t, F.lit("§+"), F.lit(0)), lambda r: F.length(r)))
-    longest = F.array_max(F.transform("_parts", lambda p: F.coalesce(runs(p["t"]), F.lit(0))))
-    rows = rows.withColumn("_edge", F.concat(F.lit("\nsegment"), F.repeat(F.lit("§"), longest + 1), F.lit("end\n")))
-    joined = rows.withColumn(text, F.array_join(F.transform("_parts", lambda p: p["t"]), "\0")).withColumn(text, F.replace(F.col(text), F.lit("\0"), F.col("_edge")))
-    done = anonymize(joined.select(key, text), keys=(key,), text=text, **options)
-    out = done.join(rows.select(key, "_edge", F.transform("_parts", lambda p: p["o"]).alias("_orders")), key)
-    parts = F.split(F.replace(F.col(text), F.col("_edge"), F.lit("\0")), "\0", -1)
-    out = out.select(key, F.posexplode(parts).alias("_i", text), "_orders", "findings")
-    return out.select(key, F.get("_orders", F.col("_i")).alias(order), text, "findings")
+    rows = segments.select(F.col(key).alias("_key"), F.struct(F.col(order).alias("o"), F.col(text).alias("t")).alias("_part"))
+    whole = rows.filter("_key is not null").groupBy("_key").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
+    rows = whole.unionByName(rows.filter("_key is null").select("_key", F.array("_part").alias("_parts")))
+    texts = F.transform("_parts", lambda p: F.coalesce(p["t"], F.lit("")))
+    rows = with_detections(rows.withColumn("_text", F.array_join(texts, _BOUNDARY)), keys=("_key",), text="_text", **{k: v for k, v in options.items() if k in ("types", "rules", "others")})
+    rows = rows.withColumn("_edits", _plan(**{k: v for k, v in options.items() if k in ("mode", "style", "policy")}))
+    # the boundaries are edits as well, whose replacement is null
+    kind = "struct<start:bigint,stop:bigint,replacement_text:string>"
+    sizes = F.transform("_parts", lambda p: F.length(F.coalesce(p["t"], F.lit(""))).cast("bigint"))
+
+    def bounds(n: Column) -> Column:
+        ends = before(F.transform(n, lambda x: x + len(_BOUNDARY)), plus)  # where segments begin
+        return let(ends, lambda at: F.transform(F.slice(at, F.lit(2), F.size(at)), lambda x: F.struct(x - len(_BOUNDARY), x, F.lit(None).cast("string")).cast(kind)))
+
+    rows = rows.withColumn("_bounds", let(sizes, bounds))
+    cuts = F.array_sort(F.concat(F.transform("_edits", lambda e: F.struct(e["start"], e["stop"], e["replacement_text"]).cast(kind)), F.col("_bounds")))
+
+    def segments_of(whole: Column) -> Column:
+        marks = F.concat(F.filter(F.transform(whole, lambda p, i: F.when(p.isNull(), i)), lambda i: i.isNotNull()), F.array(F.size(whole)))
+        # pieces of a segment lie between two marks
+        return let(marks, lambda m: F.transform(m, lambda to, i: let(F.coalesce(F.get(m, i - 1) + 1, F.lit(0)), lambda at: F.array_join(F.slice(whole, at + 1, to - at), ""))))
+
+    rows = rows.withColumn("_cuts", cuts).withColumn("_pieces", reused(("pieces",), lambda: pieces(F.col("_text"), F.col("_cuts"))))
+    rows = rows.select("_key", "_parts", _counts().alias("findings"), segments_of(F.col("_pieces")).alias("_done"))
+    rows = rows.select("_key", "findings", F.explode(F.transform("_done", lambda t, i: F.struct(F.get("_parts", i).alias("p"), t.alias("t")))).alias("_s"))
+    return rows.select(F.col("_key").alias(key), F.col("_s.p.o").alias(order), F.when(F.col("_s.p.t").isNotNull(), F.col("_s.t")).alias(text), "findings")

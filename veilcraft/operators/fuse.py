@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import FIELDS, SPANS, beside, by, changed, in_rows, let
+from .spans import FIELDS, SPANS, before, beside, by, changed, in_rows, let, most, plus
 
 # Types whose spans compete across types, names of types that mean another, and detectors from the most trusted on.
 SEMANTIC = ("PERSON", "ORG", "ADDRESS")
@@ -58,8 +58,13 @@ def meet(a: Column, b: Column) -> Column:
     return F.coalesce((a["start"] < b["stop"]) & (b["start"] < a["stop"]), F.lit(False))
 
 
+def _place(s: Column) -> Column:
+    """Where a span begins; one without a place comes before all others."""
+    return F.coalesce(s["start"], F.lit(-1).cast("bigint"))
+
+
 def in_order(spans: Column) -> Column:
-    return by(spans, begin, lambda s: -end(s), lambda s: -s["confidence"], lambda s: detector_priority(s["source_detector"]), lambda s: s["rule_seq"])
+    return by(spans, _place, lambda s: -end(s), lambda s: -s["confidence"], lambda s: detector_priority(s["source_detector"]), lambda s: s["rule_seq"])
 
 
 def canonical(spans: Column) -> Column:
@@ -75,22 +80,31 @@ def canonical(spans: Column) -> Column:
     )
 
 
-def islands(spans: Column) -> Column:
-    """``spans``, which are in order, as an array of islands."""
-    nothing = F.struct(F.array().cast(f"array<{SPANS}>").alias("done"), F.array().cast(SPANS).alias("open"), F.lit(-1).cast("bigint").alias("reach"))
-    closed = lambda acc: F.when(F.size(acc["open"]) == 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
+def _opens(spans: Column) -> Column:
+    """For each of ``spans``, which are in order, whether it begins an island; one without a place is an island by itself."""
+    reach = before(F.transform(spans, lambda s: F.when(s["start"].isNull(), 0).otherwise(end(s)).cast("bigint")), most)
+    return let(reach, lambda r: F.transform(spans, lambda s, i: ~F.coalesce(s["start"] < F.get(r, i), F.lit(False))))
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = (F.size(acc["open"]) > 0) & F.coalesce(s["start"] < acc["reach"], F.lit(False))
-        on = F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.array(s)).alias("open"), F.greatest(acc["reach"], end(s)).alias("reach"))
-        new = F.struct(closed(acc).alias("done"), F.array(s).alias("open"), end(s).alias("reach"))
-        return F.when(inside, on).otherwise(new)
 
-    return F.aggregate(spans, nothing, step, closed)
+def island_of(spans: Column) -> Column:
+    """For each of ``spans``, which are in order, the number of its island, from 1 on."""
+    return let(F.transform(_opens(spans), lambda o: o.cast("bigint")), lambda o: let(before(o, plus), lambda n: F.transform(n, lambda x, i: x + F.get(o, i))))
+
+
+def _each_island(spans: Column, fold: Callable[[Column], Column], alone: Callable[[Column], Column] = lambda island: island) -> Column:
+    """What ``fold`` makes of each island of several spans, and ``alone`` of those of one, in order."""
+
+    def over(all_spans: Column) -> Column:
+        firsts = F.filter(F.transform(_opens(all_spans), lambda o, i: F.when(o, i)), lambda i: i.isNotNull())
+
+        def folded(at: Column) -> Column:
+            island = lambda i: F.slice(all_spans, F.get(at, i) + 1, F.get(at, i + 1) - F.get(at, i))
+            each = lambda i: let(island(i), lambda own: F.when(F.size(own) > 1, fold(own)).otherwise(alone(own)))
+            return F.flatten(F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda _, i: each(i)))
 
+        return let(F.concat(firsts, F.array(F.size(all_spans))), folded)
 
-def _each_island(spans: Column, fold: Callable[[Column], Column]) -> Column:
-    return F.flatten(F.transform(islands(spans), lambda i: F.when(F.size(i) > 1, fold(i)).otherwise(i)))
+    return let(spans, over)
 
 
 def _best_of(island: Column) -> Column:
@@ -211,9 +225,8 @@ def resolved(spans: Column) -> Column:
     first of the chosen spans that it overlaps.
     """
     first = by(spans, lambda s: s["start"], lambda s: s["stop"], lambda s: s["rule_seq"], lambda s: s["entity_id"])
-    order = by(first, begin, lambda s: -end(s), lambda s: -s["confidence"])
-    folded = F.flatten(F.transform(islands(order), lambda i: F.when(F.size(i) > 1, _fold_overlaps(i)).otherwise(_unbeaten(i))))
-    return F.when(F.size(spans) > 1, folded).otherwise(_unbeaten(spans))
+    order = by(first, _place, lambda s: -end(s), lambda s: -s["confidence"])
+    return F.when(F.size(spans) > 1, _each_island(order, _fold_overlaps, _unbeaten)).otherwise(_unbeaten(spans))
 
 
 # --- rows ----------------------------------------------------------------------------------------
@@ -233,8 +246,9 @@ def resolve_overlaps(spans: DataFrame, keys: Iterable[str] = ("doc_id",)) -> Dat
 
 def island_numbers(spans: DataFrame, keys: Iterable[str] = ("doc_id",)) -> DataFrame:
     """keys, entity_id and island: the number of the run of overlapping spans within the keys."""
-    rows = beside(spans, keys).withColumn("_islands", islands(in_order(F.col("_spans"))))
-    return rows.select(*keys, F.posexplode("_islands").alias("_i", "_run")).select(*keys, (F.col("_i") + 1).cast("long").alias("island"), F.explode("_run.entity_id").alias("entity_id"))
+    rows = beside(spans, keys).withColumn("_spans", in_order(F.col("_spans"))).withColumn("_islands", island_of(F.col("_spans")))
+    pairs = F.arrays_zip(F.col("_islands").alias("i"), F.transform("_spans", lambda s: s["entity_id"]).alias("e"))
+    return rows.select(*keys, F.explode(pairs).alias("_p")).select(*keys, F.col("_p.i").cast("long").alias("island"), F.col("_p.e").alias("entity_id"))
 
 
 # --- thresholds ----------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import NORMALIZERS
 from ..functions.rules import FLAGS, Rule, marked, ordered
 from ..functions.validate import VALIDATORS
-from .spans import PLAIN, in_rows, let, none, span
+from .spans import PLAIN, before, between, blocks, in_rows, let, none, plus, reused, span
 
 #: Marks put around matches and between their parts; a text's own are replaced by another control character before it is searched.
 _EDGE, _PART, _OWN = "\x01", "\x02", "\x03"
@@ -28,34 +28,30 @@ def entity_id(entity_type: Column, normalized: Column, start: Column, stop: Colu
 def _walked(found: Column) -> Column:
     """The matches of one rule in a text: ``found`` has the rule's place (seq) and the text parted at its matches.
 
-    Every second piece is a match, and that has three parts. One walk carries the place, the characters behind it and the finds. What stands beside
-    a match, without white space and hyphens, is kept as well: suppressions look at it.
+    Every second piece is a match, and that has three parts. What stands beside a match, without white space and hyphens, is kept as well:
+    suppressions look at it. A match is never white space alone, so that lies in the pieces next to it.
     """
-    none_yet = F.array().cast("array<struct<seq:int,start:bigint,stop:bigint,raw:string,near:string,left:string,right:string>>")
-    nothing = F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("at"), F.lit("").alias("near"), F.lit("").alias("left"), none_yet.alias("found"))
     pieces = found["pieces"]
-    near = lambda acc, piece: F.right(F.concat(acc["near"], piece), F.lit(_BEFORE))
-    left = lambda acc, piece: let(F.rtrim(piece, F.lit(_GAP)), lambda p: F.when(p == "", acc["left"]).otherwise(F.right(p, F.lit(1))))
+    bare = lambda piece: F.replace(piece, F.lit(_PART), F.lit(""))
+    beside = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
 
-    def step(acc: Column, piece: Column) -> Column:
-        def moved(text: Column, finds: Column) -> Column:
+    def match(at: Column, i: Column) -> Callable[[Column], Column]:
+        def one(parts: Column) -> Column:
+            lead, raw = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+            start = at + F.length(lead)
             return F.struct(
-                (acc["i"] + 1).alias("i"), (acc["at"] + F.length(text)).alias("at"), near(acc, text).alias("near"), left(acc, text).alias("left"), finds.alias("found")
+                found["seq"].alias("seq"), start.alias("start"), (start + F.length(raw)).alias("stop"), raw.alias("raw"),
+                F.right(F.rtrim(F.concat(bare(beside(i - 2)), beside(i - 1), lead), F.lit(_GAP)), F.lit(1)).alias("left"),
+                F.left(F.ltrim(F.concat(beside(i + 1), bare(beside(i + 2))), F.lit(_GAP)), F.lit(1)).alias("right"),
             )
 
-        def match(parts: Column) -> Column:
-            lead, raw = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-            start = acc["at"] + F.length(lead)
-            after = F.replace(F.concat(F.get(pieces, acc["i"] + 1), F.coalesce(F.get(pieces, acc["i"] + 2), F.lit(""))), F.lit(_PART), F.lit(""))
-            one = F.struct(
-                found["seq"].alias("seq"), start.alias("start"), (start + F.length(raw)).alias("stop"), raw.alias("raw"), near(acc, lead).alias("near"), left(acc, lead).alias("left"),
-                F.left(F.ltrim(after, F.lit(_GAP)), F.lit(1)).alias("right"),
-            )
-            return moved(F.array_join(parts, ""), F.concat(acc["found"], F.array(one)))
+        return one
 
-        return F.when(acc["i"] % 2 == 0, moved(piece, acc["found"])).otherwise(let(F.split(piece, _PART, -1), match))
+    def matches(at: Column) -> Column:
+        each = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, let(F.split(p, _PART, -1), match(F.get(at, i), i))))
+        return F.filter(each, lambda m: m.isNotNull())
 
-    return F.aggregate(pieces, nothing, step, lambda acc: acc["found"])
+    return let(before(F.transform(pieces, lambda p: F.length(bare(p)).cast("bigint")), plus), matches)
 
 
 def _by_rule(seq: Column, rules: list[Rule], field: str, value) -> Column:
@@ -67,8 +63,8 @@ def _by_rule(seq: Column, rules: list[Rule], field: str, value) -> Column:
     return out
 
 
-def _spans(matches: Column, rules: list[Rule]) -> Column:
-    """Valid spans that nothing suppresses, in order of place, type and rule, each place once for a type."""
+def _spans(matches: Column, rules: list[Rule], parts: Column) -> Column:
+    """Valid spans that nothing suppresses, in order of place, type and rule, each place once for a type; ``parts`` are the text's blocks."""
     listed = lambda field: F.split(F.lit("|".join(str(getattr(r, field)) for r in rules)), r"\|")
     of = lambda field, seq, kind: F.get(listed(field), seq).cast(kind)
 
@@ -80,7 +76,7 @@ def _spans(matches: Column, rules: list[Rule]) -> Column:
         m, kind = x["m"], x["kind"]
         suppressed = (
             F.when(kind == "CARD", m["left"].rlike(r"(?U)\A\d") | m["right"].rlike(r"(?U)\A\d"))
-            .when(kind == "PHONE", F.lower(m["near"]).contains("regon"))
+            .when(kind == "PHONE", F.lower(between(parts, F.greatest(m["start"] - _BEFORE, F.lit(0)), m["start"])).contains("regon"))
             .when(kind == "DOCUMENT_NUMBER", F.lower(m["raw"]).rlike("paszport|passport|prawo jazdy"))
             .otherwise(False)
         )
@@ -113,6 +109,14 @@ def with_spans(docs: DataFrame, rules: list[Rule], text: str = "text", out: str
     # letters that Java takes for i, k or s in other case, and digits that aren't ASCII: such texts are searched by all rules
     odd = t.rlike(r"[ſıİ\u212a]|[\p{Nd}&&[^0-9]]")
     facts = {"_plain": plain, "_low": F.lower(t), "_digits": F.length(F.regexp_replace(t, "[^0-9]+", "")), "_odd": odd}
+    found = reused(("spans", text, tuple(rules)), lambda: _searched(t, rules))
+    # where marks stood in the text itself, spans are cut out of it again
+    own = reused(("restored", text, out), lambda: F.when(F.col("_plain") != t, _restored(out, t)).otherwise(F.col(out)))
+    return docs.withColumns(facts).withColumn(out, found).withColumn(out, own).drop(*facts)
+
+
+def _searched(text: Column, rules: list[Rule]) -> Column:
+    """The spans of ``text``, next to which columns hold what tells which rules need to search it."""
     marks = f"{_EDGE}${{lead}}{_PART}${{entity}}{_PART}${{rest}}{_EDGE}"
 
     def parted(rule: Rule, seq: int) -> Column:
@@ -125,20 +129,23 @@ def with_spans(docs: DataFrame, rules: list[Rule], text: str = "text", out: str
         return F.struct(F.lit(seq).alias("seq"), pieces.alias("pieces"))
 
     searched = F.filter(F.array(*[parted(r, i) for i, r in enumerate(rules)]), lambda x: F.size(x["pieces"]) > 1)
-    found = F.when(t.isNotNull(), _spans(F.flatten(F.transform(searched, _walked)), rules)).otherwise(none())
-    # where marks stood in the text itself, spans are cut out of it again
-    own = F.when(F.col("_plain") != t, _restored(out, t)).otherwise(F.col(out))
-    return docs.withColumns(facts).withColumn(out, found).withColumn(out, own).drop(*facts)
+    found = let(blocks(F.col("_plain")), lambda b: _spans(F.flatten(F.transform(searched, _walked)), rules, b))
+    return F.when(text.isNotNull(), found).otherwise(none())
 
 
 def _restored(out: str, text: Column) -> Column:
-    return F.transform(out, lambda s: s.withField("raw_text", F.substr(text, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))))
+    return let(blocks(text), lambda b: F.transform(out, lambda s: s.withField("raw_text", between(b, s["start"], s["stop"]))))
 
 
 def dealt(docs: DataFrame) -> DataFrame:
-    """``docs`` spread over all cores where they come from fewer files than there are cores; of many files they stay where they are read."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(2 * cores) if 0 < len(docs.inputFiles()) < cores else docs
+    """``docs`` spread over all cores where they are less than one split for each core; larger tables stay where they are read.
+
+    So what is shuffled never exceeds cores times ``spark.sql.files.maxPartitionBytes``, as Catalyst estimates a table's size.
+    """
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(2 * cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else docs
 
 
 def scan(docs: DataFrame, types: Iterable[str] | None = None, rules: list[Rule] | None = None, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
