@@ -143,10 +143,17 @@ def coverage(segments: DataFrame, spans: DataFrame, replaced: DataFrame, key: st
 
 
 def overlapping_pairs(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Pairs of spans of a document that overlap: keys, left_id, right_id (left_id < right_id)."""
-    a = spans.select(*keys, F.col("entity_id").alias("left_id"), F.col("start").alias("_a"), F.col("stop").alias("_b"))
-    b = spans.select(*keys, F.col("entity_id").alias("right_id"), F.col("start").alias("_c"), F.col("stop").alias("_d"))
-    return a.join(b, list(keys)).filter("left_id < right_id and _a < _d and _c < _b").select(*keys, "left_id", "right_id")
+    """Pairs of spans of a document that overlap: keys, left_id, right_id (left_id < right_id).
+
+    Only spans of one island, a run of spans that overlap directly or through others, are compared with one another.
+    """
+    in_order = Window.partitionBy(*keys).orderBy("start", "stop")
+    reach = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = spans.filter("start < stop").withColumn("_opens", F.when(F.col("start") < reach, 0).otherwise(1))
+    placed = placed.withColumn("_island", F.sum("_opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    a = placed.select(*keys, "_island", F.col("entity_id").alias("left_id"), F.col("start").alias("_a"), F.col("stop").alias("_b"))
+    b = placed.select(*keys, "_island", F.col("entity_id").alias("right_id"), F.col("start").alias("_c"), F.col("stop").alias("_d"))
+    return a.join(b, [*keys, "_island"]).filter("left_id < right_id and _a < _d and _c < _b").select(*keys, "left_id", "right_id")
 
 
 def placeholder_segments(segments: DataFrame, key: str = "doc_id", segment: str = "segment_id", text: str = "text") -> DataFrame:

@@ -177,6 +177,21 @@ def anonymize_conversations(spark, d):
     return out.select("conv_id", "turn", "text", F.to_json("findings").alias("findings"))
 
 
+@query("""
+    WITH t AS (SELECT CASE WHEN (conv_id + turn) % 10 <> 0 THEN conv_id END AS conv_id, turn FROM conversations),
+    n AS (SELECT *, CASE WHEN conv_id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY conv_id ORDER BY turn) END AS n FROM t)
+    SELECT conv_id, turn, 'Tura ' || turn || chr(10) || 'segment§end' || chr(10) || ' [EMAIL_' || n || '] i [IP_ADDRESS_' || n || '] §' AS text,
+        CASE WHEN conv_id IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY conv_id) END AS mails FROM n""")
+def segments_rewritten(spark, d):
+    """Made texts for all turns, rewritten by conversation; every tenth turn has no conversation, and texts hold the boundary between segments."""
+    turns = table(spark, d, "conversations")
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    text = F.concat(F.lit("Tura "), turn, F.lit("\nsegment§end\n u"), conv, F.lit("x"), turn, F.lit("@mail.pl i 10.0."), turn, F.lit(".7 §"))
+    made_ = turns.select(F.when((F.col("conv_id") + F.col("turn")) % 10 != 0, F.col("conv_id")).alias("conv_id"), "turn", text.alias("text"))
+    out = anonymize_segments(made_, "conv_id", "turn", types=("EMAIL", "IP_ADDRESS"))
+    return out.select("conv_id", "turn", "text", F.col("findings")["EMAIL"].alias("mails"))
+
+
 @query(f"""
     WITH d AS (SELECT * FROM documents UNION ALL SELECT * REPLACE (CASE WHEN doc_id % 10 = 0 THEN NULL ELSE doc_id END AS doc_id) FROM documents), r AS ({_NO_OVERLAP_SQL.replace('<EDIT>', _PLACEHOLDER_SQL)})
     SELECT d.doc_id, r.text FROM d JOIN documents o ON d.text IS NOT DISTINCT FROM o.text AND (d.doc_id = o.doc_id OR d.doc_id IS NULL AND o.doc_id % 10 = 0) JOIN r ON r.doc_id = o.doc_id
