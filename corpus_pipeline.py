@@ -24,29 +24,20 @@ from veilcraft.llm.toxicity import toxicity_scores
 NEAR = {"words": 5, "width": 2, "radius": 25, "similarity": 0.8, "tile": 4096}
 
 
-#: Keys up to so many rows are broadcast; more are joined by a shuffle.
-FEW = 200_000
-
-
-def _small(keys: DataFrame) -> DataFrame:
-    """``keys`` computed once, to be broadcast if they are few."""
-    keys = settled(keys)
-    return F.broadcast(keys) if keys.count() <= FEW else keys
-
-
 def _kept(docs: DataFrame, rejected: DataFrame, key: Column, longest: bool | None = None) -> DataFrame:
     """``docs`` without the rows whose doc_id and key (a number made of the text) are in ``rejected`` (doc_id, key).
 
     Unless ``longest`` is None, one row stays of those that repeat with one doc_id and key: the longest text if it is true, then the first by
-    its hash. Repeated doc_ids are counted first, so texts are looked at once more only where there are any.
+    its hash. Repeated doc_ids are counted first, so texts are looked at once more only where there are any. Both joins are the same at all sizes:
+    nothing is broadcast by a count of rows, and a task gets the rejected rows of its own keys only.
     """
     columns = docs.columns
-    gone = _small(rejected.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct())
+    gone = settled(rejected.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct())
     same = F.col("doc_id").eqNullSafe(F.col("_gone")) & F.col("_key").eqNullSafe(F.col("_gone_key"))
     without = lambda rows: rows.withColumn("_key", key).join(gone, same, "left_anti")
     if longest is None:
         return without(docs).select(*columns)
-    ids = _small(docs.groupBy(F.col("doc_id").alias("_of")).count().filter("count > 1").select("_of"))
+    ids = settled(docs.groupBy(F.col("doc_id").alias("_of")).count().filter("count > 1").select("_of"))
     if ids.isEmpty():
         return without(docs).select(*columns)
     twice = F.col("doc_id").eqNullSafe(F.col("_of"))
