@@ -358,6 +358,44 @@ def test_chain_over_ranges(spark):
     assert sorted(r.audit_id for r in analytics.verified_chain(df.filter("audit_id <> 'A20'")).filter("not linked").collect()) == ["A21"]
 
 
+def test_chain_is_written_in_ranges(spark, tmp_path):
+    rows = [(f"A{i:03}", "anonymize", None, "i", "o", f"{i // 2:03}") for i in range(500)]
+    records = spark.createDataFrame(rows, "audit_id string, operation string, mode string, input_hash string, output_hash string, created_at string").repartition(3)
+    path = str(tmp_path / "chain")
+    chain = analytics.write_chain(records.filter("audit_id < 'A400'"), path, size=60)
+    assert {(r.self_ok, r.linked) for r in analytics.verified_chain(chain).collect()} == {(True, True)}
+    more = analytics.write_chain(records.filter("audit_id >= 'A400'"), path, latest_hash(chain), size=60)
+    whole = spark.read.parquet(f"{path}/*/*")
+    assert whole.count() == 500 and {(r.self_ok, r.linked) for r in analytics.verified_chain(whole).collect()} == {(True, True)}
+    assert more.orderBy("audit_id").first().previous_audit_hash == latest_hash(chain)
+    assert whole.filter("previous_audit_hash is null").count() == 1
+    assert analytics.write_chain(records.filter("false"), path).count() == 0
+
+
+def test_leaks_against_all_pairs(spark):
+    rnd = random.Random(9)
+    words = ["Jan", "jan", "Nowak", "a.b@c.pl", "ul.", "5", "(x)", "É", "é", "foo_bar", "-", "łódź", "ŁÓDŹ", "x"]
+    some = lambda n: rnd.choice(["", " ", "  ", "\n"]).join(rnd.choice(words) for _ in range(rnd.randint(1, n))) + rnd.choice(["", ".", " "])
+    segments = [(rnd.choice([1, 2, None]), f"s{i}", some(8) if rnd.random() < 0.95 else None) for i in range(200)]
+    surfaces = list({(rnd.choice([1, 2, None]), some(2), rnd.choice([None, None, f"s{i}"])) for i in range(150)})
+
+    def holds(text, surface, edge):
+        # white space as Java has it: these texts have none but ASCII
+        parts = surface.split()
+        return bool(parts) and re.search(f"(?<!{edge})" + r"\s+".join(map(re.escape, parts)) + f"(?!{edge})", text) is not None
+
+    norm = lambda t: re.sub(r"[^\w\s]", "", t.lower())
+    want = {}
+    for key, seg, text in segments:
+        for of, raw, only in surfaces:
+            if key == of and only in (None, seg):
+                both = holds(text or "", raw, r"[\w@._-]"), holds(norm(text or ""), norm(raw), r"\w")
+                if any(both):
+                    want[key, seg, raw] = both
+    found = analytics.leaks(spark.createDataFrame(segments, "doc_id int, segment_id string, text string"), spark.createDataFrame(surfaces, "doc_id int, raw_text string, segment_id string"))
+    assert len(want) > 50 and {(r.doc_id, r.segment_id, r.raw_text): (r.exact, r.normalised) for r in found.collect()} == want
+
+
 def test_stores(spark, tmp_path):
     path = str(tmp_path / "vaults")
     rows = spark.createDataFrame([("V1", None, "2999-01-01T00:00:00+00:00"), ("V2", "x", "2001-01-01T00:00:00+00:00")], "vault_id string, v string, expires_at string")
@@ -369,9 +407,26 @@ def test_stores(spark, tmp_path):
             load(spark, path, key, "vault_id", wanted, expires)
     save(rows.filter("vault_id = 'V2'").withColumn("v", F.lit("y")), path, "key", "vault_id")
     assert [r.v for r in load(spark, path, "key", "vault_id").collect()] == [None, "y"]
-    delete(path, "V2")
-    delete(path, "V2")
+    delete(spark, path, "vault_id", "V2")
+    delete(spark, path, "vault_id", "V2")
     assert [r.vault_id for r in load(spark, path, "key", "vault_id").collect()] == ["V1"]
+    delete(spark, path, "vault_id", "V1")
+    delete(spark, str(tmp_path / "none"), "vault_id", "V1")
+    with pytest.raises(FileNotFoundError):
+        load(spark, path, "key", "vault_id")
+
+
+def test_a_store_has_few_folders_and_one_record_is_read_from_one(spark, tmp_path):
+    path = str(tmp_path / "many")
+    rows = spark.range(20_000).select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
+    save(rows, path, "key", "id", buckets=8)
+    save(rows.filter("id < 10").withColumn("v", F.lit("new")).unionByName(spark.createDataFrame([(-1, "more")], "id bigint, v string")), path, "key", "id", buckets=99)
+    assert len([x for x in (tmp_path / "many").iterdir() if x.name.startswith("_of=")]) == 8
+    assert load(spark, path, "key", "id").count() == 20_001
+    one = load(spark, path, "key", "id", 7)
+    assert [r.v for r in one.collect()] == ["new"] and load(spark, path, "key", "id", 11).first().v == "v11"
+    scan_ = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"\(_of#\d+ = \d+\)\], PushedFilters", scan_)
 
 
 def test_signature_is_hmac(spark):

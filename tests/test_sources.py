@@ -82,6 +82,51 @@ def test_catalogue(spark, tmp_path):
     assert [r.raw_text for r in scan(docs, rules=catalogue.load_rules(more, {"BADGE"})).collect()] == ["BDG-1234"]
 
 
+def test_catalogue_with_types_goes_there_and_back(spark, tmp_path):
+    rules, types = catalogue.default_rules(spark), catalogue.default_types(spark)
+    assert types.count() == 40 and catalogue.add_type(types, "nip", "again")[1] is False
+    with pytest.raises(ValueError):
+        catalogue.add_type(types, "  ", "nameless")
+    types, new = catalogue.add_type(types, " badge ", "badges")
+    badge = Rule("BADGE", r"\bB:(?<entity>\d{4})\b", "identity", "always_true", 0.9, False, 5, "badge")
+    more, rule_id = catalogue.add_rule(rules, badge, new_type=True)
+    more = catalogue.disable_rules(more, [4, rule_id])
+    path = str(tmp_path / "both")
+    catalogue.export_catalogue(more, types, path)
+    (text,) = spark.read.text(path, wholetext=True).first()
+    data = json.loads(text)
+    assert new and {"BADGE", "NIP"} <= {t["entity_type"] for t in data["entity_types"]} and len(data["rules"]) == 42
+    assert data["rules"][-1] == {
+        "rule_id": 42, "entity_type": "BADGE", "pattern_text": r"\bB:(?P<entity>\d{4})\b", "normalizer_name": "identity", "validator_name": "always_true", "confidence": 0.9,
+        "context_required": False, "priority": 5, "enabled": False, "description": "badge",
+    }
+    again, known, n = catalogue.import_catalogue(rules, catalogue.default_types(spark), path)
+    assert n == 1 and known.count() == 41 and [(r.rule_id, r.enabled, r.pattern) for r in again.filter("entity_type = 'BADGE'").collect()] == [(42, False, badge.pattern)]
+    only, known, n = catalogue.import_catalogue(rules, catalogue.default_types(spark), path, replace=True)
+    assert n == 42 and known.count() == 41 and len(catalogue.load_rules(only)) == 40
+    docs = spark.createDataFrame([(1, "NIP: 856 734 62 15; KRS 0000 1234 56; jan@b.pl")], "doc_id bigint, text string")
+    found = lambda r: sorted(x.raw_text for x in scan(docs, rules=catalogue.load_rules(r)).collect())
+    assert found(only) == found(rules)
+    (tmp_path / "odd.json").write_text(json.dumps({"entity_types": [], "rules": [data["rules"][-1]]}, indent=1))
+    with pytest.raises(ValueError, match="unknown entity type"):
+        catalogue.import_catalogue(rules, catalogue.default_types(spark), str(tmp_path / "odd.json"))
+
+
+def test_new_defaults_are_merged_in(spark):
+    rules = catalogue.default_rules(spark)
+    mine, own_id = catalogue.add_rule(rules, Rule("NIP", r"\bN-\d{4}\b", "identity", "always_true", 0.9, False, 5, "mine"))
+    mine = catalogue.disable_rules(mine, [4])
+    shown = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    assert shown(catalogue.bootstrap(mine).select(*mine.columns)) == shown(mine)
+    # a catalogue of an older release: one rule is missing, one has another pattern, one isn't shipped any more
+    older = mine.filter("rule_id <> 3").withColumn("pattern", F.when(F.col("rule_id") == 5, "old").otherwise(F.col("pattern")))
+    older = older.unionByName(mine.filter("rule_id = 7").withColumn("rule_id", F.lit(70)).withColumn("description", F.lit("no longer shipped")))
+    merged = {r.rule_id: r for r in catalogue.bootstrap(older).collect()}
+    assert merged[5].pattern == rules.filter("rule_id = 5").first().pattern and not merged[4].enabled and merged[own_id].description == "mine"
+    assert 3 not in merged and 70 not in merged and merged[71].description == rules.filter("rule_id = 3").first().description and len(merged) == 42
+    assert catalogue.bootstrap(rules.filter("false")).count() == 41
+
+
 def test_model_candidates(spark):
     docs = spark.createDataFrame([(1, "Zenek spotkał ACME"), (2, None)], "doc_id bigint, text string")
 

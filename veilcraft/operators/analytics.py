@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import operator
+import uuid
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import settled
+from .seals import latest_hash
 
 
 def entity_audit(spans: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -43,41 +51,61 @@ def normalized(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", "")
 
 
-def _contains(text: Column, surface: Column, edge: str) -> Column:
-    """Whether ``surface`` stands in ``text`` with nothing of the class ``edge`` on either side; white space in it matches any run."""
+def _pattern(surface: Column, edge: str) -> Column:
+    """The surface with nothing of the class ``edge`` on either side; white space in it matches any run. Null without words."""
     words = F.regexp_replace(F.btrim(F.regexp_replace(surface, r"(?U)\s+", " ")), r"([\\.\[\]{}()*+\-?^$|#&~])", r"\\$1")
-    pattern = F.concat(F.lit(f"(?U)(?<!{edge})"), F.replace(words, F.lit(" "), F.lit(r"\s+")), F.lit(f"(?!{edge})"))
-    return (words != "") & F.regexp_like(text, pattern)
+    return F.when(words != "", F.concat(F.lit(f"(?U)(?<!{edge})"), F.replace(words, F.lit(" "), F.lit(r"\s+")), F.lit(f"(?!{edge})")))
+
+
+def surface_index(surfaces: DataFrame, keys: tuple[str, ...], segment: str) -> DataFrame:
+    """keys and ``_index``: the surfaces of each document (keys, raw_text, optionally segment), each with the word that a text must hold to
+    hold it: the first run of word characters of the surface as it is, and the first word of the normalised one."""
+    of = (F.col(segment) if segment in surfaces.columns else F.lit(None)).cast("string")
+    loose = normalized(F.col("raw_text"))
+    empty_as_null = lambda c: F.when(c != "", c)
+    one = F.struct(
+        "raw_text", of.alias("of"), empty_as_null(F.regexp_extract("raw_text", r"(?U)(\w+)", 1)).alias("run"), empty_as_null(F.regexp_extract(loose, r"(?U)(\S+)", 1)).alias("word"),
+        _pattern(F.col("raw_text"), r"[\w@._-]").alias("exact"), _pattern(loose, r"\w").alias("loose"),
+    )
+    return surfaces.filter("raw_text is not null").groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.collect_set(one).alias("_index"))
 
 
 def leaks(segments: DataFrame, surfaces: DataFrame, keys: tuple[str, ...] = ("doc_id",), segment: str = "segment_id", text: str = "text", order: str | None = None) -> DataFrame:
     """keys, segment, raw_text, exact, normalised: surfaces (keys, raw_text, optionally segment) that segments of their document still hold.
 
     A surface with a segment is looked for there only. With ``order``, surfaces without one are looked for in the document's segments joined by line
-    feeds as well; what only the joined text holds has a null segment. Only pairs that share their letters are tested by patterns.
+    feeds as well; what only the joined text holds has a null segment. A document's surfaces stand beside its texts, so no text is
+    copied for a surface: the text's words are looked up among the first words of surfaces, and only hits are tested by a pattern. Null keys are
+    a key like others; null texts hold nothing.
     """
-    known = surfaces.columns
-    # the columns are renamed, so both sides may have a segment
-    wanted = surfaces.select(*keys, "raw_text", (F.col(segment) if segment in known else F.lit(None)).cast("string").alias("_of")).filter("raw_text is not null").distinct()
-    each = segments.select(*keys, F.col(segment).cast("string").alias(segment), F.coalesce(text, F.lit("")).alias("_text")).join(wanted, list(keys))
-    found = _held(each.filter(F.col("_of").isNull() | (F.col("_of") == F.col(segment))), keys, segment)
+    index = surface_index(surfaces, keys, segment)
+    same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    beside = lambda rows: rows.join(index, same).drop(*[f"_of_{k}" for k in keys])
+    each = beside(segments.select(*keys, F.col(segment).cast("string").alias(segment), F.coalesce(text, F.lit("")).alias("_text")))
+    found = _held(each, F.filter("_index", lambda s: s["of"].isNull() | (s["of"] == F.col(segment))), keys, segment)
     if order is None:
         return found
     parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t")))), lambda p: p["t"])
     joined = segments.groupBy(*keys).agg(F.array_join(parts, "\n").alias("_text"), F.lit(None).cast("string").alias(segment))
-    whole = _held(joined.join(wanted.filter("_of is null"), list(keys)), keys, segment)
-    alone = found.groupBy(*keys, "raw_text").agg(F.max("exact").alias("_e"), F.max("normalised").alias("_n"))
+    whole = _held(beside(joined), F.filter("_index", lambda s: s["of"].isNull()), keys, segment)
+    alone = found.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("raw_text").alias("_raw")).agg(F.max("exact").alias("_e"), F.max("normalised").alias("_n"))
     new = (F.col("exact") & ~F.coalesce("_e", F.lit(False))) | (F.col("normalised") & ~F.coalesce("_n", F.lit(False)))
-    return found.unionByName(whole.join(alone, [*keys, "raw_text"], "left").filter(new).select(found.columns))
+    return found.unionByName(whole.join(alone, same & (F.col("raw_text") == F.col("_raw")), "left").filter(new).select(found.columns))
 
 
-def _held(rows: DataFrame, keys: tuple[str, ...], segment: str) -> DataFrame:
-    """Pairs of ``_text`` and raw_text of which the one holds the other."""
-    letters = lambda c: F.regexp_replace(F.lower(c), r"(?U)[^\p{L}\p{N}_]", "")
-    rows = rows.filter(letters(F.col("_text")).contains(letters(F.col("raw_text"))))
-    exact = _contains(F.col("_text"), F.col("raw_text"), r"[\w@._-]")
-    loose = _contains(normalized(F.col("_text")), normalized(F.col("raw_text")), r"\w")
-    return rows.select(*keys, segment, "raw_text", exact.alias("exact"), loose.alias("normalised")).filter("exact or normalised").distinct()
+def _held(rows: DataFrame, wanted: Column, keys: tuple[str, ...], segment: str) -> DataFrame:
+    """A row for each of the surfaces ``wanted`` that ``_text`` holds, one way or the other."""
+    rows = rows.select(*keys, segment, "_text", wanted.alias("_wanted"))
+    firsts = lambda field: F.filter(F.array_distinct(F.transform("_wanted", lambda s: s[field])), lambda x: x.isNotNull())
+    rows = rows.withColumn("_loose", normalized(F.col("_text")))
+    runs = F.array_intersect(F.regexp_extract_all("_text", F.lit(r"(?U)(\w+)"), F.lit(1)), firsts("run"))
+    words = F.array_intersect(F.split("_loose", r"(?U)\s+"), firsts("word"))
+    rows = rows.withColumns({"_runs": runs, "_words": words})
+    hit = lambda s: s["run"].isNull() | F.array_contains(F.col("_runs"), s["run"]) | F.array_contains(F.col("_words"), s["word"])
+    holds = lambda text, pattern: F.coalesce(F.regexp_like(F.col(text), pattern), F.lit(False))
+    tested = F.transform(F.filter("_wanted", hit), lambda s: F.struct(s["raw_text"].alias("raw_text"), holds("_text", s["exact"]).alias("exact"), holds("_loose", s["loose"]).alias("normalised")))
+    rows = rows.select(*keys, segment, F.explode(tested).alias("_s")).select(*keys, segment, "_s.*")
+    return rows.filter("exact or normalised").distinct()
 
 
 def leak_summary(found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -172,14 +200,55 @@ def placeholder_index(texts: DataFrame, keys: tuple[str, ...] = ("doc_id",), tex
 PLACEHOLDER = r"\[[A-Z_]+_\d+\]"
 
 
+#: Fields of an audit record that its chain hash is made of, joined by line feeds.
+CHAINED = ("audit_id", "operation", "mode", "input_hash", "output_hash", "created_at", "previous_audit_hash")
+
+
+def _linked(previous: str | None):
+    """Rows in order of time and id with the hash of the row before and their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = previous
+        for batch in batches:
+            links, hashes = [], []
+            for fields in zip(*[batch.column(c).to_pylist() for c in CHAINED[:-1]]):
+                links.append(before)
+                before = hashlib.sha256("\n".join(f or "" for f in (*fields, before)).encode()).hexdigest()
+                hashes.append(before)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in CHAINED[:-1]], pa.array(links, pa.string()), pa.array(hashes, pa.string())], [*CHAINED, "audit_chain_hash"])
+
+    return run
+
+
+def write_chain(records: DataFrame, path: str, previous: str | None = None, size: int = 100_000) -> DataFrame:
+    """Append ``records`` (the fields of CHAINED but the last) to the chain at ``path``, in order of created_at, then audit_id; what was written.
+
+    A record's hash covers the hash of the record before, so a chain can only be made from its beginning. Records are dealt out by ranges of some
+    ``size`` rows, and one task a range links its own, given the last hash of the range before: neither a task nor the driver holds more than a
+    range, whatever the length. ``previous`` is the hash that the first record follows (``latest_hash`` of a chain that is there already). An empty
+    table writes nothing.
+    """
+    spark = records.sparkSession
+    rows = records.select(*[F.col(c).cast("string").alias(c) for c in CHAINED[:-1]])
+    ranges = max(1, -(-rows.count() // size))
+    rows = settled(rows.repartitionByRange(ranges, "created_at", "audit_id").withColumn("_range", F.spark_partition_id()))
+    folder = f"{path.rstrip('/')}/from={uuid.uuid4().hex}"
+    schema = ", ".join(f"{c} string" for c in (*CHAINED, "audit_chain_hash"))
+    numbers = [r["_range"] for r in rows.select("_range").distinct().orderBy("_range").collect()]  # as many as ranges
+    for k in numbers:
+        own = rows.filter(F.col("_range") == k).drop("_range").coalesce(1).sortWithinPartitions("created_at", "audit_id")
+        own.mapInArrow(_linked(previous), schema).write.parquet(f"{folder}/range={k}")
+        previous = latest_hash(spark.read.parquet(f"{folder}/range={k}"))
+    return spark.read.schema(schema).parquet(*[f"{folder}/range={k}" for k in numbers]) if numbers else spark.createDataFrame([], schema)
+
+
 def verified_chain(records: DataFrame) -> DataFrame:
     """audit_id, self_ok and linked: whether a record's chain hash is that of its content, and whether it names the hash of the record before.
 
     Content is audit_id, operation, mode, input_hash, output_hash, created_at and previous_audit_hash, joined by line feeds. Records are
     dealt out by ranges of time; each range's first record follows the last one of the range before, and only those meet in one task.
     """
-    fields = ("audit_id", "operation", "mode", "input_hash", "output_hash", "created_at", "previous_audit_hash")
-    own = F.sha2(F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in fields]), 256)
+    own = F.sha2(F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in CHAINED]), 256)
     rows = records.select("audit_id", "created_at", "previous_audit_hash", "audit_chain_hash", (own == F.col("audit_chain_hash")).alias("self_ok"))
     ranges = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = settled(rows.repartitionByRange(ranges, "created_at", "audit_id").withColumn("_range", F.spark_partition_id()))

@@ -1,6 +1,7 @@
 """Sealed records: HMAC-SHA-256 signatures over canonical JSON, and stores of vaults and audits that open only what is signed and in time.
 
-A store is a Parquet table with a folder for each record, so that deleting a record deletes its bytes.
+A store is a Parquet table of a fixed number of buckets by the hash of the record's id. Saving and deleting rewrite the buckets concerned, so
+a deleted record's bytes are gone, and a record is read from its own bucket.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import settled
+
 
 class SealError(ValueError):
     """A record that isn't signed, was changed, or is out of date."""
@@ -53,29 +56,77 @@ def must_open(records: DataFrame, key: str, columns: Iterable[str], name: str =
     return rows.drop("problem")
 
 
-def save(records: DataFrame, path: str, key: str, record_id: str) -> None:
-    """Seal all columns of ``records`` and write them, a folder for each ``record_id``; a record that is there already is replaced."""
-    rows = sealed(records, key, records.columns).withColumn("_of", F.col(record_id))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_of").parquet(path)
+#: Buckets of a new store.
+BUCKETS = 64
 
 
-def load(spark: SparkSession, path: str, key: str, record_id: str, wanted: object = None, expires: str | None = None) -> DataFrame:
-    """Records of a store (those of one id, or all of them in order of ids), which must all open."""
+def _hadoop(spark: SparkSession, path: str):
+    """The path and its file system, whichever Spark reads it from."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _stored(spark: SparkSession, path: str) -> tuple[DataFrame, int] | tuple[None, None]:
+    """The store's rows and its number of buckets; None where there is no store or no record in it."""
+    place, files = _hadoop(spark, path)
+    if not files.exists(place) or not any(x.isDirectory() and x.getPath().getName().startswith("_of=") for x in files.listStatus(place)):
+        return None, None
     rows = spark.read.parquet(path)
+    return rows, rows.select("_buckets").first()[0]
+
+
+def _bucket(record_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(record_id), F.lit(buckets)).cast("int")
+
+
+def _rewrite(rows: DataFrame, path: str) -> None:
+    """Replace the buckets that ``rows`` are in."""
+    rows.repartition("_of").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_of").parquet(path)
+
+
+def save(records: DataFrame, path: str, key: str, record_id: str, buckets: int = BUCKETS) -> None:
+    """Seal all columns of ``records`` and write them; a record whose ``record_id`` is there already is replaced.
+
+    ``buckets`` is for a store that isn't there yet: it keeps the number it was made with. Of several records of one id any one is written.
+    """
+    spark = records.sparkSession
+    there, known = _stored(spark, path)
+    n = known or buckets
+    new = sealed(records, key, records.columns).dropDuplicates([record_id]).withColumns({"_buckets": F.lit(n), "_of": _bucket(F.col(record_id), n)})
+    if there is not None:
+        new = settled(new)
+        touched = [r["_of"] for r in new.select("_of").distinct().collect()]  # no more than there are buckets
+        others = there.filter(F.col("_of").isin(*touched)).join(new.select(record_id), record_id, "left_anti") if touched else there.filter("false")
+        new = settled(new.unionByName(others.select(new.columns)))
+    _rewrite(new, path)
+
+
+def load(spark: SparkSession, path: str, key: str, record_id: str, wanted: object = None, expires: str | None = None) -> DataFrame:
+    """Records of a store (the one of an id, or all of them in order of ids), which must all open. One record is read from its bucket alone."""
+    rows, n = _stored(spark, path)
+    if rows is None:
+        raise FileNotFoundError(f"no store at {path}")
     if wanted is not None:
-        rows = rows.filter(F.col("_of") == F.lit(wanted).cast(rows.schema["_of"].dataType))
-    rows = rows.drop("_of")
+        one = F.lit(wanted).cast(rows.schema[record_id].dataType)
+        rows = rows.filter((F.col("_of") == _bucket(one, n)) & (F.col(record_id) == one))
+    rows = rows.drop("_of", "_buckets")
     return must_open(rows, key, [c for c in rows.columns if c != "seal"], expires=expires).drop("seal").orderBy(record_id)
 
 
-def delete(path: str, wanted: object) -> None:
-    """Delete a record's folder; one that isn't there is no error."""
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    folder = f"{root.rstrip('/')}/_of={wanted}"
-    if store.get_file_info(folder).type != fs.FileType.NotFound:
-        store.delete_dir(folder)
+def delete(spark: SparkSession, path: str, record_id: str, wanted: object) -> None:
+    """Delete a record by rewriting its bucket without it; one that isn't there is no error."""
+    rows, n = _stored(spark, path)
+    if rows is None:
+        return
+    one = F.lit(wanted).cast(rows.schema[record_id].dataType)
+    k = spark.range(1).select(_bucket(one, n)).first()[0]
+    bucket = rows.filter(F.col("_of") == k)
+    left = settled(bucket.filter(~F.col(record_id).eqNullSafe(one)))
+    if left.isEmpty():
+        place, files = _hadoop(spark, f"{path.rstrip('/')}/_of={k}")
+        files.delete(place, True)
+    else:
+        _rewrite(left, path)
 
 
 def latest_hash(audits: DataFrame) -> str | None:

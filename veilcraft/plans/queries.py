@@ -15,13 +15,13 @@ from ..operators.anonymize import anonymize, anonymize_segments, detect, numbere
 from ..operators.fuse import SEMANTIC, accepted, canonical, fuse, island_numbers, resolve_overlaps, reviewable, type_rank
 from ..operators.reinject import conflicts_and_decisions, plan_status
 from ..operators.scan import scan
-from ..operators.seals import opened, sealed
+from ..operators.seals import delete, load, opened, save, sealed
 from ..operators.spans import beside
 from ..sources import reviews
-from ..sources.catalogue import default_rules, disable_rules, import_rules, load_rules
+from ..sources.catalogue import add_types, bootstrap, default_rules, default_types, disable_rules, export_catalogue, import_catalogue, import_rules, load_rules
 from ..sources.files import leaf_differences
 from . import made, rule_cases
-from .lineage import settled
+from .lineage import settled, shared_dir
 from .policies import POLICIES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,6 +230,18 @@ def leak_scan(spark, d):
     return analytics.leaks(texts, spans.select("doc_id", "raw_text"))
 
 
+@query("""
+    SELECT c_custkey AS doc_id, c_custkey % 5 IN (0, 3) AS exact, c_custkey % 5 IN (0, 1) AS normalised FROM customer WHERE c_custkey % 5 IN (0, 1, 3)""")
+def leaks_by_letters(spark, d):
+    """Names as they are, in other case, within other words, after a mark that only the exact search stops at, and cut in two."""
+    name, k = F.col("c_name"), F.col("c_custkey") % 5
+    text = F.when(k == 0, F.concat(F.lit("it is "), name, F.lit(" here"))).when(k == 1, F.concat(F.lit("IT IS "), F.upper(name), F.lit("!")))
+    text = text.when(k == 2, F.concat(F.lit("it is x"), name, F.lit("y"))).when(k == 3, F.concat(F.lit("name:"), name, F.lit(" here"))).otherwise(F.replace(name, F.lit("#"), F.lit(" - ")))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name", text.alias("text"))
+    found = analytics.leaks(rows.withColumn("segment_id", F.lit("s")), rows.select("doc_id", F.col("c_name").alias("raw_text")))
+    return found.select("doc_id", "exact", "normalised")
+
+
 @query("""
     SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE 's0' END AS segment_id, c_name AS raw_text FROM customer WHERE c_custkey % 3 <> 1""")
 def leaks_across_segments(spark, d):
@@ -418,7 +430,7 @@ def rule_catalogue(spark, d):
         F.lit("identity").alias("normalizer"), F.lit("always_true").alias("validator"), F.lit(0.8).alias("confidence"), F.lit(False).alias("context"), F.lit(50).alias("priority"),
         F.col("n_name").alias("description"), F.array().cast("array<string>").alias("needs"), F.lit(0).alias("digits"), F.lit(True).alias("enabled"), F.lit(False).alias("managed"),
     )
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/rules-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/rules-{uuid.uuid4().hex}"
     rules.write.json(folder)
     catalogue, _ = import_rules(default_rules(spark), folder)
     own = catalogue.filter("entity_type = 'NATION'")
@@ -428,6 +440,25 @@ def rule_catalogue(spark, d):
     return scan(texts, rules=load_rules(disable_rules(catalogue, off), {"NATION"}), keys=("c_custkey",)).select("c_custkey", "raw_text", "start", "confidence")
 
 
+@query("SELECT 'NATION_' || n_regionkey AS entity_type, n_name AS description, 'of ' || n_name AS pattern, n_nationkey % 3 <> 1 AS enabled FROM nation")
+def catalogue_round_trip(spark, d):
+    """A rule for each nation and a type for each region, exported with the defaults, imported into new defaults, and merged with those again."""
+    import uuid
+
+    nations = table(spark, d, "nation")
+    kind = F.concat(F.lit("NATION_"), F.col("n_regionkey").cast("string"))
+    types = add_types(default_types(spark), nations.select(kind.alias("entity_type"), F.lit("nations of a region").alias("description")))
+    own = nations.select(
+        (F.col("n_nationkey") + 1000).cast("int").alias("rule_id"), kind.alias("entity_type"), F.concat(F.lit("of "), "n_name").alias("pattern"), F.lit("identity").alias("normalizer"),
+        F.lit("always_true").alias("validator"), F.lit(0.8).alias("confidence"), F.lit(False).alias("context"), F.lit(50).alias("priority"), F.col("n_name").alias("description"),
+        F.array().cast("array<string>").alias("needs"), F.lit(0).alias("digits"), (F.col("n_nationkey") % 3 != 1).alias("enabled"), F.lit(False).alias("managed"),
+    )
+    path = f"{shared_dir(spark).rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+    export_catalogue(default_rules(spark).unionByName(own), types, path)
+    rules, known, _ = import_catalogue(default_rules(spark), default_types(spark), path)
+    return bootstrap(rules).join(known.select("entity_type"), "entity_type").filter("not managed").select("entity_type", "description", "pattern", "enabled")
+
+
 # --- spans made from keys: fusion, overlaps, ordinals --------------------------------------------
 
 
@@ -580,6 +611,43 @@ def audit_chain(spark, d):
     return analytics.verified_chain(rows.withColumn("audit_chain_hash", F.when(F.col("o_orderkey") % 10 == 3, F.lit("forged")).otherwise(own)))
 
 
+_ORDER_RECORDS = (
+    "concat('AUD_', o_orderkey) AS audit_id", "'anonymize' AS operation", "o_orderstatus AS mode", "sha2(CAST(o_orderkey AS STRING), 256) AS input_hash",
+    "sha2(CAST(o_custkey AS STRING), 256) AS output_hash", "lpad(CAST(o_orderkey AS STRING), 12, '0') AS created_at",
+)
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, o_orderstatus, lag(o_custkey % 7 = 3) OVER (ORDER BY o_orderkey) AS lost, o_custkey % 7 = 3 AS gone FROM orders)
+    SELECT 'AUD_' || o_orderkey AS audit_id, o_orderstatus <> 'F' AS self_ok, NOT coalesce(lost, false) AS linked FROM o WHERE NOT gone""")
+def audit_chain_written(spark, d):
+    """A chain of all orders as it is written, then checked after records were removed and the mode of others changed."""
+    import uuid
+
+    records = table(spark, d, "orders").selectExpr(*_ORDER_RECORDS)
+    chain = analytics.write_chain(records, f"{shared_dir(spark).rstrip('/')}/chain-{uuid.uuid4().hex}", size=5000)
+    gone = table(spark, d, "orders").filter("o_custkey % 7 = 3").selectExpr("concat('AUD_', o_orderkey) AS audit_id")
+    left = chain.join(gone, "audit_id", "left_anti").withColumn("mode", F.when(F.col("mode") == "F", "changed").otherwise(F.col("mode")))
+    return analytics.verified_chain(left)
+
+
+@query("""
+    SELECT o_orderkey AS vault_id, CASE WHEN o_orderstatus = 'F' THEN 'replaced' ELSE o_custkey::VARCHAR END AS value FROM orders
+    WHERE o_orderkey <> (SELECT min(o_orderkey) FROM orders)""")
+def vault_store(spark, d):
+    """A record for each order, saved, some of them saved again, and one deleted; all that the store then opens."""
+    import uuid
+
+    path = f"{shared_dir(spark).rstrip('/')}/vault-{uuid.uuid4().hex}"
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("vault_id"), F.col("o_custkey").cast("string").alias("value"), "o_orderstatus")
+    save(rows.drop("o_orderstatus"), path, "a key", "vault_id")
+    save(rows.filter("o_orderstatus = 'F'").select("vault_id", F.lit("replaced").alias("value")), path, "a key", "vault_id")
+    first = rows.agg(F.min("vault_id")).first()[0]
+    if first is not None:
+        delete(spark, path, "vault_id", first)
+    return load(spark, path, "a key", "vault_id")
+
+
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'unsigned' WHEN 1 THEN 'tampered' WHEN 2 THEN 'expired' END AS problem FROM customer")
 def vault_check(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 4 == 2, "2001-01-01T00:00:00+00:00").otherwise("2999-01-01T00:00:00+00:00").alias("expires_at"))

@@ -1,4 +1,7 @@
-"""The rule catalogue as a table: listing, adding, disabling, and exchange as JSON files."""
+"""The rule catalogue as two tables, rules and entity types: listing, adding, disabling, merging in new defaults, and exchange as JSON.
+
+A catalogue has some hundreds of rows; where rules come to the driver it is to become expressions of a plan.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from collections.abc import Iterable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import NORMALIZERS
@@ -32,10 +35,64 @@ def default_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([_row(i, r, True) for i, r in enumerate(CATALOGUE, 1)], SCHEMA)
 
 
+TYPES = "entity_type string, description string"
+# The types that a new catalogue knows.
+DEFAULT_TYPES = (
+    "EMAIL", "PHONE", "PESEL", "NIP", "REGON", "KRS", "IBAN", "CARD", "POSTAL_CODE", "DATE_OF_BIRTH", "DOCUMENT_NUMBER", "CASE_NUMBER", "CONTRACT_NUMBER", "ADDRESS", "BANK_ACCOUNT",
+    "SWIFT_BIC", "INVOICE_NUMBER", "ORDER_NUMBER", "POLICY_NUMBER", "CLAIM_NUMBER", "CLIENT_ID", "EMPLOYEE_ID", "PASSPORT_NUMBER", "ID_CARD_NUMBER", "DRIVER_LICENSE_NUMBER", "VAT_ID",
+    "TAX_ID", "IP_ADDRESS", "VEHICLE_REGISTRATION", "DEVICE_ID", "COMPANY_NAME", "FULL_NAME", "FIRST_NAME", "LAST_NAME", "CITY", "STREET", "HOUSE_NUMBER", "APARTMENT_NUMBER", "COUNTRY",
+    "PLACE_OF_BIRTH",
+)
+
+
+def default_types(spark: SparkSession) -> DataFrame:
+    """The entity types of a new catalogue; what they are called is their description."""
+    return spark.createDataFrame([(t, t.replace("_", " ").lower()) for t in DEFAULT_TYPES], TYPES)
+
+
+def add_types(types: DataFrame, new: DataFrame) -> DataFrame:
+    """``types`` and those of ``new`` (entity_type, description) that it lacks, names in upper case; of several rows of one type the first by description comes."""
+    name = F.upper(F.btrim("entity_type"))
+    rows = new.select(name.alias("entity_type"), F.btrim("description").alias("description")).filter("entity_type <> ''")
+    rows = rows.groupBy("entity_type").agg(F.min("description").alias("description"))
+    return types.unionByName(rows.join(types.select("entity_type"), "entity_type", "left_anti"))
+
+
+def add_type(types: DataFrame, entity_type: str, description: str) -> tuple[DataFrame, bool]:
+    """``types`` and one more, and whether it is new; ValueError for an empty name."""
+    name = entity_type.strip().upper()
+    if not name:
+        raise ValueError("an entity type needs a name")
+    if not types.filter(F.col("entity_type") == name).isEmpty():
+        return types, False
+    return add_types(types, types.sparkSession.createDataFrame([(name, description)], TYPES)), True
+
+
 def entity_types(rules: DataFrame) -> DataFrame:
+    """The types that rules are of."""
     return rules.select("entity_type").distinct()
 
 
+def bootstrap(rules: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
+    """``rules`` with the shipped ``defaults`` merged in by description: managed rules of a description take the shipped fields, descriptions
+    that are missing come with new ids, and managed rules that aren't shipped any more go. Users' rules stay as they are.
+
+    A managed rule keeps its id and whether it is enabled, so what a user disabled stays so. Merging twice changes nothing.
+    """
+    defaults = default_rules(rules.sparkSession) if defaults is None else defaults
+    fresh = [c for c in defaults.columns if c not in ("rule_id", "enabled", "managed")]
+    # several shipped rules may share a description: they are told apart by their place among them
+    place = F.row_number().over(Window.partitionBy("description").orderBy("rule_id"))
+    old = rules.filter("managed").select("description", place.alias("_n"), F.col("rule_id").alias("_id"), F.col("enabled").alias("_enabled"))
+    merged = defaults.withColumn("_n", place).join(old, ["description", "_n"], "left")
+    top = rules.agg(F.coalesce(F.max("rule_id"), F.lit(0)).alias("_top"))
+    # one row; and a catalogue's new rows are few enough to be numbered together
+    later = F.row_number().over(Window.partitionBy(F.col("_id").isNull()).orderBy("rule_id"))
+    ids = merged.crossJoin(F.broadcast(top)).withColumn("rule_id", F.coalesce("_id", F.col("_top") + later).cast("int"))
+    managed = ids.select("rule_id", *fresh, F.coalesce("_enabled", F.col("enabled")).alias("enabled"), F.lit(True).alias("managed"))
+    return rules.filter("not managed").unionByName(managed)
+
+
 def _checked(spark: SparkSession, rules: Iterable[Rule], types: set[str] | None) -> list[Rule]:
     """Rules with their types in upper case; ValueError for an unknown type, normaliser or validator, a confidence outside 0 and 1, a
     pattern that is no regular expression, and one whose span has no certain place."""
@@ -95,6 +152,62 @@ def export_rules(rules: DataFrame, path: str) -> None:
     rules.coalesce(1).write.mode("overwrite").json(path)
 
 
+#: What the fields of a rule are called in an exchanged catalogue.
+_EXCHANGED = {
+    "rule_id": "rule_id", "entity_type": "entity_type", "pattern": "pattern_text", "normalizer": "normalizer_name", "validator": "validator_name", "confidence": "confidence",
+    "context": "context_required", "priority": "priority", "enabled": "enabled", "description": "description",
+}
+_ENVELOPE = (
+    f"entity_types array<struct<entity_type:string,description:string>>, rules array<struct<rule_id:int,entity_type:string,pattern_text:string,normalizer_name:string,"
+    "validator_name:string,confidence:double,context_required:boolean,priority:int,enabled:boolean,description:string>>"
+)
+
+
+def _named_groups(pattern: Column, exchanged: bool) -> Column:
+    """Named groups as exchanged catalogues write them, or as patterns here do."""
+    return F.replace(pattern, F.lit("(?<entity>"), F.lit("(?P<entity>")) if exchanged else F.replace(pattern, F.lit("(?P<"), F.lit("(?<"))
+
+
+def export_catalogue(rules: DataFrame, types: DataFrame, path: str) -> None:
+    """Write one JSON object with both tables, in order of ids and names."""
+    one = F.struct(*[(_named_groups(F.col(c), True) if c == "pattern" else F.col(c)).alias(n) for c, n in _EXCHANGED.items()])
+    all_rules = rules.agg(F.array_sort(F.collect_list(one)).alias("rules"))
+    all_types = types.agg(F.array_sort(F.collect_list(F.struct("entity_type", "description"))).alias("entity_types"))
+    # one row beside one row
+    all_types.crossJoin(F.broadcast(all_rules)).coalesce(1).write.mode("overwrite").json(path)
+
+
+def import_catalogue(rules: DataFrame, types: DataFrame, path: str, replace: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """``rules`` and ``types`` with those of an exported catalogue added, and how many rules came. With ``replace`` only what was exported is left.
+
+    Types are added first, and every rule's type must then be known; all rules are checked before any is added. Rules that are there already
+    (type and pattern) stay as they are. New rules get new ids, keep whether they are enabled, and are the user's own.
+    """
+    spark = rules.sparkSession
+    given = spark.read.schema(_ENVELOPE).option("multiLine", True).json(path)
+    types = add_types(types.filter("false") if replace else types, given.select(F.inline("entity_types")))
+    base = rules.filter("false") if replace else rules
+    rows = given.select(F.inline("rules")).withColumn("pattern_text", _named_groups(F.col("pattern_text"), False))
+    rows = rows.select(*[F.col(n).alias(c) for c, n in _EXCHANGED.items()]).withColumn("entity_type", F.upper(F.btrim("entity_type")))
+    lacking = rows.join(base.select("entity_type", "pattern"), ["entity_type", "pattern"], "left_anti").orderBy(F.col("rule_id").asc_nulls_last(), "entity_type", "pattern").collect()
+    known = {r["entity_type"] for r in types.collect()}
+    known_rules = {(r.entity_type, r.pattern): r for r in CATALOGUE}
+    first = {}
+    for r in lacking:
+        first.setdefault((r["entity_type"], r["pattern"]), r)
+    new = []
+    for kind, r in first.items():
+        # what tells that a search can be spared is known of default rules only
+        rule = Rule(r["entity_type"], r["pattern"], r["normalizer"], r["validator"], r["confidence"], bool(r["context"]), r["priority"], r["description"] or "")
+        new.append(rule._replace(needs=known_rules[kind].needs, digits=known_rules[kind].digits) if kind in known_rules else rule)
+    added = _added(base, _checked(spark, new, known))[0] if new else base
+    off = [(r["entity_type"], r["pattern"]) for r in first.values() if r["enabled"] is False]
+    if off:
+        gone = spark.createDataFrame(off, "entity_type string, pattern string").withColumn("_off", F.lit(True))
+        added = added.join(F.broadcast(gone), ["entity_type", "pattern"], "left").withColumn("enabled", F.col("enabled") & F.col("_off").isNull()).select(*rules.columns)
+    return added, types, len(new)
+
+
 def import_rules(rules: DataFrame, path: str, replace: bool = False) -> tuple[DataFrame, int]:
     """``rules`` with those of an export that it lacks (with ``replace``, its own unmanaged ones go first), and how many came.
 
