@@ -12,11 +12,11 @@ from veilcraft.operators import analytics
 from veilcraft.operators import anonymize as anonymize_module
 from veilcraft.operators.anonymize import anonymize, anonymize_segments, strategy
 from veilcraft.operators.fuse import DETECTORS, SEMANTIC, TYPE_RANK, fuse, resolve_overlaps
-from veilcraft.operators.mentions import Person, Taken, find_mentions
+from veilcraft.operators.mentions import Taken, keys_of, merged, with_mentions
 from veilcraft.operators.reinject import conflicts_and_decisions, plan_status
 from veilcraft.operators.scan import dealt, scan
 from veilcraft.operators.seals import SealError, delete, latest_hash, load, must_open, opened, save, sealed, signature
-from veilcraft.operators.spans import before, between, blocks, most, plus
+from veilcraft.operators.spans import before, beside, between, blocks, most, plus
 from veilcraft.plans import rule_cases
 from veilcraft.plans.policies import POLICIES, expand_groups
 
@@ -66,21 +66,39 @@ def test_mentions(spark):
     assert out[3].text.count("[OSOBA_1]") == 2 and "[OSOBA_2]" not in out[3].text
 
 
-def name(raw, start=0):
-    return {"entity_id": f"E{start}", "raw_text": raw, "confidence": 0.9, "support_count": 1, "supporting_detectors": ["regex"], "start": start, "stop": start + len(raw), "seed": True}
+def mentioned(spark, text, *names):
+    """(raw_text, rule) of the mentions of names, given as (name, support) where they first stand in the text."""
+    spans = [(1, f"E{i}", "PERSON", n, text.index(n), text.index(n) + len(n), 0.9, "gliner", support) for i, (n, support) in enumerate(names)]
+    schema = "doc_id int, entity_id string, entity_type string, raw_text string, start bigint, stop bigint, confidence double, source_detector string, support_count int"
+    rows = spark.createDataFrame([(1, text)], "doc_id int, text string").join(beside(spark.createDataFrame(spans, schema), ["doc_id"]), "doc_id")
+    return [(m.raw_text, m.mention_rule, m.canonical_entity_id) for m in with_mentions(rows, "text").first()["_mentions"]]
 
 
-def test_mention_parts():
-    assert Person.read(name("Jan  Nowak-Lis")).surname == "Nowak-Lis" and Person.read(name("Jan")) is None and Person.read(name("J. Lis")) is None
-    assert [Person.read(name(n)).keys[0] for n in ("Pawła Lipskiego", "Annę Lis", "Janem Lipski")] == ["paweł", "anna", "jan"]
-    assert [(m["raw_text"], m["mention_rule"]) for m in find_mentions("Ewa Lis. Ewę widziano.", [name("Ewa Lis")])] == [("Ewę", "first_name_accusative_feminine")]
-    assert not find_mentions("Pan Lis. Pana widziano.", [name("Pan Lis")])
+def test_mention_parts(spark):
+    assert mentioned(spark, "Ewa Lis. Ewę widziano.", ("Ewa Lis", 1)) == [("Ewę", "first_name_accusative_feminine", "E0")]
+    assert not mentioned(spark, "Pan Lis. Pana widziano.", ("Pan Lis", 1)) and not mentioned(spark, "J. Lis. Lis.", ("J. Lis", 1))
+    assert mentioned(spark, "Jan  Nowak-Lis i Nowak-Lis", ("Jan  Nowak-Lis", 1)) == [("Nowak-Lis", "surname_exact_unique", "E0")]
+    keys = spark.createDataFrame([("Pawła", "Lipskiego"), ("Annę", "Lis"), ("Janem", "Lipski")], "a string, b string").select(keys_of(F.col("a"), F.col("b")).alias("k"))
+    assert [tuple(r.k) for r in keys.collect()] == [("paweł", "lipski"), ("anna", "lis"), ("jan", "lipski")]
     taken = Taken([(5, 9), (0, 3), (7, 12)])
     assert taken.free(3, 5) and taken.free(12, 20) and not taken.free(2, 4) and not taken.free(11, 13) and not taken.free(0, 30)
     taken.add(3, 5)
     assert not taken.free(4, 6) and not taken.free(3, 4)
 
 
+def test_support_tells_whose_forms_are_looked_for(spark):
+    text = "Annę Nowak i Anna Nowak, bez Anny."
+    assert mentioned(spark, text, ("Annę Nowak", 1), ("Anna Nowak", 2)) == [("Anny", "first_name_genitive_feminine", "E1")]
+    assert mentioned(spark, text, ("Annę Nowak", 1), ("Anna Nowak", 1)) == []
+
+
+def test_names_with_a_slip_of_the_pen(spark):
+    text = "Patryk Malec, Anna Malec, Patyrk Malec; Jan Lis, Anna Lis, Jann Lis"
+    found = mentioned(spark, text, ("Patryk Malec", 1), ("Anna Malec", 1), ("Jan Lis", 1), ("Anna Lis", 1))
+    assert found == [("Patyrk Malec", "fuzzy_full_name_typo", "E0"), ("Jann Lis", "fuzzy_full_name_typo", "E2")]
+    assert merged([{"given": "patryk", "surname": "x"}, {"given": "patyrk", "surname": "x"}, {"given": "patryk", "surname": "y"}]) == [0, 0, 2]
+
+
 def test_rows_that_keys_do_not_tell_apart(spark):
     rows = [(None, "x g@h.pl"), (1, "mail a@b.pl"), (1, "to c@d.pl and e@f.pl"), (1, "mail a@b.pl"), (None, None), (None, "none")]
     docs = spark.createDataFrame(rows, "start bigint, text string").withColumns({c: F.lit("own") for c in ("stop", "entity_type", "_spans", "_edits", "findings", "raw_text")})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import Rule, ordered
 from ..plans.policies import POLICIES, Policy
 from .fuse import accepted, fused, resolved, reviewable
-from .mentions import mentions
+from .mentions import with_mentions
 from .scan import dealt, with_spans
 from .spans import SPAN, before, beside, between, blocks, by, in_rows, let, most, none, plus, reused
 
@@ -136,7 +136,7 @@ def with_detections(
         rows = rows.join(more, same, "left").drop(*[f"_of{k}" for k in keys])
         rows = rows.withColumn("_spans", F.concat("_spans", F.coalesce(f"_more{i}", none()))).drop(f"_more{i}")
     rows = rows.withColumn("_spans", reused(("fused",), lambda: fused(F.col("_spans"))))
-    return rows.withColumn("_mentions", reused(("mentions", text), lambda: mentions(F.col(text), F.col("_spans")))).withColumn("_spans", F.concat("_spans", "_mentions")).drop("_mentions")
+    return with_mentions(rows, text).withColumn("_spans", F.concat("_spans", "_mentions")).drop("_mentions")
 
 
 def detect(docs: DataFrame, types: Iterable[str] | None = None, rules: list[Rule] | None = None, others: Iterable[DataFrame] = (), keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

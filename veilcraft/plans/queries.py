@@ -538,6 +538,26 @@ def person_mentions(spark, d):
     return rows.select("doc_id", "raw_text", "start", "stop", "mention_rule", "mention_cluster_id", "confidence", "canonical_entity_id", "entity_id")
 
 
+@query("""
+    SELECT c_custkey AS doc_id, 'Anny' AS raw_text, 46 AS start, 50 AS stop, 'first_name_genitive_feminine' AS mention_rule, 'G2' AS canonical_entity_id
+    FROM customer WHERE c_custkey % 2 = 0""")
+def mentions_by_support(spark, d):
+    """Two detectors' candidates beside the rules': where both find the later name, its forms are looked for, else those of the earlier one, which it has not."""
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("Widziano Annę Nowak. Potem Anna Nowak wyszła. Anny nie było.").alias("text"))
+
+    def candidates(rows: DataFrame, detector: str, entity: str, raw: str, start: int) -> DataFrame:
+        values = {
+            "entity_id": entity, "entity_type": "PER", "raw_text": raw, "normalized_text": raw, "confidence": 0.9, "source_detector": detector, "start": start, "stop": start + len(raw),
+            "context_required": False, "rule_seq": 900,
+        }
+        return rows.select("doc_id", *[F.lit(v).alias(k) for k, v in values.items()])
+
+    gliner = candidates(docs, "gliner", "G1", "Annę Nowak", 9).unionByName(candidates(docs, "gliner", "G2", "Anna Nowak", 27))
+    spacy = candidates(docs.filter("doc_id % 2 = 0"), "spacy", "S2", "Anna Nowak", 27)
+    rows = detect(docs, {"EMAIL"}, others=[gliner, spacy]).filter("source_detector = 'mention_memory'")
+    return rows.select("doc_id", "raw_text", "start", "stop", "mention_rule", "canonical_entity_id")
+
+
 @query(made.REDACTED_SQL)
 def redact_persons(spark, d):
     return anonymize(_named(spark, d), types={"PERSON"}).select("doc_id", "text")
