@@ -13,7 +13,7 @@ from veilcraft.operators import anonymize as anonymize_module
 from veilcraft.operators.anonymize import anonymize, anonymize_segments, strategy
 from veilcraft.operators.fuse import DETECTORS, SEMANTIC, TYPE_RANK, fuse, resolve_overlaps
 from veilcraft.operators.mentions import Taken, keys_of, merged, with_mentions
-from veilcraft.operators.reinject import conflicts_and_decisions, plan_status
+from veilcraft.operators.reinject import conflicts_and_decisions, flat, plan_status, ratio_bound, with_ratio
 from veilcraft.operators.scan import dealt, scan
 from veilcraft.operators.seals import SealError, delete, latest_hash, load, must_open, opened, save, sealed, signature
 from veilcraft.operators.spans import before, beside, between, blocks, most, plus
@@ -354,6 +354,20 @@ def test_reinjection(spark):
     assert conflicts == {("b", "[KRS_1]", "missing_vault_entry"), ("c", "[PESEL_1]", "missing_vault_entry")}
 
 
+def test_bound_of_the_ratio(spark):
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(8)
+    text = lambda: "".join(rnd.choice("aab ż😀c") for _ in range(rnd.randrange(12)))
+    pairs = [(text(), text()) for _ in range(300)] + [("same", "same"), ("", ""), ("", "x")]
+    pairs += [(a, a[1:] + rnd.choice(["", "x"])) for a, _ in pairs[:100]]
+    rows = spark.createDataFrame(pairs, "x string, y string")
+    joined = lambda t: " ".join(t.split()).lower()
+    for r in with_ratio(rows.withColumn("bound", ratio_bound(flat(F.col("x")), flat(F.col("y")))), "x", "y").collect():
+        true = SequenceMatcher(None, joined(r.x), joined(r.y)).ratio()
+        assert r.bound >= true - 1e-9 and r.ratio == (true if r.bound >= 0.8 else 0.0)
+
+
 def test_leaks_in_joined_segments(spark):
     segments = spark.createDataFrame([(1, 0, "s0", "był Jan"), (1, 1, "s1", "Kowalski tu, NIP"), (1, 2, "s2", None)], "doc_id int, i int, segment_id string, text string")
     surfaces = spark.createDataFrame([(1, "Jan Kowalski", None), (1, "NIP", None), (1, "Jan  Kowalski", "s1")], "doc_id int, raw_text string, segment_id string")

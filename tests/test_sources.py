@@ -10,7 +10,7 @@ from veilcraft.operators.fuse import fuse
 from veilcraft.operators.scan import scan
 from veilcraft.sources import catalogue
 from veilcraft.sources import reviews
-from veilcraft.sources.files import artifact_path, docx_differences, docx_segments, json_leaves, labelled_corpus, listed, text_segments, xml_leaves
+from veilcraft.sources.files import artifact_path, docx_differences, docx_segments, json_leaves, labelled_corpus, listed, package_checks, package_segments, text_segments, xml_leaves
 from veilcraft.sources.models import model_spans
 from veilcraft.streaming.redact import redact_stream, windowed_findings
 
@@ -61,6 +61,12 @@ def test_texts_and_corpora(spark, tmp_path):
     assert [tuple(r) for r in samples.collect()] == [("s", "NIP 1")] and [tuple(r) for r in entities.collect()] == [("s", 0, "NIP", "1")]
 
 
+def test_packages_that_cannot_be_read_do_not_stop_others(spark):
+    rows = spark.createDataFrame([("a", package()), ("b", b"no package"), ("c", None), ("d", package()[:60])], "path string, content binary")
+    assert {r.path for r in package_segments(rows).collect()} == {"a"}
+    assert {r.path: r.reason is None for r in package_checks(rows).collect()} == {"a": True, "b": False, "c": False, "d": False}
+
+
 def test_catalogue(spark, tmp_path):
     rules = catalogue.default_rules(spark)
     assert len(catalogue.load_rules(rules)) == 41 and len(catalogue.load_rules(rules, {"NIP"})) == 2

@@ -8,13 +8,13 @@ import operator
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import settled
 from .seals import latest_hash
+from .spans import let
 
 
 def entity_audit(spans: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -114,38 +114,41 @@ def leak_summary(found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataF
     return found.groupBy(*keys).agg(each("exact").alias("findings"), each("normalised").alias("normalized_findings"))
 
 
-def _match(expected: list, found: list) -> dict[str, int]:
-    """How many expected surfaces of each type are met one-to-one, each by the first left that holds it or lies in it."""
-    left, hits = list(found), {}
-    for kind, surface in expected:
-        a = normal(surface)
-        hit = next((i for i, (k, s) in enumerate(left) if k == kind and (a in normal(s) or normal(s) in a)), None)
-        if hit is not None:
-            left.pop(hit)
-            hits[kind] = hits.get(kind, 0) + 1
-    return hits
+def normal(surface: Column) -> Column:
+    """Lower case, letters, digits, low lines and white space alone, without white space around."""
+    return F.regexp_replace(F.regexp_replace(F.lower(surface), r"(?U)[^\p{L}\p{N}_\s]", ""), r"(?U)^\s+|\s+$", "")
 
 
-def normal(surface: str) -> str:
-    return "".join(c for c in surface.casefold() if c.isalnum() or c == "_" or c.isspace()).strip()
+def _met(want: Column, have: Column) -> Column:
+    """The types of the wanted surfaces that are met one-to-one: each, in order, by the first of its type left that holds it or lies in it.
+
+    ``want`` and ``have`` are arrays of structs (kind, text), texts normalised.
+    """
+    nothing = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<string>").alias("met"))
+
+    def step(acc: Column, w: Column) -> Column:
+        fits = lambda h, i: (h["kind"] == w["kind"]) & ~F.array_contains(acc["used"], i) & (h["text"].contains(w["text"]) | w["text"].contains(h["text"]))
+        found = F.struct(F.concat(acc["used"], F.array(F.lit(0))).alias("used"), F.concat(acc["met"], F.array(w["kind"])).alias("met"))
+        at = lambda i: F.when(i > 0, found.withField("used", F.concat(acc["used"], F.array((i - 1).cast("int"))))).otherwise(acc)
+        return let(F.coalesce(F.array_position(F.transform(have, fits), F.lit(True)), F.lit(0)), at)
+
+    return F.aggregate(want, nothing, step, lambda acc: acc["met"])
 
 
 def corpus_matches(expected: DataFrame, spans: DataFrame, key: str = "id") -> DataFrame:
-    """key, entity_type, matched: labelled entities (key, seq, entity_type, text) that spans of the same sample meet."""
-    want = expected.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "entity_type", "text"))).alias("want"))
-    have = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "entity_type", "raw_text"))).alias("have"))
-    rows = want.join(have, key, "left")
-
-    def run(batches):
-        for b in batches:
-            out = [
-                (getattr(r, key), k, n)
-                for r in b.itertuples(index=False)
-                for k, n in _match([(w["entity_type"], w["text"]) for w in r.want], [(h["entity_type"], h["raw_text"]) for h in (r.have if r.have is not None else [])]).items()
-            ]
-            yield pd.DataFrame(out, columns=[key, "entity_type", "matched"])
-
-    return rows.mapInPandas(run, f"{key} {dict(expected.dtypes)[key]}, entity_type string, matched bigint")
+    """key, entity_type, matched: labelled entities (key, seq, entity_type, text) that spans of the same sample meet.
+
+    A sample's entities and spans meet in one row. A null text is an empty one, which any span of its type meets.
+    """
+    one = F.struct(F.col("entity_type").alias("kind"), normal(F.coalesce("text", F.lit(""))).alias("text"))
+    other = F.struct(F.col("entity_type").alias("kind"), normal(F.coalesce("raw_text", F.lit(""))).alias("text"))
+    bare = lambda c: F.transform(c, lambda x: x["x"])
+    want = expected.groupBy(key).agg(bare(F.array_sort(F.collect_list(F.struct("seq", one.alias("x"))))).alias("_want"))
+    have = spans.groupBy(F.col(key).alias("_of")).agg(bare(F.array_sort(F.collect_list(F.struct("start", "stop", other.alias("x"))))).alias("_have"))
+    rows = want.join(have, F.col(key).eqNullSafe(F.col("_of")), "left").withColumn("_have", F.coalesce("_have", F.array().cast("array<struct<kind:string,text:string>>")))
+    met = rows.select(key, _met(F.col("_want"), F.col("_have")).alias("_met"))
+    counts = F.transform(F.array_distinct("_met"), lambda k: F.struct(k.alias("entity_type"), F.size(F.filter("_met", lambda x: x == k)).cast("bigint").alias("matched")))
+    return met.select(key, F.inline(counts))
 
 
 def corpus_metrics(expected: DataFrame, predicted: DataFrame, matched: DataFrame) -> DataFrame:

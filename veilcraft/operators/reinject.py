@@ -30,11 +30,33 @@ def locality(container: Column) -> Column:
     return F.regexp_replace(F.coalesce(container, F.lit("")), r":p:\d+$", "")
 
 
+def flat(text: Column) -> Column:
+    """Lower case with single spaces, none of them at the ends."""
+    return F.lower(F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")))
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What the similarity of two flat texts can be at most: by their lengths, and where that is enough by how often they share each character."""
+    both = F.length(a) + F.length(b)
+    times = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
+    chars = F.filter(F.array_distinct(F.split(a, "")), lambda c: F.length(c) == 1)
+    shared = F.aggregate(chars, F.lit(0), lambda n, c: n + F.least(times(a, c), times(b, c)))
+    by_length = F.when(both == 0, 1.0).otherwise(2.0 * F.least(F.length(a), F.length(b)) / both)
+    return F.when((by_length < LEAST_RATIO) | (both == 0), by_length).otherwise(2.0 * shared / both)
+
+
 @F.pandas_udf(DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two texts by their longest common runs."""
-    flat = lambda s: " ".join(s.split()).lower()
-    return pd.Series([SequenceMatcher(None, flat(x), flat(y)).ratio() for x, y in zip(a, b)], dtype="float64")
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Similarity of two flat texts by their longest common runs; 0 for nulls."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b)], dtype="float64")
+
+
+def with_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with ``ratio``, which is 0 where a bound tells that it can't reach LEAST_RATIO: such texts aren't compared."""
+    rows = pairs.withColumns({"_a": flat(F.col(a)), "_b": flat(F.col(b))})
+    can = ratio_bound(F.col("_a"), F.col("_b")) >= LEAST_RATIO
+    rows = rows.withColumn("_a", F.when(can, F.col("_a")))
+    return rows.withColumn("ratio", _ratio("_a", "_b")).drop("_a", "_b")
 
 
 def _conflict(reason: str, placeholder: Column | None = None) -> Column:
@@ -73,7 +95,7 @@ def conflicts_and_decisions(templates: DataFrame, edited: DataFrame, vault: Data
         near = lost.withColumn("near", locality(F.col("container_id"))).join(
             e.withColumn("near", locality(F.col("e_container"))).withColumnRenamed("e_refs", "refs2"), [doc, "near"]
         )
-        near = near.filter(F.col("refs") == F.col("refs2")).withColumn("ratio", ratio("t_text", F.coalesce("e_text", F.lit(""))))
+        near = with_ratio(near.filter(F.col("refs") == F.col("refs2")), "t_text", "e_text")
         by_ratio = Window.partitionBy(doc, "segment_id").orderBy(F.desc("ratio"), "e_id")
         near = near.withColumn("place", F.row_number().over(by_ratio)).withColumn("next", F.lead("ratio").over(by_ratio)).filter("place = 1")
         low = F.col("ratio") < LEAST_RATIO

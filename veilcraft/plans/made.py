@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import REL, W
+
 # --- spans of several detectors ------------------------------------------------------------------
 
 _MADE = {
@@ -237,3 +244,24 @@ def edited_orders(spark: SparkSession, orders: DataFrame) -> tuple[DataFrame, Da
     vault = templates.select("doc_id", "segment_id", F.explode("refs").alias("placeholder"), F.lit(6).alias("start"), F.lit(13).alias("stop"), F.lit("h").alias("original_value_hash"))
     vault = vault.filter(~((F.col("doc_id") % _LACKING == 0) & (F.col("placeholder") == "[KRS_1]")))
     return templates, docs.join(F.broadcast(back), "n").drop("n"), vault
+
+
+# --- packages ------------------------------------------------------------------------------------
+
+
+def packages(texts: DataFrame) -> DataFrame:
+    """path and content: a DOCX package for each row (path, text), with a paragraph for each line; texts hold no control characters."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, text in zip(b.path, b.text):
+                lines = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in text.split("\n"))
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("_rels/.rels", f'<Relationships xmlns="{REL[1:-1]}"><Relationship Id="r1" Type="http://x/officeDocument" Target="word/document.xml"/></Relationships>')
+                    z.writestr("word/document.xml", f'<w:document xmlns:w="{W[1:-1]}"><w:body>{lines}<w:sectPr/></w:body></w:document>')
+                rows.append((path, held.getvalue()))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return texts.select("path", "text").mapInPandas(run, "path string, content binary")

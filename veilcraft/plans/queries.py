@@ -19,7 +19,7 @@ from ..operators.seals import delete, load, opened, save, sealed
 from ..operators.spans import beside
 from ..sources import reviews
 from ..sources.catalogue import add_types, bootstrap, default_rules, default_types, disable_rules, export_catalogue, import_catalogue, import_rules, load_rules
-from ..sources.files import leaf_differences
+from ..sources.files import docx_differences, leaf_differences, package_segments
 from . import made, rule_cases
 from .lineage import settled, shared_dir
 from .policies import POLICIES
@@ -724,6 +724,52 @@ def json_leaf_counts(spark, d):
     return leaf_differences(rows, after, "json", "o_orderkey").select("o_orderkey", "warning")
 
 
+_LINES_SQL = r"SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[\x00-\x09\x0B-\x1F\x7F-\x9F]', '', 'g'), chr(10)) AS lines FROM documents"
+
+
+def _packages(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as DOCX packages, a paragraph for each line, without control characters."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x09\x0B-\x1F\x7F-\x9F]", "")
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), text.alias("text"))
+
+
+@query(f"""
+    SELECT doc_id, 'body:p:' || (i - 1) AS segment_id, lines[i] AS text FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM ({_LINES_SQL})) WHERE lines[i] <> ''""")
+def package_segments_read(spark, d):
+    """Documents written as DOCX packages and read back as segments."""
+    return package_segments(made.packages(_packages(spark, d))).select(F.col("path").cast("bigint").alias("doc_id"), "segment_id", "text")
+
+
+@query(f"""
+    SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN CASE WHEN len(lines) < 4 THEN NULL ELSE 'Paragraph count changed beyond tolerance.' END WHEN 2 THEN 'package missing' WHEN 3 THEN 'unreadable' END AS problem
+    FROM ({_LINES_SQL})""")
+def packages_compared(spark, d):
+    """Packages against themselves, without their last three lines, missing, and cut short."""
+    texts = _packages(spark, d)
+    k = F.col("path").cast("bigint") % 4
+    lines = F.split("text", "\n", -1)
+    shorter = F.array_join(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 3, F.lit(1))), "\n")
+    # a text of one to three lines keeps one paragraph, so it loses two at most
+    after = made.packages(texts.filter(k != 2).withColumn("text", F.when(k == 1, shorter).otherwise(F.col("text"))))
+    after = after.withColumn("content", F.when(F.col("path").cast("bigint") % 4 == 3, F.substring("content", 1, 40)).otherwise(F.col("content")))
+    found = docx_differences(made.packages(texts), after)
+    problem = F.when(F.col("passed"), None).when(F.col("path").cast("bigint") % 4 == 3, "unreadable").otherwise(F.array_join("errors", "; "))
+    return found.select(F.col("path").cast("bigint").alias("doc_id"), problem.alias("problem"))
+
+
+@query("""
+    SELECT id, entity_type, CASE entity_type WHEN 'EMAIL' THEN least(id % 4, 3) ELSE 1 END::BIGINT AS matched
+    FROM (SELECT c_custkey AS id, unnest(['EMAIL', 'NIP']) AS entity_type FROM customer) WHERE entity_type = 'NIP' OR id % 4 > 0""")
+def corpus_matches_repeated(spark, d):
+    """Samples that are to hold one address three times and hold it none to three times: each find is counted once."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    kinds = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(v).alias("v")) for t, v in (("EMAIL", "a@b.pl"), ("EMAIL", "A@B.PL"), ("NIP", "856-734"), ("EMAIL", "a@b.pl"))])
+    expected = rows.select("id", F.posexplode(kinds).alias("seq", "e")).select("id", "seq", F.col("e.t").alias("entity_type"), F.col("e.v").alias("text"))
+    mails = rows.select("id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).filter("i < id % 4").select("id", (F.col("i") * 10).alias("start"), (F.col("i") * 10 + 6).alias("stop"), F.lit("EMAIL").alias("entity_type"), F.lit("a@b.pl").alias("raw_text"))
+    other = rows.select("id", F.lit(50).alias("start"), F.lit(63).alias("stop"), F.lit("NIP").alias("entity_type"), F.lit("856-734-62-15").alias("raw_text"))
+    return analytics.corpus_matches(expected, mails.unionByName(other))
+
+
 _BENCHMARK = "WITH e AS (SELECT 'EMAIL' AS t, c_custkey % 4 AS k FROM customer UNION ALL SELECT 'IP_ADDRESS', c_custkey % 4 FROM customer)"
 
 

@@ -51,13 +51,40 @@ def docx_texts(data: bytes) -> list[tuple[str, str]]:
 
 def docx_segments(spark: SparkSession, path: str) -> DataFrame:
     """Segments of DOCX packages under ``path``."""
+    return package_segments(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def package_segments(packages: DataFrame) -> DataFrame:
+    """Segments of DOCX packages (path, content); one without content or that is no package has none."""
 
     def run(batches):
         for b in batches:
-            rows = [(p, i, i, i, 0, len(t), t) for p, data in zip(b.path, b.content) for i, t in docx_texts(bytes(data))]
+            rows = []
+            for p, data in zip(b.path, b.content):
+                try:
+                    rows += [(p, i, i, i, 0, len(t), t) for i, t in docx_texts(bytes(data or b""))]
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError):
+                    continue
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SEGMENTS)
+    return packages.select(F.col("path").cast("string").alias("path"), "content").mapInPandas(run, SEGMENTS)
+
+
+def package_checks(packages: DataFrame) -> DataFrame:
+    """path and reason of each DOCX package (path, content): null where its segments can be read, else why not, without failing the others."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for p, data in zip(b.path, b.content):
+                try:
+                    docx_texts(bytes(data or b""))
+                    rows.append((p, None))
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError) as e:
+                    rows.append((p, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "reason"])
+
+    return packages.select(F.col("path").cast("string").alias("path"), "content").mapInPandas(run, "path string, reason string")
 
 
 def docx_snapshot(data: bytes) -> dict:
