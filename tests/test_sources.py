@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilcraft.functions.rules import Rule
+from veilcraft.operators.anonymize import anonymize_segments
 from veilcraft.operators.fuse import fuse
 from veilcraft.operators.scan import scan
 from veilcraft.sources import catalogue
 from veilcraft.sources import reviews
 from veilcraft.sources.files import artifact_path, docx_differences, docx_segments, json_leaves, labelled_corpus, listed, package_checks, package_segments, text_segments, xml_leaves
 from veilcraft.sources.models import model_spans
-from veilcraft.streaming.redact import redact_stream, windowed_findings
+from veilcraft.streaming.redact import redact_segments_stream, redact_stream, windowed_findings
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -184,3 +185,22 @@ def test_stream(spark, tmp_path):
     assert {r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"mail [EMAIL_1]", "none"}
     got = windowed_findings(df, "ts", types={"EMAIL"}).first()
     assert (got.texts, got.with_spans, got.spans) == (2, 1, 1)
+
+
+def test_documents_that_go_on_over_micro_batches(spark, tmp_path):
+    parts = [
+        [("d", 0, "Klient: Jan Kowalski, a@b.pl"), ("e", 0, "mail x@y.pl"), (None, 0, "Klient: Jan Nowak, n@o.pl")],
+        [("d", 1, "Kowalski pisał z c@d.pl. Klient: Anna Nowak"), ("d", 2, None)],
+        [("d", 3, "Nowak i Kowalskiego widziano, e@f.pl i a@b.pl"), ("f", 0, "g@h.pl"), ("e", 1, "potem z@y.pl")],
+    ]
+    schema = "k string, o int, text string"
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    places = [str(tmp_path / x) for x in ("out", "state", "check")]
+    redact_segments_stream(stream, "k", "o", *places, types={"EMAIL", "PERSON"}).awaitTermination(300)
+    got = {(r.k, r.o, r.text) for r in spark.read.parquet(f"{places[0]}/*").collect()}
+    whole = spark.createDataFrame([r for rows in parts for r in rows], schema)
+    want = {(r.k, r.o, r.text) for r in anonymize_segments(whole, "k", "o", types={"EMAIL", "PERSON"}).collect()}
+    assert got == want and ("d", 3, "[OSOBA_2] i [OSOBA_1] widziano, [EMAIL_3] i [EMAIL_4]") in got
+    assert sorted(x.name for x in (tmp_path / "state").iterdir()) == ["batch=1", "batch=2"]

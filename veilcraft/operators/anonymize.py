@@ -14,7 +14,7 @@ from ..plans.policies import POLICIES, Policy
 from .fuse import accepted, fused, resolved, reviewable
 from .mentions import with_mentions
 from .scan import dealt, with_spans
-from .spans import SPAN, before, beside, between, blocks, by, in_rows, let, most, none, plus, reused
+from .spans import SPAN, before, beside, between, blocks, by, in_rows, let, most, none, plus, reused, span
 
 #: Types that share a label in placeholders.
 ADDRESS_LIKE = ("ADDRESS", "CITY", "STREET", "POSTAL_CODE", "HOUSE_NUMBER", "APARTMENT_NUMBER", "COUNTRY", "PLACE_OF_BIRTH")
@@ -47,12 +47,14 @@ def rendered(style: str, s: Column, ordinal: Column) -> Column:
     return F.concat(F.lit("["), label(kind), F.lit("_"), ordinal.cast("string"), F.lit("]"))
 
 
-def numbered(spans: Column, review: float = 0.6, by_label: bool = False) -> Column:
+def numbered(spans: Column, review: float = 0.6, by_label: bool = False, counted: Column | None = None) -> Column:
     """The spans that are to be replaced, in order of place, each with its ordinal: an array of structs (span, ordinal).
 
     Persons are numbered in order of their places, mentions as the person that they name; one whose person is gone shares the next
-    number. Other types count the spans of the type that pass review (with ``by_label``, those of the placeholder's label).
+    number. Other types count the spans of the type that pass review (with ``by_label``, those of the placeholder's label), from where ``counted``, a
+    map by type, says that others have got to.
     """
+    so_far = lambda kind: F.lit(0) if counted is None else F.coalesce(F.try_element_at(counted, kind), F.lit(0))
     person = lambda s: s["entity_type"] == "PERSON"
     seed = lambda s: person(s) & s["canonical_entity_id"].isNull()
     group = lambda s: label(s["entity_type"]) if by_label else s["entity_type"]
@@ -63,7 +65,7 @@ def numbered(spans: Column, review: float = 0.6, by_label: bool = False) -> Colu
         kept = F.filter(own, lambda s: reviewable(review, s) & ~person(s))
         groups = F.array_distinct(F.transform(kept, group))
         numbered_ = lambda s, n: F.struct(s.alias("span"), n.cast("bigint").alias("ordinal"))
-        others = F.flatten(F.transform(groups, lambda g: F.transform(F.filter(kept, lambda s: group(s) == g), lambda s, i: numbered_(s, i + 1))))
+        others = F.flatten(F.transform(groups, lambda g: F.transform(F.filter(kept, lambda s: group(s) == g), lambda s, i: numbered_(s, i + 1 + so_far(g)))))
         at = lambda s: F.coalesce(F.array_position(seeds, F.coalesce(s["canonical_entity_id"], s["entity_id"])), F.lit(0))
         people = F.transform(F.filter(own, lambda s: reviewable(review, s) & person(s)), lambda s: numbered_(s, let(at(s), lambda n: F.when(n == 0, F.size(seeds) + 1).otherwise(n))))
         # mentions of other types than PERSON count with the person that they name
@@ -73,17 +75,22 @@ def numbered(spans: Column, review: float = 0.6, by_label: bool = False) -> Colu
     return let(let(order, lambda o: F.struct(o.alias("own"), F.transform(F.filter(o, seed), lambda s: s["entity_id"]).alias("seeds"))), with_numbers)
 
 
+def unbeaten(spans: Column) -> Column:
+    """The spans that no overlapping one has beaten."""
+    return F.transform(F.filter(resolved(spans), lambda r: r["beaten_by"].isNull()), lambda r: r["span"])
+
+
 #: A replacement: where it goes, what stands there then, and the span that it hides.
 EDIT = f"struct<start:bigint,stop:bigint,replacement_text:string,entity_type:string,ordinal:bigint,warning:string,span:{SPAN}>"
 
 
-def planned(spans: Column, mode: str = "irreversible", style: str | None = None, policy: Policy = POLICIES["external_irreversible"]) -> Column:
+def planned(spans: Column, mode: str = "irreversible", style: str | None = None, policy: Policy = POLICIES["external_irreversible"], counted: Column | None = None) -> Column:
     """Replacements for fused spans as an array of EDIT in order of place: overlaps resolved, weak spans left out, the rest rendered.
 
     ``warning`` tells of spans below the accept threshold, which are replaced nevertheless.
     """
     how = strategy(mode, style, policy)
-    stay = F.transform(F.filter(resolved(spans), lambda r: r["beaten_by"].isNull()), lambda r: r["span"])
+    stay = unbeaten(spans)
 
     def edit(x: Column) -> Column:
         s = x["span"]
@@ -93,7 +100,7 @@ def planned(spans: Column, mode: str = "irreversible", style: str | None = None,
             F.when(~accepted(policy.accept, s), unsure).alias("warning"), s.alias("span"),
         ).cast(EDIT)
 
-    return F.array_sort(F.transform(numbered(stay, policy.review), edit))
+    return F.array_sort(F.transform(numbered(stay, policy.review, counted=counted), edit))
 
 
 def pieces(text: Column, edits: Column) -> Column:
@@ -126,10 +133,14 @@ def findings(edits: Column) -> Column:
 
 
 def with_detections(
-    docs: DataFrame, types: Iterable[str] | None = None, rules: list[Rule] | None = None, others: Iterable[DataFrame] = (), keys: tuple[str, ...] = ("doc_id",), text: str = "text"
-) -> DataFrame:
-    """``docs`` with ``_spans``: fused spans of rules and ``others`` (candidates of further detectors), and mentions of the persons found."""
+    docs: DataFrame, types: Iterable[str] | None = None, rules: list[Rule] | None = None, others: Iterable[DataFrame] = (), keys: tuple[str, ...] = ("doc_id",), text: str = "text",
+    known: Column | None = None,
+) -> DataFrame:
+    """``docs`` with ``_spans``: fused spans of rules, ``others`` (candidates of further detectors) and ``known`` (an array beside the text), and
+    mentions of the persons found."""
     rows = with_spans(docs, rules if rules is not None else ordered(types), text)
+    if known is not None:
+        rows = rows.withColumn("_spans", F.concat("_spans", known))
     for i, spans in enumerate(others):
         more = beside(spans, keys).select(*[F.col(k).alias(f"_of{k}") for k in keys], F.col("_spans").alias(f"_more{i}"))
         same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys])
@@ -188,38 +199,113 @@ def _counts() -> Column:
 _BOUNDARY = "\nsegment§end\n"
 
 
-def anonymize_segments(segments: DataFrame, key: str, order: str, text: str = "text", **options) -> DataFrame:
-    """Segments of one document (``key``) rewritten together, so that a person keeps one number throughout: key, order, text and findings
-    (of the document) for every row of ``segments``.
+_OPTIONS = {"types", "rules", "others", "mode", "style", "policy"}
 
-    Segments are joined in order of ``order`` (null first), then text, and the rewritten document is cut where their ends have moved to. What a text
-    holds doesn't matter for that, not even the boundary itself. A span that reaches over an end is replaced in the segment where it
-    begins. A null text stays null. Segments without a key belong to no document, and each is rewritten by itself. A document is held by one
-    task. An empty table gives no rows.
-    """
+
+def _chosen(options: dict, *names: str) -> dict:
+    if unknown := options.keys() - _OPTIONS:
+        raise TypeError(f"unknown option {min(unknown)}")
+    return {k: v for k, v in options.items() if k in names}
+
+
+def _documents(segments: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """_key and _parts, the segments (o, t) of each document in order; segments without a key are a document each."""
     rows = segments.select(F.col(key).alias("_key"), F.struct(F.col(order).alias("o"), F.col(text).alias("t")).alias("_part"))
     whole = rows.filter("_key is not null").groupBy("_key").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
-    rows = whole.unionByName(rows.filter("_key is null").select("_key", F.array("_part").alias("_parts")))
-    texts = F.transform("_parts", lambda p: F.coalesce(p["t"], F.lit("")))
-    rows = with_detections(rows.withColumn("_text", F.array_join(texts, _BOUNDARY)), keys=("_key",), text="_text", **{k: v for k, v in options.items() if k in ("types", "rules", "others")})
-    rows = rows.withColumn("_edits", _plan(**{k: v for k, v in options.items() if k in ("mode", "style", "policy")}))
-    # the boundaries are edits as well, whose replacement is null
-    kind = "struct<start:bigint,stop:bigint,replacement_text:string>"
-    sizes = F.transform("_parts", lambda p: F.length(F.coalesce(p["t"], F.lit(""))).cast("bigint"))
+    return whole.unionByName(rows.filter("_key is null").select("_key", F.array("_part").alias("_parts")))
+
+
+_CUT = "struct<start:bigint,stop:bigint,replacement_text:string>"
+
+
+def _with_cut_texts(rows: DataFrame) -> DataFrame:
+    """``rows`` (_text, the joined _texts; _edits) with ``_done``: the rewritten text of each of ``_texts``, cut where their ends have moved to."""
+    sizes = F.transform("_texts", lambda t: F.length(t).cast("bigint"))
 
     def bounds(n: Column) -> Column:
         ends = before(F.transform(n, lambda x: x + len(_BOUNDARY)), plus)  # where segments begin
-        return let(ends, lambda at: F.transform(F.slice(at, F.lit(2), F.size(at)), lambda x: F.struct(x - len(_BOUNDARY), x, F.lit(None).cast("string")).cast(kind)))
-
-    rows = rows.withColumn("_bounds", let(sizes, bounds))
-    cuts = F.array_sort(F.concat(F.transform("_edits", lambda e: F.struct(e["start"], e["stop"], e["replacement_text"]).cast(kind)), F.col("_bounds")))
+        return let(ends, lambda at: F.transform(F.slice(at, F.lit(2), F.size(at)), lambda x: F.struct(x - len(_BOUNDARY), x, F.lit(None).cast("string")).cast(_CUT)))
 
     def segments_of(whole: Column) -> Column:
         marks = F.concat(F.filter(F.transform(whole, lambda p, i: F.when(p.isNull(), i)), lambda i: i.isNotNull()), F.array(F.size(whole)))
         # pieces of a segment lie between two marks
         return let(marks, lambda m: F.transform(m, lambda to, i: let(F.coalesce(F.get(m, i - 1) + 1, F.lit(0)), lambda at: F.array_join(F.slice(whole, at + 1, to - at), ""))))
 
-    rows = rows.withColumn("_cuts", cuts).withColumn("_pieces", reused(("pieces",), lambda: pieces(F.col("_text"), F.col("_cuts"))))
-    rows = rows.select("_key", "_parts", _counts().alias("findings"), segments_of(F.col("_pieces")).alias("_done"))
-    rows = rows.select("_key", "findings", F.explode(F.transform("_done", lambda t, i: F.struct(F.get("_parts", i).alias("p"), t.alias("t")))).alias("_s"))
-    return rows.select(F.col("_key").alias(key), F.col("_s.p.o").alias(order), F.when(F.col("_s.p.t").isNotNull(), F.col("_s.t")).alias(text), "findings")
+    # the boundaries are edits as well, whose replacement is null
+    cuts = F.array_sort(F.concat(F.transform("_edits", lambda e: F.struct(e["start"], e["stop"], e["replacement_text"]).cast(_CUT)), F.col("_bounds")))
+    rows = rows.withColumn("_bounds", reused(("bounds",), lambda: let(sizes, bounds))).withColumn("_cuts", cuts)
+    rows = rows.withColumn("_pieces", reused(("pieces",), lambda: pieces(F.col("_text"), F.col("_cuts"))))
+    return rows.withColumn("_done", reused(("segments",), lambda: segments_of(F.col("_pieces")))).drop("_bounds", "_cuts", "_pieces")
+
+
+def _segment_rows(rows: DataFrame, key: str, order: str, text: str, *more: str) -> DataFrame:
+    """A row for each of ``_parts`` with its text of ``_done``; null texts stay null."""
+    each = F.transform("_done", lambda t, i: F.struct(F.get("_parts", i).alias("p"), t.alias("t")))
+    rows = rows.select("_key", *more, F.explode(each).alias("_s"))
+    return rows.select(F.col("_key").alias(key), F.col("_s.p.o").alias(order), F.when(F.col("_s.p.t").isNotNull(), F.col("_s.t")).alias(text), *more)
+
+
+def anonymize_segments(segments: DataFrame, key: str, order: str, text: str = "text", **options) -> DataFrame:
+    """Segments of one document (``key``) rewritten together, so that a person keeps one number throughout: key, order, text and findings
+    (of the document) for every row of ``segments``.
+
+    Segments are joined in order of ``order`` (null first), then text, and the rewritten document is cut where their ends have moved to. What a text
+    holds doesn't matter for that, not even the boundary itself. A span that reaches over an end is replaced in the segment where it
+    begins. A null text stays null. Segments without a key belong to no document, and each is rewritten by itself. A document is held by one
+    task. An empty table gives no rows. ``options`` are those of ``anonymize``.
+    """
+    rows = _documents(segments, key, order, text).withColumn("_texts", F.transform("_parts", lambda p: F.coalesce(p["t"], F.lit(""))))
+    rows = with_detections(rows.withColumn("_text", F.array_join("_texts", _BOUNDARY)), keys=("_key",), text="_text", **_chosen(options, "types", "rules", "others"))
+    rows = _with_cut_texts(rows.withColumn("_edits", _plan(**_chosen(options, "mode", "style", "policy"))))
+    return _segment_rows(rows.withColumn("findings", _counts()), key, order, text, "findings")
+
+
+#: What is known of a document's earlier segments: how far each type's numbers have got, and its persons in order of their numbers.
+KNOWN = "_counted map<string,bigint>, _persons array<struct<raw_text:string,confidence:double,source_detector:string,support_count:int,supporting_detectors:array<string>>>"
+
+
+def _known_spans(persons: Column) -> Column:
+    """Spans of known persons, whose names stand in front of a document's new segments, each followed by a boundary."""
+    sizes = F.transform(persons, lambda p: (F.length(p["raw_text"]) + len(_BOUNDARY)).cast("bigint"))
+
+    def made(p: Column, start: Column, i: Column) -> Column:
+        return span(
+            entity_id=F.concat(F.lit("KNOWN_"), i.cast("string")), entity_type=F.lit("PERSON"), raw_text=p["raw_text"], normalized_text=p["raw_text"], confidence=p["confidence"],
+            source_detector=p["source_detector"], start=start, stop=start + F.length(p["raw_text"]), context_required=F.lit(False), rule_seq=F.lit(0), support_count=p["support_count"],
+            supporting_detectors=p["supporting_detectors"],
+        )
+
+    return let(before(sizes, plus), lambda at: F.transform(persons, lambda p, i: made(p, F.get(at, i), i)))
+
+
+def continue_segments(segments: DataFrame, known: DataFrame, key: str, order: str, text: str = "text", **options) -> tuple[DataFrame, DataFrame]:
+    """(key, order, text of every row of ``segments``; what is known after them), where ``known`` (key and the columns of KNOWN) is what earlier
+    segments of the same documents left.
+
+    Numbers go on where they had got to, and names found earlier are found in the new segments: a document that comes in parts, in order, has
+    the placeholders of the whole as far as names come before their mentions. A document's names are held by one task. ``known`` has every key
+    once; segments without a key leave nothing behind.
+    """
+    rows = _documents(segments, key, order, text)
+    old = known.select(F.col(key).alias("_of"), "_counted", "_persons")
+    rows = rows.join(old, F.col("_key") == F.col("_of"), "left").drop("_of")
+    rows = rows.withColumn("_counted", F.coalesce("_counted", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))))
+    rows = rows.withColumn("_persons", F.coalesce("_persons", F.array().cast(KNOWN.split("_persons ")[1])))
+    new = F.transform("_parts", lambda p: F.coalesce(p["t"], F.lit("")))
+    rows = rows.withColumn("_texts", F.concat(F.transform("_persons", lambda p: p["raw_text"]), new)).withColumn("_text", F.array_join("_texts", _BOUNDARY))
+    rows = rows.withColumn("_known", reused(("known",), lambda: _known_spans(F.col("_persons"))))
+    rows = with_detections(rows, keys=("_key",), text="_text", known=F.col("_known"), **_chosen(options, "types", "rules", "others"))
+    chosen = _chosen(options, "mode", "style", "policy")
+    rows = rows.withColumn("_edits", reused(("edits on", *sorted(chosen.items())), lambda: planned(F.col("_spans"), **chosen, counted=F.col("_counted"))))
+    rows = rows.withColumn("_stay", reused(("stay",), lambda: unbeaten(F.col("_spans"))))
+    seed = lambda s: (s["entity_type"] == "PERSON") & s["canonical_entity_id"].isNull()
+    fields = ("raw_text", "confidence", "source_detector", "support_count", "supporting_detectors")
+    persons = by(F.filter("_stay", seed), lambda s: s["start"], lambda s: s["stop"], lambda s: s["rule_seq"], lambda s: s["entity_id"], lambda s: -s["confidence"])
+    persons = F.transform(persons, lambda s: F.struct(*[s[f].alias(f) for f in fields]))
+    kinds = F.array_distinct(F.concat(F.map_keys("_counted"), F.transform(F.filter("_edits", lambda e: e["entity_type"] != "PERSON"), lambda e: e["entity_type"])))
+    latest = lambda k: F.greatest(F.try_element_at("_counted", k), F.array_max(F.transform(F.filter("_edits", lambda e: e["entity_type"] == k), lambda e: e["ordinal"])))
+    left = rows.filter("_key is not null").select(F.col("_key").alias(key), F.map_from_arrays(kinds, F.transform(kinds, latest)).alias("_counted"), persons.alias("_persons"))
+    names = F.size("_persons")
+    done = _with_cut_texts(rows).withColumn("_done", F.slice("_done", names + 1, F.size("_done") - names))
+    others = known.join(left.select(F.col(key).alias("_of")), F.col(key) == F.col("_of"), "left_anti").select(key, "_counted", "_persons")
+    return _segment_rows(done, key, order, text), left.unionByName(others)

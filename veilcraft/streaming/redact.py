@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.rules import ordered
-from ..operators.anonymize import anonymize
+from ..operators.anonymize import KNOWN, anonymize, continue_segments
 from ..operators.scan import with_spans
+from ..plans.lineage import settled
 
 
 def redact_stream(texts: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("doc_id",), **options) -> StreamingQuery:
@@ -23,6 +24,26 @@ def redact_stream(texts: DataFrame, path: str, checkpoint: str, keys: tuple[str,
     return texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def redact_segments_stream(segments: DataFrame, key: str, order: str, path: str, state: str, checkpoint: str, text: str = "text", **options) -> StreamingQuery:
+    """Write every micro-batch of ``segments`` anonymised as Parquet, where a document (``key``) goes on over micro-batches with its numbers and names.
+
+    What is known of documents is a table under ``state`` (shared storage), one version for each micro-batch: a batch reads the version before its
+    own, so one that runs again gives the same rows. Versions before that are deleted.
+    """
+    schema = f"{key} {dict(segments.dtypes)[key]}, {KNOWN}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.schema(schema).parquet(f"{state}/batch={number - 1}") if number else spark.createDataFrame([], schema)
+        done, left = continue_segments(settled(batch), known, key, order, text, **options)
+        left.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        done.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/batch={number - 2}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    return segments.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_findings(texts: DataFrame, time: str, width: str = "10 minutes", late: str = "10 minutes", types: Iterable[str] | None = None, text: str = "text") -> DataFrame:
     """Texts of each window of event time, those with valid spans of ``types``, and how many spans they have; a stream or a table."""
     rows = with_spans(texts, ordered(types), text)
