@@ -109,9 +109,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def tree_nodes(labelled: DataFrame, rows: int = ROWS, nodes: int = NODES) -> DataFrame:
     """lang, depth (bytes of context), gram (context and byte) and n of the nodes of each language's tree, from ``labelled`` (doc_id, text, lang)."""
     small_batches(labelled.sparkSession)
-    share = labelled.groupBy("lang").agg(F.least(F.lit(1.0), rows / F.count("*")).alias("share"))
+    # one number for each language comes to the driver, where their trees go as well; texts are sampled as they are read
+    sizes = {r["lang"]: float(r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     dice = (F.xxhash64("doc_id", "text", F.lit("tree")).bitwiseAND(0xFFFFFF) + 0.5) / 0x1000000
-    sample = labelled.join(share, "lang").filter(dice < F.col("share")).select("lang", "text")
+    size = F.try_element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("lang")) if sizes else F.lit(None).cast("double")
+    sample = labelled.filter(dice * size < rows).select("lang", "text")
     counts = settled(sample.mapInArrow(_counted, "lang string, depth int, gram bigint, n bigint").groupBy("lang", "depth", "gram").agg(F.sum("n").alias("n")))
     # a context is at least as frequent as what follows it, so a least frequency keeps trees whole
     sizes = counts.groupBy("lang", "n").agg(F.count("*").alias("alike"))
