@@ -645,7 +645,7 @@ def audit_chain_written(spark, d):
     import uuid
 
     records = table(spark, d, "orders").selectExpr(*_ORDER_RECORDS)
-    chain = analytics.write_chain(records, f"{shared_dir(spark).rstrip('/')}/chain-{uuid.uuid4().hex}", size=5000)
+    chain = analytics.write_chain(records, f"{shared_dir(spark).rstrip('/')}/chain-{uuid.uuid4().hex}")
     gone = table(spark, d, "orders").filter("o_custkey % 7 = 3").selectExpr("concat('AUD_', o_orderkey) AS audit_id")
     left = chain.join(gone, "audit_id", "left_anti").withColumn("mode", F.when(F.col("mode") == "F", "changed").otherwise(F.col("mode")))
     return analytics.verified_chain(left)
