@@ -22,11 +22,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset one in the warehouse."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset one in the warehouse, if that is no local folder or there
+    is one machine only."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not sc.master.startswith("local") and warehouse.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"{warehouse}/checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
