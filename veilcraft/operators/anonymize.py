@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import Rule, ordered
 from ..plans.policies import POLICIES, Policy
-from .fuse import accepted, fused, resolved, reviewable
+from .fuse import CANONICAL, accepted, fused, resolved, reviewable
 from .mentions import with_mentions
 from .scan import dealt, with_spans
 from .spans import SPAN, before, beside, between, blocks, by, in_rows, let, most, none, plus, reused, span
@@ -138,7 +138,9 @@ def with_detections(
 ) -> DataFrame:
     """``docs`` with ``_spans``: fused spans of rules, ``others`` (candidates of further detectors) and ``known`` (an array beside the text), and
     mentions of the persons found."""
-    rows = with_spans(docs, rules if rules is not None else ordered(types), text)
+    rules = rules if rules is not None else ordered(types)
+    others = list(others)
+    rows = with_spans(docs, rules, text)
     if known is not None:
         rows = rows.withColumn("_spans", F.concat("_spans", known))
     for i, spans in enumerate(others):
@@ -147,6 +149,8 @@ def with_detections(
         rows = rows.join(more, same, "left").drop(*[f"_of{k}" for k in keys])
         rows = rows.withColumn("_spans", F.concat("_spans", F.coalesce(f"_more{i}", none()))).drop(f"_more{i}")
     rows = rows.withColumn("_spans", reused(("fused",), lambda: fused(F.col("_spans"))))
+    if known is None and not others and all(CANONICAL.get(r.entity_type, r.entity_type) != "PERSON" for r in rules):
+        return rows  # no one to follow
     return with_mentions(rows, text).withColumn("_spans", F.concat("_spans", "_mentions")).drop("_mentions")
 
 
