@@ -20,8 +20,8 @@ from veilcraft.llm.simhash import near_duplicates
 from veilcraft.llm.toxicity import toxicity_scores
 
 
-#: Near copies: five-word shingles of similarity 0.8 or more, told by 128 bits of which so many may differ.
-NEAR = {"words": 5, "width": 2, "radius": 25, "similarity": 0.8, "tile": 4096}
+#: Near copies: five-word shingles of similarity 0.8 or more, looked for among fingerprints of 128 bits of which so many may differ.
+NEAR = {"words": 5, "width": 2, "radius": 32, "similarity": 0.8, "tile": 4096}
 
 
 def _kept(docs: DataFrame, rejected: DataFrame, key: Column, longest: bool | None = None) -> DataFrame:

@@ -138,8 +138,8 @@ def forest(home, blocks, radius):
     return block.found
 
 
-@pytest.mark.parametrize("tile", [4, 1024])
-def test_wide_fingerprints_against_brute_force(spark, tile):
+@pytest.mark.parametrize(("tile", "radius"), [(4, 30), (1024, 25)])
+def test_wide_fingerprints_against_brute_force(spark, tile, radius):
     rnd = random.Random(tile)
     vocabulary = [f"w{i}" for i in range(400)]
     rows = []
@@ -153,13 +153,45 @@ def test_wide_fingerprints_against_brute_force(spark, tile):
     found = [fingerprint(t, 5, 2) for _, t in rows]
     bits = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(found[a][0], found[b][0]))
     shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
-    near = [(i, j) for i in range(len(rows)) for j in range(i) if bits(i, j) <= 25]
-    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 25, 2, 0.8, tile).collect()
-    assert [r.component_id for r in sorted(got)] == roots(len(rows), near)
     like = [(i, j) for i in range(len(rows)) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
-    of = {r.doc_id: r.component_id for r in got}
-    assert len(like) > 15 and sum(of[i] == of[j] for i, j in like) >= 0.95 * len(like)
-    assert all(shingles[i] & shingles[j] for i, j in of.items())
+    near = [(i, j) for i, j in like if bits(i, j) <= radius]
+    wide = sum(bits(i, j) <= radius for i in range(len(rows)) for j in range(i))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, radius, 2, 0.8, tile).collect()
+    assert [r.component_id for r in sorted(got)] == roots(len(rows), near)
+    # candidates are not links, and few links are lost
+    assert len(like) > 15 and len(near) >= 0.95 * len(like) and wide > len(near)
+
+
+def test_similar_texts_of_one_group_are_parted(spark):
+    # neighbours in a chain are alike, its ends are not; another text has a near fingerprint and is like none
+    words = [f"w{i}" for i in range(120)]
+    chain = [" ".join(f"x{j}" if j < 6 * k else w for j, w in enumerate(words)) for k in range(6)]
+    far = " ".join("y" if j % 9 == 0 else w for j, w in enumerate(words))
+    docs = spark.createDataFrame(list(enumerate([*chain, far])), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, 5, 60, 2, 0.8).collect()}
+    assert got == {**{k: 0 for k in range(6)}, 6: 6}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_candidates_lose_no_link(seed):
+    rnd = np.random.default_rng(seed)
+    prints = np.unique(rnd.integers(0, 1 << 9, 90, dtype=np.uint64))
+    nodes, radius = np.arange(len(prints)), 1
+    true = rnd.random((len(prints), len(prints))) < 0.5
+    facts = np.ones((len(prints), 1), dtype=np.int64)
+    near = {(i, j) for i in nodes for j in range(min(i, 40)) if (int(prints[i]) ^ int(prints[j])).bit_count() <= radius}
+
+    def found(facts, rest):
+        block = simhash.Candidates(prints[:40, None], nodes[:40], facts[:40], radius, 0.8, rest)
+        pairs = [block.visit(prints[i : i + 7, None], nodes[i : i + 7], facts[i : i + 7]) for i in range(40, len(prints), 7)]
+        return {(max(a, b), min(a, b)) for a, b in np.concatenate([*pairs, block.links()]).tolist()}
+
+    first = found(facts, False)
+    assert first <= near and {x for p in first for x in p} == {x for p in near for x in p}
+    part = roots(len(prints), [p for p in first if true[p]])
+    rest = found(np.column_stack([facts, part]), True)
+    assert rest == {(i, j) for i, j in near if part[i] != part[j]}
+    assert roots(len(prints), [p for p in first | rest if true[p]]) == roots(len(prints), [p for p in near if true[p]])
 
 
 def test_links_when_a_label_falls(spark):

@@ -9,6 +9,10 @@ of fingerprints, however many it holds.
 
 Each comparison keeps a spanning forest of the links it finds rather than all pairs; components of the forests'
 union are those of all links.
+
+Where a least similarity is asked for, pairs of near fingerprints are only candidates, and texts are linked when their sets of shingles are
+that similar. Candidates are checked in two rounds, so that a large group of copies isn't written as all its pairs: first each block's forest of
+nearest candidates, then every candidate between what the first round's true links left apart.
 """
 
 from __future__ import annotations
@@ -30,8 +34,9 @@ TILE = 1024
 PARTS = 4
 
 
-def fingerprint(text: str, words: int = 3, width: int = 1) -> tuple[list[int], int]:
-    """(``width`` words of 64 bits, number of distinct shingles): the majority of each bit over the hashes of the text's word shingles; zeros without words.
+def shingled(text: str, words: int, width: int) -> tuple[list[int], np.ndarray]:
+    """(``width`` words of 64 bits, sorted hashes of the distinct shingles): the majority of each bit over the hashes of the text's word shingles; zeros
+    without words.
 
     A long text is hashed in runs; a run begins with the last words of the one before.
     """
@@ -50,29 +55,56 @@ def fingerprint(text: str, words: int = 3, width: int = 1) -> tuple[list[int], i
             part = np.ascontiguousarray(hashes[:, i : i + (1 << 16)].T)
             ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     if not n and carried:
-        return [digest(b" ".join(carried), 42 + k) for k in range(width)], 1
+        whole = [digest(b" ".join(carried), 42 + k) for k in range(width)]
+        return whole, np.array(whole[:1], dtype="<u8")
     bits = np.packbits(2 * ones > n, bitorder="little").view("<u8")
-    return bits.tolist(), len(np.unique(np.concatenate(seen)))
+    return bits.tolist(), seen[0] if len(seen) == 1 else np.unique(np.concatenate(seen))
+
+
+def fingerprint(text: str, words: int = 3, width: int = 1) -> tuple[list[int], int]:
+    """The fingerprint of a text and its number of distinct shingles."""
+    bits, distinct = shingled(text, words, width)
+    return bits, len(distinct)
 
 
 def _fingerprints(words: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            found = [fingerprint(t.as_py() or "", words, width) for t in batch.column("text")]
-            prints = np.array([p for p, _ in found], dtype=np.uint64).reshape(-1, width).view(np.int64)
+            prints, sizes, keys = [], [], []
+            for t in batch.column("text"):
+                bits, distinct = shingled(t.as_py() or "", words, width)
+                prints.append(bits)
+                sizes.append(len(distinct))
+                keys.append(xxhash.xxh64_intdigest(distinct.tobytes(), 42))
+            prints = np.array(prints, dtype=np.uint64).reshape(-1, width).view(np.int64)
+            keys = np.array(keys, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(prints.tolist(), pa.list_(pa.int64())), pa.array([n for _, n in found], pa.int64())],
-                ["doc_id", "text_key", "print", "shingles"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(prints.tolist(), pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(keys)],
+                ["doc_id", "text_key", "print", "shingles", "set_key"],
             )
 
     return run
 
 
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in enumerate(batch.column("text")):
+                distinct = shingled(t.as_py() or "", words, 1)[1].view(np.int64)
+                own = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), pa.array(distinct))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, 1), own], ["node", "set"])
+
+    return run
+
+
 def simhashes(docs: DataFrame, words: int = 3, width: int = 1) -> DataFrame:
-    """doc_id, text_key (a hash of the text), print (the fingerprint of each row's whole text as ``width`` signed 64-bit numbers) and shingles."""
+    """doc_id, text_key (a hash of the text), print (the fingerprint of each row's whole text as ``width`` signed 64-bit numbers), shingles (how many are
+    distinct) and set_key (a hash of those)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(_fingerprints(words, width), "doc_id bigint, text_key bigint, print array<bigint>, shingles bigint")
+    return rows.mapInArrow(_fingerprints(words, width), "doc_id bigint, text_key bigint, print array<bigint>, shingles bigint, set_key bigint")
 
 
 def layout(radius: int, width: int = 1, similarity: float | None = None) -> tuple[list[tuple[Column, int]], list[tuple[int, ...]]]:
@@ -99,6 +131,14 @@ def _settle(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
         left, right = l2, r2
 
 
+def differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The number of differing bits of each pair of rows."""
+    bits = np.zeros((len(left), len(right)), dtype=np.uint16)
+    for k in range(right.shape[1]):
+        bits += np.bitwise_count(left[:, k, None] ^ right[None, :, k])
+    return bits
+
+
 class Block:
     """A block at home and its links: a spanning forest within it and between it and each run of visitors.
 
@@ -113,12 +153,12 @@ class Block:
         self.found = list(zip(nodes[moved].tolist(), nodes[self.labels[moved]].tolist()))
 
     def near(self, others: np.ndarray) -> np.ndarray:
-        bits = np.zeros((len(others), len(self.prints)), dtype=np.uint16)
-        for k in range(self.prints.shape[1]):
-            bits += np.bitwise_count(others[:, k, None] ^ self.prints[None, :, k])
-        return bits <= self.radius
+        return differing(others, self.prints) <= self.radius
 
-    def visit(self, prints: np.ndarray, nodes: np.ndarray) -> None:
+    def links(self) -> list:
+        return self.found
+
+    def visit(self, prints: np.ndarray, nodes: np.ndarray, facts: np.ndarray | None = None) -> None:
         near = self.near(prints)
         rows = near.any(axis=1)
         if not rows.any():
@@ -134,60 +174,142 @@ class Block:
         self.labels = new[of]
 
 
-def _compare(radius: int, width: int, tile: int):
-    """Links of every block; its rows come one after another, those at home first."""
+#: More bits than any fingerprint has: no candidates.
+FAR = np.uint16(0xFFFF)
+
+
+def nearest_forest(bits: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that join all that a symmetric matrix of differing bits (FAR: no pair) joins: every part takes its nearest pair to another one, until there is none."""
+    rows = np.flatnonzero((bits < FAR).any(axis=1))
+    bits, part, out = bits[np.ix_(rows, rows)], np.arange(len(rows)), []
+    while len(rows):
+        outside = np.where(part[:, None] != part[None, :], bits, FAR)
+        to = outside.argmin(axis=1)
+        least = outside[np.arange(len(rows)), to]
+        order = np.lexsort((least, part))
+        own = order[np.flatnonzero(np.diff(part[order], prepend=-1))]
+        own = own[least[own] < FAR]
+        if not len(own):
+            break
+        out += zip(rows[own].tolist(), rows[to[own]].tolist())
+        joined = part[own], part[to[own]]
+        up = np.arange(len(rows))
+        while True:  # parts that were joined take their smallest number
+            low = np.minimum(up[joined[0]], up[joined[1]])
+            new = up.copy()
+            np.minimum.at(new, joined[0], low)
+            np.minimum.at(new, joined[1], low)
+            new = new[new]
+            if (new == up).all():
+                break
+            up = new
+        part = up[part]
+    return out
+
+
+class Candidates:
+    """A block at home whose candidates are checked later; a pair's numbers of distinct shingles (the first fact) must not rule it out.
+
+    Without ``rest``: a forest of nearest candidates within the block, the nearest home of each visitor, and the nearest visitor of each home. So what has a
+    candidate at all is in a pair. With ``rest``: every candidate whose second facts (parts that are known to be linked) differ.
+    """
+
+    def __init__(self, prints: np.ndarray, nodes: np.ndarray, facts: np.ndarray, radius: int, similarity: float, rest: bool):
+        self.prints, self.nodes, self.facts, self.radius, self.similarity, self.rest = prints, nodes, facts, radius, similarity, rest
+        bits = self.bits(prints, facts)
+        if rest:
+            a, b = np.nonzero(np.triu(bits < FAR, 1))
+        else:
+            np.fill_diagonal(bits, FAR)
+            a, b = np.array(nearest_forest(bits), dtype=np.int64).reshape(-1, 2).T
+        self.own = np.stack([nodes[a], nodes[b]], axis=1)
+        self.least, self.guest = np.full(len(nodes), FAR), np.zeros(len(nodes), dtype=np.int64)
+
+    def bits(self, prints: np.ndarray, facts: np.ndarray) -> np.ndarray:
+        bits = differing(prints, self.prints)
+        a, b = facts[:, 0, None], self.facts[None, :, 0]
+        out = (bits > self.radius) | (np.minimum(a, b) < self.similarity * np.maximum(a, b))
+        if self.rest:
+            out |= facts[:, 1, None] == self.facts[None, :, 1]
+        bits[out] = FAR
+        return bits
+
+    def visit(self, prints: np.ndarray, nodes: np.ndarray, facts: np.ndarray) -> np.ndarray:
+        bits = self.bits(prints, facts)
+        if self.rest:
+            a, b = np.nonzero(bits < FAR)
+            return np.stack([nodes[a], self.nodes[b]], axis=1)
+        first = bits.argmin(axis=0)
+        least = bits[first, np.arange(len(self.nodes))]
+        nearer = least < self.least
+        self.least[nearer], self.guest[nearer] = least[nearer], nodes[first[nearer]]
+        to = bits.argmin(axis=1)
+        near = np.flatnonzero(bits[np.arange(len(nodes)), to] < FAR)
+        return np.stack([nodes[near], self.nodes[to[near]]], axis=1)
+
+    def links(self) -> np.ndarray:
+        met = self.least < FAR
+        return np.concatenate([self.own, np.stack([self.nodes[met], self.guest[met]], axis=1)])
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple[int, int], bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tile and block, whether they visit, prints, nodes, facts) of rows that come one after another; facts are all further columns."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tiles, blocks = batch.column("tile").to_numpy(), batch.column("block").to_numpy()
+        visits, nodes = batch.column("visits").to_numpy(zero_copy_only=False), batch.column("node").to_numpy()
+        prints = batch.column("print").flatten().to_numpy().reshape(-1, width).view(np.uint64)
+        facts = np.array([batch.column(k).to_numpy() for k in range(5, batch.num_columns)], dtype=np.int64).reshape(-1, len(nodes)).T
+        new = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(blocks) != 0) | (np.diff(visits) != 0)) + 1
+        for a, b in zip([0, *new], [*new, len(tiles)]):
+            yield (tiles[a], blocks[a]), bool(visits[a]), prints[a:b], nodes[a:b], facts[a:b]
+
+
+def _compare(make, width: int, tile: int):
+    """Links of every block; its rows come one after another, those at home first. ``make`` builds a block of its prints, nodes and facts."""
+
+    def pairs(found: list) -> pa.RecordBatch:
+        own = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, home, block = None, [], None
 
-        def links(found: list) -> pa.RecordBatch:
-            pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-        def at_home() -> Block | None:
-            return Block(np.concatenate([p for p, _ in home]), np.concatenate([n for _, n in home]), radius) if home else None
+        def at_home():
+            return make(*map(np.concatenate, zip(*home))) if home else None
 
-        for batch in batches:
-            if not batch.num_rows:
+        for of, visits, *rows in _stretches(batches, width):
+            if of != key:
+                if key is not None and (block := block or at_home()) and len(found := block.links()):
+                    yield pairs(found)
+                key, home, block = of, [], None
+            if not visits:
+                home.append(rows)
                 continue
-            tiles, blocks = batch.column("tile").to_numpy(), batch.column("block").to_numpy()
-            visits, nodes = batch.column("visits").to_numpy(zero_copy_only=False), batch.column("node").to_numpy()
-            prints = batch.column("print").flatten().to_numpy().reshape(-1, width).view(np.uint64)
-            new = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(blocks) != 0) | (np.diff(visits) != 0)) + 1
-            for a, b in zip([0, *new], [*new, len(tiles)]):
-                if (tiles[a], blocks[a]) != key:
-                    if key is not None and (block := block or at_home()) and block.found:
-                        yield links(block.found)
-                    key, home, block = (tiles[a], blocks[a]), [], None
-                if not visits[a]:
-                    home.append((prints[a:b], nodes[a:b]))
-                    continue
-                block = block or at_home()
-                for i in range(a, b if block else a, tile):
-                    block.visit(prints[i : min(i + tile, b)], nodes[i : min(i + tile, b)])
-        if key is not None and (block := block or at_home()) and block.found:
-            yield links(block.found)
+            block = block or at_home()
+            for i in range(0, len(rows[1]) if block else 0, tile):
+                now = block.visit(*[x[i : i + tile] for x in rows])
+                if now is not None and len(now):
+                    yield pairs(now)
+        if key is not None and (block := block or at_home()) and len(found := block.links()):
+            yield pairs(found)
 
     return run
 
 
-def links(prints: DataFrame, radius: int = 2, width: int = 1, similarity: float | None = None, tile: int | None = None) -> DataFrame:
-    """a, b: links between the nodes of distinct fingerprints (node, print, shingles) at ``radius`` or fewer differing bits.
-
-    With ``similarity``, pairs whose numbers of distinct shingles alone rule it out need not be linked. Links are a spanning forest of every
-    comparison of blocks: no component is lost, and their number stays in proportion to the blocks compared.
-    """
-    tile = tile or TILE
+def _dealt(prints: DataFrame, radius: int, width: int, similarity: float | None, tile: int, facts: list[str]) -> DataFrame:
+    """tile, block, visits, node, print and ``facts``: the rows of each block, and after them those that visit it."""
     axes, near = layout(radius, width, similarity)
     number, scales = F.lit(0), []
     for column, size in axes:
         number = number * size + F.least(column, F.lit(size - 1))
         scales = [x * size for x in scales] + [1]
-    tiles = prints.select("node", "print", number.cast("int").alias("tile"))
+    tiles = prints.select("node", "print", *facts, number.cast("int").alias("tile"))
     # one row for each tile, and their number is bounded by the layout
     sizes = F.broadcast(settled(tiles.groupBy("tile").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))))
     tiles = tiles.join(sizes, "tile").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    columns = ["tile", "block", "visits", "node", "print"]
+    columns = ["tile", "block", "visits", "node", "print", *facts]
     at_home = tiles.withColumn("visits", F.lit(False)).select(columns)
     own = tiles.filter("block > 0").withColumn("visits", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).select(columns)
     # neighbours by their coordinates; tiles without fingerprints fall away in the join
@@ -196,23 +318,74 @@ def links(prints: DataFrame, radius: int = 2, width: int = 1, similarity: float
     for k, (scale, (_, size)) in enumerate(zip(scales, axes)):
         there = there + F.col("d")[k] * scale
         inside = inside & (F.floor(F.col("tile") / scale) % size + F.col("d")[k]).between(0, size - 1)
-    others = tiles.select("node", "print", "tile", F.explode(steps).alias("d")).filter(inside).select("node", "print", there.cast("int").alias("tile"))
+    others = tiles.select("node", "print", *facts, "tile", F.explode(steps).alias("d")).filter(inside).select("node", "print", *facts, there.cast("int").alias("tile"))
     others = others.join(sizes, "tile").withColumn("visits", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(columns)
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = at_home.unionByName(own).unionByName(others).repartition(parts, "tile", "block")
-    return dealt.sortWithinPartitions("tile", "block", "visits").mapInArrow(_compare(radius, width, tile), "a bigint, b bigint")
+    return at_home.unionByName(own).unionByName(others).repartition(parts, "tile", "block").sortWithinPartitions("tile", "block", "visits")
+
+
+def links(prints: DataFrame, radius: int = 2, width: int = 1, tile: int | None = None) -> DataFrame:
+    """a, b: links between the nodes of distinct fingerprints (node, print) at ``radius`` or fewer differing bits.
+
+    Links are a spanning forest of every comparison of blocks: no component is lost, and their number stays in proportion to the blocks compared.
+    """
+    tile = tile or TILE
+    make = lambda own, nodes, facts: Block(own, nodes, radius)
+    return _dealt(prints, radius, width, None, tile, []).mapInArrow(_compare(make, width, tile), "a bigint, b bigint")
+
+
+def candidates(prints: DataFrame, radius: int, width: int, similarity: float, tile: int | None = None, part: str | None = None) -> DataFrame:
+    """a, b: pairs of nodes (node, print, shingles) at ``radius`` or fewer differing bits whose numbers of distinct shingles allow ``similarity``.
+
+    All pairs whose values in the column ``part`` differ, or without one a part of them that names every node with a candidate (`Candidates`).
+    """
+    tile = tile or TILE
+    make = lambda own, nodes, facts: Candidates(own, nodes, facts, radius, similarity, part is not None)
+    facts = ["shingles", part] if part else ["shingles"]
+    return _dealt(prints, radius, width, similarity, tile, facts).mapInArrow(_compare(make, width, tile), "a bigint, b bigint")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets (node, set: distinct numbers) have at least ``similarity`` of their union in common."""
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
+    return both.filter(F.col("common") >= similarity * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
+
+
+def verified_links(docs: DataFrame, distinct: DataFrame, words: int, radius: int, width: int, similarity: float, tile: int | None = None) -> DataFrame:
+    """a, b: links between nodes (distinct: node, first, print, shingles) whose shingles are that similar, enough of them that no component of all such
+    candidates is lost. ``first`` names the row of ``docs`` that has a node's text."""
+    spark = docs.sparkSession
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    small_batches(spark, 10_000)
+    near = settled(ordered(candidates(distinct, radius, width, similarity, tile)))
+    nodes = settled(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct().join(distinct, "node"))
+    # shingles of the texts that have candidates only
+    small_batches(spark)
+    named = nodes.select("node", F.col("first.doc_id").alias("_of"), F.col("first.text_key").alias("_key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = rows.join(named, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.xxhash64("text") == F.col("_key"))).select("node", "text")
+    sets = settled(texts.mapInArrow(_sets(words), "node bigint, set array<bigint>").dropDuplicates(["node"]))
+    small_batches(spark, 10_000)
+    true = settled(similar(near, sets, similarity))
+    parts = components(true).withColumnRenamed("component", "part")
+    apart = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    rest = ordered(candidates(settled(apart.select("node", "print", "shingles", "part")), radius, width, similarity, tile, "part"))
+    return true.unionByName(similar(rest.join(near, ["a", "b"], "left_anti"), sets, similarity))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, width: int = 1, similarity: float | None = None, tile: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits for each 64 bits), component_id, text_key and keep_key of each row of ``docs`` (doc_id, text).
 
-    Documents are linked when their fingerprints differ in ``radius`` bits or fewer; component_id is the smallest doc_id
+    Documents are linked when their fingerprints differ in ``radius`` bits or fewer and, with ``similarity``, their sets of distinct shingles have so much of
+    their union in common (a text with fewer words has one shingle, one without words none; equal sets are alike); component_id is the smallest doc_id
     that links reach, and keep_key the text_key of one row that has it. A null, empty or blank text has the fingerprint zero and is linked like any
     other. Rows with a null doc_id take part and have the component they reach, null if it has no doc_id. An empty table gives no rows. Other
-    columns are ignored. Fingerprints of more than 64 bits are told apart by a 64-bit hash.
+    columns are ignored. Fingerprints of more than 64 bits and sets of shingles are told apart by a 64-bit hash.
     """
     prints = simhashes(docs, words, width)
-    prints = settled(prints.withColumn("node", F.col("print")[0] if width == 1 else F.xxhash64("print")))
+    node = F.xxhash64("print", "set_key") if similarity else F.col("print")[0] if width == 1 else F.xxhash64("print")
+    prints = settled(prints.withColumn("node", node).drop("set_key"))
     bits = hash_bits(prints.count())
     # a fingerprint that very many documents share is counted down in shares first
     salted = prints.withColumn("salt", F.shiftright(F.xxhash64("doc_id", "text_key"), 64 - bits))
@@ -220,7 +393,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, width: int
     by_salt = salted.groupBy("node", "salt").agg(F.min(first).alias("first"), F.first("print").alias("print"), F.max("shingles").alias("shingles"))
     distinct = settled(by_salt.groupBy("node").agg(F.min("first").alias("first"), F.first("print").alias("print"), F.max("shingles").alias("shingles")))
     small_batches(docs.sparkSession, 10_000)
-    reached = components(links(distinct, radius, width, similarity, tile))
+    reached = components(verified_links(docs, distinct, words, radius, width, similarity, tile) if similarity else links(distinct, radius, width, tile))
     # a component's smallest doc_id; fingerprints without links are components of their own
     labelled = distinct.join(reached, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first").alias("least"))
