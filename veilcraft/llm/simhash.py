@@ -176,6 +176,8 @@ class Block:
 
 #: More bits than any fingerprint has: no candidates.
 FAR = np.uint16(0xFFFF)
+#: Rows whose differing bits are counted, and visitors that are compared, at once.
+STRIP = 256
 
 
 def nearest_forest(bits: np.ndarray) -> list[tuple[int, int]]:
@@ -226,13 +228,19 @@ class Candidates:
         self.least, self.guest = np.full(len(nodes), FAR), np.zeros(len(nodes), dtype=np.int64)
 
     def bits(self, prints: np.ndarray, facts: np.ndarray) -> np.ndarray:
-        bits = differing(prints, self.prints)
-        a, b = facts[:, 0, None], self.facts[None, :, 0]
-        out = (bits > self.radius) | (np.minimum(a, b) < self.similarity * np.maximum(a, b))
-        if self.rest:
-            out |= facts[:, 1, None] == self.facts[None, :, 1]
-        bits[out] = FAR
-        return bits
+        out = np.empty((len(prints), len(self.prints)), dtype=np.uint16)
+        for i in range(0, len(prints), STRIP):
+            bits = out[i : i + STRIP]
+            bits[:] = differing(prints[i : i + STRIP], self.prints)
+            bits[bits > self.radius] = FAR
+            # few pairs are left, so the rest is looked up for them only
+            a, b = np.nonzero(bits < FAR)
+            size, other = facts[i + a, 0], self.facts[b, 0]
+            no = np.minimum(size, other) < self.similarity * np.maximum(size, other)
+            if self.rest:
+                no |= facts[i + a, 1] == self.facts[b, 1]
+            bits[a[no], b[no]] = FAR
+        return out
 
     def visit(self, prints: np.ndarray, nodes: np.ndarray, facts: np.ndarray) -> np.ndarray:
         bits = self.bits(prints, facts)
@@ -266,8 +274,9 @@ def _stretches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[
             yield (tiles[a], blocks[a]), bool(visits[a]), prints[a:b], nodes[a:b], facts[a:b]
 
 
-def _compare(make, width: int, tile: int):
-    """Links of every block; its rows come one after another, those at home first. ``make`` builds a block of its prints, nodes and facts."""
+def _compare(make, width: int, step: int):
+    """Links of every block; its rows come one after another, those at home first. ``make`` builds a block of its prints, nodes and facts; ``step``
+    visitors are compared at once."""
 
     def pairs(found: list) -> pa.RecordBatch:
         own = np.array(found, dtype=np.int64).reshape(-1, 2)
@@ -288,8 +297,8 @@ def _compare(make, width: int, tile: int):
                 home.append(rows)
                 continue
             block = block or at_home()
-            for i in range(0, len(rows[1]) if block else 0, tile):
-                now = block.visit(*[x[i : i + tile] for x in rows])
+            for i in range(0, len(rows[1]) if block else 0, step):
+                now = block.visit(*[x[i : i + step] for x in rows])
                 if now is not None and len(now):
                     yield pairs(now)
         if key is not None and (block := block or at_home()) and len(found := block.links()):
@@ -342,7 +351,7 @@ def candidates(prints: DataFrame, radius: int, width: int, similarity: float, ti
     tile = tile or TILE
     make = lambda own, nodes, facts: Candidates(own, nodes, facts, radius, similarity, part is not None)
     facts = ["shingles", part] if part else ["shingles"]
-    return _dealt(prints, radius, width, similarity, tile, facts).mapInArrow(_compare(make, width, tile), "a bigint, b bigint")
+    return _dealt(prints, radius, width, similarity, tile, facts).mapInArrow(_compare(make, width, min(tile, STRIP)), "a bigint, b bigint")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -352,9 +361,11 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(F.col("common") >= similarity * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
 
 
-def verified_links(docs: DataFrame, distinct: DataFrame, words: int, radius: int, width: int, similarity: float, tile: int | None = None) -> DataFrame:
-    """a, b: links between nodes (distinct: node, first, print, shingles) whose shingles are that similar, enough of them that no component of all such
-    candidates is lost. ``first`` names the row of ``docs`` that has a node's text."""
+def verified_components(docs: DataFrame, distinct: DataFrame, words: int, radius: int, width: int, similarity: float, tile: int | None = None) -> DataFrame:
+    """node, component of nodes (distinct: node, first, print, shingles) with candidates: those that all candidates with so similar shingles join.
+
+    ``first`` names the row of ``docs`` that has a node's text.
+    """
     spark = docs.sparkSession
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     small_batches(spark, 10_000)
@@ -368,10 +379,14 @@ def verified_links(docs: DataFrame, distinct: DataFrame, words: int, radius: int
     sets = settled(texts.mapInArrow(_sets(words), "node bigint, set array<bigint>").dropDuplicates(["node"]))
     small_batches(spark, 10_000)
     true = settled(similar(near, sets, similarity))
-    parts = components(true).withColumnRenamed("component", "part")
-    apart = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    rest = ordered(candidates(settled(apart.select("node", "print", "shingles", "part")), radius, width, similarity, tile, "part"))
-    return true.unionByName(similar(rest.join(near, ["a", "b"], "left_anti"), sets, similarity))
+    # what the first round joined is one node of the second
+    parts = nodes.join(components(true).withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    parts = settled(parts.select("node", "print", "shingles", "part"))
+    rest = ordered(candidates(parts, radius, width, similarity, tile, "part")).join(near, ["a", "b"], "left_anti")
+    of = lambda side, part: parts.select(F.col("node").alias(side), F.col("part").alias(part))
+    rest = similar(rest, sets, similarity).join(of("a", "x"), "a").join(of("b", "y"), "b")
+    joined = components(rest.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "part")
+    return parts.join(joined, "part", "left").select("node", F.coalesce("component", "part").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, width: int = 1, similarity: float | None = None, tile: int | None = None) -> DataFrame:
@@ -393,7 +408,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, width: int
     by_salt = salted.groupBy("node", "salt").agg(F.min(first).alias("first"), F.first("print").alias("print"), F.max("shingles").alias("shingles"))
     distinct = settled(by_salt.groupBy("node").agg(F.min("first").alias("first"), F.first("print").alias("print"), F.max("shingles").alias("shingles")))
     small_batches(docs.sparkSession, 10_000)
-    reached = components(verified_links(docs, distinct, words, radius, width, similarity, tile) if similarity else links(distinct, radius, width, tile))
+    reached = verified_components(docs, distinct, words, radius, width, similarity, tile) if similarity else components(links(distinct, radius, width, tile))
     # a component's smallest doc_id; fingerprints without links are components of their own
     labelled = distinct.join(reached, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first").alias("least"))
