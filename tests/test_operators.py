@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veilcraft.functions import rules
 from veilcraft.functions.rules import Rule, marked
-from veilcraft.operators import analytics
+from veilcraft.operators import analytics, mentions
 from veilcraft.operators import anonymize as anonymize_module
 from veilcraft.operators.anonymize import anonymize, anonymize_segments, strategy
 from veilcraft.operators.fuse import DETECTORS, SEMANTIC, TYPE_RANK, fuse, resolve_overlaps
@@ -477,3 +477,19 @@ def test_seals(spark):
         must_open(rows.withColumn("v", F.lit("y")), "key", ["k", "v"])
     with pytest.raises(ValueError):
         sealed(rows, "", ["k"])
+
+
+def test_kernel_holds_a_few_rows_as_objects(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    listed = pa.array([[{"surface": f"surface {i} {k}", "telling": False} for k in range(40)] for i in range(4000)])
+    run = mentions._kernel(lambda x: [len(x)], "array<int>", 1).func
+    tracemalloc.start()
+    out = run(listed)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == [[40]] * 4000
+    assert peak < 8e6
+    assert run(listed.slice(0, 0)).to_pylist() == [] and run(pa.array([None, [1]])).to_pylist() == [[], [1]]

@@ -9,7 +9,7 @@ from veilcraft.functions.rules import Rule
 from veilcraft.operators.anonymize import anonymize_segments
 from veilcraft.operators.fuse import fuse
 from veilcraft.operators.scan import scan
-from veilcraft.sources import catalogue
+from veilcraft.sources import catalogue, files
 from veilcraft.sources import reviews
 from veilcraft.sources.files import artifact_path, docx_differences, docx_segments, json_leaves, labelled_corpus, listed, package_checks, package_segments, text_segments, xml_leaves
 from veilcraft.sources.models import model_spans
@@ -204,3 +204,15 @@ def test_documents_that_go_on_over_micro_batches(spark, tmp_path):
     want = {(r.k, r.o, r.text) for r in anonymize_segments(whole, "k", "o", types={"EMAIL", "PERSON"}).collect()}
     assert got == want and ("d", 3, "[OSOBA_2] i [OSOBA_1] widziano, [EMAIL_3] i [EMAIL_4]") in got
     assert sorted(x.name for x in (tmp_path / "state").iterdir()) == ["batch=1", "batch=2"]
+
+
+def test_packages_are_taken_in_bounded_parts(spark):
+    import pandas as pd
+
+    sizes = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(sizes)
+    packages = spark.range(3000).selectExpr("CAST(id AS STRING) AS path", "CAST('no package' AS BINARY) AS content").coalesce(1)
+    seen = files.over_packages(packages, lambda parts: (pd.DataFrame({"n": [len(b)]}) for b in parts), "n int").collect()
+    assert sum(r.n for r in seen) == 3000 and max(r.n for r in seen) <= 64
+    assert int(spark.conf.get(sizes)) <= 1000
+    assert files.package_checks(packages).filter("reason is null").count() == 0

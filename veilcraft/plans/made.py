@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import REL, W
+from ..sources.files import REL, W, over_packages
 
 # --- spans of several detectors ------------------------------------------------------------------
 
@@ -264,4 +264,4 @@ def packages(texts: DataFrame) -> DataFrame:
                 rows.append((path, held.getvalue()))
             yield pd.DataFrame(rows, columns=["path", "content"])
 
-    return texts.select("path", "text").mapInPandas(run, "path string, content binary")
+    return over_packages(texts.select("path", "text"), run, "path string, content binary")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -54,6 +55,25 @@ def docx_segments(spark: SparkSession, path: str) -> DataFrame:
     return package_segments(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
+#: Packages whose contents are Python objects at once, and how much an Arrow batch of them holds at most.
+_PACKAGES, _BATCH = 64, "16m"
+
+
+def in_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``batches`` of packages in parts of a bounded number of rows."""
+    for b in batches:
+        for i in range(0, len(b), _PACKAGES):
+            yield b.iloc[i : i + _PACKAGES]
+
+
+def over_packages(packages: DataFrame, run, schema: str) -> DataFrame:
+    """``packages`` through ``run``, a function of parts of batches; a worker never holds more of them than fits such a batch."""
+    conf = packages.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", _BATCH)
+    return packages.mapInPandas(lambda batches: run(in_parts(batches)), schema)
+
+
 def package_segments(packages: DataFrame) -> DataFrame:
     """Segments of DOCX packages (path, content); one without content or that is no package has none."""
 
@@ -67,7 +87,7 @@ def package_segments(packages: DataFrame) -> DataFrame:
                     continue
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
 
-    return packages.select(F.col("path").cast("string").alias("path"), "content").mapInPandas(run, SEGMENTS)
+    return over_packages(packages.select(F.col("path").cast("string").alias("path"), "content"), run, SEGMENTS)
 
 
 def package_checks(packages: DataFrame) -> DataFrame:
@@ -84,7 +104,7 @@ def package_checks(packages: DataFrame) -> DataFrame:
                     rows.append((p, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "reason"])
 
-    return packages.select(F.col("path").cast("string").alias("path"), "content").mapInPandas(run, "path string, reason string")
+    return over_packages(packages.select(F.col("path").cast("string").alias("path"), "content"), run, "path string, reason string")
 
 
 def docx_snapshot(data: bytes) -> dict:
@@ -121,7 +141,7 @@ def docx_differences(before: DataFrame, after: DataFrame, key: str = "path") ->
                     rows.append({key: k, **nothing, "problem": str(e)})
             yield pd.DataFrame(rows, columns=names)
 
-    shots = [df.select(key, "content").mapInPandas(run, f"{key} string, {_SNAPSHOT}").select(key, F.struct("*").alias(n)) for df, n in ((before, "a"), (after, "b"))]
+    shots = [over_packages(df.select(key, "content"), run, f"{key} string, {_SNAPSHOT}").select(key, F.struct("*").alias(n)) for df, n in ((before, "a"), (after, "b"))]
     rows = shots[0].join(shots[1], key, "left")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     tests = [
