@@ -493,3 +493,13 @@ def test_kernel_holds_a_few_rows_as_objects(spark):
     assert out.to_pylist() == [[40]] * 4000
     assert peak < 8e6
     assert run(listed.slice(0, 0)).to_pylist() == [] and run(pa.array([None, [1]])).to_pylist() == [[], [1]]
+
+
+def test_each_range_of_a_chain_reads_its_own_rows(spark, tmp_path, monkeypatch):
+    columns = [c for c in analytics.CHAINED[:-1]]
+    records = spark.range(40).select(*[F.format_string("%05d", F.col("id")).alias(c) for c in columns])
+    kind, read = type(records), []
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **k: read.append(self.count() if self.inputFiles() else None) or real(self, *a, **k))
+    chain = analytics.write_chain(records, str(tmp_path / "chain"), size=10)
+    assert chain.count() == 40 and len(read) > 1 and None not in read and sum(read) == 40

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import settled
+from ..plans.lineage import settled, shared_dir
 from .seals import latest_hash
 from .spans import let
 
@@ -234,12 +234,16 @@ def write_chain(records: DataFrame, path: str, previous: str | None = None, size
     spark = records.sparkSession
     rows = records.select(*[F.col(c).cast("string").alias(c) for c in CHAINED[:-1]])
     ranges = max(1, -(-rows.count() // size))
-    rows = settled(rows.repartitionByRange(ranges, "created_at", "audit_id").withColumn("_range", F.spark_partition_id()))
+    # a folder for each range, so that linking one reads its own rows only
+    dealt = f"{shared_dir(spark).rstrip('/')}/ranges-{uuid.uuid4().hex}"
+    rows.repartitionByRange(ranges, "created_at", "audit_id").withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(dealt)
     folder = f"{path.rstrip('/')}/from={uuid.uuid4().hex}"
     schema = ", ".join(f"{c} string" for c in (*CHAINED, "audit_chain_hash"))
-    numbers = [r["_range"] for r in rows.select("_range").distinct().orderBy("_range").collect()]  # as many as ranges
+    fields = ", ".join(f"{c} string" for c in CHAINED[:-1])
+    known = spark.read.schema(f"{fields}, _range int").parquet(dealt)
+    numbers = [r["_range"] for r in known.select("_range").distinct().orderBy("_range").collect()]  # as many as ranges
     for k in numbers:
-        own = rows.filter(F.col("_range") == k).drop("_range").coalesce(1).sortWithinPartitions("created_at", "audit_id")
+        own = spark.read.schema(fields).parquet(f"{dealt}/_range={k}").coalesce(1).sortWithinPartitions("created_at", "audit_id")
         own.mapInArrow(_linked(previous), schema).write.parquet(f"{folder}/range={k}")
         previous = latest_hash(spark.read.parquet(f"{folder}/range={k}"))
     return spark.read.schema(schema).parquet(*[f"{folder}/range={k}" for k in numbers]) if numbers else spark.createDataFrame([], schema)
