@@ -221,3 +221,35 @@ def test_components_of_paths_and_stars(spark):
     star = [(5, i) for i in range(1000, 1200)]
     got = {r.node: r.component for r in components(spark.createDataFrame([*path, *star, (7, 7), (None, 3)], "a bigint, b bigint")).collect()}
     assert {got[i] for i in range(100, 161)} == {100} and {got[i] for i in range(1000, 1200)} == {5} and 7 not in got
+
+
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_remaining_links_are_a_forest_of_similar_pairs(spark, tile):
+    # all fingerprints are near, but only few sets are similar: neither all pairs nor all near ones may come out
+    rnd = np.random.default_rng(tile)
+    sets = [np.unique(rnd.integers(0, 60, 40)) for _ in range(60)]
+    sets[1:4], sets[40] = [np.append(sets[0], 100 + i) for i in range(3)], np.append(sets[20], 200)
+    rows = [(i * 7 - 100, [i % 4], 30, i // 2, x.tolist()) for i, x in enumerate(sets)]
+    parts = spark.createDataFrame(rows, "node bigint, print array<bigint>, shingles bigint, part bigint, set array<bigint>")
+    found = simhash.remaining_links(parts.drop("set"), parts.select("node", "set"), 4, 1, 0.8, tile).collect()
+    like = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    true = [(i, j) for i in range(60) for j in range(i) if i // 2 != j // 2 and like(sets[i], sets[j])]
+    got = [((r.a + 100) // 7, (r.b + 100) // 7) for r in found]
+    assert roots(60, got) == roots(60, true) and len(true) >= 5
+    assert len(got) <= (30 if tile == 1024 else 20 * 60)
+
+
+def test_second_round_makes_rows_in_proportion_to_a_group(spark, monkeypatch):
+    # one group of texts with near fingerprints that aren't similar enough: its pairs must not be written
+    words = [f"w{i}" for i in range(300)]
+    rnd = random.Random(1)
+    rows = [(k, " ".join("x%d_%d" % (k, i) if i in own else w for i, w in enumerate(words))) for k in range(120) for own in [set(rnd.sample(range(300), 12))]]
+    made = []
+    real = simhash.settled
+    monkeypatch.setattr(simhash, "settled", lambda df: made.append(real(df)) or made[-1])
+    pairs = []
+    real_similar = simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda near, *rest: pairs.append(near.count()) or real_similar(near, *rest))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 60, 2, 0.8).collect()
+    assert sorted(r.component_id for r in got) == list(range(120))
+    assert sum(pairs) <= 4 * 120 and max(df.count() for df in made) <= 8 * 120

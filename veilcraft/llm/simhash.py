@@ -12,7 +12,7 @@ union are those of all links.
 
 Where a least similarity is asked for, pairs of near fingerprints are only candidates, and texts are linked when their sets of shingles are
 that similar. Candidates are checked in two rounds, so that a large group of copies isn't written as all its pairs: first each block's forest of
-nearest candidates, then every candidate between what the first round's true links left apart.
+nearest candidates, then every candidate between what the first round's true links left apart, in the block where the two meet, beside their shingles.
 """
 
 from __future__ import annotations
@@ -145,21 +145,21 @@ class Block:
     Prints are rows of 64-bit words; links name the nodes of prints. Labels are places in the block; a visitor takes the label of what it links to.
     """
 
-    def __init__(self, prints: np.ndarray, nodes: np.ndarray, radius: int):
+    def __init__(self, prints: np.ndarray, nodes: np.ndarray, radius: int, *more: np.ndarray):
         self.prints, self.nodes, self.radius = prints, nodes, radius
         start = np.arange(len(prints))
-        self.labels, _ = _settle(self.near(prints), start, start)
+        self.labels, _ = _settle(self.near(prints, *more), start, start)
         moved = np.flatnonzero(self.labels != start)
         self.found = list(zip(nodes[moved].tolist(), nodes[self.labels[moved]].tolist()))
 
-    def near(self, others: np.ndarray) -> np.ndarray:
+    def near(self, others: np.ndarray, *more: np.ndarray) -> np.ndarray:
         return differing(others, self.prints) <= self.radius
 
     def links(self) -> list:
         return self.found
 
-    def visit(self, prints: np.ndarray, nodes: np.ndarray, facts: np.ndarray | None = None) -> None:
-        near = self.near(prints)
+    def visit(self, prints: np.ndarray, nodes: np.ndarray, *more: np.ndarray) -> None:
+        near = self.near(prints, *more)
         rows = near.any(axis=1)
         if not rows.any():
             return
@@ -260,27 +260,88 @@ class Candidates:
         return np.concatenate([self.own, np.stack([self.nodes[met], self.guest[met]], axis=1)])
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple[int, int], bool, np.ndarray, np.ndarray, np.ndarray]]:
-    """(tile and block, whether they visit, prints, nodes, facts) of rows that come one after another; facts are all further columns."""
+def _marked(nodes: np.ndarray, mark: int) -> np.ndarray:
+    return np.stack([nodes, np.full(len(nodes), mark)], axis=1)
+
+
+class Remaining(Candidates):
+    """A block that names its rows and visitors with a candidate of another part, with 1 if they visit, else 0, instead of the pairs."""
+
+    def __init__(self, prints: np.ndarray, nodes: np.ndarray, facts: np.ndarray, radius: int, similarity: float):
+        self.prints, self.nodes, self.facts, self.radius, self.similarity, self.rest = prints, nodes, facts, radius, similarity, True
+        self.met = (self.bits(prints, facts) < FAR).any(axis=1)
+
+    def visit(self, prints: np.ndarray, nodes: np.ndarray, facts: np.ndarray) -> np.ndarray:
+        near = self.bits(prints, facts) < FAR
+        self.met |= near.any(axis=0)
+        return _marked(nodes[near.any(axis=1)], 1)
+
+    def links(self) -> np.ndarray:
+        return _marked(self.nodes[self.met], 0)
+
+
+class Checked(Block):
+    """A block whose links are candidates of different parts (as in `Remaining`) whose sets of shingles are similar: they are looked up in an
+    index of the block's shingles, so neither pairs nor their sets are written."""
+
+    rest = True
+    bits = Candidates.bits
+
+    def __init__(self, prints: np.ndarray, nodes: np.ndarray, facts: np.ndarray, sets: np.ndarray, radius: int, similarity: float):
+        self.facts, self.similarity = facts, similarity
+        self.sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+        shingles = np.concatenate(sets)
+        order = np.argsort(shingles, kind="stable")
+        self.shingles, self.owners = shingles[order], np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        super().__init__(prints, nodes, radius, facts, sets)
+
+    def common(self, own: np.ndarray) -> np.ndarray:
+        """How many of ``own`` each set of the block holds."""
+        out = np.zeros(len(self.nodes), dtype=np.int64)
+        for i in range(0, len(own), TILE):
+            some = own[i : i + TILE]
+            first = np.searchsorted(self.shingles, some)
+            n = np.searchsorted(self.shingles, some, side="right") - first
+            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out += np.bincount(self.owners[at], minlength=len(out))
+        return out
+
+    def near(self, others: np.ndarray, facts: np.ndarray, sets: np.ndarray) -> np.ndarray:
+        near = self.bits(others, facts) < FAR
+        for i in np.flatnonzero(near.any(axis=1)):
+            common = self.common(sets[i])
+            near[i] &= common >= self.similarity * (len(sets[i]) + self.sizes - common)
+        return near
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
+    """(tile and block, whether they visit, prints, nodes, facts, and sets where there are any) of rows that come one after another; facts are all
+    further columns."""
     for batch in batches:
         if not batch.num_rows:
             continue
         tiles, blocks = batch.column("tile").to_numpy(), batch.column("block").to_numpy()
         visits, nodes = batch.column("visits").to_numpy(zero_copy_only=False), batch.column("node").to_numpy()
         prints = batch.column("print").flatten().to_numpy().reshape(-1, width).view(np.uint64)
-        facts = np.array([batch.column(k).to_numpy() for k in range(5, batch.num_columns)], dtype=np.int64).reshape(-1, len(nodes)).T
+        facts = np.array([batch.column(k).to_numpy() for k in batch.schema.names[5:] if k != "set"], dtype=np.int64).reshape(-1, len(nodes)).T
+        more = []
+        if "set" in batch.schema.names:
+            ends, values = batch.column("set").offsets.to_numpy(), batch.column("set").values.to_numpy()
+            more = [np.empty(len(nodes), dtype=object)]
+            more[0][:] = [values[a:b] for a, b in zip(ends, ends[1:])]
         new = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(blocks) != 0) | (np.diff(visits) != 0)) + 1
         for a, b in zip([0, *new], [*new, len(tiles)]):
-            yield (tiles[a], blocks[a]), bool(visits[a]), prints[a:b], nodes[a:b], facts[a:b]
+            yield (tiles[a], blocks[a]), bool(visits[a]), prints[a:b], nodes[a:b], facts[a:b], *[m[a:b] for m in more]
 
 
 def _compare(make, width: int, step: int):
-    """Links of every block; its rows come one after another, those at home first. ``make`` builds a block of its prints, nodes and facts; ``step``
+    """Links of every block, with its tile and block; its rows come one after another, those at home first. ``make`` builds a block of its prints, nodes and facts; ``step``
     visitors are compared at once."""
 
-    def pairs(found: list) -> pa.RecordBatch:
+    def pairs(found: list, of: tuple[int, int]) -> pa.RecordBatch:
         own = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], ["a", "b"])
+        where = [pa.array(np.full(len(own), x, dtype=np.int32)) for x in of]
+        return pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), *where], ["a", "b", "tile", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, home, block = None, [], None
@@ -291,7 +352,7 @@ def _compare(make, width: int, step: int):
         for of, visits, *rows in _stretches(batches, width):
             if of != key:
                 if key is not None and (block := block or at_home()) and len(found := block.links()):
-                    yield pairs(found)
+                    yield pairs(found, key)
                 key, home, block = of, [], None
             if not visits:
                 home.append(rows)
@@ -300,9 +361,9 @@ def _compare(make, width: int, step: int):
             for i in range(0, len(rows[1]) if block else 0, step):
                 now = block.visit(*[x[i : i + step] for x in rows])
                 if now is not None and len(now):
-                    yield pairs(now)
+                    yield pairs(now, key)
         if key is not None and (block := block or at_home()) and len(found := block.links()):
-            yield pairs(found)
+            yield pairs(found, key)
 
     return run
 
@@ -329,8 +390,15 @@ def _dealt(prints: DataFrame, radius: int, width: int, similarity: float | None,
         inside = inside & (F.floor(F.col("tile") / scale) % size + F.col("d")[k]).between(0, size - 1)
     others = tiles.select("node", "print", *facts, "tile", F.explode(steps).alias("d")).filter(inside).select("node", "print", *facts, there.cast("int").alias("tile"))
     others = others.join(sizes, "tile").withColumn("visits", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(columns)
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return at_home.unionByName(own).unionByName(others).repartition(parts, "tile", "block").sortWithinPartitions("tile", "block", "visits")
+    return _side_by_side(at_home.unionByName(own).unionByName(others))
+
+
+def _side_by_side(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "tile", "block").sortWithinPartitions("tile", "block", "visits")
+
+
+_LINKS = "a bigint, b bigint, tile int, block int"
 
 
 def links(prints: DataFrame, radius: int = 2, width: int = 1, tile: int | None = None) -> DataFrame:
@@ -340,18 +408,32 @@ def links(prints: DataFrame, radius: int = 2, width: int = 1, tile: int | None =
     """
     tile = tile or TILE
     make = lambda own, nodes, facts: Block(own, nodes, radius)
-    return _dealt(prints, radius, width, None, tile, []).mapInArrow(_compare(make, width, tile), "a bigint, b bigint")
+    return _dealt(prints, radius, width, None, tile, []).mapInArrow(_compare(make, width, tile), _LINKS).select("a", "b")
 
 
-def candidates(prints: DataFrame, radius: int, width: int, similarity: float, tile: int | None = None, part: str | None = None) -> DataFrame:
-    """a, b: pairs of nodes (node, print, shingles) at ``radius`` or fewer differing bits whose numbers of distinct shingles allow ``similarity``.
+def candidates(prints: DataFrame, radius: int, width: int, similarity: float, tile: int | None = None) -> DataFrame:
+    """a, b: pairs of nodes (node, print, shingles) at ``radius`` or fewer differing bits whose numbers of distinct shingles allow ``similarity``: a part of
+    them that names every node with a candidate (`Candidates`)."""
+    tile = tile or TILE
+    make = lambda own, nodes, facts: Candidates(own, nodes, facts, radius, similarity, False)
+    return _dealt(prints, radius, width, similarity, tile, ["shingles"]).mapInArrow(_compare(make, width, min(tile, STRIP)), _LINKS).select("a", "b")
+
+
+def remaining_links(parts: DataFrame, sets: DataFrame, radius: int, width: int, similarity: float, tile: int | None = None) -> DataFrame:
+    """a, b: links between nodes (node, print, shingles, part) of different parts that are candidates and whose ``sets`` (node, set) are similar.
 
-    All pairs whose values in the column ``part`` differ, or without one a part of them that names every node with a candidate (`Candidates`).
+    First each block names the rows that have a candidate in it; only those come again, with their sets, and candidates are checked where they meet. What
+    is written is a spanning forest of each comparison's links, so it grows with rows and blocks, not with pairs.
     """
-    tile = tile or TILE
-    make = lambda own, nodes, facts: Candidates(own, nodes, facts, radius, similarity, part is not None)
-    facts = ["shingles", part] if part else ["shingles"]
-    return _dealt(prints, radius, width, similarity, tile, facts).mapInArrow(_compare(make, width, min(tile, STRIP)), "a bigint, b bigint")
+    spark = parts.sparkSession
+    tile, facts = min(tile or TILE, TILE), ["shingles", "part"]
+    named = lambda own, nodes, known: Remaining(own, nodes, known, radius, similarity)
+    small_batches(spark, 10_000)
+    met = settled(_dealt(parts, radius, width, similarity, tile, facts).mapInArrow(_compare(named, width, min(tile, STRIP)), _LINKS).distinct())
+    rows = met.select("tile", "block", (F.col("b") == 1).alias("visits"), F.col("a").alias("node")).join(parts, "node").join(sets, "node")
+    check = lambda own, nodes, known, held: Checked(own, nodes, known, held, radius, similarity)
+    rows = _side_by_side(rows.select("tile", "block", "visits", "node", "print", *facts, "set"))
+    return settled(rows.mapInArrow(_compare(check, width, min(tile, STRIP)), _LINKS).select("a", "b"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -382,9 +464,9 @@ def verified_components(docs: DataFrame, distinct: DataFrame, words: int, radius
     # what the first round joined is one node of the second
     parts = nodes.join(components(true).withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     parts = settled(parts.select("node", "print", "shingles", "part"))
-    rest = ordered(candidates(parts, radius, width, similarity, tile, "part")).join(near, ["a", "b"], "left_anti")
+    rest = remaining_links(parts, sets, radius, width, similarity, tile)
     of = lambda side, part: parts.select(F.col("node").alias(side), F.col("part").alias(part))
-    rest = similar(rest, sets, similarity).join(of("a", "x"), "a").join(of("b", "y"), "b")
+    rest = rest.join(of("a", "x"), "a").join(of("b", "y"), "b")
     joined = components(rest.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "part")
     return parts.join(joined, "part", "left").select("node", F.coalesce("component", "part").alias("component"))
 
