@@ -712,7 +712,8 @@ def review_suggestions(spark, d):
 @query("SELECT o_orderkey, 3::BIGINT AS before, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 3 END::BIGINT AS after FROM orders")
 def xml_leaf_counts(spark, d):
     xml = F.concat(F.lit('<o k="'), F.col("o_orderkey").cast("string"), F.lit('"> <s>'), "o_orderstatus", F.lit("</s><p>"), "o_orderpriority", F.lit("</p></o>"))
-    rows = table(spark, d, "orders").select("o_orderkey", xml.alias("text"))
+    # dealt out first: a file of few row groups would be parsed by as few tasks
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").repartition("o_orderkey").select("o_orderkey", xml.alias("text"))
     after = rows.withColumn("text", F.when(F.col("o_orderkey") % 3 == 0, F.regexp_replace("text", "<p>.*</p>", "<p> </p>")).otherwise(F.col("text")))
     return leaf_differences(rows, after, "xml", "o_orderkey").select("o_orderkey", "before", "after")
 
