@@ -354,6 +354,23 @@ def test_reinjection(spark):
     assert conflicts == {("b", "[KRS_1]", "missing_vault_entry"), ("c", "[PESEL_1]", "missing_vault_entry")}
 
 
+def test_reinjection_computes_each_join_once(spark):
+    schema = "doc_id bigint, segment_id string, container_id string, section_id string, page_index int, text string"
+    t = spark.createDataFrame([(1, "a", "body:p:1", None, 0, "x [NIP_1]"), (1, "b", "body:p:2", None, 0, "a longer text z [NIP_1]"), (2, "a", None, None, None, "[KRS_1]")], schema)
+    t = t.withColumn("refs", F.regexp_extract_all("text", F.lit(analytics.PLACEHOLDER), F.lit(0)))
+    entries = [(2, "a", "[KRS_1]", 5, 9, "y"), (2, "a", "[KRS_1]", 0, 1, "h"), (2, None, "[KRS_1]", 0, 1, "h")]
+    vault = spark.createDataFrame(entries, "doc_id bigint, segment_id string, placeholder string, start int, stop int, original_value_hash string")
+    edited = spark.createDataFrame([(1, "a", "body:p:1", None, 0, "x [NIP_1]"), (1, "c", "body:p:9", None, 0, "a longer text z [NIP_1]!"), (2, "a", None, None, None, "[KRS_1]")], schema)
+    conflicts, decisions = conflicts_and_decisions(t, edited, vault)
+    # one placeholder of two segments stands in another segment as well; an entry that repeats counts once, the first of them
+    assert {tuple(r) for r in conflicts.collect()} == {(1, "a", "[NIP_1]", "segment_split"), (1, "b", "[NIP_1]", "segment_split")}
+    assert [tuple(r) for r in decisions.collect()] == [(2, "a", "[KRS_1]", "exact_segment_match", 0, 1, "h")]
+    # what follows reads rows that are kept: no join or shuffle is left in its plan
+    for df in (conflicts, decisions):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_bound_of_the_ratio(spark):
     from difflib import SequenceMatcher
 

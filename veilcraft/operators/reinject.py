@@ -82,15 +82,10 @@ def conflicts_and_decisions(templates: DataFrame, edited: DataFrame, vault: Data
     )
     e = settled(e)
     t = templates.select(doc, "segment_id", "container_id", "section_id", "page_index", F.col("text").alias("t_text"), F.coalesce("refs", F.array().cast("array<string>")).alias("refs"))
-    same = t.join(e.withColumn("segment_id", F.col("e_id")), [doc, "segment_id"], "left")
-    found = same.filter("e_id is not null").withColumn("exact", F.lit(True))
+    same = settled(t.join(e.withColumn("segment_id", F.col("e_id")), [doc, "segment_id"], "left"))
+    no_problem = F.lit(None).cast("string").alias("problem")
+    found = same.filter("e_id is not null").select("*", F.lit(True).alias("exact"), no_problem)
     lost = same.filter("e_id is null").select(t.columns)
-    # where each placeholder of a document now stands
-    places = e.select(doc, "e_id", F.explode("e_refs").alias("p")).groupBy(doc, "p").agg(F.collect_set("e_id").alias("at"))
-    places = places.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("p", "at"))).alias("places"))
-    owners = t.select(doc, "segment_id", F.explode("refs").alias("p")).groupBy(doc, "p").agg(F.max("segment_id").alias("s"))
-    owners = owners.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("p", "s"))).alias("owners"))
-    conflict_rows = []
     if fuzzy:
         near = lost.withColumn("near", locality(F.col("container_id"))).join(
             e.withColumn("near", locality(F.col("e_container"))).withColumnRenamed("e_refs", "refs2"), [doc, "near"]
@@ -100,36 +95,38 @@ def conflicts_and_decisions(templates: DataFrame, edited: DataFrame, vault: Data
         near = near.withColumn("place", F.row_number().over(by_ratio)).withColumn("next", F.lead("ratio").over(by_ratio)).filter("place = 1")
         low = F.col("ratio") < LEAST_RATIO
         tied = (F.col("next") >= LEAST_RATIO) & (F.col("ratio") - F.col("next") <= CLEAR_LEAD)
-        near = settled(near.withColumn("problem", F.when(low, "low_confidence_match").when(tied, "ambiguous_segment_match")))
-        moved = near.filter("problem is null").withColumnRenamed("refs2", "e_refs").withColumn("exact", F.lit(False)).select(found.columns)
-        conflict_rows.append(near.filter("problem is not null").select(doc, "segment_id", F.lit(None).cast("string").alias("placeholder"), F.col("problem").alias("reason")))
-        lost = lost.join(moved.select(doc, "segment_id"), [doc, "segment_id"], "left_anti")
-        found = found.unionByName(moved)
-    get = lambda m, p: F.coalesce(F.try_element_at(m, p), F.array().cast("array<string>"))
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
-    gone = lost.join(places, doc, "left").withColumn("places", F.coalesce("places", none))
-    at = F.array_distinct(F.flatten(F.transform("refs", lambda p: get(F.col("places"), p))))
-    why = F.when(F.size(at) == 0, "missing_segment").when(F.size(at) > 1, "segment_split").otherwise("segment_merge")
-    conflict_rows.append(gone.select(doc, "segment_id", F.lit(None).cast("string").alias("placeholder"), why.alias("reason")))
-    rows = found.join(places, doc, "left").withColumn("places", F.coalesce("places", none)).join(owners, doc, "left")
+        near = near.withColumn("problem", F.when(low, "low_confidence_match").when(tied, "ambiguous_segment_match")).withColumnRenamed("refs2", "e_refs")
+        own = [c for c in e.columns if c != doc]
+        moved = near.select(doc, "segment_id", *[F.when(F.col("problem").isNull(), F.col(c)).alias(c) for c in own], F.when(F.col("problem").isNull(), False).alias("exact"), "problem")
+        lost = lost.join(moved, [doc, "segment_id"], "left")
+    else:
+        lost = lost.select("*", *[F.lit(None).cast(e.schema[c].dataType).alias(c) for c in e.columns if c != doc], F.lit(None).cast("boolean").alias("exact"), no_problem)
+    # the placeholders of a document's edited segments (at) and templates (owner): where each now stands and which segment it is from
+    empty, no_id = F.array().cast("array<string>"), F.lit(None).cast("string")
+    uses = e.select(doc, F.struct(F.col("e_id").alias("at"), no_id.alias("owner"), F.col("e_refs").alias("refs")).alias("u")).filter(F.size("u.refs") > 0)
+    uses = uses.unionByName(same.filter(F.size("refs") > 0).select(doc, F.struct(no_id.alias("at"), F.col("segment_id").alias("owner"), "refs").alias("u")))
+    uses = uses.groupBy(doc).agg(F.collect_list("u").alias("uses"))
+    of_place = lambda p, c: F.transform(F.filter("uses", lambda u: u[c].isNotNull() & F.array_contains(u["refs"], p)), lambda u: u[c])
+    get = lambda p: F.coalesce(F.array_distinct(of_place(p, "at")), empty)
+    rows = found.unionByName(lost).join(uses, doc, "left")
     or_null = lambda c: F.when(F.coalesce(c.cast("string"), F.lit("")).isin("", "0"), None).otherwise(c.cast("string"))
     container = F.when(F.col("exact"), F.col("e_container").eqNullSafe(F.col("container_id"))).otherwise(locality(F.col("e_container")) == locality(F.col("container_id")))
     section = F.when(F.col("exact"), F.coalesce("e_section", F.lit("")) == F.coalesce("section_id", F.lit(""))).otherwise(locality(F.col("e_section")) == locality(F.col("section_id")))
     times = lambda xs, p: F.size(F.filter(xs, lambda x: x == p))
     refs, now = F.col("refs"), F.col("e_refs")
-    spread = F.filter(refs, lambda p: F.exists(get(F.col("places"), p), lambda s: s != F.col("e_id")))
+    spread = F.filter(refs, lambda p: F.exists("uses", lambda u: (u["at"] != F.col("e_id")) & F.array_contains(u["refs"], p)))
     doubled = F.array_sort(F.array_distinct(F.filter(now, lambda p: times(now, p) > times(refs, p))))
     absent = F.filter(refs, lambda p: ~F.array_contains(now, p))
     extra = F.array_sort(F.array_distinct(F.filter(now, lambda p: ~F.array_contains(refs, p))))
-    elsewhere = lambda p: F.exists(get(F.col("places"), p), lambda s: s != F.col("segment_id"))
-    foreign = lambda p: F.coalesce(F.try_element_at(F.col("owners"), p) != F.col("segment_id"), F.lit(False))
+    elsewhere = lambda p: F.exists(get(p), lambda s: s != F.col("segment_id"))
+    foreign = lambda p: F.coalesce(F.array_max(of_place(p, "owner")) != F.col("segment_id"), F.lit(False))
     per = lambda xs, make: F.transform(xs, make)
     of = lambda p, reason: F.struct(p.alias("placeholder"), reason.alias("reason"))
     changed = F.concat(
         _when((F.array_sort(F.array_distinct(now)) == F.array_sort(F.array_distinct(refs))), _conflict("placeholder_reordered")),
         per(doubled, lambda p: of(p, F.lit("placeholder_duplicated"))),
         F.filter(
-            per(absent, lambda p: of(p, F.when(F.size(get(F.col("places"), p)) == 0, "placeholder_deleted").when(elsewhere(p), "segment_split"))), lambda x: x["reason"].isNotNull()
+            per(absent, lambda p: of(p, F.when(F.size(get(p)) == 0, "placeholder_deleted").when(elsewhere(p), "segment_split"))), lambda x: x["reason"].isNotNull()
         ),
         per(extra, lambda p: of(p, F.when(foreign(p), "segment_merge").otherwise("placeholder_drift"))),
     )
@@ -140,18 +137,22 @@ def conflicts_and_decisions(templates: DataFrame, edited: DataFrame, vault: Data
         per(spread, lambda p: of(p, F.lit("segment_split"))),
         F.when(now != refs, changed).otherwise(F.array().cast(_NONE)),
     )
-    rows = settled(rows.select(doc, "segment_id", "exact", "refs", all_.cast(_NONE).alias("problems")))
-    conflict_rows.append(rows.select(doc, "segment_id", F.inline("problems")))
+    at = F.array_distinct(F.flatten(F.transform("refs", get)))
+    why = F.when(F.size(at) == 0, "missing_segment").when(F.size(at) > 1, "segment_split").otherwise("segment_merge")
+    of_lost = F.concat(_when(F.col("problem").isNotNull(), of(F.lit(None).cast("string"), F.col("problem"))), F.array(of(F.lit(None).cast("string"), why)))
+    # exact is true where the id was found, false where a text took its place, and null for lost segments
+    problems = F.when(F.col("exact").isNull(), of_lost.cast(_NONE)).otherwise(all_.cast(_NONE))
+    rows = settled(rows.select(doc, "segment_id", "exact", "refs", problems.alias("problems")))
     wanted = rows.filter(F.size("problems") == 0).select(doc, "segment_id", "exact", F.explode("refs").alias("placeholder"))
-    entries = vault.dropDuplicates([doc, "segment_id", "placeholder"]).withColumn("_known", F.lit(True))
-    wanted = settled(wanted.join(entries, [doc, "segment_id", "placeholder"], "left"))
-    conflict_rows.append(wanted.filter("_known is null").select(doc, "segment_id", "placeholder", F.lit("missing_vault_entry").alias("reason")))
+    # of entries that repeat one is taken; a window sorts them as the join needs them, where dropDuplicates would sort them twice more
+    key = [doc, "segment_id", "placeholder"]
+    again = F.lag(F.lit(True)).over(Window.partitionBy(*key).orderBy("start", "stop", "original_value_hash"))
+    entries = vault.withColumn("_again", again).filter("_again is null").drop("_again").withColumn("_known", F.lit(True))
+    wanted = settled(wanted.join(entries, key, "left"))
+    missing = wanted.filter("_known is null").select(doc, "segment_id", "placeholder", F.lit("missing_vault_entry").alias("reason"))
     decision = F.when(F.col("exact"), "exact_segment_match").otherwise("fuzzy_anchored_segment_match")
     decisions = wanted.filter("_known").select(doc, "segment_id", "placeholder", decision.alias("decision_reason"), "start", "stop", "original_value_hash")
-    conflicts = conflict_rows[0]
-    for more in conflict_rows[1:]:
-        conflicts = conflicts.unionByName(more)
-    return conflicts, decisions
+    return rows.select(doc, "segment_id", F.inline("problems")).unionByName(missing), decisions
 
 
 def plan_status(templates: DataFrame, conflicts: DataFrame, decisions: DataFrame, doc: str = "doc_id") -> DataFrame:

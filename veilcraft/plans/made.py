@@ -236,7 +236,8 @@ STATUS_SQL = f"""{_OUTCOMES_SQL}
 def edited_orders(spark: SparkSession, orders: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(templates, edited segments, vault) of a document for each order, by the order's key."""
     schema = "n int, segment_id string, text string, container_id string, section_id string, page_index int"
-    docs = orders.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % len(EDITS)).cast("int").alias("n"))
+    # dealt out first: a file of few row groups would be read by as few tasks
+    docs = orders.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % len(EDITS)).cast("int").alias("n")).repartition("doc_id")
     # tables of some tens of rows
     base = spark.createDataFrame([(n, *s) for n in range(len(EDITS)) for s in (_A, _B)], schema)
     back = spark.createDataFrame([(n, *s) for n, (edited, _) in enumerate(EDITS) for s in edited], schema)

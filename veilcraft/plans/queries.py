@@ -588,7 +588,7 @@ def coverage_summary(spark, d):
 
 def _reinjected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     templates, edited, vault = made.edited_orders(spark, table(spark, d, "orders"))
-    return templates, *conflicts_and_decisions(settled(templates), settled(edited), vault)
+    return templates, *conflicts_and_decisions(templates, edited, vault)
 
 
 @query(made.CONFLICTS_SQL)
@@ -606,7 +606,7 @@ def reinject_fuzzy(spark, d):
 @query(made.STATUS_SQL)
 def reinject_status(spark, d):
     templates, conflicts, decisions = _reinjected(spark, d)
-    return plan_status(templates, settled(conflicts), settled(decisions))
+    return plan_status(templates, conflicts, decisions)
 
 
 @query(
