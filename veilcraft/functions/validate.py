@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.spans import let
 from .gazetteer import BLOCKED, SUFFIXES, SURNAMES, given_name_forms
 from .normalize import case_identifier, date_context, digits, stripped, swift_bic, upper_alnum
 
@@ -26,6 +27,9 @@ def _full(c: Column, pattern: str, flags: str = "") -> Column:
     return c.rlike(f"{flags}\\A(?:{pattern})\\z")
 
 
+# Validators of check digits take the digits once, by ``let``: within arrays Spark computes an expression anew wherever it stands, once for each weight.
+
+
 def _number(c: Column, start: int, length: int = 1) -> Column:
     return F.expr("0") + F.substring(c, start, length).try_cast("int")
 
@@ -64,25 +68,28 @@ def phone_fragment(c: Column) -> Column:
 
 
 def pesel(c: Column) -> Column:
-    d = digits(c)
-    month, date = _number(d, 3, 2), F.lit(None).cast("timestamp")
-    for offset, century in PESEL_CENTURIES:
-        made = F.try_make_timestamp(_number(d, 1, 2) + century, month - offset, _number(d, 5, 2), F.lit(0), F.lit(0), F.lit(0))
-        date = F.when((month > offset) & (month <= offset + 12), made).otherwise(date)
-    check = (10 - _weighted(d, PESEL_WEIGHTS) % 10) % 10
-    return _sure((F.length(d) == 11) & ~_all_equal(d) & (check == _number(d, 11)) & date.isNotNull())
+    def dated(d: Column, month: Column) -> Column:
+        date = F.lit(None).cast("timestamp")
+        for offset, century in PESEL_CENTURIES:
+            made = F.try_make_timestamp(_number(d, 1, 2) + century, month - offset, _number(d, 5, 2), F.lit(0), F.lit(0), F.lit(0))
+            date = F.when((month > offset) & (month <= offset + 12), made).otherwise(date)
+        return date.isNotNull()
+
+    def of_digits(d: Column) -> Column:
+        check = (10 - _weighted(d, PESEL_WEIGHTS) % 10) % 10
+        return _sure((F.length(d) == 11) & ~_all_equal(d) & (check == _number(d, 11)) & let(_number(d, 3, 2), lambda month: dated(d, month)))
+
+    return let(digits(c), of_digits)
 
 
 def nip(c: Column) -> Column:
-    d = digits(c)
-    check = _weighted(d, NIP_WEIGHTS) % 11
-    return _sure((F.length(d) == 10) & (check != 10) & (check == _number(d, 10)))
+    right = lambda d: let(_weighted(d, NIP_WEIGHTS) % 11, lambda check: (check != 10) & (check == _number(d, 10)))
+    return let(digits(c), lambda d: _sure((F.length(d) == 10) & right(d)))
 
 
 def regon(c: Column) -> Column:
-    d = digits(c)
-    ends = lambda weights: _weighted(d, weights) % 11 % 10 == _number(d, len(weights) + 1)
-    return _sure(F.when(F.length(d) == 9, ends(REGON_WEIGHTS)).when(F.length(d) == 14, ends(REGON_LONG_WEIGHTS)).otherwise(False))
+    ends = lambda d, weights: _weighted(d, weights) % 11 % 10 == _number(d, len(weights) + 1)
+    return let(digits(c), lambda d: _sure(F.when(F.length(d) == 9, ends(d, REGON_WEIGHTS)).when(F.length(d) == 14, ends(d, REGON_LONG_WEIGHTS)).otherwise(False)))
 
 
 def krs(c: Column) -> Column:

@@ -25,11 +25,11 @@ def entity_id(entity_type: Column, normalized: Column, start: Column, stop: Colu
     return F.concat(F.lit("ENT_"), F.substring(F.sha1(F.concat_ws("|", entity_type, normalized, start.cast("string"), stop.cast("string"))), 1, 12))
 
 
-def _walked(found: Column) -> Column:
+def _walked(found: Column, sides: bool = True) -> Column:
     """The matches of one rule in a text: ``found`` has the rule's place (seq) and the text parted at its matches.
 
     Every second piece is a match, and that has three parts. What stands beside a match, without white space and hyphens, is kept as well:
-    suppressions look at it. A match is never white space alone, so that lies in the pieces next to it.
+    suppressions of cards look at it, so without ``sides`` it is null. A match is never white space alone, so that lies in the pieces next to it.
     """
     pieces = found["pieces"]
     bare = lambda piece: F.replace(piece, F.lit(_PART), F.lit(""))
@@ -39,10 +39,11 @@ def _walked(found: Column) -> Column:
         def one(parts: Column) -> Column:
             lead, raw = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
             start = at + F.length(lead)
+            left = F.right(F.rtrim(F.concat(bare(beside(i - 2)), beside(i - 1), lead), F.lit(_GAP)), F.lit(1)) if sides else F.lit(None).cast("string")
+            right = F.left(F.ltrim(F.concat(beside(i + 1), bare(beside(i + 2))), F.lit(_GAP)), F.lit(1)) if sides else F.lit(None).cast("string")
             return F.struct(
                 found["seq"].alias("seq"), start.alias("start"), (start + F.length(raw)).alias("stop"), raw.alias("raw"),
-                F.right(F.rtrim(F.concat(bare(beside(i - 2)), beside(i - 1), lead), F.lit(_GAP)), F.lit(1)).alias("left"),
-                F.left(F.ltrim(F.concat(beside(i + 1), bare(beside(i + 2))), F.lit(_GAP)), F.lit(1)).alias("right"),
+                left.alias("left"), right.alias("right"),
             )
 
         return one
@@ -129,7 +130,7 @@ def _searched(text: Column, rules: list[Rule]) -> Column:
         return F.struct(F.lit(seq).alias("seq"), pieces.alias("pieces"))
 
     searched = F.filter(F.array(*[parted(r, i) for i, r in enumerate(rules)]), lambda x: F.size(x["pieces"]) > 1)
-    found = let(blocks(F.col("_plain")), lambda b: _spans(F.flatten(F.transform(searched, _walked)), rules, b))
+    found = let(blocks(F.col("_plain")), lambda b: _spans(F.flatten(F.transform(searched, lambda x: _walked(x, any(r.entity_type == "CARD" for r in rules)))), rules, b))
     return F.when(text.isNotNull(), found).otherwise(none())
 
 
