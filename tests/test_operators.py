@@ -328,6 +328,19 @@ def test_analytics(spark):
     assert [tuple(r) for r in analytics.corpus_matches(expected, predicted).collect()] == [(1, "NIP", 1)]
 
 
+def test_fusion_of_some_types_leaves_out_what_they_never_meet(spark):
+    schema = "doc_id bigint, entity_id string, entity_type string, raw_text string, normalized_text string, confidence double, source_detector string, start bigint, stop bigint, context_required boolean, rule_seq int"
+    kinds = ["PER", "ORGANIZATION", "ADDRESS", "NIP", "PHONE", None]
+    rnd = random.Random(4)
+    rows = [(i // 9, f"E{i}", rnd.choice(kinds), "x", "x", rnd.randrange(50, 100) / 100, rnd.choice(["regex", "gliner", "spacy"]), s, s + rnd.randrange(1, 9), False, i % 9) for i in range(360) for s in [rnd.randrange(24)]]
+    spans = spark.createDataFrame(rows, schema)
+    flat_row = lambda r: tuple(tuple(v) if isinstance(v, list) else v for v in r)
+    every = {(r.entity_type, flat_row(r)) for r in fuse(spans).collect()}
+    for types in (SEMANTIC, ("PERSON",), ("NIP",), ("COMPANY", "PHONE")):
+        names = {"COMPANY": "ORG"}
+        assert {flat_row(r) for r in fuse(spans, types=types).collect()} == {r for t, r in every if t in [names.get(x, x) for x in types]}
+
+
 def test_reinjection(spark):
     schema = "doc_id bigint, segment_id string, container_id string, section_id string, page_index int, text string"
     base = [(1, "a", "body:p:1", None, 0, "x [NIP_1] y [NIP_2]"), (1, "b", "body:p:2", None, None, "z [KRS_1]"), (1, "c", "body:p:3", "s", 1, "only [PESEL_1] here today")]

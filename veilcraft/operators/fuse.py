@@ -175,10 +175,12 @@ def _fold_type(island: Column) -> Column:
     return _fold(island, meet, settle, F.array().cast(SPANS), lambda acc: acc, lambda acc, s: F.concat(acc, F.array(s)))
 
 
-def fused(candidates: Column) -> Column:
-    """Candidates of all detectors merged: one span of each island of semantic ones, and of others the better of overlapping equals."""
+def fused(candidates: Column, only_semantic: bool = False) -> Column:
+    """Candidates of all detectors merged: one span of each island of semantic ones, and of others the better of overlapping equals; ``only_semantic`` where no others are."""
 
     def merged(spans: Column) -> Column:
+        if only_semantic:
+            return _each_island(spans, _best_of)
         semantic = F.filter(spans, lambda s: s["entity_type"].isin(*SEMANTIC))
         plain = F.filter(spans, lambda s: ~s["entity_type"].isin(*SEMANTIC))
         kinds = F.array_distinct(F.transform(plain, lambda s: s["entity_type"]))
@@ -232,9 +234,17 @@ def resolved(spans: Column) -> Column:
 # --- rows ----------------------------------------------------------------------------------------
 
 
-def fuse(candidates: DataFrame, keys: Iterable[str] = ("doc_id",)) -> DataFrame:
-    """Rows of ``fused`` for candidates in rows: keys and all columns of a span."""
-    return in_rows(beside(candidates, keys).withColumn("_spans", fused(F.col("_spans"))), keys, F.col("_spans"))
+def fuse(candidates: DataFrame, keys: Iterable[str] = ("doc_id",), types: Iterable[str] | None = None) -> DataFrame:
+    """Rows of ``fused`` for candidates in rows: keys and all columns of a span.
+
+    With ``types`` only those are fused, and only what they compete with is shuffled: semantic types with one another, each other type with itself.
+    """
+    kept = None if types is None else {CANONICAL.get(t, t) for t in types}
+    if kept is not None:
+        rivals = kept | set(SEMANTIC) if kept & set(SEMANTIC) else kept
+        candidates = candidates.filter(_lookup(F.col("entity_type"), CANONICAL, F.col("entity_type")).isin(*rivals))
+    rows = in_rows(beside(candidates, keys).withColumn("_spans", fused(F.col("_spans"), only_semantic=kept is not None and kept <= set(SEMANTIC))), keys, F.col("_spans"))
+    return rows if kept is None else rows.filter(F.col("entity_type").isin(*kept))
 
 
 def resolve_overlaps(spans: DataFrame, keys: Iterable[str] = ("doc_id",)) -> DataFrame:

@@ -491,7 +491,7 @@ _SEMANTIC_SQL = (
 
 @query(f"SELECT doc_id, entity_id, entity_type, support_count, semantic_conflict FROM ({_SEMANTIC_SQL})")
 def semantic_fusion(spark, d):
-    return fuse(_made(spark, d)).filter(F.col("entity_type").isin(*SEMANTIC)).select("doc_id", "entity_id", "entity_type", "support_count", "semantic_conflict")
+    return fuse(_made(spark, d), types=SEMANTIC).select("doc_id", "entity_id", "entity_type", "support_count", "semantic_conflict")
 
 
 @query(made.FUSED_SQL)
@@ -511,7 +511,7 @@ def resolved_overlaps(spark, d):
     f"semantic_conflict OR confidence >= 0.6 AS reviewed FROM ({_SEMANTIC_SQL})"
 )
 def accept_review(spark, d):
-    rows = fuse(_made(spark, d)).filter(F.col("entity_type").isin(*SEMANTIC))
+    rows = fuse(_made(spark, d), types=SEMANTIC)
     return rows.select("doc_id", "entity_id", accepted(0.8).alias("accepted"), reviewable(0.6).alias("reviewed"))
 
 
